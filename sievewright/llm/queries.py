@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+from sievewright.llm.quality_classifier import op6_quality_classifier
 from sievewright.llm.quality_rules import OP9_SQL, op9_quality_rules
 
-QUERIES = {"op9_quality_rules": op9_quality_rules}
+QUERIES = {
+    "op6_quality_classifier": op6_quality_classifier,
+    "op9_quality_rules": op9_quality_rules,
+}
 SQL = {"op9_quality_rules": OP9_SQL}
