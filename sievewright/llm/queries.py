@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from sievewright.llm.quality_classifier import op6_quality_classifier
 from sievewright.llm.quality_rules import OP9_SQL, op9_quality_rules
+from sievewright.llm.simhash import op8_simhash
 
 QUERIES = {
     "op6_quality_classifier": op6_quality_classifier,
+    "op8_simhash": op8_simhash,
     "op9_quality_rules": op9_quality_rules,
 }
 SQL = {"op9_quality_rules": OP9_SQL}
