@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from sievewright.llm.packing import op7_best_fit_packing
+from sievewright.llm.pii import op5_pii
 from sievewright.llm.quality_classifier import op6_quality_classifier
 from sievewright.llm.quality_rules import OP9_SQL, op9_quality_rules
 from sievewright.llm.simhash import op8_simhash
 
 QUERIES = {
+    "op5_pii": op5_pii,
     "op6_quality_classifier": op6_quality_classifier,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op8_simhash": op8_simhash,
