@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from sievewright.llm.html_extraction import op10_html_extraction
 from sievewright.llm.packing import op7_best_fit_packing
 from sievewright.llm.pii import op5_pii
 from sievewright.llm.quality_classifier import op6_quality_classifier
@@ -14,5 +15,6 @@ QUERIES = {
     "op7_best_fit_packing": op7_best_fit_packing,
     "op8_simhash": op8_simhash,
     "op9_quality_rules": op9_quality_rules,
+    "op10_html_extraction": op10_html_extraction,
 }
 SQL = {"op9_quality_rules": OP9_SQL}
