@@ -8,8 +8,10 @@ from sievewright.llm.pii import op5_pii
 from sievewright.llm.quality_classifier import op6_quality_classifier
 from sievewright.llm.quality_rules import OP9_SQL, op9_quality_rules
 from sievewright.llm.simhash import op8_simhash
+from sievewright.llm.warc import OP4_SQL, op4_warc
 
 QUERIES = {
+    "op4_warc": op4_warc,
     "op5_pii": op5_pii,
     "op6_quality_classifier": op6_quality_classifier,
     "op7_best_fit_packing": op7_best_fit_packing,
@@ -17,4 +19,4 @@ QUERIES = {
     "op9_quality_rules": op9_quality_rules,
     "op10_html_extraction": op10_html_extraction,
 }
-SQL = {"op9_quality_rules": OP9_SQL}
+SQL = {"op4_warc": OP4_SQL, "op9_quality_rules": OP9_SQL}
