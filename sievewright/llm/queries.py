@@ -8,9 +8,11 @@ from sievewright.llm.pii import op5_pii
 from sievewright.llm.quality_classifier import op6_quality_classifier
 from sievewright.llm.quality_rules import OP9_SQL, op9_quality_rules
 from sievewright.llm.simhash import op8_simhash
+from sievewright.llm.suffix_tree import op3_lm_scoring
 from sievewright.llm.warc import OP4_SQL, op4_warc
 
 QUERIES = {
+    "op3_lm_scoring": op3_lm_scoring,
     "op4_warc": op4_warc,
     "op5_pii": op5_pii,
     "op6_quality_classifier": op6_quality_classifier,
