@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from sievewright.llm.embedding_dups import OP2_SQL, op2_embedding_dups
 from sievewright.llm.html_extraction import op10_html_extraction
 from sievewright.llm.packing import op7_best_fit_packing
 from sievewright.llm.pii import op5_pii
@@ -12,6 +13,7 @@ from sievewright.llm.suffix_tree import op3_lm_scoring
 from sievewright.llm.warc import OP4_SQL, op4_warc
 
 QUERIES = {
+    "op2_embedding_dups": op2_embedding_dups,
     "op3_lm_scoring": op3_lm_scoring,
     "op4_warc": op4_warc,
     "op5_pii": op5_pii,
@@ -21,4 +23,4 @@ QUERIES = {
     "op9_quality_rules": op9_quality_rules,
     "op10_html_extraction": op10_html_extraction,
 }
-SQL = {"op4_warc": OP4_SQL, "op9_quality_rules": OP9_SQL}
+SQL = {"op2_embedding_dups": OP2_SQL, "op4_warc": OP4_SQL, "op9_quality_rules": OP9_SQL}
