@@ -8,11 +8,13 @@ from sievewright.llm.packing import op7_best_fit_packing
 from sievewright.llm.pii import op5_pii
 from sievewright.llm.quality_classifier import op6_quality_classifier
 from sievewright.llm.quality_rules import OP9_SQL, op9_quality_rules
+from sievewright.llm.sentencepiece_codec import op1_sentencepiece
 from sievewright.llm.simhash import op8_simhash
 from sievewright.llm.suffix_tree import op3_lm_scoring
 from sievewright.llm.warc import OP4_SQL, op4_warc
 
 QUERIES = {
+    "op1_sentencepiece": op1_sentencepiece,
     "op2_embedding_dups": op2_embedding_dups,
     "op3_lm_scoring": op3_lm_scoring,
     "op4_warc": op4_warc,
