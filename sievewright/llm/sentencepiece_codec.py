@@ -8,9 +8,9 @@ every piece that ends there, and each relaxes the best state of that position, a
   merged prefix. A piece is taken if it survives merging next to the state it follows, that is, if merging
   the two alone gives back the two; exactly one piece per position does. Results of pairs are remembered.
 
-No piece holds a space mark after another character, so text is cut before runs of space marks, and at
-characters in no piece; equal parts are encoded once per task as long as the memory of ``REMEMBERED``
-parts lasts. Characters in no piece become their UTF-8 byte pieces, or the unknown piece.
+Text is cut where no piece can reach over: before runs of space marks, between a letter or digit and a
+mark that follows none inside any piece, and at characters in no piece. Equal parts are encoded once per
+worker as long as the memory of ``REMEMBERED`` parts lasts. Characters in no piece become their UTF-8 byte pieces, or the unknown piece.
 
 Defined cases: a null or empty text has no ids; decoding gives back every text exactly where the model
 has byte pieces; ids out of range decode to nothing; rows that repeat give equal ids.
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from sievewright.llm.shared import cut, table
 
 SPACE = "▁"
-REMEMBERED = 200_000
+REMEMBERED = 400_000
 
 
 @dataclass(frozen=True)
@@ -63,6 +63,7 @@ class Codec:
 
         self.p = pieces
         self.ids = {x: i for i, x in enumerate(pieces.names) if x}
+        self.rank = {x: pieces.scores[i] for x, i in self.ids.items()}
         self.automaton = ahocorasick.Automaton()
         for x, i in self.ids.items():
             self.automaton.add_word(x, (i, len(x)))
@@ -71,8 +72,11 @@ class Codec:
         self.letters = letters
         # parts: space marks and what follows them up to the next; a line end apart if no piece has it
         apart = "" if "\n" in letters else "\n"
-        self.parts = re.compile(f"{SPACE}*[^{SPACE}{apart}]+|{SPACE}+" + ("|\n" if apart else ""))
-        self.pairs: dict[tuple[int, int], bool] = {}
+        follows = {y for x in self.ids for w, y in zip(x, x[1:]) if w.isascii() and w.isalnum()}
+        marks = re.escape("".join(c for c in "!\"#$%&()*+,./:;<=>?@[\\]^`{|}~" if c not in follows))
+        inner = f"(?:[^{SPACE}{marks}{apart}]|(?<![A-Za-z0-9])[{marks}])" if marks else f"[^{SPACE}{apart}]"
+        self.parts = re.compile((f"[{marks}]?" if marks else "") + f"{SPACE}*{inner}+|{SPACE}+" + (f"|[{marks}]" if marks else "") + ("|\n" if apart else ""))
+        self.pairs: dict[int, bool] = {}
         self.alone: dict[int, bool] = {}
         self.low = min((pieces.scores[i] for i in self.ids.values()), default=0.0) - 10.0
         self.known: dict[str, bytes] = {}
@@ -110,30 +114,52 @@ class Codec:
 
     def viterbi(self, text: str) -> list[int]:
         """One pass; ``last[i]`` is the piece that ends the best segmentation of the first i characters."""
+        return self.best_sum(text) if self.p.unigram else self.only_merge(text)
+
+    def only_merge(self, text: str) -> list[int]:
         n = len(text)
-        last = [-1] * (n + 1)
-        size = [1] * (n + 1)
+        last, size = [-1] * (n + 1), [1] * (n + 1)
+        pairs, many = self.pairs, len(self.p.names)
+        for end, (piece, length) in self.automaton.iter(text):
+            end += 1
+            if last[end] >= 0:
+                continue
+            start = end - length
+            if start:
+                before = last[start]
+                if before < 0:
+                    continue
+                ok = pairs.get(before * many + piece)
+                if ok is None:
+                    ok = self.beside(before, piece)
+            else:
+                ok = self.stands(piece)
+            if ok:
+                last[end], size[end] = piece, length
+        if last[n] < 0:  # a vocabulary whose merges do not reach all its pieces
+            return self.merged(text)
+        out = []
+        while n:
+            out.append(last[n])
+            n -= size[n]
+        return out[::-1]
+
+    def best_sum(self, text: str) -> list[int]:
+        n, scores = len(text), self.p.scores
+        last, size = [-1] * (n + 1), [1] * (n + 1)
         best = [0.0] + [-1e300] * n
-        unigram, scores = self.p.unigram, self.p.scores
         at = 0
         for end, (piece, length) in self.automaton.iter(text):
             end += 1
-            while unigram and at < end - 1:  # no piece ended there: one unknown character
+            while at < end - 1:  # no piece may have ended there: one unknown character
                 at += 1
                 self.unknown(at, best, last, size)
-            start = end - length
-            if unigram:
-                score = best[start] + scores[piece]
-                if score > best[end]:
-                    best[end], last[end], size[end] = score, piece, length
-                at = max(at, end - 1)
-            elif last[end] < 0 and (start == 0 and self.stands(piece) or start and last[start] >= 0 and self.beside(last[start], piece)):
-                last[end], size[end] = piece, length
-        while unigram and at < n:
+            score = best[end - length] + scores[piece]
+            if score > best[end]:
+                best[end], last[end], size[end] = score, piece, length
+        while at < n:
             at += 1
             self.unknown(at, best, last, size)
-        if not unigram and last[n] < 0:  # a vocabulary whose merges do not reach all its pieces
-            return self.merged(text)
         out = []
         while n:
             if last[n] >= 0:
@@ -154,22 +180,24 @@ class Codec:
         return ok
 
     def beside(self, a: int, b: int) -> bool:
-        ok = self.pairs.get((a, b))
-        if ok is None:
-            if len(self.pairs) >= 10 * REMEMBERED:
-                self.pairs.clear()
-            ok = self.pairs[a, b] = self.merged(self.p.names[a] + self.p.names[b]) == [a, b]
+        """Whether two pieces stay two when merging starts from their characters."""
+        if len(self.pairs) >= 4 * REMEMBERED:
+            self.pairs.clear()
+        names = self.p.names
+        together = self.ids.get(names[a] + names[b])
+        ok = (together is None or not self.stands(together)) and self.merged(names[a] + names[b]) == [a, b]
+        self.pairs[a * len(names) + b] = ok
         return ok
 
     def merged(self, text: str) -> list[int]:
         """BPE by definition: the best pair is merged, the leftmost of equals, until no pair is a piece."""
-        parts = list(text)
+        parts, rank = list(text), self.rank.get
         while True:
             best, at = -1e300, -1
             for i in range(len(parts) - 1):
-                piece = self.ids.get(parts[i] + parts[i + 1])
-                if piece is not None and self.p.scores[piece] > best:
-                    best, at = self.p.scores[piece], i
+                score = rank(parts[i] + parts[i + 1], best)
+                if score > best:
+                    best, at = score, i
             if at < 0:
                 return [self.ids.get(x, self.p.unknown) for x in parts]
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
