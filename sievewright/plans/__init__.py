@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("pages", "text", "classify", "store", "overlap")
+MODULES = ("pages", "text", "classify", "store", "overlap", "select", "validate")
 
 
 def registered() -> tuple[dict, dict]:
