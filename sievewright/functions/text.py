@@ -186,15 +186,15 @@ def plain_body(body: Column) -> Column:
 
 
 def dutch_date(d: Column) -> Column:
-    return F.concat_ws(" ", F.day(d).cast("string"), F.element_at(_strings(R.MONTHS), F.month(d)), F.year(d).cast("string"))
+    return F.when(d.isNotNull(), F.concat_ws(" ", F.day(d).cast("string"), F.element_at(_strings(R.MONTHS), F.month(d)), F.year(d).cast("string")))
 
 
 def short_date(d: Column) -> Column:
-    return F.concat_ws(" ", F.day(d).cast("string"), F.substring(F.element_at(_strings(R.MONTHS), F.month(d)), 1, 3), F.year(d).cast("string"))
+    return F.when(d.isNotNull(), F.concat_ws(" ", F.day(d).cast("string"), F.substring(F.element_at(_strings(R.MONTHS), F.month(d)), 1, 3), F.year(d).cast("string")))
 
 
 def month_label(d: Column) -> Column:
-    return F.concat_ws(" ", F.initcap(F.element_at(_strings(R.MONTHS), F.month(d))), F.year(d).cast("string"))
+    return F.when(d.isNotNull(), F.concat_ws(" ", F.initcap(F.element_at(_strings(R.MONTHS), F.month(d))), F.year(d).cast("string")))
 
 
 def source_label(name: Column, published: Column, superseded: Column) -> Column:

@@ -47,11 +47,11 @@ def upsert(store: DataFrame, rows: DataFrame, key: str = "url_key", keep: tuple[
 def patch(store: DataFrame, changes: DataFrame, key: str, fields: tuple[str, ...]) -> DataFrame:
     """Only the fields named in a change's ``fields_set`` are set; a null there deletes. Unknown keys are an error."""
     given = changes.select(key, "fields_set", *[F.col(f).alias(f"_{f}") for f in fields])
-    strangers = given.join(store.select(key), key, "left_anti").select(F.raise_error(F.concat(F.lit("unknown key: "), F.col(key).cast("string"))).cast("string").alias("e"))
+    rows = store.withColumn("_here", F.lit(True)).join(given, key, "full_outer")
+    stranger = F.raise_error(F.concat(F.lit("unknown key: "), F.col(key).cast("string"))).cast("boolean")
     has = lambda f: F.coalesce(F.array_contains("fields_set", f), F.lit(False))
-    out = store.join(given, key, "left").withColumns({f: F.when(has(f), F.col(f"_{f}")).otherwise(F.col(f)) for f in fields})
-    guard = strangers.agg(F.count("e").alias("_n"))
-    return out.crossJoin(F.broadcast(guard)).where("_n = 0").select(*store.columns)  # one row: raises or passes
+    out = rows.where(F.when(F.col("_here").isNull(), stranger).otherwise(True))
+    return out.withColumns({f: F.when(has(f), F.col(f"_{f}")).otherwise(F.col(f)) for f in fields}).select(*store.columns)
 
 
 def record_base(title: Column, date: Column) -> Column:
