@@ -91,7 +91,7 @@ def accepted(x: Column) -> Column:
     d = digits(x["m"])
     n = F.length(d)
     octets = F.forall(F.split(x["m"], r"\."), lambda o: F.length(F.regexp_replace(o, "^0+", "")) <= 3)
-    low = F.forall(F.split(x["m"], r"\."), lambda o: F.coalesce(F.substring(F.regexp_replace(o, "^0+", ""), 1, 3).cast("int"), F.lit(0)) <= 255)
+    low = F.forall(F.split(x["m"], r"\."), lambda o: F.coalesce(F.substring(F.regexp_replace(o, "^0+", ""), 1, 3).try_cast("int"), F.lit(0)) <= 255)
     return (
         F.when(x["k"] == 0, True)
         .when(x["k"] == 1, octets & low)
@@ -129,7 +129,7 @@ def described(text: Column, c: Column, base: Column) -> Column:
         "marks": F.least(count("[.-]"), F.lit(4)),
         "brackets": F.least(count("[()\\[\\]{}]"), F.lit(3)),
         "plus": m.startswith("+").cast("int"),
-        "first": F.when(c["k"].isin(1, 2), F.coalesce(F.substring(d, 1, 1).cast("int"), F.lit(10))).otherwise(10),
+        "first": F.when(c["k"].isin(1, 2), F.coalesce(F.substring(d, 1, 1).try_cast("int"), F.lit(10))).otherwise(10),
         "left": left.rlike("[A-Za-z0-9]").cast("int"),
         "right": right.rlike("[A-Za-z0-9]").cast("int"),
         "cue": cue.cast("int"),
@@ -237,37 +237,42 @@ def joined(found: Column) -> Column:
     return F.array_join(F.transform(F.array_sort(found), lambda x: F.concat_ws(":", F.element_at(name, x["k"] + 1), x["s"].cast("string"), x["e"].cast("string"))), ",")
 
 
-def detect(docs: DataFrame, carry: list[str], p: Params = Params()) -> DataFrame:
-    """``carry``, ``base`` and ``added`` (arrays of start, kind, end) per row; texts are read once."""
+def _detected(docs: DataFrame, carry: list[Column], p: Params) -> DataFrame:
+    """``_c0``, ``_c1``, … for ``carry``, then base and added; own names, so that none of the input's can clash."""
     names = [f"_c{i}" for i in range(len(carry))]
-    rows = docs.select(*[F.col(c).alias(n) for c, n in zip(carry, names)], "text")
+    rows = docs.select(*[c.alias(n) for c, n in zip(carry, names)], F.col("text").alias("text"))
     got = found(rows.withColumn("_f", F.pmod(F.xxhash64("text"), F.lit(p.folds))), [*names, "_f"]).withColumnRenamed("_f", "fold")
     got = written(got, "candidates")
     models = train(got, p)
     plain = F.transform("base", lambda b: F.struct(b["s"].alias("s"), b["k"].alias("k"), b["e"].alias("e")))
-    return got.select(*[F.col(n).alias(c) for c, n in zip(carry, names)], plain.alias("base"), chosen(models).alias("added"))
+    return got.select(*names, plain.alias("base"), chosen(models).alias("added"))
+
+
+def detect(docs: DataFrame, key: str, p: Params = Params()) -> DataFrame:
+    """``key``, ``base`` and ``added`` (arrays of start, kind, end) per row; texts are read once."""
+    return _detected(docs, [F.col(key)], p).withColumnRenamed("_c0", key)
 
 
 def redact(docs: DataFrame, p: Params = Params()) -> DataFrame:
     """The rows with every found span replaced by its kind in brackets, ``n_chars`` brought up to date."""
-    rows = docs.withColumn("_text", F.col("text"))
-    got = detect(rows, [*docs.columns[: docs.columns.index("text")], "_text", *docs.columns[docs.columns.index("text") + 1 :]], p)
+    got = _detected(docs, [F.col(f"`{c}`") for c in docs.columns], p)
+    own = {c: f"_c{i}" for i, c in enumerate(docs.columns)}
+    whole = F.col(own["text"])
     tag = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(acc, x):
-        more = F.concat(acc["out"], F.substring(F.col("_text"), acc["at"] + 1, x["s"] - acc["at"]), F.element_at(tag, x["k"] + 1))
+        more = F.concat(acc["out"], F.substring(whole, acc["at"] + 1, x["s"] - acc["at"]), F.element_at(tag, x["k"] + 1))
         return F.struct(F.greatest(acc["at"], x["e"]).alias("at"), F.when(x["s"] >= acc["at"], more).otherwise(acc["out"]).alias("out"))
 
     every = F.array_sort(F.concat("base", "added"))
-    text = F.when(F.size("base") + F.size("added") > 0, F.aggregate(every, start, step, lambda acc: F.concat(acc["out"], F.substring(F.col("_text"), acc["at"] + 1, F.length("_text"))))).otherwise(F.col("_text"))
-    out = got.withColumn("text", text)
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast("long"))
-    return out.select(*docs.columns)
+    clean = F.aggregate(every, start, step, lambda acc: F.concat(acc["out"], F.substring(whole, acc["at"] + 1, F.length(whole))))
+    text = F.when(F.size(every) > 0, clean).otherwise(whole)
+    new = {"text": text} | ({"n_chars": F.when(F.size(every) > 0, F.length(text)).otherwise(F.col(own["n_chars"])).cast(docs.schema["n_chars"].dataType)} if "n_chars" in own else {})
+    return got.select(*[new.get(c, F.col(n)).alias(c) for c, n in own.items()])
 
 
 def op5_pii(spark, sf_dir: str) -> DataFrame:
-    out = detect(table(spark, sf_dir, "documents"), ["doc_id"])
+    out = detect(table(spark, sf_dir, "documents"), "doc_id")
     count = lambda k: F.size(F.filter("base", lambda b: b["k"] == k)).cast("long")
     return out.select("doc_id", *[count(k).alias(f"n_{n}") for k, n in enumerate(KINDS)], F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.concat("base", "added")).alias("spans"), F.size("added").cast("long").alias("n_added"))

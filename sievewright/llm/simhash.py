@@ -134,15 +134,15 @@ def near_duplicates(docs: DataFrame, words: int = 3, most: int = 2) -> DataFrame
     """(doc_id, fp, component_id) per row."""
     rows = written(fingerprints(docs.withColumn("doc_id", F.col("doc_id").cast("long")), ["doc_id"], words), "fingerprints")
     nodes = written(rows.where("doc_id IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("node")), "nodes")
-    parts = components(links(nodes, most).withColumnRenamed("a", "x").select(F.col("x").alias("a"), "b"))
+    parts = components(links(nodes, most))
     named = written(nodes.join(parts, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id")), "named")
     return rows.join(named, "fp", "left").select("doc_id", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, words: int = 3, most: int = 2) -> DataFrame:
     """One row per component, with all its columns: that of the smallest id. Rows without an id stay, for nothing names them."""
-    found = near_duplicates(docs, words, most).where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    known = docs.where("doc_id IS NOT NULL").join(found, F.col("doc_id") == F.col("_kept"), "left_semi").dropDuplicates(["doc_id"])
+    found = near_duplicates(docs, words, most).where("doc_id = component_id").select("doc_id").distinct()
+    known = docs.where("doc_id IS NOT NULL").join(found, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return known.unionByName(docs.where("doc_id IS NULL"))
 
 

@@ -1,0 +1,486 @@
+"""Each operator against a brute-force form, and on nulls, empty and long texts, ties, repeats, empty tables and clashing names."""
+
+import base64
+import hashlib
+import math
+import random
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from sievewright.llm import embedding_dups, html_extraction, packing, pii, quality_classifier, quality_rules, sentencepiece_codec, shared, simhash, suffix_tree, warc
+
+random.seed(5)
+WORDS = ["the", "er", "tion", "and", "of", "heit", "ción", "éaux", "an", "in", "st", "nd"]
+
+
+def prose(n, r=random):
+    return " ".join("".join(r.choice(WORDS) for _ in range(r.randrange(1, 4))) + r.choice(["", "", "", ".", ","]) for _ in range(n))
+
+
+LONG = prose(30_000)
+TEXTS = [None, "", " \n\t ", "Een.", prose(300), "DE!! " * 100, prose(50) + "\n" + "zelfde regel hier\n" * 40, "é" * 5000, LONG, "a@b.nl en +31 (020) 555-1234, 10.0.0.1"]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    rows = [(i, x, "src0" if i % 3 else None, i, 7, "x") for i, x in enumerate(TEXTS)]
+    rows += [(4, TEXTS[4], "src1", 1, 7, "x"), (None, TEXTS[4], "src0", 1, 7, "x"), (None, None, None, None, None, None)]
+    rows += [(20 + i, prose(80), f"src{i % 4}", i, 7, "x") for i in range(40)]
+    return spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long, fp int, base string").repartition(3).cache()
+
+
+def empty(df):
+    return df.limit(0)
+
+
+def rows_of(df):
+    return [r.asDict() for r in df.collect()]
+
+
+# quality rules
+
+
+def measured(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+    windows = [tuple(words[i : i + 8]) for i in range(len(words) - 7)]
+    seen = Counter(windows)
+    repeated = {i + k for i, w in enumerate(windows) if seen[w] > 1 for k in range(8)}
+    lines = [x for x in (text or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    return len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text or "")), len(lines) - len(set(lines)), len(repeated)
+
+
+def test_quality_rules(docs):
+    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    got = rows_of(quality_rules.judge(docs.select("doc_id", "text"), ["doc_id"], measures=names))
+    want = Counter((r["doc_id"], *measured(r["text"])) for r in rows_of(docs))
+    assert Counter((r["doc_id"], *(r[n] for n in names)) for r in got) == want
+    kept = quality_rules.keep(docs)
+    assert kept.columns == docs.columns and kept.count() == sum(r["kept"] for r in got)
+    assert quality_rules.keep(empty(docs)).count() == 0
+
+
+def test_rule_order_changes_no_verdict():
+    rules = list(quality_rules.RULES)
+    for x in TEXTS:
+        t = quality_rules.Text(x or "")
+        assert (quality_rules.cascade(rules, t) is None) == (quality_rules.cascade(rules[::-1], t) is None)
+
+
+def test_order_is_by_rejections_per_cost(docs):
+    ordered, seen = quality_rules.order_rules(docs)
+    rate = [seen[r.name]["rejects"] / max(seen[r.name]["seconds"], 1e-9) for r in ordered]
+    assert rate == sorted(rate, reverse=True)
+
+
+# quality classifier
+
+
+def test_quality_classifier(spark, docs):
+    r = random.Random(3)
+    rows = [(i, prose(120, r) if i % 2 else " ".join(f"{w}###" for w in prose(120, r).split())) for i in range(200)]
+    texts = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(200)] + [(7, 0, 0), (None, 1, 0), (8, None, 0)], "doc_id long, quality int, toxic int")
+    model = quality_classifier.train(texts, labels)
+    got = {r["doc_id"]: r["score"] for r in rows_of(quality_classifier.score(texts, model, ["doc_id"]))}
+    held = [i for i in range(200) if zlib.crc32(str(i).encode()) % 5 == 0]
+    assert np.mean([(got[i] >= 0.5) == bool(i % 2) for i in held]) > 0.9
+    assert all(0 <= s <= 1 for s in got.values())
+    odd = rows_of(quality_classifier.score(docs, model, ["doc_id"]))
+    assert len(odd) == docs.count() and len({r["score"] for r in odd if r["doc_id"] in (0, 1)}) == 1
+    bare = quality_classifier.train(empty(docs), empty(labels))
+    assert all(math.isclose(r["score"], 0.5, abs_tol=0.01) for r in rows_of(quality_classifier.score(docs, bare, ["doc_id"])))
+
+
+def test_temperature_calibrates():
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(2000, 8))
+    y = (rng.random(2000) < 1 / (1 + np.exp(-2 * x[:, 0]))).astype(float)
+    net = quality_classifier.fit(x, y, quality_classifier.Params())
+    score = net.score(x)
+    for lo in (0.2, 0.5, 0.7):
+        at = (score >= lo) & (score < lo + 0.2)
+        assert abs(score[at].mean() - y[at].mean()) < 0.15
+
+
+# simhash
+
+
+def brute_fingerprint(text, words=3):
+    w = (text or "").encode().lower().split()
+    if not w:
+        return 0
+    h = [xxhash.xxh64_intdigest(b" ".join(w[i : i + words]), seed=42) for i in range(max(1, len(w) - words + 1))]
+    return sum(1 << k for k in range(64) if 2 * sum(x >> k & 1 for x in h) > len(h))
+
+
+def brute_components(ids, fps, most):
+    parent = {i: i for i in ids}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, a in zip(ids, fps):
+        for j, b in zip(ids, fps):
+            if i < j and (a ^ b).bit_count() <= most:
+                x, y = find(i), find(j)
+                parent[max(x, y)] = min(x, y)
+    return {i: find(i) for i in ids}
+
+
+def test_simhash_fingerprints(docs):
+    got = rows_of(simhash.fingerprints(docs.select("doc_id", "text"), ["doc_id"]))
+    want = Counter((r["doc_id"], brute_fingerprint(r["text"]) if r["text"] != LONG else simhash.fingerprint(LONG)) for r in rows_of(docs))
+    assert Counter((r["doc_id"], r["fp"] & (1 << 64) - 1) for r in got) == want
+
+
+@pytest.mark.parametrize("most,block", [(2, 1024), (2, 16), (3, 40)])
+def test_pigeonring_loses_no_link(spark, most, block):
+    rng = random.Random(most * block)
+    fps = {0, rng.getrandbits(64)}
+    for _ in range(6):
+        base = rng.getrandbits(64)
+        fps |= {base ^ sum(1 << b for b in {rng.randrange(64) for _ in range(rng.randrange(5))}) for _ in range(60)}
+    fps = sorted(fps)
+    rng.shuffle(fps)
+    nodes = spark.createDataFrame([(i, x - (1 << 64) if x >> 63 else x) for i, x in enumerate(fps)], "node long, fp long")
+    found = {r["node"]: r["component"] for r in rows_of(shared.components(simhash.links(nodes, most, block)))}
+    assert {i: found.get(i, i) for i in range(len(fps))} == brute_components(range(len(fps)), fps, most)
+
+
+def test_near_duplicates_and_keep_one(docs):
+    got = rows_of(simhash.near_duplicates(docs))
+    named = [r for r in got if r["doc_id"] is not None]
+    fps = {r["doc_id"]: r["fp"] & (1 << 64) - 1 for r in named}
+    want = brute_components(list(fps), list(fps.values()), 2)
+    assert all(r["component_id"] == want[r["doc_id"]] for r in named)
+    kept = rows_of(simhash.keep_one(docs))
+    assert sorted(r["doc_id"] for r in kept if r["doc_id"] is not None) == sorted(set(want.values()))
+    assert sum(r["doc_id"] is None for r in kept) == 2
+    assert simhash.keep_one(empty(docs)).count() == 0
+
+
+# personal data
+
+BASE = [("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), ("card", r"[0-9]([\x20-]?[0-9])+"), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]")]
+
+
+def luhn(s):
+    return sum((2 * int(c) - 9 if int(c) > 4 else 2 * int(c)) if i % 2 else int(c) for i, c in enumerate(reversed(s))) % 10 == 0
+
+
+def brute_spans(text):
+    out = []
+    for k, (kind, pattern) in enumerate(BASE):
+        for m in re.finditer(pattern, text or ""):
+            d = re.sub("[^0-9]", "", m.group())
+            if kind == "email" or kind == "ip" and all(int(x) <= 255 for x in m.group().split(".")) or kind == "card" and 12 <= len(d) <= 19 and luhn(d) or kind == "phone" and 9 <= len(d) <= 15:
+                out.append((m.start(), k, m.end()))
+    return sorted(out)
+
+
+def test_pii_base_spans(spark, docs):
+    rng = random.Random(9)
+    bits = ["a@b.nl", "x_y@z", "_q@w.de_r@t.co.uk", "4111 1111 1111 1111", "4111111111111112", "1.2.3.4", "1.2.3.4.5.6.7.8", "300.1.1.1", "+31 (0)20-555.12.34", "+1", "é@é.nl", "🙂", "12-34", " ", "007.1.1.1", "+1 (202) 555-0143 10.0.0.1", "9" * 400, "%+-.@a.b"]
+    texts = ["".join(rng.choice(bits) + rng.choice(["", " ", ",", "x"]) for _ in range(rng.randrange(12))) for _ in range(300)]
+    rows = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "doc_id long, text string")
+    for r in rows_of(pii.detect(rows, "doc_id")):
+        assert [(b["s"], b["k"], b["e"]) for b in r["base"]] == [*sorted(brute_spans(texts[r["doc_id"]]), key=lambda x: (x[1], x[0]))], texts[r["doc_id"]]
+        for a in r["added"]:
+            assert all(a["e"] <= b["s"] or b["e"] <= a["s"] for b in r["base"])
+    out = rows_of(pii.redact(docs))
+    assert len(out) == docs.count() and {r["base"] for r in out} == {r["base"] for r in rows_of(docs)}
+    assert next(r["text"] for r in out if r["doc_id"] == 9) == "[EMAIL] en [PHONE], [IP]"
+    assert pii.redact(empty(docs)).columns == docs.columns
+
+
+def test_pii_long_runs_do_not_overflow(spark):
+    rows = spark.createDataFrame([(1, "9" * 200_000), (2, "a" * 200_000), (3, "9 " * 100_000), (4, "a@" + "b." * 50_000)], "doc_id long, text string")
+    assert pii.detect(rows, "doc_id").count() == 4
+
+
+def test_pii_adds_swallowed_phone(spark):
+    rows = [(i, f"bel call +1 (20{i % 10}) 555-01{i % 90 + 10} of niet") for i in range(200)] + [(999, "call +1 (202) 555-0143 10.0.0.1 of niet")]
+    got = {r["doc_id"]: r for r in rows_of(pii.detect(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id"))}
+    assert [(a["s"], a["k"], a["e"]) for a in got[999]["added"]] == [(5, 3, 22)]
+    assert not any(got[i]["added"] for i in range(200))
+
+
+# packing
+
+
+def brute_best_fit(lengths, sources, clusters, capacity):
+    bins, out = [], []
+    for n, s, c in zip(lengths, sources, clusters):
+        fit = [(b["free"], k) for k, b in enumerate(bins) if b["free"] >= n and b["free"] and (s < 0 or s not in b["s"]) and c not in b["c"]]
+        if fit:
+            k = min(fit)[1]
+        else:
+            bins.append({"free": capacity, "s": set(), "c": set()})
+            k = len(bins) - 1
+        bins[k]["free"] -= n
+        bins[k]["s"].add(s)
+        bins[k]["c"].add(c)
+        out.append(k)
+    return out
+
+
+def test_best_fit_equals_brute_force():
+    rng = random.Random(2)
+    for _ in range(60):
+        n = rng.randrange(1, 60)
+        lengths = sorted((rng.randrange(1, 100) for _ in range(n)), reverse=True)
+        sources, clusters = [rng.randrange(-1, 5) for _ in range(n)], [rng.randrange(20) for _ in range(n)]
+        assert packing.best_fit(lengths, sources, clusters, 100) == brute_best_fit(lengths, sources, clusters, 100)
+
+
+def test_packing_keeps_all_words_and_conflicts(docs):
+    got = rows_of(packing.pack(docs, capacity=100, shard_rows=10))
+    words = Counter()
+    for r in got:
+        words[r["doc_id"]] += r["n_words"]
+    want = Counter()
+    for r in rows_of(docs):
+        want[r["doc_id"]] += len((r["text"] or "").encode().split())
+    assert +words == +want and set(words) == set(want)
+    used = Counter()
+    for r in got:
+        used[r["shard"], r["bin"]] += r["n_words"]
+    assert max(used.values()) <= 100
+    source = {r["doc_id"]: r["source"] for r in rows_of(docs) if r["doc_id"] is not None and r["doc_id"] != 4}
+    pairs = Counter((r["shard"], r["bin"], source[r["doc_id"]]) for r in got if r["n_words"] < 100 and source.get(r["doc_id"]))
+    assert max(pairs.values()) == 1
+    assert packing.pack(empty(docs)).count() == 0
+
+
+# embeddings
+
+
+def test_embeddings_against_brute_force(spark):
+    rng = np.random.default_rng(4)
+    base = rng.normal(size=(12, 16))
+    x = [base[i % 12] + rng.normal(size=16) * rng.choice([0, 0.05, 0.15]) for i in range(400)]
+    rows = [(i, [float(np.float32(v)) for v in x[i]], i % 2) for i in range(400)]
+    rows += [(400, None, 0), (401, [0.0] * 16, 0), (402, [float("nan")] * 16, 0), (403, [], 1), (404, rows[0][1], None), (None, rows[0][1], 0), (405, [1.0, None], 0), (406, rows[1][1][:8], 1), (0, rows[0][1], 0)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").withColumn("node", F.lit(1))
+    got = rows_of(embedding_dups.near_duplicates(df, block=64))
+    assert len(got) == len(rows)
+    live = [(i, np.array(v), lab) for i, v, lab in rows if i is not None and lab is not None and v and all(c is not None and c == c for c in v) and any(v)]
+    n, comp = Counter(), {i: i for i, _, _ in live}
+    ok = [[a[2] == b[2] and len(a[1]) == len(b[1]) and a[1] @ b[1] / np.linalg.norm(a[1]) / np.linalg.norm(b[1]) >= 0.93 for b in live] for a in live]
+    changed = True
+    for p, a in enumerate(live):
+        n[p] = sum(ok[p]) - 1
+    while changed:
+        changed = False
+        for p, a in enumerate(live):
+            low = min(comp[b[0]] for q, b in enumerate(live) if ok[p][q])
+            if low < comp[a[0]]:
+                comp[a[0]], changed = low, True
+    want = Counter((a[0], n[p], comp[a[0]], comp[a[0]] == a[0]) for p, a in enumerate(live))
+    assert Counter((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in got if r["vec_id"] in comp) == want
+    rest = [r for r in got if r["vec_id"] not in comp]
+    assert all(r["n_links"] == 0 and r["component_id"] == r["vec_id"] and r["kept"] == (r["vec_id"] is not None) for r in rest)
+    assert embedding_dups.near_duplicates(empty(df)).count() == 0
+
+
+# language model
+
+
+def test_suffix_tree_base_and_sums(spark, docs):
+    rng = random.Random(8)
+    extra = [(100 + i, " ".join(rng.choice(["a b c", "a b d", "x y", "y a b c"]) for _ in range(60))) for i in range(60)]
+    rows = docs.select("doc_id", "text").union(spark.createDataFrame(extra, "doc_id long, text string"))
+    p = suffix_tree.Params(word_share=1e-4, pair_share=1e-3)
+    got = rows_of(suffix_tree.score(rows, p))
+    texts = [(r["doc_id"], suffix_tree.words(r["text"]) + [b""]) for r in rows_of(rows)]
+    fold = lambda i: zlib.crc32(b"" if i is None else str(i).encode()) % 5
+    c = Counter(w for i, ws in texts if fold(i) != 1 for w in ws)
+    total, distinct = sum(c.values()), len(c)
+    base = lambda ws: sum(math.log10((c[w] + 0.5) / (total + 0.5 * (distinct + 1))) for w in ws)
+    key = lambda i, h, n, k, b: (i, h, n, k, round(b, 5))
+    want = Counter(key(i, fold(i) == 1, len(ws), sum(c[w] > 0 for w in ws), base(ws)) for i, ws in texts)
+    assert Counter(key(r["doc_id"], r["held_out"], r["n_tokens"], r["n_known"], r["base_score"]) for r in got) == want
+    assert {r["train_tokens"] for r in got} == {total}
+    held = [r for r in got if r["held_out"] and (r["doc_id"] or 0) >= 100]
+    assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
+    assert suffix_tree.score(empty(rows)).count() == 0
+
+
+def test_suffix_tree_distributions_sum_to_one(spark):
+    rng = random.Random(1)
+    rows = spark.createDataFrame([(i, " ".join(rng.choice(["a b c", "z b d", "x y"]) for _ in range(40))) for i in range(30)], "doc_id long, text string").selectExpr("doc_id", "text", "true AS train")
+    p = suffix_tree.Params(word_share=1e-5, pair_share=1e-4)
+    counts = shared.written(suffix_tree.word_counts(rows.select("text", "train"), p), "words")
+    tree, ids, _ = suffix_tree.grow(rows.select("text", "train"), counts, p)
+    v = len(ids.value)
+    assert len(tree.two.keys) and v == tree.distinct
+    every = np.arange(v)
+    for h1 in range(-2, v):
+        for h2 in range(-2, v):
+            known = tree.next_probability(every, np.full(v, h1), np.full(v, h2)).sum()
+            unknown = tree.next_probability(np.array([-1]), np.array([h1]), np.array([h2]))[0] * 0.5 / (tree.total + 0.5 * (tree.distinct + 1))
+            assert abs(known + unknown - 1) < 1e-9
+
+
+# WARC
+
+
+@pytest.mark.parametrize("size", [None, "4096", "900"])
+def test_warc_round_trip(spark, size):
+    rng = random.Random(3)
+    fake = "WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:999>\r\nContent-Type: application/http\r\nContent-Length: 30\r\n\r\nHTTP/1.1 200 OK\r\n\r\n0123456789\r\n\r\n"
+    rows = []
+    for i in range(150):
+        x, k = "".join(rng.choice("abcé <>\r\n") for _ in range(rng.randrange(900))), rng.randrange(6)
+        rows.append((i, {0: x[: len(x) // 2] + fake + x, 1: fake * rng.randrange(1, 9), 2: f"WARC/1.0\r\n{x}WARC/1.0\r\n", 3: None, 4: "x" * rng.randrange(3000) + "WARC/1.0\r\n"}.get(k, x)))
+    keys = {"spark.sql.files.maxPartitionBytes": size, "spark.sql.files.openCostInBytes": "0", "spark.sql.files.minPartitionNum": "1"} if size else {}
+    for k, v in keys.items():
+        spark.conf.set(k, v)
+    try:
+        path = shared.shared_path(spark, "warc")
+        warc.write_warc(spark.createDataFrame(rows, "page_id long, html string").repartition(2), path)
+        got = {r["record_id"]: r for r in warc.read_warc(spark, path).collect()}
+    finally:
+        for k in keys:
+            spark.conf.unset(k)
+    assert len(got) == len(rows)
+    top = {}
+    for i, x in rows:
+        top[x or ""] = max(top.get(x or "", -1), i)
+    for i, x in rows:
+        r, raw = got[f"<urn:page:{i}>"], (x or "").encode()
+        assert r["payload_bytes"] == len(raw) and r["digest"] == base64.b32encode(hashlib.sha1(raw).digest()).decode()
+        if i == top[x or ""]:
+            assert r["type"] == "response" and bytes(r["payload"]) == raw
+        else:
+            assert r["type"] == "revisit" and r["refers_to"] == f"<urn:page:{top[x or '']}>"
+
+
+def test_warc_odd_rows(spark):
+    rows = spark.createDataFrame([(None, "a"), (1, "a"), (2, "b"), (2, "b"), (3, "")], "page_id long, html string")
+    path = shared.shared_path(spark, "warc")
+    warc.write_warc(rows, path)
+    got = Counter((r["record_id"], r["type"], r["refers_to"]) for r in warc.read_warc(spark, path).collect())
+    assert got == Counter({("<urn:page:>", "revisit", "<urn:page:1>"): 1, ("<urn:page:1>", "response", None): 1, ("<urn:page:2>", "response", None): 2, ("<urn:page:3>", "response", None): 1})
+    bare = shared.shared_path(spark, "warc")
+    warc.write_warc(empty(rows), bare)
+    assert warc.read_warc(spark, bare).count() == 0
+
+
+# SentencePiece
+
+
+def test_sentencepiece_equals_library(docs):
+    import sentencepiece
+
+    model = sentencepiece_codec.default_model()
+    library, c = sentencepiece.SentencePieceProcessor(model_file=model), sentencepiece_codec.Codec(sentencepiece_codec.load(model))
+    rng = random.Random(1)
+    letters = "abcdeffghé日本 ﬁ<>0A▁\n\t  the and ing"
+    for x in ["".join(rng.choice(letters) for _ in range(rng.randrange(40))) for _ in range(3000)] + [t for t in TEXTS if t]:
+        ids = c.encode(x).tolist()
+        assert ids == library.encode(x)
+        assert "▁" in x or c.decode(ids) == x
+    pieces = sentencepiece_codec.load(model)
+    got = sentencepiece_codec.encode(docs, pieces, ["doc_id"], check=True)
+    assert all(r["round_trip"] for r in rows_of(got))
+    back = Counter((r["doc_id"], r["text"]) for r in rows_of(sentencepiece_codec.decode(got, pieces, ["doc_id"])))
+    assert back == Counter((r["doc_id"], r["text"] or "") for r in rows_of(docs))
+    assert sentencepiece_codec.encode(empty(docs), pieces, ["doc_id"]).count() == 0
+
+
+def test_unigram_viterbi_is_best():
+    rng = random.Random(2)
+    names = (None, *"a b ab abc bc c ca ▁ ▁a ▁ab cab".split())
+    scores = (0.0, *(-rng.random() * 5 - 1 for _ in names[1:]))
+    c = sentencepiece_codec.Codec(sentencepiece_codec.Pieces(names, scores, (), 0, True))
+    for _ in range(500):
+        text = "".join(rng.choice("abcxx ") for _ in range(rng.randrange(1, 12)))
+        marked = "▁" + text.replace(" ", "▁")
+        best = [0.0] + [-1e9] * len(marked)
+        for e in range(1, len(marked) + 1):
+            for s in range(e):
+                x = marked[s:e]
+                step = scores[c.ids[x]] if x in c.ids else c.low if e == s + 1 else -1e9
+                best[e] = max(best[e], best[s] + step)
+        assert abs(sum(scores[i] if i else c.low for i in c.encode(text)) - best[-1]) < 1e-9
+
+
+# HTML
+
+PAGE = (
+    '<!DOCTYPE html><html><head><title>T</title><script>var t="</p><article>";</script></head><body><nav><ul><li><a href="/">Home</a></ul></nav><div class="cookie-notice">Wij gebruiken koekjes</div>'
+    '<header>Kop</header><main><article><h1>Titel {n} &amp; meer</h1><p>Eerste <b>alinea</b>\n  met&nbsp;tekst {n}.<p>Tweede, <a href="x">link</a>.{items}</article><section id="comments"><p>Reactie</p></section></main>'
+    '<aside><p>Zijkant</p></aside><form><p>Vul in</p></form><footer>&copy; 2024</footer></body></html>'
+)
+
+
+def page(n):
+    return PAGE.format(n=n, items="<ul>" + "".join(f"<li>Punt {k}</li>" for k in range(n)) + "</ul>" if n else "")
+
+
+def wanted(n):
+    return "\n\n".join([f"Titel {n} & meer", f"Eerste alinea met tekst {n}.", "Tweede, link.", *(f"Punt {k}" for k in range(n))])
+
+
+def test_html_wrapper_and_fallback(spark):
+    rows = [(i, f"https://a.example/{i}", page(i % 5)) for i in range(12)]
+    rows += [(50, "https://b.example/x", "<p>Los</p><p>stuk <i>tekst</i></p>"), (51, None, None), (52, "geen url", ""), (None, "https://a.example/z", page(2)), (3, "https://a.example/3", page(3)), (53, "https://c.example/", "<div>open <p>een<p>twee" * 2000)]
+    got = rows_of(html_extraction.extract(spark.createDataFrame(rows, "page_id long, url string, html string")))
+    assert len(got) == len(rows)
+    for r in got:
+        if r["url"] and "a.example" in r["url"]:
+            n = 2 if r["page_id"] is None else r["page_id"] % 5
+            assert r["text"] == wanted(n)
+    by = {r["page_id"]: r["text"] for r in got}
+    assert by[50] == "Los\n\nstuk tekst" and by[51] == by[52] == "" and by[53].count("twee") == 2000
+    assert any(r["fitted"] for r in got)
+    bare = spark.createDataFrame(rows, "page_id long, url string, html string").limit(0)
+    assert html_extraction.extract(bare).count() == 0
+
+
+def test_html_wrapper_is_union_free():
+    wrapper = html_extraction.infer([page(0), page(1), page(4)])
+    kinds = set()
+
+    def walk(nodes):
+        for x in nodes:
+            kinds.add(x[0])
+            if x[0] in "?+":
+                walk(x[1])
+
+    walk(wrapper)
+    assert kinds == {"t", "#", "?", "+"}
+    assert html_extraction.read(wrapper, html_extraction.stream(page(3))) == wanted(3).split("\n\n")
+
+
+# shared
+
+
+def test_components_of_chains_and_stars(spark):
+    edges = [(i, i + 1) for i in range(60)] + [(200, 200 + i) for i in range(1, 40)] + [(7, 7), (300, 301)]
+    got = {r["node"]: r["component"] for r in rows_of(shared.components(spark.createDataFrame(edges, "a long, b long")))}
+    assert got == {i: 0 for i in range(61)} | {200 + i: 200 for i in range(40)} | {300: 300, 301: 300}
+    assert shared.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_pipeline_stages(spark):
+    d = "/root/testdata/sf0.001"
+    documents = shared.table(spark, d, "documents")
+    docs = documents
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = shared.written(stage(spark, docs, d), name)
+        assert out.columns == documents.columns
+        assert out.select("doc_id").subtract(docs.select("doc_id")).isEmpty()
+        docs = out
+    assert sum(r["n_words"] for r in rows_of(corpus_pipeline.packed(spark, docs, d))) == sum(len(r["text"].encode().split()) for r in rows_of(docs))
+    assert not re.search(BASE[0][1], " ".join(r["text"] for r in rows_of(docs)))
