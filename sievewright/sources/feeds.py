@@ -81,7 +81,7 @@ def article_fields(text: Column) -> dict[str, Column]:
 
 def articles(spark: SparkSession, path: str) -> DataFrame:
     """Articles of a folder of markdown files that have a title."""
-    rows = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_name").alias("file"), "value")
+    rows = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), "value")
     return rows.select("file", *[c.alias(n) for n, c in article_fields(F.col("value")).items()]).where("title IS NOT NULL")
 
 

@@ -34,7 +34,7 @@ def decode(c: Column) -> Column:
     """Character references decoded once: whatever gives an ampersand comes last."""
     numbers = F.array_distinct(F.regexp_extract_all(c, F.lit(r"(?i)&#(x[0-9a-f]{1,6}|[0-9]{1,7});"), F.lit(1)))
     code = lambda n: F.when(F.lower(n).startswith("x"), F.conv(F.substring(n, 2, 8), 16, 10)).otherwise(n).cast("int")
-    char = lambda n: F.when(code(n) == 160, " ").otherwise(F.decode(F.unhex(F.lpad(F.hex(code(n)), 8, "0")), "UTF-32BE"))
+    char = lambda n: F.when(code(n) == 160, " ").otherwise(F.decode(F.unhex(F.lpad(F.hex(code(n)), 8, "0")), "UTF-32"))
     valid = F.filter(numbers, lambda n: (code(n) > 0) & (code(n) <= 0x10FFFF) & (code(n) != 38))
     out = F.aggregate(valid, c, lambda acc, n: F.replace(acc, F.concat(F.lit("&#"), n, F.lit(";")), char(n)))
     out = F.when(F.instr(c, "&") > 0, reduce(lambda a, e: F.replace(a, F.lit(f"&{e[0]};"), F.lit(e[1])), ENTITIES.items(), out)).otherwise(c)
