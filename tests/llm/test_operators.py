@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from sievewright.llm import embedding_dups, html_extraction, packing, pii, quality_classifier, quality_rules, sentencepiece_codec, shared, simhash, suffix_tree, warc
+from sievewright.llm import embedding_dups, html_extraction, packing, pii, quality_classifier, quality_rules, sentencepiece_codec, shared, simhash, suffix_tree, warc, wide_simhash
 
 random.seed(5)
 WORDS = ["the", "er", "tion", "and", "of", "heit", "ción", "éaux", "an", "in", "st", "nd"]
@@ -168,6 +168,51 @@ def test_near_duplicates_and_keep_one(docs):
     assert simhash.keep_one(empty(docs)).count() == 0
 
 
+def copies(seed, n, words, changes):
+    """Texts and copies of them with some words changed."""
+    rng = random.Random(seed)
+    out = []
+    for _ in range(n):
+        base = [f"{rng.choice(WORDS)}{rng.randrange(5000)}" for _ in range(words)]
+        out.append(base)
+        for c in changes:
+            other = base[:]
+            for k in rng.sample(range(words), c):
+                other[k] = f"anders{rng.randrange(5000)}"
+            out.append(other)
+    return [" ".join(x) for x in out]
+
+
+def test_wide_fingerprints_tell_similarity(spark):
+    texts = copies(1, 25, 250, [1, 3, 5, 40]) + ["", "kort", "KORT"]
+    sets = [frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) for w in (t.lower().split() for t in texts)]
+    want, parent = {}, list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.8:
+                parent[i] = min(parent[i], parent[j])
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(None, "x"), (3, texts[3])], "doc_id long, text string")
+    got = [(r["doc_id"], r["component_id"]) for r in rows_of(wide_simhash.near_duplicates(df))]
+    assert len(got) == len(texts) + 1
+    want = {i: parent[i] for i in range(len(texts))}
+    assert sum(want[i] != c for i, c in got) <= 1  # one pair at the limit may go either way
+
+
+def test_crowded_segments_change_nothing(spark):
+    texts = copies(2, 6, 200, [1, 2] * 12)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    plain = {r["doc_id"]: r["component_id"] for r in rows_of(wide_simhash.near_duplicates(df))}
+    crowded = {r["doc_id"]: r["component_id"] for r in rows_of(wide_simhash.near_duplicates(df, block=10))}
+    assert plain == crowded == {i: i // 25 * 25 for i in range(len(texts))}
+
+
+def test_wide_keep_one(docs):
+    kept = rows_of(wide_simhash.keep_one(docs))
+    assert sum(r["doc_id"] == 4 for r in kept) == 1 and sum(r["doc_id"] is None for r in kept) == 2
+    assert sum(r["doc_id"] in (0, 1, 2) for r in kept) == 1
+    assert wide_simhash.keep_one(empty(docs)).count() == 0
+
+
 # personal data
 
 BASE = [("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), ("card", r"[0-9]([\x20-]?[0-9])+"), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]")]
