@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("pages", "text", "classify", "store", "overlap", "select", "validate", "retrieve", "calendar", "facets", "limits", "logs", "audit", "scans")
+MODULES = ("pages", "text", "classify", "store", "overlap", "select", "validate", "retrieve", "calendar", "facets", "limits", "logs", "audit", "scans", "chains")
 
 
 def registered() -> tuple[dict, dict]:
