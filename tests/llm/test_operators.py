@@ -493,6 +493,16 @@ def test_html_wrapper_and_fallback(spark):
     assert html_extraction.extract(bare).count() == 0
 
 
+@pytest.mark.parametrize("html,text", [
+    ('<body class="has-sidebar"><div id="page-with-menu"><div class="menu">x</div><article><p>tekst</p><div class="share">deel</div></article></div></body>', "tekst"),
+    ('<div id="content"><h1>Kop</h1><p>een lange alinea</p></div><div class="sidebar"><p>zij</p></div><div class="comments"><p>reactie</p></div>', "Kop\n\neen lange alinea"),
+    ('<article><header><h1>Kop</h1></header><p>a<br>b &lt;c&gt;</p><aside>zij</aside><div hidden>weg</div><div style="display: none">weg</div></article><!-- <p>weg</p> -->', "Kop\n\na b <c>"),
+    ("<p>a</p", "a"), ("<script>if (a < b) x()", ""), ("&eacute;&#233;&amp;amp;", "éé&amp;"),
+])
+def test_html_places(html, text):
+    assert html_extraction.main_text(html, None)[0] == text
+
+
 def test_html_wrapper_is_union_free():
     wrapper = html_extraction.infer([page(0), page(1), page(4)])
     kinds = set()
