@@ -54,7 +54,7 @@ def front_matter(spark, d):
     return rows.select("doc_id", *[c.alias(n) for n, c in f.items()]).where("title IS NOT NULL")
 
 
-FRONT_SQL = f"SELECT doc_id, nullif({_T}, '') AS title, source AS category, NULL AS source_url FROM documents WHERE {_T} <> ''"
+FRONT_SQL = f"SELECT doc_id, nullif({_T}, '') AS title, source AS category, NULL::VARCHAR AS source_url FROM documents WHERE {_T} <> ''"
 
 
 def proposals(spark, d):
