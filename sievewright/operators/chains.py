@@ -32,11 +32,12 @@ def newest_first(updated: Column, *ties: str) -> list[Column]:
     return [F.coalesce(updated.cast("timestamp"), F.lit("1970-01-01").cast("timestamp")).desc(), *map(F.col, ties)]
 
 
-def url_funnel(urls: DataFrame, known: DataFrame, rules: Rules, hubs: tuple[str, ...], depth: int = 2) -> DataFrame:
+def url_funnel(urls: DataFrame, known: DataFrame, rules: Rules, hubs: tuple[str, ...], depth: int = 2, most: int = 1000) -> DataFrame:
     """Adds ``stage`` and, for candidates, ``tier`` and ``place`` to rows of loc, lastmod, ord, text.
 
     In this order: repeated key, hub, wrong depth, no relevance, already known, candidate. Candidates are
-    placed by tier, then newest first. Everything is decided before any page is read.
+    placed by tier, then newest first, the first ``most`` of them: a run reads no more. Everything is
+    decided before any page is read.
     """
     key = X.url_key(F.col("loc"))
     rows = urls.withColumn("url_key", key).withColumn("_r", F.row_number().over(Window.partitionBy("url_key").orderBy(*newest_first(F.col("lastmod"), "ord"))))
@@ -48,9 +49,9 @@ def url_funnel(urls: DataFrame, known: DataFrame, rules: Rules, hubs: tuple[str,
         (F.col("tier") == "afgewezen", "niet relevant"), (F.col("_known").isNotNull(), "bekend"),
     ], "kandidaat")
     rows = rows.withColumn("stage", stage)
-    order = [F.when(F.col("stage") == "kandidaat", 0).otherwise(1), F.when(F.col("tier") == "hoog", 0).otherwise(1), *newest_first(F.col("lastmod"), "ord")]
-    # candidates are what a run may read: few; their place needs one order over all of them
-    placed = rows.where("stage = 'kandidaat'").withColumn("place", F.row_number().over(Window.orderBy(*order))).select("ord", "place")
+    order = [F.when(F.col("tier") == "hoog", 0).otherwise(1), *newest_first(F.col("lastmod"), "ord")]
+    top = rows.where("stage = 'kandidaat'").orderBy(*order).limit(most)
+    placed = top.withColumn("place", F.row_number().over(Window.orderBy(*order))).select("ord", "place")
     return rows.join(placed, "ord", "left").drop("_r", "_known")
 
 

@@ -45,12 +45,15 @@ def top(scored: DataFrame, items: DataFrame, most: int = 3, least: int = LEAST,
 
 
 def histories(turns: DataFrame) -> DataFrame:
-    """Each user turn with the one before it, all before it, and the last eight messages, cut to 600 characters."""
+    """Each user turn with the one before it, and of the last eight messages those of the user and all, cut to 600 characters.
+
+    Frames are bounded, so a conversation of any length costs its turns, not their square.
+    """
     w = Window.partitionBy("conv_id").orderBy("turn")
     before = w.rowsBetween(Window.unboundedPreceding, -1)
     said = F.when(F.col("role") == "user", F.col("text"))
     recent = F.array_join(F.transform(F.collect_list(F.col("text")).over(w.rowsBetween(-8, -1)), lambda t: F.substring(t, 1, 600)), "\n")
-    out = turns.withColumns({"previous": F.last(said, ignorenulls=True).over(before), "history": F.array_join(F.filter(F.collect_list(said).over(before), lambda t: F.trim(t) != ""), " "), "recent": recent})
+    out = turns.withColumns({"previous": F.last(said, ignorenulls=True).over(before), "history": F.array_join(F.filter(F.collect_list(said).over(w.rowsBetween(-8, -1)), lambda t: F.trim(t) != ""), " "), "recent": recent})
     return out.where("role = 'user'").withColumn("qid", F.concat_ws("-", "conv_id", "turn"))
 
 
