@@ -206,6 +206,19 @@ def test_crowded_segments_change_nothing(spark):
     assert plain == crowded == {i: i // 25 * 25 for i in range(len(texts))}
 
 
+@pytest.mark.parametrize("texts", [10, 3 * 10**6, 10**8, 10**10])
+def test_longer_segments_find_as_many(texts):
+    ring, rng = wide_simhash.Ring.of(texts, 0.8), np.random.default_rng(1)
+    assert ring.segments * ring.bits <= ring.size
+    share, found = 0.1515, 0
+    for _ in range(60):
+        a = rng.integers(0, 256, ring.size // 8, dtype=np.uint8)
+        b = a ^ np.packbits(rng.random(ring.size) < share)
+        (x, y), (p, q) = (wide_simhash.segments(np.stack([a, b]), ring))
+        found += bool(((x == y) & wide_simhash.chained(p, q, ring)).any())
+    assert found >= 57
+
+
 def test_wide_keep_one(docs):
     kept = rows_of(wide_simhash.keep_one(docs))
     assert sum(r["doc_id"] == 4 for r in kept) == 1 and sum(r["doc_id"] is None for r in kept) == 2
