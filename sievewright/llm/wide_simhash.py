@@ -14,8 +14,11 @@ texts take 113 segments of 18 bits; work per text grows with the number of texts
 a quarter, up to segments of 31 bits.
 
 Equal fingerprints are one node. Nodes that share a segment meet in sorted runs; a run of over ``block``
-nodes is compared by pairs of blocks instead, each a group of its own. A task returns, per node, links
-to smaller nodes only, for long runs the smallest alone.
+nodes is compared by pairs of blocks instead, each a group of its own. A task returns all pairs whose
+chain holds, as long as they are few for the run's nodes. Of a dense run, as copies by the thousand make,
+it first returns each node's smallest partner. Once these links have made components, every pair of a
+dense run that is still apart is checked on all bits inside a task, which returns the smallest node that
+each node reaches. So all pairs count and no rows grow with the square of a group.
 
 Defined cases: as in ``simhash``; a text of fewer words than a shingle is one shingle, texts without
 words are alike.
@@ -37,6 +40,9 @@ from sievewright.llm.shared import components, per_row, written
 from sievewright.llm.simhash import groups
 
 SHORT = 8
+#: Chained pairs a node of a cell, up to which all go out as rows.
+FEW = 4
+BLOCKS = ["cell", "lo", "hi"]
 
 
 @dataclass(frozen=True)
@@ -131,18 +137,32 @@ def chained(a: np.ndarray, b: np.ndarray, ring: Ring) -> np.ndarray:
     return ok
 
 
-def _smallest(node: np.ndarray, ahead: np.ndarray, other: np.ndarray, other_ahead: np.ndarray, ring: Ring) -> tuple[list, list]:
-    """(a, b) with the smallest linked node b of ``other`` for each node a that has a smaller one."""
+def _smallest(node: np.ndarray, ahead: np.ndarray, ring: Ring) -> tuple[list, list]:
+    """(a, b) with the smallest chained node b for each node a that has a smaller one."""
     a, b = [], []
     for at in range(0, len(node), 256):
         part = node[at : at + 256]
-        low = np.where(chained(ahead[at : at + 256, None], other_ahead[None, :], ring), other[None, :], np.iinfo(np.int64).max).min(1)
+        low = np.where(chained(ahead[at : at + 256, None], ahead[None, :], ring), node[None, :], np.iinfo(np.int64).max).min(1)
         less = low < part
         a.append(part[less])
         b.append(low[less])
     return a, b
 
 
+def _chains(node: np.ndarray, ahead: np.ndarray, ring: Ring) -> tuple[list, list] | None:
+    """All chained pairs (a, b), b < a, or None if there are more than FEW a node."""
+    a, b, n = [], [], 0
+    for at in range(0, len(node), 256):
+        i, j = np.nonzero(chained(ahead[at : at + 256, None], ahead[None, at:], ring))
+        i, j = i[i < j] + at, j[i < j] + at
+        n += len(i)
+        if n > FEW * len(node):
+            return None
+        a.append(np.maximum(node[i], node[j]))
+        b.append(np.minimum(node[i], node[j]))
+    return a, b
+
+
 def _cells(nodes: DataFrame, ring: Ring) -> DataFrame:
     """(cell, ahead, node): a row per node and segment."""
 
@@ -158,8 +178,12 @@ def _cells(nodes: DataFrame, ring: Ring) -> DataFrame:
     return nodes.mapInArrow(run, "cell bigint, ahead bigint, node bigint")
 
 
-def candidates(nodes: DataFrame, ring: Ring, block: int = 4096) -> DataFrame:
-    """(a, b), b < a: pairs of nodes that share a segment and keep to the chain's budgets."""
+def candidates(nodes: DataFrame, ring: Ring, block: int = 4096) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b), b < a, of nodes that share a segment and keep to the chain's budgets, and the dense cells.
+
+    All such pairs of a cell, but of a cell with more than FEW a node only the smallest partner of each:
+    these cells are dense, (cell, ahead, node) per row, and what they still hold is found by ``rest``.
+    """
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
@@ -185,34 +209,88 @@ def candidates(nodes: DataFrame, ring: Ring, block: int = 4096) -> DataFrame:
             a.append(np.maximum(node[i], node[i + d]))
             b.append(np.minimum(node[i], node[i + d]))
         for at, n in zip(starts[size > SHORT], size[size > SHORT]):
+            some = slice(at, at + n)
             if n > block:
-                a.append(np.array([-1]))  # for the second pass
-                b.append(cell[at : at + 1])
+                p, q = [np.array([-2])], [cell[at : at + 1]]  # for passes of its own
+            elif (all_pairs := _chains(node[some], ahead[some], ring)) is not None:
+                p, q = all_pairs
             else:
-                p, q = _smallest(node[at : at + n], ahead[at : at + n], node[at : at + n], ahead[at : at + n], ring)
-                a += p
-                b += q
+                p, q = _smallest(node[some], ahead[some], ring)
+                p, q = [np.array([-1]), *p], [cell[at : at + 1], *q]
+            a += p
+            b += q
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
 
     found = written(_cells(nodes, ring).repartition("cell").sortWithinPartitions("cell").mapInArrow(compare, "a bigint, b bigint"), "pairs")
     near = found.where("a >= 0")
-    crowded = found.where("a < 0").select(F.col("b").alias("cell"))
-    if crowded.isEmpty():
-        return near.distinct()
-    rows = written(_cells(nodes, ring).join(crowded, "cell"), "crowded")
-    counts = rows.groupBy("cell").agg(F.ceil(F.count("*") / (block // 2)).cast("bigint").alias("g"))
-    mine = rows.join(counts, "cell").withColumn("k", F.pmod(F.xxhash64("node"), F.col("g")))
-    partner = F.explode(F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("g") - 1), lambda j: F.struct(F.least("k", j).alias("lo"), F.greatest("k", j).alias("hi"))))
-    dealt = mine.select("cell", partner.alias("p"), "ahead", "node").select("cell", "p.lo", "p.hi", "ahead", "node")
+    marked = found.where("a < 0").select(F.col("b").alias("cell"), (F.col("a") == -2).alias("crowded"))
+    if marked.isEmpty():
+        return near.distinct(), None
+    dense = written(_cells(nodes, ring).join(marked, "cell"), "dense")
 
     def crowd(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, ahead, node in groups(batches, ["cell", "lo", "hi"], ["ahead", "node"]):
-            a, b = _smallest(node, ahead, node, ahead, ring)
+        for _, ahead, node in groups(batches, BLOCKS, ["ahead", "node"]):
+            a, b = _smallest(node, ahead, ring)
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
 
-    key = ["cell", "lo", "hi"]
-    more = dealt.repartition(*key).sortWithinPartitions(*key).mapInArrow(crowd, "a bigint, b bigint")
-    return near.union(more).distinct()
+    more = _dealt(dense.where("crowded"), block).select(*BLOCKS, "ahead", "node")
+    more = more.repartition(*BLOCKS).sortWithinPartitions(*BLOCKS).mapInArrow(crowd, "a bigint, b bigint")
+    return near.union(more).distinct(), dense
+
+
+def _dealt(rows: DataFrame, block: int) -> DataFrame:
+    """Rows with ``lo`` and ``hi``: a cell of more than ``block`` rows by pairs of its blocks, any other as one."""
+    counts = rows.groupBy("cell").agg(F.count("*").alias("n")).select("cell", F.when(F.col("n") > block, F.ceil(F.col("n") / (block // 2))).otherwise(1).cast("bigint").alias("g"))
+    mine = rows.join(counts, "cell").withColumn("k", F.pmod(F.xxhash64("node"), F.col("g")))
+    partner = F.explode(F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("g") - 1), lambda j: F.struct(F.least("k", j).alias("lo"), F.greatest("k", j).alias("hi"))))
+    return mine.withColumn("p", partner).select(*rows.columns, "p.lo", "p.hi")
+
+
+def rest(dense: DataFrame, parts: DataFrame, nodes: DataFrame, ring: Ring, block: int = 4096) -> DataFrame:
+    """Star edges (a, b) for all verified pairs of dense cells that ``parts``, the components so far, leave apart.
+
+    Nodes with a chained partner of another component get their fingerprints; all their pairs are
+    checked inside the task, and only the smallest node that each reaches leaves it.
+    """
+    named = dense.join(parts, "node", "left").select("cell", "ahead", "node", F.coalesce("component", "node").alias("part"))
+
+    def apart(ahead: np.ndarray, part: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for at in range(0, len(part), 256):
+            i, j = np.nonzero(chained(ahead[at : at + 256, None], ahead[None, at:], ring) & (part[at : at + 256, None] != part[None, at:]))
+            yield i[i < j] + at, j[i < j] + at
+
+    def open_ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, ahead, node, part in groups(batches, BLOCKS, ["ahead", "node", "part"]):
+            if (part == part[0]).all():
+                continue
+            open_ = np.zeros(len(node), bool)
+            for i, j in apart(ahead, part):
+                open_[i] = open_[j] = True
+            n = int(open_.sum())
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, k)) for k in key] + [pa.array(x[open_]) for x in (ahead, node, part)], names=[*BLOCKS, "ahead", "node", "part"])
+
+    used = np.packbits(np.arange(ring.size) < ring.used).view(np.uint64)
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, ahead, node, part, wide in groups(batches, BLOCKS, ["ahead", "node", "part", "wide"]):
+            bits = np.frombuffer(b"".join(wide), np.uint64).reshape(len(node), -1) & used
+            linked = np.eye(len(node), dtype=bool)
+            for i, j in apart(ahead, part):
+                for at in range(0, len(i), 1 << 14):
+                    p, q = i[at : at + (1 << 14)], j[at : at + (1 << 14)]
+                    near = np.bitwise_count(bits[p] ^ bits[q]).sum(1, dtype=np.int64) <= ring.most
+                    linked[p[near], q[near]] = linked[q[near], p[near]] = True
+            low, before = node, None
+            while before is None or (low != before).any():
+                before = low
+                low = np.concatenate([np.where(linked[at : at + 256], before, np.iinfo(np.int64).max).min(1) for at in range(0, len(node), 256)])
+            less = low < node
+            yield pa.RecordBatch.from_arrays([pa.array(node[less]), pa.array(low[less])], names=["a", "b"])
+
+    rows = _dealt(named, block).select(*BLOCKS, "ahead", "node", "part").repartition(*BLOCKS).sortWithinPartitions(*BLOCKS)
+    ends = written(rows.mapInArrow(open_ends, "cell bigint, lo bigint, hi bigint, ahead bigint, node bigint, part bigint"), "open")
+    full = ends.join(nodes, "node").select(*BLOCKS, "ahead", "node", "part", "wide")
+    return full.repartition(*BLOCKS).sortWithinPartitions(*BLOCKS).mapInArrow(check, "a bigint, b bigint")
 
 
 def verified(pairs: DataFrame, nodes: DataFrame, ring: Ring) -> DataFrame:
@@ -228,13 +306,24 @@ def verified(pairs: DataFrame, nodes: DataFrame, ring: Ring) -> DataFrame:
     return both.mapInArrow(run, "a bigint, b bigint")
 
 
+def linked(nodes: DataFrame, ring: Ring, block: int = 4096) -> DataFrame:
+    """(node, component) over all chained pairs that are within the limit."""
+    pairs, dense = candidates(nodes, ring, block)
+    links = verified(pairs, nodes, ring)
+    if dense is None:
+        return components(links)
+    links = written(links, "links")
+    more = written(rest(dense, components(links), nodes, ring, block), "rest")
+    return components(links) if more.isEmpty() else components(links.union(more))
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, least: float = 0.8, block: int = 4096) -> DataFrame:
     """(doc_id, component_id) per row with an id: the smallest id that links of ``least`` similarity reach."""
     ring = Ring.of(docs.count(), least)
     rows = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = written(per_row(rows, ["doc_id"], "wide binary", lambda texts: {"wide": _binary(fingerprints(texts, words, ring.size))}), "wide")
     nodes = written(rows.groupBy("wide").agg(F.min("doc_id").alias("node")), "nodes")
-    parts = components(verified(candidates(nodes, ring, block), nodes, ring))
+    parts = linked(nodes, ring, block)
     named = written(nodes.join(parts, "node", "left").select("wide", F.coalesce("component", "node").alias("component_id")), "named")
     return rows.join(named, "wide").select("doc_id", "component_id")
 

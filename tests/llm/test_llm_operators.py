@@ -219,6 +219,38 @@ def test_longer_segments_find_as_many(texts):
     assert found >= 57
 
 
+def shared_segment(ring, decoys, at):
+    """Fingerprints that share segment ``at`` and its chain: decoys alike in nothing else, then b1, b2 and a, where a is near both and they are not near each other."""
+    rng = np.random.default_rng(decoys + at)
+    a = rng.integers(0, 2, ring.size, dtype=np.uint8)
+    keep = np.isin(np.arange(ring.size) // ring.bits, [(at + k) % ring.segments for k in range(4)])
+    away = rng.permutation([s for s in range(ring.segments) if not keep[s * ring.bits]])
+    b1, b2 = a.copy(), a.copy()
+    for s in away:  # no other segment is equal
+        b1[[s * ring.bits, s * ring.bits + 1]] ^= 1
+        b2[[s * ring.bits + 2, s * ring.bits + 3]] ^= 1
+    others = [np.where(keep, a, rng.integers(0, 2, ring.size, dtype=np.uint8)) for _ in range(decoys)]
+    return [np.packbits(x) for x in [*others, b1, b2, a]]
+
+
+@pytest.mark.parametrize("block", [4096, 10])
+def test_wide_links_behind_smaller_nodes(spark, block):
+    ring = wide_simhash.Ring.of(1000, 0.8)
+    fps = np.stack([x for k, n in enumerate([0, 6, 9, 14, 40]) for x in shared_segment(ring, n, 7 * k)])
+    cell, ahead = wide_simhash.segments(fps, ring)
+    want = list(range(len(fps)))
+    for i in range(len(fps)):
+        for j in range(i):
+            near = np.unpackbits(fps[i] ^ fps[j])[: ring.used].sum() <= ring.most
+            if near and ((cell[i] == cell[j]) & wide_simhash.chained(ahead[i], ahead[j], ring)).any():
+                low, high = sorted((want[i], want[j]))
+                want = [low if x == high else x for x in want]
+    assert sum(i != c for i, c in enumerate(want)) == 10  # two links in each of five groups
+    nodes = spark.createDataFrame([(i, x.tobytes()) for i, x in enumerate(fps)], "node long, wide binary")
+    found = {r["node"]: r["component"] for r in rows_of(wide_simhash.linked(nodes, ring, block))}
+    assert [found.get(i, i) for i in range(len(fps))] == want
+
+
 def test_wide_keep_one(docs):
     kept = rows_of(wide_simhash.keep_one(docs))
     assert sum(r["doc_id"] == 4 for r in kept) == 1 and sum(r["doc_id"] is None for r in kept) == 2
