@@ -22,7 +22,7 @@ all of whose ids are null gets a null ``component_id``.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import repeat
+from itertools import islice, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -41,8 +41,9 @@ def fingerprint(text: str, words: int = 3) -> int:
     if not w:
         return 0
     shingles = map(b" ".join, zip(*(w[k:] for k in range(words)))) if len(w) >= words else iter([b" ".join(w)])
+    hashes = map(xxhash.xxh64_intdigest, shingles, repeat(SEED))
     bits, n = np.zeros(64, np.int64), 0
-    while len(h := np.fromiter((x for x, _ in zip(map(xxhash.xxh64_intdigest, shingles, repeat(SEED)), range(CHUNK))), "<u8")):
+    while len(h := np.fromiter(islice(hashes, CHUNK), "<u8")):
         bits += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
         n += len(h)
         if len(h) < CHUNK:

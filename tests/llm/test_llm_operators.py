@@ -142,6 +142,19 @@ def test_simhash_fingerprints(docs):
     assert Counter((r["doc_id"], r["fp"] & (1 << 64) - 1) for r in got) == want
 
 
+@pytest.mark.parametrize("seed", [0, 15])
+def test_simhash_of_very_long_texts(seed):
+    text = " ".join(f"w{seed}x{i}" for i in range(140_000))
+    assert simhash.fingerprint(text) == brute_fingerprint(text)
+
+
+@pytest.mark.parametrize("chunk", [1, 4, 7, 298])
+def test_simhash_chunks_drop_nothing(monkeypatch, chunk):
+    monkeypatch.setattr(simhash, "CHUNK", chunk)
+    text = " ".join(f"w{i}" for i in range(300))
+    assert simhash.fingerprint(text) == brute_fingerprint(text)
+
+
 @pytest.mark.parametrize("most,block", [(2, 1024), (2, 16), (3, 40)])
 def test_pigeonring_loses_no_link(spark, most, block):
     rng = random.Random(most * block)
