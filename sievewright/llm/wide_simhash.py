@@ -5,15 +5,16 @@ set of word shingles is summed into signed buckets, mixed by a random-sign Hadam
 signs are its fingerprint: two texts differ in about ``acos(cosine) / pi`` of the bits. The ring is cut
 into segments. A pair at the limit has several segments on which it is equal (about six), so about one
 pair in 200 has none that also passes the chain; from there the next three segments are held against
-budgets in proportion, which leaves almost no chance pairs, and those left are checked on all bits.
-Limits lie one and a half standard deviations above the expected distance.
+budgets in proportion, which leaves almost no chance pairs. The chain's budgets lie one and a half
+standard deviations above the expected distance. All bits are a filter, five deviations wide; what it
+leaves is decided by the Jaccard similarity of the two sets of shingles, so no pair below the limit links.
 
 Segments lengthen with the logarithm of the number of texts, so that as few texts share one by chance at
 every size, and there are as many as keep the share of pairs found: ``Ring.of``. At 0.8, some 2 million
 texts take 113 segments of 18 bits; work per text grows with the number of texts to the power of about
 a quarter, up to segments of 31 bits.
 
-Equal fingerprints are one node. Nodes that share a segment meet in sorted runs; a run of over ``block``
+Equal sets of shingles are one node. Nodes that share a segment meet in sorted runs; a run of over ``block``
 nodes is compared by pairs of blocks instead, each a group of its own. A task returns all pairs whose
 chain holds, as long as they are few for the run's nodes. Of a dense run, as copies by the thousand make,
 it first returns each node's smallest partner. Once these links have made components, every pair of a
@@ -75,24 +76,46 @@ class Ring:
 
     @property
     def most(self) -> int:
+        """For the budgets of chains."""
+        return self._limit(1.5)
+
+    @property
+    def far(self) -> int:
+        """No pair at the limit is likely to differ in more bits."""
+        return self._limit(5)
+
+    def _limit(self, deviations: float) -> int:
         share = math.acos(2 * self.least / (1 + self.least)) / math.pi
-        return int(self.used * share + 1.5 * math.sqrt(self.used * share * (1 - share)))
+        return int(self.used * share + deviations * math.sqrt(self.used * share * (1 - share)))
 
 
 _POWERS = [np.uint64(pow(0x9E3779B97F4A7C15, k + 1, 1 << 64)) for k in range(64)]
 
 
-def buckets(text: str, words: int, size: int) -> np.ndarray:
-    """The set of shingles as signed sums in ``size`` buckets; weights vary a little, so that sums seldom are zero."""
+def shingles(text: str, words: int) -> np.ndarray:
+    """The set of the text's shingles as sorted hashes."""
     w = text.encode("utf-8", "surrogatepass").lower().split()
     if not w:
-        return np.zeros(size, np.float32)
+        return np.zeros(0, np.uint64)
     one = np.fromiter(map(xxhash.xxh64_intdigest, w), np.uint64, len(w))
     k = min(words, len(w))
     h = np.zeros(len(w) - k + 1, np.uint64)
     for i in range(k):
         h += one[i : i + len(h)] * _POWERS[i]
-    h = np.unique(h)
+    return np.unique(h)
+
+
+def similar(x: bytes, y: bytes, least: float) -> bool:
+    """Whether two sets of ``shingles`` have a Jaccard similarity of ``least`` at the least."""
+    a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+    if min(len(a), len(b)) < least * max(len(a), len(b)):
+        return False
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both >= least * (len(a) + len(b) - both) if len(a) else True
+
+
+def buckets(h: np.ndarray, size: int) -> np.ndarray:
+    """The set of shingles as signed sums in ``size`` buckets; weights vary a little, so that sums seldom are zero."""
     for shift in (29, 32):
         h = (h ^ (h >> np.uint64(shift))) * _POWERS[7]
     h ^= h >> np.uint64(31)
@@ -100,20 +123,22 @@ def buckets(text: str, words: int, size: int) -> np.ndarray:
     return np.bincount((h & np.uint64(size - 1)).astype(np.int64), weight, size).astype(np.float32)
 
 
-def fingerprints(texts: list[str], words: int, size: int = 2048) -> np.ndarray:
-    """Rows of ``size`` bits, packed in bytes."""
+def fingerprints(texts: list[str], words: int, size: int = 2048) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of ``size`` bits, packed in bytes, and a hash of each set of shingles."""
     signs = np.where(np.random.default_rng(size).random(size) < 0.5, -1, 1).astype(np.float32)
-    out = np.zeros((len(texts), size // 8), np.uint8)
+    out, sig = np.zeros((len(texts), size // 8), np.uint8), np.zeros(len(texts), np.uint64)
     some = max(1, (1 << 17) // size)
     for at in range(0, len(texts), some):
-        x = np.stack([buckets(t, words, size) for t in texts[at : at + some]]) * signs
+        sets = [shingles(t, words) for t in texts[at : at + some]]
+        sig[at : at + some] = [xxhash.xxh64_intdigest(h.tobytes()) for h in sets]
+        x = np.stack([buckets(h, size) for h in sets]) * signs
         step = 1
         while step < size:
             pairs = x.reshape(len(x), -1, 2, step)
             x = np.concatenate([pairs[:, :, :1] + pairs[:, :, 1:], pairs[:, :, :1] - pairs[:, :, 1:]], axis=2).reshape(len(x), size)
             step *= 2
         out[at : at + some] = np.packbits(x > 0, axis=1)
-    return out
+    return out, sig.view(np.int64)
 
 
 def _binary(rows: np.ndarray) -> pa.Array:
@@ -246,11 +271,11 @@ def _dealt(rows: DataFrame, block: int) -> DataFrame:
     return mine.withColumn("p", partner).select(*rows.columns, "p.lo", "p.hi")
 
 
-def rest(dense: DataFrame, parts: DataFrame, nodes: DataFrame, ring: Ring, block: int = 4096) -> DataFrame:
+def rest(dense: DataFrame, parts: DataFrame, nodes: DataFrame, ring: Ring, block: int = 4096, docs: DataFrame | None = None, words: int = 5) -> DataFrame:
     """Star edges (a, b) for all verified pairs of dense cells that ``parts``, the components so far, leave apart.
 
-    Nodes with a chained partner of another component get their fingerprints; all their pairs are
-    checked inside the task, and only the smallest node that each reaches leaves it.
+    Nodes with a chained partner of another component get their fingerprints and sets; their pairs are
+    checked inside the task, and only the smallest component that each component reaches leaves it.
     """
     named = dense.join(parts, "node", "left").select("cell", "ahead", "node", F.coalesce("component", "node").alias("part"))
 
@@ -272,48 +297,79 @@ def rest(dense: DataFrame, parts: DataFrame, nodes: DataFrame, ring: Ring, block
     used = np.packbits(np.arange(ring.size) < ring.used).view(np.uint64)
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, ahead, node, part, wide in groups(batches, BLOCKS, ["ahead", "node", "part", "wide"]):
-            bits = np.frombuffer(b"".join(wide), np.uint64).reshape(len(node), -1) & used
-            linked = np.eye(len(node), dtype=bool)
+        for _, ahead, part, wide, sets in groups(batches, BLOCKS, ["ahead", "part", "wide", "shingles"]):
+            bits = np.frombuffer(b"".join(wide), np.uint64).reshape(len(part), -1) & used
+            labels, label = np.unique(part, return_inverse=True)
+            root = list(range(len(labels)))
+
+            def top(k: int) -> int:
+                while root[k] != k:
+                    root[k] = k = root[root[k]]
+                return k
+
             for i, j in apart(ahead, part):
                 for at in range(0, len(i), 1 << 14):
                     p, q = i[at : at + (1 << 14)], j[at : at + (1 << 14)]
-                    near = np.bitwise_count(bits[p] ^ bits[q]).sum(1, dtype=np.int64) <= ring.most
-                    linked[p[near], q[near]] = linked[q[near], p[near]] = True
-            low, before = node, None
-            while before is None or (low != before).any():
-                before = low
-                low = np.concatenate([np.where(linked[at : at + 256], before, np.iinfo(np.int64).max).min(1) for at in range(0, len(node), 256)])
-            less = low < node
-            yield pa.RecordBatch.from_arrays([pa.array(node[less]), pa.array(low[less])], names=["a", "b"])
+                    near = np.bitwise_count(bits[p] ^ bits[q]).sum(1, dtype=np.int64) <= ring.far
+                    for x, y in zip(p[near].tolist(), q[near].tolist()):
+                        u, v = top(int(label[x])), top(int(label[y]))
+                        if u != v and (sets[x] is None or similar(sets[x], sets[y], ring.least)):
+                            root[max(u, v)] = min(u, v)
+            low = np.array([top(k) for k in range(len(labels))])
+            less = low < np.arange(len(labels))
+            yield pa.RecordBatch.from_arrays([pa.array(labels[less]), pa.array(labels[low[less]])], names=["a", "b"])
 
     rows = _dealt(named, block).select(*BLOCKS, "ahead", "node", "part").repartition(*BLOCKS).sortWithinPartitions(*BLOCKS)
     ends = written(rows.mapInArrow(open_ends, "cell bigint, lo bigint, hi bigint, ahead bigint, node bigint, part bigint"), "open")
-    full = ends.join(nodes, "node").select(*BLOCKS, "ahead", "node", "part", "wide")
+    full = ends.join(nodes.select("node", "wide"), "node")
+    full = full.withColumn("shingles", F.lit(None).cast("binary")) if docs is None else full.join(shingle_sets(docs, ends.select("node"), words), "node")
+    full = full.select(*BLOCKS, "ahead", "part", "wide", "shingles")
     return full.repartition(*BLOCKS).sortWithinPartitions(*BLOCKS).mapInArrow(check, "a bigint, b bigint")
 
 
-def verified(pairs: DataFrame, nodes: DataFrame, ring: Ring) -> DataFrame:
-    """The pairs that differ in no more bits than the limit."""
+def shingle_sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
+    """(node, shingles) of the documents named in ``ids``."""
+    some = docs.withColumnRenamed("doc_id", "node").join(ids.select("node").distinct(), "node", "left_semi")
+    return per_row(some, ["node"], "shingles binary", lambda texts: {"shingles": pa.array([shingles(t, words).tobytes() for t in texts], pa.binary())})
+
+
+def close(pairs: DataFrame, nodes: DataFrame, ring: Ring) -> DataFrame:
+    """The pairs that differ in so few bits that they may be similar."""
     both = pairs.join(nodes.select(F.col("node").alias("a"), F.col("wide").alias("x")), "a").join(nodes.select(F.col("node").alias("b"), F.col("wide").alias("y")), "b").select("a", "b", "x", "y")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, ring.size // 8) for c in "xy")
             differ = np.unpackbits(x ^ y, axis=1)[:, : ring.used].sum(1)
-            yield batch.filter(pa.array(differ <= ring.most)).select(["a", "b"])
+            yield batch.filter(pa.array(differ <= ring.far)).select(["a", "b"])
 
     return both.mapInArrow(run, "a bigint, b bigint")
 
 
-def linked(nodes: DataFrame, ring: Ring, block: int = 4096) -> DataFrame:
-    """(node, component) over all chained pairs that are within the limit."""
+def verified(pairs: DataFrame, docs: DataFrame, ring: Ring, words: int) -> DataFrame:
+    """The pairs whose sets of shingles are similar enough."""
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("node"))
+    sets = written(shingle_sets(docs, ids, words), "shingles")
+    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b").select("a", "b", "x", "y")
+    least = ring.least
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ok = [similar(x.as_py(), y.as_py(), least) for x, y in zip(batch.column("x"), batch.column("y"))]
+            yield batch.filter(pa.array(ok, pa.bool_())).select(["a", "b"])
+
+    return both.mapInArrow(run, "a bigint, b bigint")
+
+
+def linked(nodes: DataFrame, ring: Ring, block: int = 4096, docs: DataFrame | None = None, words: int = 5) -> DataFrame:
+    """(node, component) over all chained pairs that are similar; without ``docs``, all that the bits leave."""
     pairs, dense = candidates(nodes, ring, block)
-    links = verified(pairs, nodes, ring)
+    links = written(close(pairs, nodes, ring), "close")
+    if docs is not None:
+        links = written(verified(links, docs, ring, words), "links")
     if dense is None:
         return components(links)
-    links = written(links, "links")
-    more = written(rest(dense, components(links), nodes, ring, block), "rest")
+    more = written(rest(dense, components(links), nodes, ring, max(2, block // 4), docs, words), "rest")
     return components(links) if more.isEmpty() else components(links.union(more))
 
 
@@ -321,11 +377,16 @@ def near_duplicates(docs: DataFrame, words: int = 5, least: float = 0.8, block:
     """(doc_id, component_id) per row with an id: the smallest id that links of ``least`` similarity reach."""
     ring = Ring.of(docs.count(), least)
     rows = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = written(per_row(rows, ["doc_id"], "wide binary", lambda texts: {"wide": _binary(fingerprints(texts, words, ring.size))}), "wide")
-    nodes = written(rows.groupBy("wide").agg(F.min("doc_id").alias("node")), "nodes")
-    parts = linked(nodes, ring, block)
-    named = written(nodes.join(parts, "node", "left").select("wide", F.coalesce("component", "node").alias("component_id")), "named")
-    return rows.join(named, "wide").select("doc_id", "component_id")
+
+    def prints(texts: list[str]) -> dict:
+        wide, sig = fingerprints(texts, words, ring.size)
+        return {"wide": _binary(wide), "sig": sig}
+
+    found = written(per_row(rows, ["doc_id"], "wide binary, sig bigint", prints), "wide")
+    nodes = written(found.groupBy("wide", "sig").agg(F.min("doc_id").alias("node")), "nodes")
+    parts = linked(nodes, ring, block, rows, words)
+    named = written(nodes.join(parts, "node", "left").select("wide", "sig", F.coalesce("component", "node").alias("component_id")), "named")
+    return found.join(named, ["wide", "sig"]).select("doc_id", "component_id")
 
 
 def keep_one(docs: DataFrame, words: int = 5, least: float = 0.8) -> DataFrame:

@@ -264,6 +264,32 @@ def test_wide_links_behind_smaller_nodes(spark, block):
     assert [found.get(i, i) for i in range(len(fps))] == want
 
 
+def jaccard(x, y):
+    a, b = ({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (x.lower().split(), y.lower().split()))
+    return len(a & b) / len(a | b)
+
+
+@pytest.mark.parametrize("words,least,most", [(228, 0.79, 0.7999), (229, 0.8, 0.8)])
+def test_wide_similarity_is_exact_at_the_limit(spark, words, least, most):
+    rng, texts = random.Random(words), []
+    while len(texts) < 120:
+        base = [f"w{rng.randrange(10**6)}" for _ in range(words)]
+        other = base[:]
+        for k in range(5):
+            other[10 + 35 * k] = f"anders{rng.randrange(10**6)}"
+        texts += [" ".join(base), " ".join(other)]
+    assert all(least <= jaccard(*texts[i : i + 2]) <= most for i in range(0, 120, 2))
+    got = {r["doc_id"]: r["component_id"] for r in rows_of(wide_simhash.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))}
+    together = sum(got[i] == got[i + 1] for i in range(0, 120, 2))
+    assert together >= 57 if least >= 0.8 else together == 0
+
+
+def test_wide_short_texts_that_differ_stay_apart(spark):
+    texts = [f"kop {i}" for i in range(3000)]
+    got = rows_of(wide_simhash.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))
+    assert all(r["doc_id"] == r["component_id"] for r in got)
+
+
 def test_wide_keep_one(docs):
     kept = rows_of(wide_simhash.keep_one(docs))
     assert sum(r["doc_id"] == 4 for r in kept) == 1 and sum(r["doc_id"] is None for r in kept) == 2
