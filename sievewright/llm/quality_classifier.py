@@ -1,8 +1,8 @@
 """Quality classifier: random-indexing token vectors, pooled per text, then a two-layer network.
 
-1. Token counts over all texts. Tokens that make up at least ``min_share`` of all tokens get their own
-   vector (so there are at most ``1 / min_share`` of them); the rest share one vector per written shape.
-2. Random indexing over all texts: each token has a fixed random index vector of signs, and its context
+1. Every token, however rare, has a row by a hash of itself, in a table of ``rows`` rows; no token is left
+   out, and no vocabulary is counted. Rare tokens share rows, frequent ones dominate theirs.
+2. Random indexing over all texts: each row has a fixed random index vector of signs, and its context
    vector is the sum of the index vectors of the tokens within two places, over the whole corpus.
 3. A text's features are the mean and the spread of its tokens' context vectors.
 4. A two-layer numpy network is fitted to at most ``max_train`` labelled texts, chosen by a hash of the
@@ -11,14 +11,13 @@
 Ids, languages, sources and labels are never inputs of a score.
 
 Defined cases: a null or empty text has all-zero features and still gets a score; an id with two
-different labels trains nothing; with fewer than two classes among the labels, every score is the share
-of label 1 (0.5 without labels); repeated rows get equal scores.
+different labels trains nothing; of rows that share an id the smallest text trains; with fewer than two
+classes among the labels, every score is the share of label 1 (0.5 without labels); repeated rows get
+equal scores.
 """
 
 from __future__ import annotations
 
-import re
-import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -28,15 +27,20 @@ from pyspark.sql import functions as F
 
 from sievewright.llm.shared import cut, fold, per_row, table, written
 
-TOKEN = re.compile(r"[^\W\d_]+|\d+|[^\w\s]+|_+")
 REACH = 2
 CHUNK = 200_000
+PIECE = 1 << 20
+#: What a byte is: white space or control, letter (all beyond ASCII too), digit, underscore, mark.
+KIND = np.array([0 if c <= 32 or c == 127 else 1 if c >= 128 or chr(c).isalpha() else 2 if chr(c).isdigit() else 3 if c == 95 else 4 for c in range(256)], np.uint8)
+_BASE = 0x9E3779B97F4A7C15
+_POWERS, _INVERSE = (np.cumprod(np.where(np.arange(PIECE + 1) == 0, np.uint64(1), np.uint64(x)), dtype=np.uint64) for x in (_BASE, pow(_BASE, -1, 1 << 64)))
 
 
 @dataclass(frozen=True)
 class Params:
     dims: int = 48
-    min_share: float = 1e-4
+    signs: int = 4
+    rows: int = 1 << 14
     max_train: int = 20_000
     hidden: int = 32
     epochs: int = 40
@@ -44,120 +48,94 @@ class Params:
     threshold: float = 0.3
 
 
-def shape(token: str) -> str:
-    """A stand-in for a rare token: what it is made of, and how long it is."""
-    if token[0].isdigit():
-        return "\x00digits"
-    if not token[0].isalpha():
-        return f"\x00marks{min(len(token), 4)}"
-    kind = "upper" if len(token) > 1 and token.isupper() else "title" if token[0].isupper() else "lower" if token.islower() else "mixed"
-    return f"\x00{kind}{min(len(token) // 4, 4)}"
-
-
-def tokens(text: str) -> list[str]:
-    """Runs of letters, digits and marks; a run that equals the one before, or the one before that, is marked."""
-    found = TOKEN.findall(text)
-    again = [i for i in range(1, len(found)) if found[i] == found[i - 1] or i > 1 and found[i] == found[i - 2] and found[i][0].isalpha()]
-    for i in again[::-1]:
-        found.insert(i + 1, "\x00again")
-    return found
-
-
-class Vocabulary:
-    """Token to row number; unknown tokens get their shape's row, which this makes as needed."""
-
-    SHAPES = ["\x00again", "\x00digits", *(f"\x00marks{n}" for n in range(1, 5)), *(f"\x00{k}{n}" for k in ("upper", "title", "lower", "mixed") for n in range(5))]
-
-    def __init__(self, words: list[str]):
-        self.words = self.SHAPES + [w for w in words if w not in set(self.SHAPES)]
-        self.ids = {w: i for i, w in enumerate(self.words)}
-
-    def __len__(self) -> int:
-        return len(self.words)
-
-    def lookup(self, found: list[str]) -> np.ndarray:
-        get = self.ids.get
-        ids = np.fromiter((i if (i := get(w)) is not None else get(shape(w), 0) for w in found), np.int64, len(found))
-        return ids
-
-    def index_vectors(self, dims: int) -> np.ndarray:
-        """A sign vector per token, from a hash of the token alone, so that it is the same in every run."""
-        return np.stack([np.random.default_rng(zlib.crc32(w.encode("utf-8", "replace"))).choice([-1.0, 1.0], dims) for w in self.words]).astype(np.float32)
-
-
-def vocabulary(docs: DataFrame, min_share: float) -> Vocabulary:
-    from collections import Counter
-
-    def count(batches):
-        seen: Counter = Counter()
-        for batch in cut(batches):
-            for x in batch.column("text").to_pylist():
-                seen.update(tokens(x or ""))
-            if len(seen) > 300_000:
-                yield _counts(seen)
-                seen = Counter()
-        yield _counts(seen)
-
-    counts = written(docs.select("text").mapInArrow(count, "token string, n bigint").groupBy("token").agg(F.sum("n").alias("n")), "tokens")
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    return Vocabulary(sorted(r[0] for r in counts.where(F.col("n") >= max(1.0, min_share * total)).select("token").collect()))
-
-
-def _counts(seen) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.string()), pa.array(seen.values(), pa.int64())], names=["token", "n"])
-
-
-def context_vectors(docs: DataFrame, vocab: Vocabulary, dims: int) -> np.ndarray:
-    """Random indexing over all texts: a row per token of the vocabulary, scaled to length one."""
-    index = vocab.index_vectors(dims)
-    names = [f"v{k}" for k in range(dims)]
+def pieces(raw: bytes) -> list[bytes]:
+    """The text in pieces of at most PIECE bytes, cut at white space where there is some."""
+    out = []
+    while len(raw) > PIECE:
+        at = max(raw.rfind(b" ", 0, PIECE), raw.rfind(b"\n", 0, PIECE)) + 1 or PIECE
+        out.append(raw[:at])
+        raw = raw[at:]
+    return [*out, raw]
+
+
+def token_codes(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """A hash of each token, a run of bytes of one kind, and whether it is a word. Hashes are differences of one running sum."""
+    b = np.frombuffer(raw, np.uint8)
+    if not len(b):
+        return np.zeros(0, np.uint64), np.zeros(0, bool)
+    kind = KIND[b]
+    cuts = np.concatenate([[0], np.flatnonzero(kind[1:] != kind[:-1]) + 1, [len(b)]])
+    real = kind[cuts[:-1]] != 0
+    starts, ends = cuts[:-1][real], cuts[1:][real]
+    running = np.zeros(len(b) + 1, np.uint64)
+    np.cumsum((b + np.uint64(1)) * _POWERS[: len(b)], out=running[1:])
+    codes = (running[ends] - running[starts]) * _INVERSE[starts]
+    return (codes ^ (codes >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9), kind[starts] == 1
+
+
+def token_rows(text: str, rows: int) -> np.ndarray:
+    """The row of each token, ``rows`` a power of two. One that equals the token before, or as a word the one
+    before that, is followed by row ``rows``. Runs of over PIECE bytes count as several tokens."""
+    parts = [token_codes(x) for x in pieces(text.encode("utf-8", "surrogatepass"))]
+    codes, word = parts[0] if len(parts) == 1 else (np.concatenate(x) for x in zip(*parts))
+    again = np.zeros(len(codes), bool)
+    again[1:] = codes[1:] == codes[:-1]
+    again[2:] |= (codes[2:] == codes[:-2]) & word[2:]
+    out = (codes >> np.uint64(65 - rows.bit_length())).astype(np.int64)
+    return np.insert(out, np.flatnonzero(again) + 1, rows) if again.any() else out
+
+
+def index_vectors(p: Params) -> np.ndarray:
+    """For each row and for the mark of repeats, the ``signs`` places of its sparse sign vector: 2 * dimension + (sign < 0)."""
+    return np.random.default_rng(p.seed).integers(0, 2 * p.dims, (p.signs, p.rows + 1))
+
+
+def context_vectors(docs: DataFrame, p: Params) -> np.ndarray:
+    """Random indexing over all texts, in sums per row, scaled to length one."""
+    names = [f"v{k}" for k in range(p.dims)]
 
     def accumulate(batches):
-        sums = np.zeros((len(vocab), dims))
+        index = index_vectors(p)
+        sums = np.zeros((p.rows + 1) * 2 * p.dims, np.int64)
         held, size = [], 0
         for batch in cut(batches):
             for x in batch.column("text").to_pylist():
-                ids = vocab.lookup(tokens(x or ""))
+                ids = token_rows(x or "", p.rows)
                 held += [ids, np.full(REACH, -1)]  # a gap, so that no pair reaches over two texts
                 size += len(ids)
                 if size > CHUNK:
-                    add_pairs(sums, np.concatenate(held), index)
+                    add_pairs(sums, np.concatenate(held), index, 2 * p.dims)
                     held, size = [], 0
         if held:
-            add_pairs(sums, np.concatenate(held), index)
-        at = np.flatnonzero(np.abs(sums).sum(1))
-        yield pa.RecordBatch.from_arrays([pa.array(at), *(pa.array(sums[at, k]) for k in range(dims))], names=["id", *names])
-
-    parts = docs.select("text").mapInArrow(accumulate, "id bigint, " + ", ".join(f"{c} double" for c in names))
-    out = np.zeros((len(vocab), dims), np.float32)
-    for r in parts.groupBy("id").agg(*[F.sum(c).alias(c) for c in names]).collect():  # at most 1 / min_share rows and the shapes
+            add_pairs(sums, np.concatenate(held), index, 2 * p.dims)
+        sums = sums.reshape(-1, p.dims, 2)
+        sums = sums[:, :, 0] - sums[:, :, 1]
+        at = np.flatnonzero(sums.any(1))
+        yield pa.RecordBatch.from_arrays([pa.array(at), *(pa.array(sums[at, k]) for k in range(p.dims))], names=["id", *names])
+
+    parts = docs.select("text").mapInArrow(accumulate, "id bigint, " + ", ".join(f"{c} bigint" for c in names))
+    out = np.zeros((p.rows + 1, p.dims), np.float32)
+    for r in parts.groupBy("id").agg(*[F.sum(c).alias(c) for c in names]).collect():  # p.rows + 1 rows at the most
         out[r[0]] = r[1:]
     return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
 
 
-def add_pairs(sums: np.ndarray, ids: np.ndarray, index: np.ndarray) -> None:
-    """Add to each token's row the index vectors of the tokens within ``REACH`` places of it."""
-    v = len(index)
+def add_pairs(sums: np.ndarray, ids: np.ndarray, index: np.ndarray, width: int) -> None:
+    """Count, in each token's row of ``sums``, the places of the index vectors of the tokens within ``REACH`` of it."""
     for reach in range(1, REACH + 1):
         a, b = ids[:-reach], ids[reach:]
         ok = (a >= 0) & (b >= 0)
-        pair, n = np.unique(a[ok] * v + b[ok], return_counts=True)
-        left, right = pair // v, pair % v
-        for one, other in ((left, right), (right, left)):
-            order = np.argsort(one, kind="stable")
-            rows, starts = np.unique(one[order], return_index=True)
-            for k in range(0, len(rows), 512):  # bounds what is gathered at once
-                lo, hi = starts[k], starts[k + 512] if k + 512 < len(rows) else len(order)
-                part = order[lo:hi]
-                sums[rows[k : k + 512]] += np.add.reduceat(index[other[part]] * n[part, None], starts[k : k + 512] - lo, axis=0)
-
-
-def pooled(texts: list[str], vocab: Vocabulary, vectors: np.ndarray) -> np.ndarray:
+        a, b = a[ok], b[ok]
+        for places in index:
+            sums += np.bincount(np.concatenate([a * width + places[b], b * width + places[a]]), minlength=len(sums))
+
+
+def pooled(texts: list[str], vectors: np.ndarray) -> np.ndarray:
     """Per text: mean and standard deviation of its tokens' vectors."""
     dims = vectors.shape[1]
     out = np.zeros((len(texts), 2 * dims), np.float32)
     for i, x in enumerate(texts):
-        ids = vocab.lookup(tokens(x))
+        ids = token_rows(x, len(vectors) - 1)
         if len(ids):
             ids, n = np.unique(ids, return_counts=True)
             rows, share = vectors[ids], (n / n.sum()).astype(np.float32)
@@ -223,25 +201,23 @@ def fit(x: np.ndarray, y: np.ndarray, p: Params) -> Network:
 
 @dataclass
 class Model:
-    vocab: Vocabulary
     vectors: np.ndarray
     net: Network
 
     def score(self, texts: list[str]) -> np.ndarray:
-        return self.net.score(pooled(texts, self.vocab, self.vectors))
+        return self.net.score(pooled(texts, self.vectors))
 
 
 def train(docs: DataFrame, labels: DataFrame, p: Params = Params()) -> Model:
     """Vectors from all texts; the network from labelled rows whose fold is not 0."""
-    vocab = vocabulary(docs, p.min_share)
-    vectors = context_vectors(docs, vocab, p.dims)
+    vectors = context_vectors(docs, p)
     clear = labels.where("quality IN (0, 1) AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("y"), F.max("quality").alias("y2")).where("y = y2")
     chosen = clear.where(fold(F.col("doc_id")) != 0).orderBy(F.xxhash64("doc_id"), "doc_id").limit(p.max_train).select("doc_id", "y")
     rows = docs.select("doc_id", "text").join(F.broadcast(written(chosen, "chosen")), "doc_id")  # max_train rows at most
-    dims = 2 * p.dims
-    got = per_row(rows, ["doc_id", "y"], "x array<float>", lambda texts: {"x": list(pooled(texts, vocab, vectors))}).dropDuplicates(["doc_id"]).orderBy("doc_id").collect()
-    x = np.array([r[2] for r in got], float).reshape(len(got), dims)
-    return Model(vocab, vectors, fit(x, np.array([r[1] for r in got], float), p))
+    rows = rows.groupBy("doc_id", "y").agg(F.min("text").alias("text"))
+    got = per_row(rows, ["doc_id", "y"], "x array<float>", lambda texts: {"x": list(pooled(texts, vectors))}).orderBy("doc_id").collect()
+    x = np.array([r[2] for r in got], float).reshape(len(got), 2 * p.dims)
+    return Model(vectors, fit(x, np.array([r[1] for r in got], float), p))
 
 
 def score(docs: DataFrame, model: Model, key: list[str]) -> DataFrame:

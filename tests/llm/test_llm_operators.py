@@ -98,6 +98,53 @@ def test_quality_classifier(spark, docs):
     assert all(math.isclose(r["score"], 0.5, abs_tol=0.01) for r in rows_of(quality_classifier.score(docs, bare, ["doc_id"])))
 
 
+def test_token_rows_against_plain_split(monkeypatch):
+    monkeypatch.setattr(quality_classifier, "PIECE", 4096)
+    texts = [x for x in TEXTS if x] + ["", "a a b a_b 12 12 é é!! ???", "x y x y y"]
+    plain = re.compile(r"[A-Za-z\u0080-\U0010ffff]+|[0-9]+|_+|[^\x00-\x20\x7fA-Za-z0-9_\u0080-\U0010ffff]+")
+    rows = 1 << 14
+    seen: dict = {}
+    for text in texts:
+        want = []
+        found = plain.findall(text)
+        for i, w in enumerate(found):
+            want.append(w)
+            if i and w == found[i - 1] or i > 1 and w == found[i - 2] and re.match(r"[A-Za-z\u0080-\U0010ffff]", w):
+                want.append(None)
+        got = quality_classifier.token_rows(text, rows).tolist()
+        if len(text.encode()) <= 4096 or " " in text:
+            assert len(got) == len(want)
+            for w, r in zip(want, got):
+                assert r == rows if w is None else seen.setdefault(w, r) == r < rows
+    assert len(set(seen.values())) > 0.95 * len(seen) - 200
+
+
+def test_context_vectors_against_plain_loops(spark, docs):
+    p = quality_classifier.Params(dims=8, rows=64, signs=2)
+    index = quality_classifier.index_vectors(p)
+    want = np.zeros((p.rows + 1, p.dims))
+    for (text,) in docs.select("text").collect():
+        ids = quality_classifier.token_rows(text or "", p.rows)[:]
+        for d in (-2, -1, 1, 2):
+            a, b = (ids[:-d], ids[d:]) if d > 0 else (ids[-d:], ids[:d])
+            for x, y in zip(a.tolist(), b.tolist()):
+                for place in index[:, y]:
+                    want[x, place // 2] += 1 - 2 * (place % 2)
+    want /= np.maximum(np.linalg.norm(want, axis=1, keepdims=True), 1e-9)
+    assert np.allclose(quality_classifier.context_vectors(docs, p), want, atol=1e-5)
+
+
+def test_classifier_holds_out_and_calibrates(spark):
+    made = random.Random(3)
+    good = ["the harbour opens at noon and boats return slowly", "she reads a letter from her sister in the garden"]
+    rows = [(i, " ".join(made.choice(good).split()[:7]) + (" ## buy !! buy !! now" if i % 3 == 0 else ""), int(i % 3 != 0)) for i in range(600)]
+    texts = spark.createDataFrame(rows, "doc_id long, text string, quality int")
+    model = quality_classifier.train(texts, texts.select("doc_id", "quality"))
+    got = {r["doc_id"]: r["score"] for r in rows_of(quality_classifier.score(texts, model, ["doc_id"]))}
+    held = [(got[i], y) for i, _, y in rows if zlib.crc32(str(i).encode()) % 5 == 0]
+    assert len(held) > 50 and -np.mean([math.log(s if y else 1 - s) for s, y in held]) < 0.1
+
+
 def test_temperature_calibrates():
     rng = np.random.default_rng(1)
     x = rng.normal(size=(2000, 8))
