@@ -1,12 +1,19 @@
 """Personal data: base patterns, and gradient-boosted candidates beyond them, in column functions alone.
 
-Generators of high recall propose spans, which may overlap. A span of the base patterns stays as it is.
-Every candidate is described by format (digits, separators, brackets, plus sign, first digit, borders,
-check sum of cards, range of address parts) and context (a cue word shortly before). For each kind,
-boosted trees are fitted to tell from these whether the base accepts a candidate. The base's own matching
-is kept from them, so that a span in a written-out form, or one that a longer failing match swallowed,
-gets the score of its format. A threshold per kind is calibrated on held-out documents to ``precision``; candidates at or above it that
-overlap no base span and no better candidate are added.
+Generators of high recall propose spans in written-out forms, which may overlap: addresses with ``(at)``
+and ``dot``, numeric addresses with spaced or bracketed dots, cards with other separators, telephone
+numbers without plus sign or inside a longer failing match. A span of the base patterns stays as it is.
+Every candidate is described by format (digits, groups, separators, brackets, borders) and context (a cue
+word shortly before).
+
+Labels do not come from the base's patterns matching a candidate. Base spans are rewritten, where they
+stand, into the written-out forms: these are the positives. The same digits as dates, versions and codes
+are decoys; with the generators' candidates in the corpus itself, which count by ``doubt`` as they may be
+personal data, they are the negatives. So a form is trusted as far as personal data rewritten so is more
+frequent than whatever else looks like it. Boosted
+trees per kind tell the two apart; a threshold per kind is calibrated on held-out documents to
+``precision``. Candidates at or above it that overlap no base span and no better candidate are added.
+Without any base span of a kind there is nothing to learn from, and nothing of that kind is added.
 
 Features take few values, so the training table is grouped: its size depends on them, not on the corpus,
 and it holds all documents. Fitting reads that table on the driver; scores are CASE expressions.
@@ -21,6 +28,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,23 +41,32 @@ EMAIL = rf"(?:\G|(?<![{_LOCAL}]))[{_LOCAL}]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)
 IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9](?:[ -]?[0-9]){11,}+"
 PHONE = r"\+[0-9][ ().0-9-]+[0-9]"
-#: Generators beyond the base: written-out addresses, digit groups in the usual telephone layouts.
+_AT = r"(?: ?[(\[{<] ?(?:at|AT|@) ?[)\]}>] ?| @ ?|@ )"
+_DOT = r"(?: ?[(\[{<] ?(?:dot|DOT|\.) ?[)\]}>] ?| (?:dot|DOT) |\.)"
+_LABEL = r"[A-Za-z0-9][A-Za-z0-9-]*+"
+#: Generators beyond the base, (kind, what a text must hold, pattern).
 WIDE = (
-    ("email", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+ ?(?:\(at\)|\[at\]|\{at\}) ?[A-Za-z0-9-]{1,63}+(?: ?(?:\.|\(dot\)|\[dot\]|\{dot\}) ?[A-Za-z0-9-]{2,63}+){1,4}+"),
-    ("phone", r"(?<![0-9A-Za-z+])\+[0-9]{1,3} ?\(?[0-9]{2,4}\)?[ .-]?[0-9]{3,4}[ .-]?[0-9]{4}(?![0-9])"),
-    ("phone", r"(?<![0-9A-Za-z+.-])\(?[0-9]{3}\)?[ .-][0-9]{3}[.-][0-9]{4}(?![0-9A-Za-z])"),
+    ("email", r"[(\[{<] ?(?:at|AT|@) ?[)\]}>]|@ | @", rf"(?<![{_LOCAL}])[{_LOCAL}]++{_AT}{_LABEL}(?:{_DOT}{_LABEL})++"),
+    ("email", r" (?:at|AT) \S+ (?:dot|DOT) ", rf"(?<![{_LOCAL}])[{_LOCAL}]++ (?:at|AT) {_LABEL}(?: (?:dot|DOT) {_LABEL})++"),
+    ("ip", r"[0-9] ?[(\[{ ] ?(?:\.|dot)|[0-9]\. [0-9]", r"(?<![0-9.])[0-9]{1,3}+(?:(?: ?\. ?| ?[(\[{] ?(?:\.|dot|DOT) ?[)\]}] ?| (?:dot|DOT) )[0-9]{1,3}+){3}+(?![0-9])"),
+    ("card", "[0-9]{4}", r"(?<![0-9])[0-9]{4}+(?:[ ._/,:\u00A0-]{1,3}+[0-9]{4}+){3}(?![0-9])"),
+    ("card", "[0-9]{4}", r"(?<![0-9])[0-9]{4}+[ ._/,:\u00A0-]{1,3}+[0-9]{6}+[ ._/,:\u00A0-]{1,3}+[0-9]{5}(?![0-9])"),
+    ("phone", r"\+[0-9]", r"(?<![0-9A-Za-z+])\+[0-9]{1,3} ?\(?[0-9]{2,4}\)?[ .-]?[0-9]{3,4}[ .-]?[0-9]{4}(?![0-9])"),
+    ("phone", r"[0-9)][ ./-][0-9]|\) ?[0-9]", r"(?<![0-9A-Za-z+./-])\(?[0-9]{2,5}\)?(?:[ ./-]{1,3}+[0-9]{2,6}){1,5}(?![0-9A-Za-z])"),
 )
 CUES = {"email": "mail|contact|write", "ip": "address|host|server", "card": "card|credit|visa|iban|account|number", "phone": "phone|tel|call|mobile|fax|contact"}
 #: Name and largest value of each feature.
-FEATURES = (("digits", 20), ("spaces", 3), ("marks", 4), ("brackets", 3), ("plus", 1), ("first", 10), ("left", 1), ("right", 1), ("cue", 1), ("sum", 1))
+FEATURES = (("digits", 20), ("groups", 8), ("longest", 8), ("opens", 6), ("spaces", 6), ("dots", 5), ("dashes", 5), ("slashes", 3), ("brackets", 4), ("words", 4), ("left", 2), ("right", 2), ("cue", 1))
 SPAN = "array<struct<s:int,k:int,e:int,m:string>>"
 
 
 @dataclass(frozen=True)
 class Params:
-    trees: int = 24
+    trees: int = 40
     rate: float = 0.4
     precision: float = 0.9
+    #: What a candidate of the corpus counts for against its form: it may be personal data itself.
+    doubt: float = 0.25
     folds: int = 5
 
 
@@ -100,43 +117,84 @@ def accepted(x: Column) -> Column:
     )
 
 
-def found(docs: DataFrame, key: list[str]) -> DataFrame:
-    """``key``, ``base`` (accepted base spans) and ``cand`` (all other candidates with their features)."""
+def possible(x: Column) -> Column:
+    """Whether a proposal can be what it looks like: parts of an address up to 255, a card's check sum, as many digits as a number has."""
+    n = F.length(digits(x["m"]))
+    low = F.forall(F.regexp_extract_all(x["m"], F.lit("[0-9]+"), F.lit(0)), lambda o: o.try_cast("int") <= 255)
+    return F.when(x["k"] == 0, True).when(x["k"] == 1, low).when(x["k"] == 2, F.when((n >= 12) & (n <= 19), luhn(digits(x["m"]))).otherwise(False)).otherwise((n >= 7) & (n <= 15))
+
+
+def rewritten(x: Column) -> Column:
+    """A base span in other forms: (form, whether it still is personal data)."""
+    m, d = x["m"], digits(x["m"])
+    at = lambda a, n: F.substring(d, a, n)
+    user, domain = F.substring_index(m, "@", 1), F.substring_index(m, "@", -1)
+    dotted = lambda dot: F.regexp_replace(domain, r"\.", dot)
+    emails = [F.concat(user, F.lit(a), dotted(b)) for a, b in ((" (at) ", "."), ("(at)", "."), ("[at]", "."), (" [at] ", " [dot] "), (" (at) ", " (dot) "), ("[at]", "[dot]"), ("(at)", "(dot)"), (" at ", " dot "), (" @ ", "."), ("{at}", "{dot}"))]
+    ips = [F.regexp_replace(m, r"\.", dot) for dot in (" . ", "[.]", "(.)", " dot ", "[dot]", "(dot)", " [dot] ", ". ")]
+    four = lambda sep: F.concat(at(1, 4), F.lit(sep), at(5, 4), F.lit(sep), at(9, 4), F.lit(sep), at(13, 4))
+    six = lambda sep: F.concat(at(1, 4), F.lit(sep), at(5, 6), F.lit(sep), at(11, 5))
+    n = F.length(d)
+    cards = [F.when(n == 16, four(sep)).when(n == 15, six(sep)) for sep in (".", "_", "/", "  ", " - ", " / ", ":", "\u00a0")]
+    last = F.substring(d, n - 9, F.lit(10))  # the number within its country
+    part = lambda a, k: F.substring(last, a, k)
+    shapes = (("(", ") ", "-"), ("(", ") ", " "), ("", "-", "-"), ("", ".", "."), ("", " ", " "), ("", " ", "-"), ("", "/", "-"), ("(", ")", "-"), ("0", " ", " "), ("0", "-", "-"))
+    phones = [F.when(n >= 10, F.concat(F.lit(a), part(1, 3), F.lit(b), part(4, 3), F.lit(c), part(7, 4))) for a, b, c in shapes]
+    phones += [F.concat(F.lit("00"), F.regexp_replace(F.substring(m, 2, 1 << 20), r"[()]", "")), m]
+    bad = {
+        1: [F.concat(at(1, 1), F.lit(". "), at(2, 1), F.lit(". "), at(3, 1), F.lit(". "), at(1, 1))],
+        3: [F.concat(at(1, 4), F.lit(c), at(5, 2), F.lit(c), at(7, 2)) for c in "-/. "]
+        + [F.concat(at(1, 2), F.lit(c), at(3, 2), F.lit(c), at(5, 4)) for c in "-/. "]
+        + [F.concat(at(1, 4), F.lit("-"), at(5, 2), F.lit("-"), at(7, 2), F.lit(" "), at(1, 2)), F.concat(at(1, 4), F.lit("-"), at(5, 4)), F.concat(at(1, 3), F.lit("-"), at(4, 2), F.lit("-"), at(6, 4))]
+        + [F.concat(at(1, 3), F.lit(" "), at(4, 3), F.lit(" "), at(7, 3)), F.concat(at(1, 2), F.lit("."), at(3, 3), F.lit("."), at(6, 2))],
+    }
+    forms = lambda good, wrong: F.array(*[F.struct(g.alias("m"), F.lit(1).alias("y")) for g in good], *[F.struct(w.alias("m"), F.lit(0).alias("y")) for w in wrong])
+    made = [forms(g, bad.get(k, [])) for k, g in enumerate((emails, ips, cards, phones))]
+    return F.filter(F.when(x["k"] == 0, made[0]).when(x["k"] == 1, made[1]).when(x["k"] == 2, made[2]).otherwise(made[3]), lambda f: f["m"].isNotNull())
+
+
+def found(docs: DataFrame, key: list[str], doubt: float) -> DataFrame:
+    """``key``, ``base`` (accepted base spans), ``cand`` (proposals apart from them) and ``made`` (base spans rewritten)."""
     text = F.col("_t")
     rows = docs.select(*key, F.coalesce("text", F.lit("")).alias("_t"))
     base = F.concat(spans(text, EMAIL, 0, "@"), spans(text, IP, 1, r"[0-9]\.[0-9]"), spans(text, CARD, 2, "[0-9]"), spans(text, PHONE, 3, r"\+[0-9]"))
-    wide = F.concat(*[spans(text, p, KINDS.index(k), "(?:at[)}\\]])" if k == "email" else r"[0-9][ .-][0-9]|\) ?[0-9]") for k, p in WIDE])
-    rows = rows.withColumn("_all", base).withColumn("_wide", wide)
-    rows = rows.withColumn("_ok", F.filter("_all", accepted))
-    # every match of a base pattern and every other proposal, once each
-    rows = rows.withColumn("_c", F.array_distinct(F.concat("_all", "_wide")))
-    head = F.col("_c")
-    return rows.select(*key, F.col("_ok").alias("base"), F.transform(head, lambda c: described(text, c, F.col("_ok"))).alias("cand"))
-
-
-def described(text: Column, c: Column, base: Column) -> Column:
-    m, before = c["m"], F.lower(F.substring(text, F.greatest(c["s"] - 31, F.lit(1)), F.least(c["s"], F.lit(32))))
+    wide = F.concat(*[spans(text, pattern, KINDS.index(k), needs) for k, needs, pattern in WIDE])
+    rows = rows.withColumn("_ok", F.filter(base, accepted))
+    apart = lambda c: F.forall("_ok", lambda b: (b["e"] <= c["s"]) | (c["e"] <= b["s"]))
+    rows = rows.withColumn("_wide", F.array_distinct(F.filter(wide, lambda c: apart(c) & possible(c))))
+    cand = F.transform("_wide", lambda c: described(text, c, c["m"], F.lit(0), F.lit(doubt)))
+    made = F.flatten(F.transform("_ok", lambda b: F.transform(rewritten(b), lambda f: described(text, b, f["m"], f["y"], F.lit(1.0)))))
+    return rows.select(*key, F.col("_ok").alias("base"), cand.alias("cand"), made.alias("made"))
+
+
+def described(text: Column, c: Column, m: Column, y: Column, w: Column) -> Column:
+    """The features of the form ``m`` at the place of the span ``c``."""
+    before = F.lower(F.substring(text, F.greatest(c["s"] - 31, F.lit(1)), F.least(c["s"], F.lit(32))))
     count = lambda what: F.length(m) - F.length(F.regexp_replace(m, what, ""))
+    border = lambda x: F.when(x.rlike(r"[A-Za-z0-9]"), 2).when(x.rlike(r"[\\/_#=:.-]"), 1).otherwise(0)
     left = F.when(c["s"] > 0, F.substring(text, c["s"], F.lit(1))).otherwise("")
-    right = F.substring(text, c["e"] + 1, F.lit(1))
-    d = digits(m)
+    right = F.regexp_replace(F.substring(text, c["e"] + 1, F.lit(2)), r"^[.:](?:\s|$)", " ")
+    runs = F.regexp_extract_all(m, F.lit("[0-9]+"), F.lit(0))
+    number = c["k"] != 0
     cue = F.lit(False)
     for k, name in enumerate(KINDS):
         cue = cue | ((c["k"] == k) & before.rlike(CUES[name]))
     value = {
-        "digits": F.least(F.length(d), F.lit(20)),
-        "spaces": F.least(count(" "), F.lit(3)),
-        "marks": F.least(count("[.-]"), F.lit(4)),
-        "brackets": F.least(count("[()\\[\\]{}]"), F.lit(3)),
-        "plus": m.startswith("+").cast("int"),
-        "first": F.when(c["k"].isin(1, 2), F.coalesce(F.substring(d, 1, 1).try_cast("int"), F.lit(10))).otherwise(10),
-        "left": left.rlike("[A-Za-z0-9]").cast("int"),
-        "right": right.rlike("[A-Za-z0-9]").cast("int"),
+        "digits": F.when(number, F.length(digits(m))).otherwise(0),
+        "groups": F.when(number, F.size(runs)).otherwise(0),
+        "longest": F.when(number, F.array_max(F.transform(runs, F.length))).otherwise(0),
+        "opens": F.when(number, F.length(F.element_at(runs, 1))).otherwise(0),
+        "spaces": count(r"\s"),
+        "dots": count(r"\."),
+        "dashes": F.when(number, count("-")).otherwise(0),
+        "slashes": count("[/_:,]"),
+        "brackets": count(r"[()\[\]{}<>]"),
+        "words": F.size(F.regexp_extract_all(m, F.lit(r"(?<![A-Za-z0-9])(?:at|AT|dot|DOT)(?![A-Za-z0-9])"), F.lit(0))),
+        "left": border(left),
+        "right": border(F.substring(right, 1, 1)),
         "cue": cue.cast("int"),
-        "sum": F.when(c["k"].isin(1, 2), accepted(c)).otherwise(True).cast("int"),
     }
-    same = F.exists(base, lambda b: (b["s"] == c["s"]) & (b["k"] == c["k"]) & (b["e"] == c["e"]))
-    return F.struct(c["s"].alias("s"), c["k"].alias("k"), c["e"].alias("e"), same.alias("y"), *[value[n].alias(n) for n, _ in FEATURES])
+    return F.struct(c["s"].alias("s"), c["k"].alias("k"), c["e"].alias("e"), y.alias("y"), w.alias("w"), *[F.least(F.coalesce(value[n], F.lit(0)), F.lit(most)).cast("int").alias(n) for n, most in FEATURES])
 
 
 @dataclass
@@ -163,53 +221,54 @@ class Trees:
         return 1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), z))))
 
 
-def boost(rows: list[tuple[tuple, float, float]], p: Params) -> Trees:
-    """Newton boosting of the log loss on (features, weight, positives)."""
-    total, positive = sum(r[1] for r in rows), sum(r[2] for r in rows)
-    share = (positive + 0.5) / (total + 1)
+def boost(x: np.ndarray, weight: np.ndarray, positive: np.ndarray, p: Params) -> Trees:
+    """Newton boosting of the log loss over rows of features with their weights and how much of these is positive.
+
+    Gradients are summed in a histogram per feature, whose values are few.
+    """
+    share = (positive.sum() + 0.5) / (weight.sum() + 1)
     model = Trees(math.log(share / (1 - share)), [])
-    if not rows:
-        return model
+    z = np.full(len(x), model.bias)
 
-    def best(part, stats):
+    def best(part, g, h):
         """The split of ``part`` with the largest gain, as (gain, feature, cut)."""
         top = (0.0, 0, 0)
-        g, h = sum(stats[i][0] for i in part), sum(stats[i][1] for i in part)
-        for f in range(len(FEATURES)):
-            for cut in sorted({rows[i][0][f] for i in part})[1:]:
-                gl, hl = (sum(stats[i][j] for i in part if rows[i][0][f] < cut) for j in (0, 1))
-                gain = gl * gl / (hl + 1) + (g - gl) ** 2 / (h - hl + 1) - g * g / (h + 1)
-                top = max(top, (gain, -f, -cut))
-        return top[0], -top[1], -top[2]
-
-    def value(part, stats):
-        return -p.rate * sum(stats[i][0] for i in part) / (sum(stats[i][1] for i in part) + 1)
-
-    for _ in range(p.trees):
-        q = [model.score(r[0]) for r in rows]
-        stats = [(r[1] * x - r[2], r[1] * x * (1 - x)) for r, x in zip(rows, q)]
-        every = range(len(rows))
-        gain, f, cut = best(every, stats)
+        for f, (_, most) in enumerate(FEATURES):
+            gl, hl = (np.cumsum(np.bincount(x[part, f], v[part], most + 1)) for v in (g, h))
+            gain = gl**2 / (hl + 1) + (gl[-1] - gl) ** 2 / (hl[-1] - hl + 1) - gl[-1] ** 2 / (hl[-1] + 1)
+            at = int(np.argmax(gain[:-1]))
+            if gain[at] > top[0] + 1e-9:
+                top = (float(gain[at]), f, at + 1)
+        return top
+
+    value = lambda part, g, h: float(-p.rate * g[part].sum() / (h[part].sum() + 1))
+    for _ in range(p.trees if len(x) else 0):
+        q = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+        g, h = weight * q - positive, weight * q * (1 - q)
+        gain, f, cut = best(np.ones(len(x), bool), g, h)
         if gain < 1e-6:
             break
         sides = []
-        for part in ([i for i in every if rows[i][0][f] < cut], [i for i in every if rows[i][0][f] >= cut]):
-            _, g, at = best(part, stats)
-            sides.append((g, at, value([i for i in part if rows[i][0][g] < at], stats), value([i for i in part if rows[i][0][g] >= at], stats)))
+        for part in (x[:, f] < cut, x[:, f] >= cut):
+            _, f2, at = best(part, g, h)
+            low, high = part & (x[:, f2] < at), part & (x[:, f2] >= at)
+            sides.append((f2, at, value(low, g, h), value(high, g, h)))
+            z += np.where(low, sides[-1][2], 0) + np.where(high, sides[-1][3], 0)
         model.trees.append((f, cut, *sides))
     return model
 
 
 def train(cands: DataFrame, p: Params = Params()) -> list[Trees]:
-    """A model per kind, from the candidates of all documents; ``cands`` has cand and fold (0 calibrates)."""
+    """A model per kind, from the candidates of all documents; ``cands`` has cand, made and fold (0 calibrates)."""
     names = [n for n, _ in FEATURES]
-    flat = cands.select("fold", F.explode("cand").alias("c")).select("fold", "c.k", *[f"c.{n}" for n in names], F.col("c.y").cast("int").alias("y"))
-    grouped = flat.groupBy((F.col("fold") == 0).alias("held"), "k", *names).agg(F.count("*").alias("n"), F.sum("y").alias("pos")).collect()
+    flat = cands.select("fold", F.explode(F.concat("cand", "made")).alias("c")).select("fold", "c.k", *[f"c.{n}" for n in names], "c.y", "c.w")
+    grouped = flat.groupBy((F.col("fold") == 0).alias("held"), "k", *names).agg(F.sum("w").alias("n"), F.sum("y").alias("pos")).collect()
     models = []
     for k in range(len(KINDS)):
         rows = {h: sorted((tuple(r[n] for n in names), float(r["n"]), float(r["pos"])) for r in grouped if r["k"] == k and r["held"] == h) for h in (False, True)}
-        model = boost(rows[False], p)
-        scored = sorted(((model.score(f), n, pos) for f, n, pos in rows[True] or rows[False]), reverse=True)
+        fit = rows[False] or rows[True]
+        model = boost(np.array([r[0] for r in fit], int).reshape(-1, len(names)), np.array([r[1] for r in fit]), np.array([r[2] for r in fit]), p)
+        scored = sorted(((model.score(f), n, pos) for f, n, pos in rows[True] or fit), reverse=True)
         n = pos = 0.0
         for at, (s, a, b) in enumerate(scored):
             n, pos = n + a, pos + b
@@ -225,7 +284,7 @@ def chosen(models: list[Trees]) -> Column:
     score = lambda c: F.coalesce(*[F.when(c["k"] == k, m.column(c)) for k, m in enumerate(models)])
     limit = lambda c: F.coalesce(*[F.when(c["k"] == k, F.lit(m.threshold)) for k, m in enumerate(models)])
     apart = lambda a, b: (a["e"] <= b["s"]) | (b["e"] <= a["s"])
-    free = F.filter("cand", lambda c: ~c["y"] & (score(c) >= limit(c)) & F.forall("base", lambda b: apart(b, c)))
+    free = F.filter("cand", lambda c: score(c) >= limit(c))
     ranked = F.array_sort(F.transform(free, lambda c: F.struct((-score(c)).alias("r"), c["s"].alias("s"), c["k"].alias("k"), c["e"].alias("e"))))
     none = F.expr("CAST(array() AS array<struct<s:int,k:int,e:int>>)")
     take = lambda acc, c: F.when(F.forall(acc, lambda a: apart(a, c)), F.concat(acc, F.array(F.struct(c["s"].alias("s"), c["k"].alias("k"), c["e"].alias("e"))))).otherwise(acc)
@@ -241,7 +300,7 @@ def _detected(docs: DataFrame, carry: list[Column], p: Params) -> DataFrame:
     """``_c0``, ``_c1``, … for ``carry``, then base and added; own names, so that none of the input's can clash."""
     names = [f"_c{i}" for i in range(len(carry))]
     rows = docs.select(*[c.alias(n) for c, n in zip(carry, names)], F.col("text").alias("text"))
-    got = found(rows.withColumn("_f", F.pmod(F.xxhash64("text"), F.lit(p.folds))), [*names, "_f"]).withColumnRenamed("_f", "fold")
+    got = found(rows.withColumn("_f", F.pmod(F.xxhash64("text"), F.lit(p.folds))), [*names, "_f"], p.doubt).withColumnRenamed("_f", "fold")
     got = written(got, "candidates")
     models = train(got, p)
     plain = F.transform("base", lambda b: F.struct(b["s"].alias("s"), b["k"].alias("k"), b["e"].alias("e")))

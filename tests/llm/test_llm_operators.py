@@ -383,6 +383,48 @@ def test_pii_long_runs_do_not_overflow(spark):
     assert pii.detect(rows, "doc_id").count() == 4
 
 
+def planted_personal_data(n, r):
+    """(text, spans): prose with base spans, written-out ones and look-alikes; spans are those beyond the base."""
+    def card():
+        while not luhn(c := "4" + "".join(str(r.randrange(10)) for _ in range(15))):
+            pass
+        return c
+
+    d = lambda k: "".join(str(r.randrange(10)) for _ in range(k))
+    ip = lambda: [str(r.randrange(1, 256)) for _ in range(4)]
+    name = lambda: r.choice(["jane", "jan.vos", "k_lee", "info", "a.b"]) + d(1)
+    host = lambda: r.choice(["site", "example", "shop"])
+    base = [lambda: f"{name()}@{host()}.org", lambda: ".".join(ip()), card, lambda: f"+1 ({d(3)}) 555-{d(4)}"]
+    wide = [
+        ("email", lambda: f"{name()} (at) {host()} (dot) com"), ("email", lambda: f"{name()}[at]{host()}.org"), ("email", lambda: f"{name()} at {host()} dot com"),
+        ("phone", lambda: f"{d(3)}-555-{d(4)}"), ("phone", lambda: f"({d(3)}) 555-{d(4)}"), ("phone", lambda: f"{d(3)}.555.{d(4)}"),
+        ("card", lambda: ".".join(re.findall("....", card()))), ("card", lambda: "  ".join(re.findall("....", card()))),
+        ("ip", lambda: "[.]".join(ip())), ("ip", lambda: " . ".join(ip())),
+    ]
+    like = [lambda: f"20{d(2)}-0{r.randrange(1, 10)}-1{d(1)}", lambda: f"1{d(1)}.0{r.randrange(1, 10)}.20{d(2)}", lambda: f"v{d(1)}.{d(1)}.{d(2)}", lambda: f"A{d(3)}-{d(3)}-{d(4)}", lambda: "met at noon", lambda: f"{d(1)}. {d(1)}. {d(1)}. {d(1)}", lambda: f"ISBN {d(3)}-{d(1)}-{d(2)}"]
+    rows = []
+    for _ in range(n):
+        text, spans = prose(12, r), []
+        for _ in range(r.randrange(4)):
+            kind, made = r.choice([("base", r.choice(base)()), ("like", r.choice(like)()), (w := r.choice(wide))[:1] + (w[1](),)])
+            if kind not in ("base", "like"):
+                spans.append((pii.KINDS.index(kind), len(text) + 1, len(text) + 1 + len(made)))
+            text += f" {made} {prose(8, r)}"
+        rows.append((text, spans))
+    return rows
+
+
+def test_pii_trees_add_written_out_spans(spark):
+    rows = planted_personal_data(1500, random.Random(11))
+    df = spark.createDataFrame([(i, x) for i, (x, _) in enumerate(rows)], "doc_id long, text string")
+    got = {r["doc_id"]: {(a["k"], a["s"], a["e"]) for a in r["added"]} for r in pii.detect(df, "doc_id").collect()}
+    want = {i: set(x) for i, (_, x) in enumerate(rows)}
+    for k, kind in enumerate(pii.KINDS):
+        hit = sum(sum(x[0] == k for x in got[i] & want[i]) for i in got)
+        assert hit >= 0.8 * sum(x[0] == k for i in want for x in want[i]), kind
+        assert hit >= 0.9 * sum(x[0] == k for i in got for x in got[i]), kind
+
+
 def test_pii_adds_swallowed_phone(spark):
     rows = [(i, f"bel call +1 (20{i % 10}) 555-01{i % 90 + 10} of niet") for i in range(200)] + [(999, "call +1 (202) 555-0143 10.0.0.1 of niet")]
     got = {r["doc_id"]: r for r in rows_of(pii.detect(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id"))}
