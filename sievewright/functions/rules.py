@@ -11,7 +11,12 @@ QUESTION_STOP = tuple(
     "de het een en van voor op in is wat hoe wanneer moet ik mijn als dat die met te aan of dit naar uw u kan kun ben zijn er bij ook om nog wel niet "
     "wij we jij je me mij over per tot zo maar dan nu wie waar welke welk waarom waarvoor gaan gaat wordt worden zou zullen moeten kunnen".split()
 )
-TITLE_STOP = tuple("de het een en of van voor met bij op aan in te is zijn wat hoe als dit dat die naar over uit niet zo werkt wordt worden kan kunt moet moeten welke wanneer deze dan ook per".split())
+# Words without a subject of their own in titles.
+TITLE_STOP = tuple(
+    "de het een en of van voor met bij op aan is zijn wat hoe je jouw uw u dit die dat als om te in naar over uit niet zo werkt wordt worden kan kunt moet "
+    "moeten welke wanneer deze dan ook per".split()
+)
+# Words without a subject of their own in texts.
 DETAIL_STOP = tuple(
     "de het een en of van voor met bij op aan in te die dat dit deze als om naar over uit niet ook wel zijn is wordt worden kan moet moeten hun zij je u uw "
     "er dan wanneer waarvan waarbij mits tenzij indien alleen hebben heeft jaar per tot nog al meer minder".split()

@@ -21,8 +21,10 @@ def _strings(values) -> Column:
 
 
 def fold(c: Column) -> Column:
-    """Lower case without accents."""
-    return F.regexp_replace(F.translate(F.lower(c), "".join(_FOLDED), "".join(_FOLDED.values())), r"[\x{0300}-\x{036F}]", "")
+    """Lower case without accents; only texts beyond ASCII pay for the table."""
+    bare = lambda x: F.regexp_replace(F.translate(x, "".join(_FOLDED), "".join(_FOLDED.values())), r"[\x{0300}-\x{036F}]", "")
+    # a list of one, so that what is tested is made once
+    return F.get(F.transform(F.array(F.lower(c)), lambda x: F.when(F.octet_length(x) == F.length(x), x).otherwise(bare(x))), 0)
 
 
 def squeeze(c: Column) -> Column:
@@ -60,35 +62,42 @@ def slug(c: Column, most: int = 80) -> Column:
     return F.substring(F.regexp_replace(F.regexp_replace(fold(c), "[^a-z0-9]+", "-"), "^-+|-+$", ""), 1, most)
 
 
-def raw_words(c: Column) -> Column:
-    return F.regexp_extract_all(fold(c), F.lit("[a-z0-9]+"), F.lit(0))
+def raw_words(c: Column, folded: Column | None = None) -> Column:
+    return F.regexp_extract_all(fold(c) if folded is None else folded, F.lit("[a-z0-9]+"), F.lit(0))
 
 
-def tokens(c: Column, stop=R.QUESTION_STOP) -> Column:
+def tokens(c: Column, stop=R.QUESTION_STOP, raw: Column | None = None) -> Column:
     """Words of two characters or more that are no stop words, in order, repeats kept."""
-    return F.filter(raw_words(c), lambda w: (F.length(w) >= 2) & ~w.isin(*stop))
+    return F.filter(raw_words(c) if raw is None else raw, lambda w: (F.length(w) >= 2) & ~w.isin(*stop))
 
 
-def _split_words(c: Column, stop) -> Column:
-    words = F.split(F.regexp_replace(fold(c), r"[^a-z0-9\s-]", " "), r"\s+")
-    return F.filter(words, lambda w: (F.length(w) > 2) & ~w.isin(*stop))
+def split_words(folded: Column) -> Column:
+    """The words of a folded text, hyphens inside."""
+    return F.regexp_extract_all(folded, F.lit("[a-z0-9-]+"), F.lit(0))
 
 
-def significant_words(c: Column) -> Column:
+def _cut(w: Column, n: int) -> Column:
+    return F.substring(w, F.lit(1), F.length(w) - n)
+
+
+def significant_words(c: Column, split: Column | None = None) -> Column:
     """Words of a title with plural endings cut."""
-    stem = lambda w: F.when((F.length(w) > 6) & w.endswith("en"), F.regexp_replace(w, "en$", "")).when((F.length(w) > 5) & w.endswith("s") & ~w.endswith("ss"), F.regexp_replace(w, "s$", "")).otherwise(w)
-    return F.transform(_split_words(c, R.TITLE_STOP), stem)
+    stem = lambda w: F.when((F.length(w) > 6) & w.endswith("en"), _cut(w, 2)).when((F.length(w) > 5) & w.endswith("s") & ~w.endswith("ss"), _cut(w, 1)).otherwise(w)
+    words = split_words(fold(c)) if split is None else split
+    return F.transform(F.filter(words, lambda w: (F.length(w) > 2) & ~w.isin(*R.TITLE_STOP)), stem)
 
 
-def detail_words(c: Column) -> Column:
+def detail_words(c: Column, split: Column | None = None) -> Column:
     """Words of a text with plural endings cut and doubled vowels folded."""
-    stem = lambda w: F.regexp_replace(F.when((F.length(w) > 6) & w.endswith("en"), F.regexp_replace(w, "en$", "")).when((F.length(w) > 5) & w.endswith("s"), F.regexp_replace(w, "s$", "")).otherwise(w), r"([aeou])\1", "$1")
-    return F.transform(_split_words(normal(c), R.DETAIL_STOP), stem)
+    stem = lambda w: F.when((F.length(w) > 6) & w.endswith("en"), _cut(w, 2)).when((F.length(w) > 5) & w.endswith("s"), _cut(w, 1)).otherwise(w)
+    words = split_words(fold(normal(c))) if split is None else split
+    kept = F.filter(words, lambda w: (F.length(w) > 2) & ~w.isin(*R.DETAIL_STOP))
+    return F.transform(kept, lambda w: F.regexp_replace(stem(w), r"([aeou])\1", "$1"))
 
 
-def title_words(c: Column) -> Column:
-    """The distinct words of a title that have three characters or more."""
-    words = F.split(F.regexp_replace(fold(normal(c)), r"[^a-z0-9\s]", " "), r"\s+")
+def title_words(c: Column, folded: Column | None = None) -> Column:
+    """The distinct words of a title that have three characters or more; ``folded`` is its normal form without accents."""
+    words = raw_words(c, fold(normal(c)) if folded is None else folded)
     return F.array_distinct(F.filter(words, lambda w: F.length(w) > 2))
 
 
@@ -140,9 +149,13 @@ def years(c: Column) -> Column:
     return F.transform(F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(r"(?<![A-Za-z0-9_])(20\d{2})(?![A-Za-z0-9_])"), F.lit(1)), lambda y: y.cast("int"))
 
 
-def topic_words(c: Column) -> Column:
-    """The distinct significant words of a title without years and numbers."""
-    return F.array_distinct(F.filter(significant_words(F.regexp_replace(c, r"(?<![A-Za-z0-9_])20\d{2}(?![A-Za-z0-9_])", " ")), lambda w: ~w.rlike(r"^\d+$")))
+YEAR = r"(?<![A-Za-z0-9_])20\d{2}(?![A-Za-z0-9_])"
+
+
+def topic_words(c: Column, split: Column | None = None) -> Column:
+    """The distinct significant words of a title without years and numbers; ``split`` are its words, years already out."""
+    words = significant_words(F.regexp_replace(c, YEAR, " ") if split is None else c, split)
+    return F.array_distinct(F.filter(words, lambda w: ~w.rlike(r"^\d+$")))
 
 
 def token_estimate(c: Column) -> Column:

@@ -11,6 +11,7 @@ from sievewright.functions import text as X
 from sievewright.functions.rules import Rules
 from sievewright.operators import classify as K
 from sievewright.operators import select as S
+from sievewright.operators.tables import counted_before
 from sievewright.sources.feeds import with_pages
 
 
@@ -32,12 +33,11 @@ def newest_first(updated: Column, *ties: str) -> list[Column]:
     return [F.coalesce(updated.cast("timestamp"), F.lit("1970-01-01").cast("timestamp")).desc(), *map(F.col, ties)]
 
 
-def url_funnel(urls: DataFrame, known: DataFrame, rules: Rules, hubs: tuple[str, ...], depth: int = 2, most: int = 1000) -> DataFrame:
+def url_funnel(urls: DataFrame, known: DataFrame, rules: Rules, hubs: tuple[str, ...], depth: int = 2) -> DataFrame:
     """Adds ``stage`` and, for candidates, ``tier`` and ``place`` to rows of loc, lastmod, ord, text.
 
     In this order: repeated key, hub, wrong depth, no relevance, already known, candidate. Candidates are
-    placed by tier, then newest first, the first ``most`` of them: a run reads no more. Everything is
-    decided before any page is read.
+    placed by tier, then newest first. Everything is decided before any page is read.
     """
     key = X.url_key(F.col("loc"))
     rows = urls.withColumn("url_key", key).withColumn("_r", F.row_number().over(Window.partitionBy("url_key").orderBy(*newest_first(F.col("lastmod"), "ord"))))
@@ -50,9 +50,9 @@ def url_funnel(urls: DataFrame, known: DataFrame, rules: Rules, hubs: tuple[str,
     ], "kandidaat")
     rows = rows.withColumn("stage", stage)
     order = [F.when(F.col("tier") == "hoog", 0).otherwise(1), *newest_first(F.col("lastmod"), "ord")]
-    top = rows.where("stage = 'kandidaat'").orderBy(*order).limit(most)
-    placed = top.withColumn("place", F.row_number().over(Window.orderBy(*order))).select("ord", "place")
-    return rows.join(placed, "ord", "left").drop("_r", "_known")
+    rows = rows.withColumn("_last", (F.col("stage") != "kandidaat").cast("int"))
+    placed = counted_before(rows, None, [F.col("_last"), *order], F.lit(True), "_before")
+    return placed.withColumn("place", F.when(F.col("_last") == 0, F.col("_before") + 1).cast("int")).drop("_r", "_known", "_last", "_before")
 
 
 def topic_ingest(items: DataFrame, pages: DataFrame, known: DataFrame, rules: Rules, now: Column, months: int, page_cap: int, cap: int, budget: int) -> DataFrame:
@@ -69,7 +69,7 @@ def topic_ingest(items: DataFrame, pages: DataFrame, known: DataFrame, rules: Ru
     rows = rows.withColumn("reason", F.coalesce("_cheap", F.nullif(late, F.lit(""))))
     rank = F.dense_rank().over(Window.orderBy("source"))
     names = items.select("source").distinct().withColumn("_rank", rank)  # a row per source
-    rows = S.budgeted(rows.join(F.broadcast(names), "source"), "source", "ord", F.col("reason").isNull() & F.col("_read"), F.lit(cap), F.col("_rank"), budget)
+    rows = S.budgeted(rows.join(names, "source"), "source", "ord", F.col("reason").isNull() & F.col("_read"), F.lit(cap), F.col("_rank"), budget)
     return rows.withColumn("reason", F.when(~F.col("evaluated") | ~F.col("_read"), "niet beoordeeld").otherwise(F.col("reason")))
 
 

@@ -14,13 +14,19 @@ from sievewright.functions.text import any_of, contains_keyword, squeeze
 def scores(text: Column, rules: Rules, without: tuple[str, ...] = ()) -> dict[str, Column]:
     """Per category, the number of its keywords that the text holds."""
     lower = F.lower(text)
-    hits = lambda words: [contains_keyword(lower, w, w in rules.whole_words).cast("int") for w in words if w not in without]
-    return {c: reduce(lambda a, b: a + b, hits(words), F.lit(0)) for c, words in rules.categories.items()}
+    return _summed({w: contains_keyword(lower, w, w in rules.whole_words) for words in rules.categories.values() for w in words}, rules, without)
+
+
+def _summed(found: dict[str, Column], rules: Rules, without: tuple[str, ...] = ()) -> dict[str, Column]:
+    return {c: reduce(lambda a, b: a + b, [found[w].cast("int") for w in words if w not in without], F.lit(0)) for c, words in rules.categories.items()}
 
 
 def best_category(text: Column, rules: Rules, hint: Column | None = None) -> Column:
     """The category of the highest score, the first of equals; without a score the hint, then the default."""
-    by = scores(text, rules)
+    return _best(scores(text, rules), rules, hint)
+
+
+def _best(by: dict[str, Column], rules: Rules, hint: Column | None) -> Column:
     top = F.greatest(*by.values())
     picked = reduce(lambda rest, c: F.when(by[c] == top, c).otherwise(rest), reversed(by), F.lit(None).cast("string"))
     fallback = F.lit(rules.default) if hint is None else F.coalesce(hint, F.lit(rules.default))
@@ -28,21 +34,31 @@ def best_category(text: Column, rules: Rules, hint: Column | None = None) -> Col
 
 
 def audiences(text: Column, rules: Rules) -> Column:
-    lower = F.lower(text)
+    return _audiences(F.lower(text), rules)
+
+
+def _audiences(lower: Column, rules: Rules) -> Column:
     return F.array_compact(F.array(*[F.when(any_of(lower, words), F.lit(a)) for a, words in rules.audiences.items()]))
 
 
 def priority(text: Column, published: Column, now: Column, rules: Rules) -> Column:
     """belangrijk by keyword, actueel within 14 days (dates to come count too), else praktisch."""
+    return _priority(any_of(F.lower(text), rules.important), published, now)
+
+
+def _priority(important: Column, published: Column, now: Column) -> Column:
     recent = published.isNotNull() & (published >= now - F.expr("INTERVAL 14 DAYS"))
-    return F.when(any_of(F.lower(text), rules.important), "belangrijk").when(recent, "actueel").otherwise("praktisch")
+    return F.when(important, "belangrijk").when(recent, "actueel").otherwise("praktisch")
 
 
 def term(text: Column, rule: Term) -> Column:
     """Every ``all`` and one ``any`` term; a rule without terms never matches."""
+    return _term(squeeze(F.lower(text)), rule)
+
+
+def _term(low: Column, rule: Term) -> Column:
     if not rule.all and not rule.any:
         return F.lit(False)
-    low = squeeze(F.lower(text))
     out = reduce(lambda a, t: a & (F.instr(low, t) > 0), rule.all, F.lit(True))
     return out & any_of(low, rule.any) if rule.any else out
 
@@ -69,16 +85,33 @@ def bypass(tag: Column, text: Column, wanted: str, stems: tuple[str, ...], barre
     return F.coalesce(tag == wanted, F.lit(False)) & any_of(rest, stems) & ~any_of(F.lower(text), barred)
 
 
-def relevance(docs: DataFrame, rules: Rules, title: str = "title", text: str = "text", passed: Column | None = None) -> DataFrame:
-    """The rows with keyword, audience, signal, corroborated, barred, relevant and hint."""
-    t = F.col(text)
-    total = reduce(lambda a, b: a + b, scores(t, rules).values())
-    narrow = reduce(lambda a, b: a + b, scores(t, rules, rules.broad).values())
-    out = docs.withColumns({"keyword": total > 0, "audience": F.size(audiences(t, rules)) > 0, "signal": signal(t, rules), "bypassed": F.lit(False) if passed is None else passed})
+def relevance(docs: DataFrame, rules: Rules, title: str = "title", text: str = "text", passed: Column | None = None, filed: tuple[Column, Column] | None = None) -> DataFrame:
+    """The rows with keyword, audience, signal, corroborated, barred, relevant and hint.
+
+    With ``filed``, a date of publication and the present, also category, audiences and priority. The
+    lower-case text, its squeezed form and each keyword's test are columns of their own, made once.
+    """
+    words = list(dict.fromkeys(w for ws in rules.categories.values() for w in ws))
+    out = docs.withColumn("_low", F.lower(text)).withColumn("_sq", squeeze(F.col("_low")))
+    low, squeezed = F.col("_low"), F.col("_sq")
+    found = F.array(*[contains_keyword(low, w, w in rules.whole_words) for w in words])
+    terms = F.array(*[_term(squeezed, r) for r in rules.signals])
+    out = out.withColumns({"_kw": found, "_who": _audiences(low, rules), "_sig": terms})
+    hits = {w: F.get("_kw", k) for k, w in enumerate(words)}
+    total = reduce(lambda a, b: a + b, _summed(hits, rules).values())
+    narrow = reduce(lambda a, b: a + b, _summed(hits, rules, rules.broad).values())
+    out = out.withColumns({"keyword": total > 0, "audience": F.size("_who") > 0, "signal": F.array_contains("_sig", True) if rules.signals else F.lit(False), "bypassed": F.lit(False) if passed is None else passed})
     out = out.withColumn("corroborated", (narrow > 0) | F.col("bypassed") | F.col("audience") | F.col("signal"))
-    out = out.withColumn("barred", excluded(F.col(title), t, rules))
+    barred = F.lit(False)
+    for r in rules.exclusions:
+        barred = barred | (_term(squeeze(F.lower(title)) if r.scope == "title" else squeezed, r) & ~any_of(squeezed, r.unless))
+    out = out.withColumn("barred", barred)
     gate = F.col("keyword") | F.col("bypassed") | F.col("audience") | F.col("signal")
-    return out.withColumns({"relevant": gate & F.col("corroborated") & ~F.col("barred"), "hint": signal_category(t, rules)})
+    hint = reduce(lambda rest, k: F.when(F.get("_sig", k), rules.signals[k].category).otherwise(rest), [k for k in reversed(range(len(rules.signals))) if rules.signals[k].category], F.lit(None).cast("string"))
+    out = out.withColumns({"relevant": gate & F.col("corroborated") & ~F.col("barred"), "hint": hint})
+    if filed:
+        out = out.withColumns({"category": _best(_summed(hits, rules), rules, F.col("hint")), "audiences": F.col("_who"), "priority": _priority(any_of(low, rules.important), *filed)})
+    return out.drop("_low", "_sq", "_kw", "_who", "_sig")
 
 
 def tier(title: Column, text: Column, rules: Rules) -> tuple[Column, Column]:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sievewright.functions import text as X
+from sievewright.operators.tables import counted_before
 
 
 def capped(rows: DataFrame, group: str, most: int, *order) -> DataFrame:
@@ -25,8 +26,7 @@ def full_pages(rows: DataFrame, topic: str, page: str, pos: str, size: int = 10,
 
 def read_cap(rows: DataFrame, group: str, pos: str, survives: Column, most: int) -> DataFrame:
     """Adds ``evaluated``: false behind the row at which ``most`` rows of the group had survived the cheap filters."""
-    before = Window.partitionBy(group).orderBy(pos).rowsBetween(Window.unboundedPreceding, -1)
-    return rows.withColumn("evaluated", F.coalesce(F.count_if(survives).over(before), F.lit(0)) < most)
+    return counted_before(rows, group, [F.col(pos)], survives, "_before").withColumn("evaluated", F.col("_before") < most).drop("_before")
 
 
 def budgeted(rows: DataFrame, source: str, pos: str, eligible: Column, cap: Column, rank: Column, budget: int) -> DataFrame:
@@ -36,13 +36,12 @@ def budgeted(rows: DataFrame, source: str, pos: str, eligible: Column, cap: Colu
     and the sum of what they want. Rows behind the one that met a limit are not evaluated.
     """
     marked = rows.withColumn("_e", eligible)
+    marked = counted_before(marked, source, [F.col(pos)], F.col("_e"), "_k")
     want = marked.groupBy(source).agg(F.count_if("_e").alias("_n"), F.max(cap).alias("_cap"), F.min(rank).alias("_rank"))
     earlier = Window.orderBy("_rank").rowsBetween(Window.unboundedPreceding, -1)  # a row per source
     want = want.withColumn("_want", F.least("_n", "_cap")).withColumn("_left", F.greatest(F.lit(0), budget - F.coalesce(F.sum("_want").over(earlier), F.lit(0))))
     want = want.select(source, F.least("_cap", "_left").alias("_limit"))
-    seen = Window.partitionBy(source).orderBy(pos)
-    out = marked.join(F.broadcast(want), source).withColumn("_k", F.count_if("_e").over(seen.rowsBetween(Window.unboundedPreceding, -1)))
-    out = out.withColumn("_k", F.coalesce("_k", F.lit(0))).withColumn("evaluated", F.col("_k") < F.col("_limit"))
+    out = marked.join(want, source).withColumn("evaluated", F.col("_k") < F.col("_limit"))
     return out.withColumn("recorded", F.col("_e") & F.col("evaluated")).drop("_e", "_k", "_limit")
 
 

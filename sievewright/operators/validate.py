@@ -9,19 +9,39 @@ from sievewright.functions import rules as R
 from sievewright.functions import text as X
 
 _NUM = r"\d[\d.,]*\d|\d"
-# The wordings that the checks look for.
 _MONTH = "|".join(R.MONTHS)
-TENTATIVE_WORDS = r"(?i)voorstel|voorgesteld|consultatie|voornemen|\bplan\b|plannen|\bwil\b|willen|nog niet|nog geen|als het parlement|na goedkeuring|zou"
-IN_FORCE = r"(?i)\b(?:is|zijn) (?:nu |inmiddels |al )?van kracht\b|\bgeldt (?:al|inmiddels|sinds)\b|\b(?:is|zijn) ingegaan\b|\b(?:is|zijn) in werking getreden\b"
+# Words of a text that leaves open what it tells.
+TENTATIVE_WORDS = r"(?i)voorstel|voorgesteld|consultatie|voornemen|\bplan\b|plannen|\bwil\b|willen|nog niet|nog geen|wetsvoorstel|als het parlement|na goedkeuring|zou|zouden"
+# Wordings that claim that something is in force.
+IN_FORCE = r"(?i)\b(?:is|zijn) (?:nu |inmiddels |al )?van kracht\b|\bgeldt (?:al|inmiddels|sinds)\b|\bis ingegaan\b|\bzijn ingegaan\b|\bis in werking getreden\b|\bzijn in werking getreden\b"
+# Words of a source that tells of a proposal.
 SOURCE_TENTATIVE = "(?i)wetsvoorstel|internetconsultatie|voornemen|kabinet wil|voorgesteld"
+# Words of a source that tells of what holds.
 SOURCE_DEFINITE = "(?i)aangenomen|in werking getreden|van kracht|staatsblad|geldt sinds|is ingegaan|geldt vanaf|gaat in op"
-AS_PAST = r"(?i)\bsinds\b|\b(?:is|zijn) ingegaan\b|\bgeldt al\b|\bis in werking getreden\b|\bgold\b"
+# Wordings of the past or the present.
+AS_PAST = r"(?i)\bsinds\b|\bis ingegaan\b|\bzijn ingegaan\b|\bgeldt al\b|\bis in werking getreden\b|\bgold\b"
+# The form of a reference to a law.
 LEGAL = r"\bartikel\s+\d+[a-z]?(?:[.:]\d+[a-z]?)*(?:\s+lid\s+\d+)?(?:\s+(?:van\s+)?(?:het|de))?\s+(?:burgerlijk wetboek|bw|wet\s+[a-z][a-z -]{2,40}?|awr|awb)\b"
+# The form of a term.
 WITHIN = r"\bbinnen\s+(?:\d+|een|twee|drie|vier|vijf|zes|acht|tien|twaalf)\s+(?:dagen|dag|weken|week|maanden|maand|jaar)\b"
+# Words of a procedure.
 PROCEDURE = r"(?i)aanvra(?:ag|gen)|aanvraagt|\bvraagt\b[^.]*\baan\b|indienen|ingediend|\b(?:dient|dienen)\b[^.]*\bin\b|deponeren|gedeponeerd|melden|aanmelden|inschrijven"
-AUTHORITIES = {"rijksdienst voor ondernemend nederland": "rvo", "belastingdienst": None, "kamer van koophandel": "kvk", "uwv": None, "douane": None, "gemeente": None}
+# Public authorities, with their short names.
+AUTHORITIES = (
+    ("rijksdienst voor ondernemend nederland", "rvo"), ("belastingdienst",), ("kamer van koophandel", "kvk"), ("uwv",), ("douane",), ("dienst uitvoering onderwijs", "duo"),
+    ("autoriteit persoonsgegevens",), ("autoriteit financiële markten", "afm"), ("de nederlandsche bank", "dnb"), ("gemeente",),
+)
+# Wordings that leave a group out.
 EXCLUSION = r"(?i)\b(?:hoeft|hoeven|hoef)\b[^.]*\bniet\b|\bniet\b[^.]*\b(?:verplicht|nodig)\b|\bgeldt\b[^.]*\bniet\b|\bvrijgesteld\b|\buitgezonderd\b|\bniet van toepassing\b"
-CLAIM = r"(?<!geen )(?<!niet )\b(?:geldt (?:momenteel|op dit moment|nu|thans)|(?:is|zijn) (?:momenteel|op dit moment|thans) (?:van kracht|geldig|actueel|van toepassing)|geldende (?:regelgeving|wetgeving|regels?)|(?:is|zijn) (?:nog steeds |nog altijd )?actueel)\b"
+# Claims that something holds now.
+CLAIMS = (
+    r"\bgeldt (?:momenteel|op dit moment|nu|thans)\b",
+    r"\b(?:is|zijn) (?:momenteel|op dit moment|thans) (?:van kracht|geldig|actueel|van toepassing)\b",
+    r"\bgeldende (?:regelgeving|wetgeving|regels?)\b",
+    r"\b(?:is|zijn) (?:nog steeds |nog altijd )?actueel\b",
+)
+#: A word that denies, at most one word before the claim.
+DENIED = r"(?<!\b(?:geen|niet)\s{1,3}(?:\S{1,20}\s{1,3})?)"
 QUALIFIER = r"(?i)(?<![\p{L}\d])([^.;:\n]{6,90}?)\s+(?:die|waarvan|waarbij|mits|tenzij|indien|als|wanneer|alleen als)\s+([^.;\n]{8,200})"
 
 
@@ -29,9 +49,9 @@ def _all(c: Column, pattern: str, group: int = 0) -> Column:
     return F.regexp_extract_all(c, F.lit(pattern), F.lit(group))
 
 
-def facts(text: Column) -> dict[str, Column]:
-    """Distinct amounts, percentages, dates and years of a text, numbers in canonical form."""
-    t = X.normal(text)
+def facts(text: Column, plain: Column | None = None) -> dict[str, Column]:
+    """Distinct amounts, percentages, dates and years of a text, numbers in canonical form; ``plain`` is the text in normal form, if known."""
+    t = X.normal(text) if plain is None else plain
     amounts = F.concat(_all(t, rf"€\s?({_NUM})", 1), _all(t, rf"({_NUM})\s?(?:euro\b|miljoen\b|miljard\b)", 1))
     dates = _all(t, rf"(?<![a-z0-9_])\d{{1,2}}\s+(?:{_MONTH})(?![a-z0-9_])")
     return {
@@ -42,8 +62,8 @@ def facts(text: Column) -> dict[str, Column]:
     }
 
 
-def numbers(text: Column) -> Column:
-    return F.array_distinct(F.transform(_all(X.normal(text), _NUM), X.canonical_number))
+def numbers(text: Column, plain: Column | None = None) -> Column:
+    return F.array_distinct(F.transform(_all(X.normal(text) if plain is None else plain, _NUM), X.canonical_number))
 
 
 def tagged(values: dict[str, Column]) -> Column:
@@ -80,12 +100,12 @@ def status_errors(article: Column, status: Column, source: Column, now: Column,
 def claims(article: Column, source: Column) -> Column:
     """Claims of being in force that the source does not make."""
     plain = X.normal(source)
-    return F.array_distinct(F.filter(_all(X.normal(article), CLAIM), lambda c: F.instr(plain, c) == 0))
+    return F.array_distinct(F.filter(F.concat(*[_all(X.normal(article), DENIED + c) for c in CLAIMS]), lambda c: F.instr(plain, c) == 0))
 
 
 def dropped_qualifiers(article: Column, source: Column) -> Column:
     """Conditions of the source whose head stands in a sentence of the article without half of their words."""
-    sets = F.transform(X.sentences(article), X.detail_words)
+    sets = F.transform(X.sentences(article), lambda s: X.detail_words(s))
     lines = F.split(source, r"\n+|(?<=[.;])\s+")
     heads = F.flatten(F.transform(lines, lambda s: F.arrays_zip(_all(s, QUALIFIER, 1).alias("head"), _all(s, QUALIFIER, 2).alias("rest"), _all(s, QUALIFIER).alias("whole"))))
     last = lambda w: F.slice(w, F.greatest(F.size(w) - 2, F.lit(1)), F.lit(3))
@@ -106,16 +126,16 @@ def missing_details(article: Column, source: Column) -> Column:
     terms = F.filter(_all(s, WITHIN), lambda t: F.instr(a, t) == 0)
     steps = F.filter(X.sentences(source), lambda x: x.rlike(PROCEDURE))
 
-    def lacking(name, short):
-        names = rf"(?i)\b(?:{name}{'|' + short if short else ''})\b"
+    def lacking(name, *short):
+        names = rf"(?i)\b(?:{'|'.join((name, *short))})\b"
         return F.when(F.exists(steps, lambda x: X.normal(x).rlike(names)) & ~a.rlike(names), F.lit(name))
 
-    return F.array_distinct(F.concat(legal, terms, F.array_compact(F.array(*[lacking(n, x) for n, x in AUTHORITIES.items()]))))
+    return F.array_distinct(F.concat(legal, terms, F.array_compact(F.array(*[lacking(*names) for names in AUTHORITIES]))))
 
 
 def excluded_audiences(audiences: Column, source: Column, article: Column, keywords: dict[str, tuple[str, ...]]) -> Column:
     """Chosen audiences with a keyword all of whose words stand in a sentence that excludes."""
-    sets = F.transform(F.filter(F.concat(X.sentences(source), X.sentences(article)), lambda s: s.rlike(EXCLUSION)), X.detail_words)
+    sets = F.transform(F.filter(F.concat(X.sentences(source), X.sentences(article)), lambda s: s.rlike(EXCLUSION)), lambda s: X.detail_words(s))
 
     def named(words):
         out = F.lit(False)
@@ -131,7 +151,7 @@ def repeats_list(summary: Column, body: Column) -> Column:
     words = X.detail_words(body)
 
     def listed(s):
-        parts = F.filter(F.transform(F.split(s, r",|\s+en\s+|\s+of\s+"), X.detail_words), lambda p: F.size(p) > 0)
+        parts = F.filter(F.transform(F.split(s, r",|\s+en\s+|\s+of\s+"), lambda s: X.detail_words(s)), lambda p: F.size(p) > 0)
         same = F.filter(parts, lambda p: F.size(F.filter(p, lambda w: F.array_contains(words, w))) >= F.ceil(F.size(p) / 2))
         return (F.size(parts) >= 4) & (F.size(same) / F.size(parts) >= 0.75)
 

@@ -45,7 +45,7 @@ w AS (SELECT *, concat_ws(' ', t, t) AS whole, row_number() OVER (PARTITION BY u
 f AS (SELECT *, {strong} AS strong, {comp} AS comp, {gen} AS gen, ({' + '.join(by.values())}) AS m, ({' + '.join(e for c, e in by.items() if c != s.legal_form)}) AS other, regexp_matches(trim(whole), '(?i)^wat is (?:een|de|het)\\b') AS def FROM w),
 g AS (SELECT *, CASE WHEN m = 0 OR def AND NOT strong AND NOT comp OR gen AND NOT strong AND NOT comp THEN 'afgewezen' WHEN strong OR comp THEN 'hoog' WHEN other = 0 THEN 'afgewezen' ELSE 'twijfel' END AS tier FROM f),
 h AS (SELECT *, CASE WHEN r > 1 THEN 'dubbel' WHEN lower(seg[1]) = 'de' THEN 'overzicht' WHEN len(seg) <> 2 THEN 'andere vorm' WHEN tier = 'afgewezen' THEN 'niet relevant' WHEN url_key IN (SELECT url_key FROM i WHERE url LIKE '%?page%') THEN 'bekend' ELSE 'kandidaat' END AS stage FROM g)
-SELECT ord, url_key, stage, tier, CASE WHEN stage = 'kandidaat' AND n <= 1000 THEN n END AS place FROM (SELECT *, row_number() OVER (PARTITION BY stage ORDER BY tier <> 'hoog', day DESC, ord) AS n FROM h)
+SELECT ord, url_key, stage, tier, CASE WHEN stage = 'kandidaat' THEN n END AS place FROM (SELECT *, row_number() OVER (PARTITION BY stage ORDER BY tier <> 'hoog', day DESC, ord) AS n FROM h)
 """
 
 

@@ -26,10 +26,9 @@ SCORES_SQL = "SELECT * FROM (" + " UNION ALL ".join(f"SELECT doc_id, '{c}' AS ca
 
 def relevance(spark, d):
     """The relevance gate with each of its parts, and what a relevant row is filed under."""
-    t = F.col("text")
-    out = K.relevance(documents(spark, d), SAMPLE)
     day, now = F.date_add(F.lit("2024-01-01").cast("date"), F.length("text") % 60).cast("timestamp"), F.lit("2024-02-01").cast("timestamp")
-    return out.select("doc_id", "keyword", "audience", "signal", "corroborated", "barred", "relevant", "hint", K.best_category(t, SAMPLE, F.col("hint")).alias("category"), F.array_join(K.audiences(t, SAMPLE), ",").alias("audiences"), K.priority(t, day, now, SAMPLE).alias("priority"))
+    out = K.relevance(documents(spark, d), SAMPLE, filed=(day, now))
+    return out.select("doc_id", "keyword", "audience", "signal", "corroborated", "barred", "relevant", "hint", "category", F.array_join("audiences", ",").alias("audiences"), "priority")
 
 
 def _relevance_sql() -> str:

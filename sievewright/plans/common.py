@@ -58,4 +58,4 @@ def sql_title(c: str, n: int = 8) -> str:
 def title(c, n: int = 8):
     from pyspark.sql import functions as F
 
-    return F.array_join(F.slice(F.split(c, " "), 1, n), " ")
+    return F.array_join(F.slice(F.split(c, " ", n + 1), 1, n), " ")

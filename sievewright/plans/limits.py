@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from sievewright.functions import text as X
 from sievewright.operators import limits as L
+from sievewright.operators.tables import shared_path
 from sievewright.plans.common import table
 from sievewright.streaming import limits as S
 
@@ -43,11 +41,6 @@ def three_limits(spark, d):
     return L.combined(hits(spark, d), L.Limit(60, 28), L.Limit(300, 30), L.Limit(3600, 900))
 
 
-def _shared(spark) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="sievewright-")
-    return f"{base.rstrip('/')}/sievewright/stream-{uuid.uuid4().hex}"
-
-
 def _stream(spark, d):
     """The events table as a file stream, one file a batch."""
     schema = spark.read.parquet(f"{d}/events.parquet").schema
@@ -56,18 +49,17 @@ def _stream(spark, d):
 
 def admitted_stream(spark, d):
     """The limiter over the events as a stream, run to its end."""
-    path = _shared(spark)
+    path = shared_path(spark, "stream")
     S.to_completion(S.limited(_hits(_stream(spark, d)), HOUR), f"{path}/out", f"{path}/state")
     return spark.read.parquet(f"{path}/out")
 
 
 def usage_stream(spark, d):
     """Usage per key and sliding window over the events as a stream, run to its end."""
-    path = _shared(spark)
+    path = shared_path(spark, "stream")
     rows = _hits(_stream(spark, d)).withColumn("w", F.round(F.col("w") * 100).cast("long"))
-    query = S.windowed_usage(rows, "2 hours", "1 hour").writeStream.outputMode("complete").format("memory").queryName(f"usage_{uuid.uuid4().hex}").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
-    query.awaitTermination()
-    return spark.table(query.name).select("key", F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "used", "n")
+    S.complete_into(S.windowed_usage(rows, "2 hours", "1 hour"), f"{path}/out", f"{path}/state")
+    return spark.read.parquet(f"{path}/out").select("key", F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "used", "n")
 
 
 USAGE_STREAM_SQL = """
@@ -78,7 +70,7 @@ SELECT key, strftime(s, '%Y-%m-%d %H:%M:%S') AS start, sum(w)::BIGINT AS used, c
 
 def ingest_stream(spark, d):
     """Pages as a stream into a store of distinct URL keys."""
-    path = _shared(spark)
+    path = shared_path(spark, "stream")
     schema = spark.read.parquet(f"{d}/pages.parquet").schema
     rows = spark.readStream.schema(schema).parquet(f"{d}/pages.parquet*").select(F.col("page_id").alias("id"), X.url_key(F.col("url")).alias("url_key"))
     S.daily_ingest(rows, f"{path}/store", f"{path}/state")

@@ -27,10 +27,18 @@ SELECT page_id, {URL_KEY_SQL} AS url_key, lower(coalesce(seg[1], '')) AS segment
 
 def words(spark, d):
     """Each way of cutting text into words, over whole texts, as counts and digests."""
-    t = F.col("text")
-    sets = {"raw": X.raw_words(t), "tokens": X.tokens(t), "significant": X.significant_words(t), "detail": X.detail_words(t), "title": F.array_sort(X.title_words(t)), "topic": F.array_sort(X.topic_words(t))}
-    out = [c for n, w in sets.items() for c in (F.size(w).cast("long").alias(f"n_{n}"), F.md5(F.array_join(w, " ")).alias(f"{n}_md5"))]
-    return table(spark, d, "documents").select("doc_id", X.slug(C.title(t)).alias("slug"), F.md5(X.normal(t)).alias("normal_md5"), F.size(X.sentences(t)).cast("long").alias("n_sentences"), F.md5(F.array_join(X.sentences(t), "|")).alias("sentences_md5"), *out)
+    # each step is a projection of its own, so that what later ones share is made once
+    t, none = F.col("text"), F.lit(None).cast("string")
+    rows = table(spark, d, "documents").select("doc_id", X.slug(C.title(t)).alias("slug"), "text", X.fold(t).alias("folded"), X.normal(t).alias("plain"), X.sentences(t).alias("sentences"))
+    rows = rows.withColumns({"plain_folded": X.fold(F.col("plain")), "raw": X.raw_words(none, F.col("folded")), "split": X.split_words(F.col("folded"))})
+    years = F.when(t.rlike(X.YEAR), X.split_words(X.fold(F.regexp_replace(t, X.YEAR, " ")))).otherwise(F.col("split"))
+    sets = {
+        "raw": F.col("raw"), "tokens": X.tokens(none, raw=F.col("raw")), "significant": X.significant_words(none, F.col("split")), "detail": X.detail_words(none, X.split_words(F.col("plain_folded"))),
+        "title": F.sort_array(X.title_words(none, F.col("plain_folded"))), "topic": F.sort_array(X.topic_words(none, years)),
+    }
+    rows = rows.select("doc_id", "slug", "plain", "sentences", *[w.alias(f"w_{n}") for n, w in sets.items()])
+    out = [c for n in sets for c in (F.size(f"w_{n}").cast("long").alias(f"n_{n}"), F.md5(F.array_join(f"w_{n}", " ")).alias(f"{n}_md5"))]
+    return rows.select("doc_id", "slug", F.md5("plain").alias("normal_md5"), F.size("sentences").cast("long").alias("n_sentences"), F.md5(F.array_join("sentences", "|")).alias("sentences_md5"), *out)
 
 
 def _words_sql() -> str:

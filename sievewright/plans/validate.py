@@ -13,8 +13,10 @@ from sievewright.plans.common import table
 
 def fact_rows(spark, d):
     """(doc_id, kind, value) of every document's facts and numbers."""
-    f = V.facts(F.col("text")) | {"number": V.numbers(F.col("text"))}
-    rows = table(spark, d, "documents").select("doc_id", F.explode(V.tagged(f)).alias("f"))
+    plain = F.col("plain")
+    f = V.facts(plain, plain) | {"number": V.numbers(plain, plain)}
+    # the normal form is a column of its own, so that it is made once
+    rows = table(spark, d, "documents").select("doc_id", X.normal(F.col("text")).alias("plain")).select("doc_id", F.explode(V.tagged(f)).alias("f"))
     return rows.select("doc_id", "f.kind", "f.value")
 
 

@@ -54,6 +54,15 @@ def windowed_usage(hits: DataFrame, size: str = "60 seconds", slide: str = "10 s
     return hits.withWatermark("ts", late).groupBy(F.window("ts", size, slide).alias("window"), "key").agg(F.sum("w").alias("used"), F.count("*").alias("n")).select("key", F.col("window.start").alias("start"), F.col("window.end").alias("end"), "used", "n")
 
 
+def complete_into(out: DataFrame, path: str, checkpoint: str) -> None:
+    """Runs a stream of aggregates over all that is there; each batch's whole result replaces the last at ``path``, written by the executors."""
+
+    def load(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(path)
+
+    out.writeStream.outputMode("complete").foreachBatch(load).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
 def to_completion(out: DataFrame, path: str, checkpoint: str, mode: str = "append") -> None:
     """Runs a stream over all that is there, into Parquet, and stops."""
     query = out.writeStream.outputMode(mode).format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
@@ -61,13 +70,17 @@ def to_completion(out: DataFrame, path: str, checkpoint: str, mode: str = "appen
 
 
 def daily_ingest(rows: DataFrame, store: str, checkpoint: str) -> None:
-    """Appends rows of new URL keys to the store, batch by batch; a key already there, or twice in a batch, is skipped."""
+    """Appends rows of new URL keys to the store, batch by batch; a key already there, or twice in a batch, is skipped.
+
+    A batch is held against the batches before it alone: one that runs again, after a crash between its
+    write and its commit, replaces its own rows by the same rows.
+    """
 
     def load(batch: DataFrame, number: int) -> None:
         from sievewright.operators.store import first_per_key, new_rows
 
         try:
-            known = batch.sparkSession.read.parquet(f"{store}/*").select("url_key")
+            known = batch.sparkSession.read.parquet(store).where(F.col("batch") < number).select("url_key")
         except Exception as e:  # the first batch finds no store yet
             if "PATH_NOT_FOUND" not in str(e):
                 raise

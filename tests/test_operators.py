@@ -9,7 +9,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from sievewright.functions import text as X
-from sievewright.operators import facets, limits, overlap, retrieve, select, store, validate
+from sievewright.operators import facets, limits, overlap, retrieve, select, store, tables, validate
 from sievewright.sources import feeds
 from sievewright.streaming import limits as streaming
 
@@ -293,3 +293,43 @@ def test_dependent_questions(spark):
     ask = lambda t: spark.createDataFrame([(t,)], "t string").select(retrieve.dependent(F.col("t"))).first()[0]
     assert ask("En hoe zit dat?") and not ask("Wat is KIA?") and not ask("dat " + "woord " * 12)
     assert spark.range(1).select(X.jaccard(F.expr("CAST(array() AS array<string>)"), F.array(F.lit("a")))).first()[0] == 0.0
+
+
+# positions and streams
+
+
+def test_counted_before_equals_plain_count(spark):
+    r = random.Random(2)
+    rows = [(i, r.choice(["a", "a", "a", "b", None]), r.choice([1, 2, 3, 4]) * 100 + i % 7, r.random() < 0.5) for i in range(300)]
+    df = spark.createDataFrame(rows, "id int, g string, pos int, flag boolean").repartition(5)
+    for group in ("g", None):
+        got = {x["id"]: x["n"] for x in rows_of(tables.counted_before(df, group, [F.col("pos"), F.col("id")], F.col("flag"), "n"))}
+        for i, g, pos, _ in rows:
+            assert got[i] == sum(f for j, h, p, f in rows if (group is None or h == g) and (p, j) < (pos, i))
+
+
+def test_daily_ingest_replays_a_batch_without_loss(spark, tmp_path):
+    S = streaming
+
+    source, store, state = (str(tmp_path / x) for x in ("in", "store", "state"))
+    batch = lambda lo, hi: spark.createDataFrame([(i, f"https://x.nl/{i % 15}") for i in range(lo, hi)], "id long, url_key string").write.mode("append").parquet(source)
+    stream = lambda: spark.readStream.schema("id long, url_key string").parquet(source)
+    batch(0, 10)
+    S.daily_ingest(stream(), store, state)
+    batch(10, 20)
+    S.daily_ingest(stream(), store, state)
+    first = sorted(tuple(r) for r in spark.read.parquet(f"{store}/*").select("id", "url_key").collect())
+    assert len(first) == 15
+    for f in (tmp_path / "state" / "commits").iterdir():  # the last batch ran, but was not committed
+        if f.name.strip(".").split(".")[0] == "1":
+            f.unlink()
+    S.daily_ingest(stream(), store, state)
+    assert sorted(tuple(r) for r in spark.read.parquet(f"{store}/*").select("id", "url_key").collect()) == first
+
+
+def test_missing_authorities_and_denied_claims(spark):
+    V = validate
+
+    row = spark.createDataFrame([("U kunt dit aanvragen bij de autoriteit financiële markten of bij DUO.", "Er is nog geen geldende regel. Dit geldt nu. Bel de AFM.")], "source string, article string")
+    got = row.select(V.missing_details(F.col("article"), F.col("source")).alias("m"), V.claims(F.col("article"), F.col("source")).alias("c")).first()
+    assert got["m"] == ["dienst uitvoering onderwijs"] and got["c"] == ["geldt nu"]
