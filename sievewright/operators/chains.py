@@ -11,7 +11,7 @@ from sievewright.functions import text as X
 from sievewright.functions.rules import Rules
 from sievewright.operators import classify as K
 from sievewright.operators import select as S
-from sievewright.operators.tables import counted_before
+from sievewright.operators.tables import counted_before, written
 from sievewright.sources.feeds import with_pages
 
 
@@ -67,6 +67,7 @@ def topic_ingest(items: DataFrame, pages: DataFrame, known: DataFrame, rules: Ru
     rows = K.relevance(rows.withColumn("_text", F.concat_ws(" ", "title", "description", "body")), rules, title="title", text="_text")
     late = _first([(F.col("title").isNull(), "geen titel"), (F.length(F.coalesce("description", F.lit(""))) < 20, "korte omschrijving"), (~F.col("relevant"), "niet relevant")], "")
     rows = rows.withColumn("reason", F.coalesce("_cheap", F.nullif(late, F.lit(""))))
+    rows = written(rows, "judged")
     rank = F.dense_rank().over(Window.orderBy("source"))
     names = items.select("source").distinct().withColumn("_rank", rank)  # a row per source
     rows = S.budgeted(rows.join(names, "source"), "source", "ord", F.col("reason").isNull() & F.col("_read"), F.lit(cap), F.col("_rank"), budget)

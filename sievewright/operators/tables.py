@@ -35,6 +35,7 @@ def counted_before(rows: DataFrame, group: str | None, order: list[Column], flag
 
     Rows are dealt by ranges of group and order; a range's own count and those of the ranges before it, a
     row per range and group, give the position. So neither a group nor the whole table is one task's.
+    Finding the ranges reads ``rows`` once more: what is dear to compute should be written before.
     """
     own = [F.col(group)] if group else []
     dealt = rows.withColumn("_flag", F.coalesce(flag, F.lit(False)).cast("int")).repartitionByRange(*own, *order).withColumn("_range", F.spark_partition_id())

@@ -10,6 +10,7 @@ from sievewright.operators import classify as K
 from sievewright.operators import overlap as O
 from sievewright.operators import select as S
 from sievewright.operators import store as T
+from sievewright.operators.tables import written
 from sievewright.plans import common as C
 from sievewright.plans.classify import SQL as CLASSIFY_SQL
 from sievewright.plans.common import table
@@ -34,7 +35,8 @@ def ingested(spark, d):
     rows = rows.join(known, "url_key", "left").withColumn("known", F.coalesce("known", F.lit(False)))
     rows = K.relevance(rows, SAMPLE)
     reason = S.rejection(F.col("title"), F.col("link"), F.col("description"), F.col("known"), F.col("relevant"), F.col("day").isNotNull())
-    rows = rows.withColumn("reason", reason)
+    # read three times from here on: as duplicates, for the ranges and for the counts
+    rows = written(rows.withColumn("reason", reason).select("doc_id", "source", "pos", "url_key", "title", "reason"), "judged")
     # a duplicate within the run counts only behind an earlier item of the same key that can be recorded
     first = T.first_per_key(rows.where("reason IS NULL"), "url_key", "pos").select("doc_id", F.lit(True).alias("first"))
     rows = rows.join(first, "doc_id", "left").withColumn("reason", F.when(F.col("reason").isNull() & F.col("first").isNull(), "dubbel").otherwise(F.col("reason")))
