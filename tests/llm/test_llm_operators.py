@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -677,7 +678,7 @@ def test_html_places(html, text):
 
 
 def test_html_wrapper_is_union_free():
-    wrapper = html_extraction.infer([page(0), page(1), page(4)])
+    wrapper = html_extraction.assigned(html_extraction.infer([html_extraction.form(page(k)) for k in (0, 1, 4)]))
     kinds = set()
 
     def walk(nodes):
@@ -691,6 +692,72 @@ def test_html_wrapper_is_union_free():
     assert html_extraction.read(wrapper, html_extraction.stream(page(3))) == wanted(3).split("\n\n")
 
 
+def nameless(i, r):
+    """A page whose names say nothing: only what is constant on its host, and what varies, tells its parts."""
+    text = [prose(r.randrange(4, 12) if i % 3 else 60, r) for _ in range(1 + i % 4)]
+    extra = '<div class="kx"><p>Volg ons nu gratis en blijf elke dag van alles op de hoogte met onze eigen berichten.</p></div>' if i % 2 else ""
+    body = "".join(f"<p>{x}</p>" for x in text)
+    page = f'<div class="ka"><div class="kb"><p>Alles over de markt van vandaag, elke dag vers verzameld door onze redactie en gratis te lezen voor iedereen die dat wil.</p></div><div class="kc">{body}{extra}</div><div class="kd"><p>Welkom bij ons</p></div></div>'
+    return page, "\n\n".join(" ".join(x.split()) for x in text)
+
+
+def test_html_template_is_told_by_alignment_alone(spark):
+    r = random.Random(9)
+    made = [nameless(i, r) for i in range(60)]
+    rows = [(i, f"https://n.example/{i}", x) for i, (x, _) in enumerate(made)]
+    got = {x["page_id"]: x["text"] for x in rows_of(html_extraction.extract(spark.createDataFrame(rows, "page_id long, url string, html string")))}
+    assert all(got[i] == want for i, (_, want) in enumerate(made))
+    alone = sum(html_extraction.main_text(x, None)[0] == want for x, want in made)
+    assert alone < 20
+
+
+def test_html_constant_text_of_one_content_stays(spark):
+    rows = [(i, f"https://o.example/{i}", f"<div><h1>Kop</h1><p>Steeds dezelfde tekst.</p></div><!-- {i} -->") for i in range(9)]
+    got = rows_of(html_extraction.extract(spark.createDataFrame(rows, "page_id long, url string, html string")))
+    assert {x["text"] for x in got} == {"Kop\n\nSteeds dezelfde tekst."}
+
+
+def test_html_many_forms_of_a_host(spark, monkeypatch):
+    monkeypatch.setattr(html_extraction, "FAN", 4)
+    monkeypatch.setattr(html_extraction, "SHORT", 10)
+    r = random.Random(3)
+    tags = ["p", "h2", "blockquote", "pre"]
+    rows, want = [], {}
+    for i in range(40):
+        parts = [(r.choice(tags), f"deel {i} {k}") for k in range(r.randrange(1, 9))]
+        rows.append((i, "https://f.example/x", "<nav>menu</nav><article>" + "".join(f"<{t}>{x}</{t}>" for t, x in parts) + "</article>"))
+        want[i] = "\n\n".join(x for _, x in parts)
+    got = {x["page_id"]: x["text"] for x in rows_of(html_extraction.extract(spark.createDataFrame(rows, "page_id long, url string, html string")))}
+    assert got == want
+
+
+def test_html_groups_of_any_length():
+    group = "".join(f"<{t}>x</{t}>" for t in ["h1", "h2", "h3", "h4", "h5", "h6", "p", "pre", "ul", "ol", "dl", "table", "blockquote", "figure", "section", "address", "div", "hr"])
+    assert [x[0] for x in html_extraction.form(group * 5)] == ["+"]
+
+
+def test_html_very_long_pages_align():
+    r = random.Random(1)
+    long = lambda: "".join(f"<{(t := r.choice(['p', 'h2', 'pre', 'section']))}>tekst {r.random()}</{t}>" for _ in range(20_000))
+    start = time.monotonic()
+    a, b = (html_extraction.form(long()) for _ in range(2))
+    wrapper = html_extraction.align(a, b)
+    assert wrapper and time.monotonic() - start < 60
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_html_matches_are_common_and_in_order(seed):
+    r = random.Random(seed)
+    a, b = ([r.choice("abcdefgh"[: 2 + seed % 7]) for _ in range(r.randrange(0, 40))] for _ in range(2))
+    pairs = html_extraction.matches(a, b)
+    assert all(a[i] == b[j] for i, j in pairs) and all(p[0] < q[0] and p[1] < q[1] for p, q in zip(pairs, pairs[1:]))
+    best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i in range(len(a)):
+        for j in range(len(b)):
+            best[i + 1][j + 1] = best[i][j] + 1 if a[i] == b[j] else max(best[i][j + 1], best[i + 1][j])
+    assert len(pairs) == best[-1][-1]
+
+
 # shared
 
 
