@@ -32,6 +32,7 @@ class Text:
     def __init__(self, text: str):
         self.text, self.raw = text, text.encode("utf-8", "surrogatepass")
         self.words = self.raw.split()
+        self._repeated: int | None = None
 
     def n_words(self) -> int:
         return len(self.words)
@@ -53,6 +54,12 @@ class Text:
         return len(lines) - len(set(lines))
 
     def n_repeat_words(self) -> int:
+        """As ``_count_repeated``, taken once a text."""
+        if self._repeated is None:
+            self._repeated = self._count_repeated()
+        return self._repeated
+
+    def _count_repeated(self) -> int:
         """Words inside windows of eight words that the text holds more than once.
 
         A rolling 64-bit hash finds candidates; only texts with equal hashes are then compared exactly.

@@ -21,11 +21,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new path below the folder that all executors share.
 
-    The cluster names that folder in ``spark.checkpoint.dir``; only where that is unset, as in local
-    tests, a temporary folder of this machine serves.
+    The cluster names that folder in ``spark.checkpoint.dir``; only where that is unset on this machine
+    alone, as in local tests, a temporary folder serves.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="sievewright-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/sievewright/{name}-{uuid.uuid4().hex}"
@@ -63,6 +65,13 @@ def per_row(df: DataFrame, key: list[str], schema: str, f) -> DataFrame:
     return kept.mapInArrow(run, f"{head}, {schema}" if key else schema)
 
 
+def one_per_id(docs: DataFrame) -> DataFrame:
+    """Of the rows that share a ``doc_id`` the one of the smallest text, whatever order they come in."""
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    best = docs.groupBy(F.col("doc_id").alias("_id")).agg(F.min_by(whole, F.struct("text", F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]))).alias("_row"))
+    return best.select("_row.*")
+
+
 def cut(batches: Iterable[pa.RecordBatch], most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of about ``most`` bytes at the most, or of one row."""
     for batch in batches:
@@ -89,7 +98,7 @@ def components(edges: DataFrame) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
         e = written(small.where("u <> v").distinct(), "stars")
-        now = e.agg(F.count("*"), F.sum(F.hash("u", "v"))).first()
+        now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))).first()
         if now == before:
             break
         before = now

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievewright.llm.shared import components, per_row, table, written
+from sievewright.llm.shared import components, one_per_id, per_row, table, written
 
 SEED = 42
 CHUNK = 1 << 16
@@ -141,9 +141,9 @@ def near_duplicates(docs: DataFrame, words: int = 3, most: int = 2) -> DataFrame
 
 
 def keep_one(docs: DataFrame, words: int = 3, most: int = 2) -> DataFrame:
-    """One row per component, with all its columns: that of the smallest id. Rows without an id stay, for nothing names them."""
+    """One row per component, with all its columns: that of the smallest id, of rows that share it the smallest text's. Rows without an id stay, for nothing names them."""
     found = near_duplicates(docs, words, most).where("doc_id = component_id").select("doc_id").distinct()
-    known = docs.where("doc_id IS NOT NULL").join(found, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    known = one_per_id(docs.where("doc_id IS NOT NULL").join(found, "doc_id", "left_semi"))
     return known.unionByName(docs.where("doc_id IS NULL"))
 
 

@@ -768,6 +768,50 @@ def test_components_of_chains_and_stars(spark):
     assert shared.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_pipeline_stages_against_brute_force(spark, tmp_path):
+    r = random.Random(8)
+    words = lambda n: [prose(1, r) for _ in range(n)]
+    texts = []
+    for i in range(40):
+        w = words(60)
+        near = w[:30] + ["anders"] + w[31:]
+        texts += [" ".join(w), " ".join(near) if i % 2 else " ".join(w[:20] + words(40)), " ".join(w) if i % 5 == 0 else prose(40, r) + " jan@huis.nl"]
+    texts += [None, "", "kort", "zelfde regel\n" * 30, prose(2000, r)]
+    docs = spark.createDataFrame([(i, x, "nl", f"s{i % 3}", len(x or "")) for i, x in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long").repartition(4)
+    spark.createDataFrame([(i, int(i % 4 > 0), 0) for i in range(60)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    stage = dict(corpus_pipeline.STAGES)
+    ids = lambda df: sorted(x["doc_id"] for x in df.select("doc_id").collect())
+    after = shared.written(stage["quality_rules"](spark, docs, str(tmp_path)), "t")
+
+    def passes(text):
+        n, _, symbols, dup, repeated = measured(text)
+        lines = [x for x in (text or "").split("\n") if x.strip()]
+        return n >= 20 and 100 * repeated <= 30 * n and 10 * symbols <= n and 10 * (text or "").count("!") <= 3 * n and 100 * dup <= 60 * len(lines)
+
+    assert ids(after) == [i for i, x in enumerate(texts) if passes(x)]
+    model = quality_classifier.train(after, spark.read.parquet(f"{tmp_path}/labels.parquet"))
+    kept = [x["doc_id"] for x in rows_of(quality_classifier.score(after, model, ["doc_id"])) if x["score"] >= 0.3]
+    assert ids(stage["quality_classifier"](spark, after, str(tmp_path))) == sorted(kept)
+    rest = {x["doc_id"]: x["text"] for x in rows_of(after)}
+    comp = {i: i for i in rest}
+    for _ in rest:
+        for i in rest:
+            for j in rest:
+                if comp[i] != comp[j] and jaccard(rest[i], rest[j]) >= 0.8:
+                    comp[i] = comp[j] = min(comp[i], comp[j])
+        if all(comp[i] == comp[comp[i]] for i in comp):
+            break
+    one = shared.written(stage["near_duplicates"](spark, after, str(tmp_path)), "t")
+    assert ids(one) == sorted({comp[i] for i in comp})
+    clean = {x["doc_id"]: x["text"] for x in rows_of(stage["personal_data"](spark, one, str(tmp_path)))}
+    assert set(clean) == set(ids(one)) and all(clean[i] == rest[i].replace("jan@huis.nl", "[EMAIL]") for i in clean)
+    packed = rows_of(stage["packing"](spark, one, str(tmp_path)))
+    total = Counter()
+    for x in packed:
+        total[x["doc_id"]] += x["n_words"]
+    assert +total == +Counter({i: len(rest[i].split()) for i in clean})
+
+
 def test_pipeline_stages(spark):
     d = "/root/testdata/sf0.001"
     documents = shared.table(spark, d, "documents")
