@@ -12,8 +12,9 @@ its entry and keeps only what the chain reaches, so a magic inside a payload is
 pieces of a record that runs on over a split's end are gathered by a shuffle.
 
 Defined cases: a null html is an empty payload; rows of equal id and payload that share the largest id
-are all responses; a null id is written as an empty id and never named by a revisit if any id is known;
-a chain that breaks (bad header, lengths past the end of the file) ends there, and what follows is unread.
+are all responses; a null id is written as an empty id and never named by a revisit if any id is known; a
+page without a url has no target URI; a chain that breaks (bad header, lengths past the end of the file)
+ends there, a row of type ``damaged`` says so, and what follows is unread. Versions 1.0 and 1.1 are read.
 """
 
 from __future__ import annotations
@@ -29,7 +30,9 @@ from pyspark.sql import functions as F
 
 from sievewright.llm.shared import cut, shared_path, table, written
 
-MAGIC = "WARC/1.0\r\n"
+#: What every record begins with; the minor version and the end of the line follow.
+MAGIC = "WARC/1."
+VERSION = re.compile(rb"[01]\r\n")
 PROFILE = "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"
 HEADER = re.compile(rb"(?i)^([a-z-]+):[ \t]*(.*?)[ \t]*$")
 #: Keys held by at least this share of rows are broadcast; there are at most its inverse of them.
@@ -37,13 +40,14 @@ HOT_SHARE = 1e-3
 
 
 def decided(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
-    """The pages with payload_bytes, sha1 (hex) and ``response_id``: the id that a revisit refers to, else null.
+    """The pages (page_id, url if there is one, html) with payload_bytes, sha1 (hex) and ``response_id``: the id that a revisit refers to, else null.
 
     Only ids and digests are grouped. Digests that many pages share join by broadcast, so that no task
     gets a third of all rows; their number is bounded by ``HOT_SHARE``.
     """
     payload = F.coalesce("html", F.lit("")).cast("binary")
-    rows = pages.select("page_id", F.coalesce("html", F.lit("")).alias("html"), F.octet_length(payload).cast("long").alias("payload_bytes"), F.sha1(payload).alias("sha1"))
+    url = F.col("url") if "url" in pages.columns else F.lit(None).cast("string")
+    rows = pages.select("page_id", url.alias("url"), F.coalesce("html", F.lit("")).alias("html"), F.octet_length(payload).cast("long").alias("payload_bytes"), F.sha1(payload).alias("sha1"))
     groups = written(rows.where(F.col("payload_bytes") >= min_bytes).groupBy("sha1").agg(F.count("*").alias("n"), F.max("page_id").alias("top")).where("n > 1"), "digests")
     total = pages.count()
     hot = F.broadcast(groups.where(F.col("n") >= max(2, HOT_SHARE * total)).select("sha1", F.col("top").alias("hot")))
@@ -52,7 +56,7 @@ def decided(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     cold = written(keyed.where("page_id < top OR page_id IS NULL").distinct(), "revisits")
     out = rows.join(hot, "sha1", "left").join(cold.withColumnRenamed("top", "cold"), ["page_id", "sha1"], "left")
     top = F.coalesce("hot", "cold")
-    return out.withColumn("response_id", F.when(top.isNotNull() & (F.col("page_id").isNull() | (F.col("page_id") < top)), top)).select("page_id", "html", "payload_bytes", "sha1", "response_id")
+    return out.withColumn("response_id", F.when(top.isNotNull() & (F.col("page_id").isNull() | (F.col("page_id") < top)), top)).select("page_id", "url", "html", "payload_bytes", "sha1", "response_id")
 
 
 def digest(sha1_hex):
@@ -74,8 +78,8 @@ def write_warc(pages: DataFrame, path: str, min_bytes: int = 0, date: str = "202
     body = F.when(revisit, "").otherwise(F.col("html"))
     length = F.octet_length(http) + F.when(revisit, 0).otherwise(F.col("payload_bytes"))
     head = F.concat(
-        F.lit(f"{MAGIC}WARC-Type: "), F.when(revisit, "revisit").otherwise("response"), F.lit("\r\nWARC-Record-ID: "), rid(F.col("page_id")),
-        F.lit(f"\r\nWARC-Date: {date}\r\nWARC-Payload-Digest: sha1:"), digest(F.col("sha1")),
+        F.lit(f"{MAGIC}0\r\nWARC-Type: "), F.when(revisit, "revisit").otherwise("response"), F.lit("\r\nWARC-Record-ID: "), rid(F.col("page_id")),
+        F.coalesce(F.concat(F.lit("\r\nWARC-Target-URI: "), F.regexp_replace("url", r"\s", "%20")), F.lit("")), F.lit(f"\r\nWARC-Date: {date}\r\nWARC-Payload-Digest: sha1:"), digest(F.col("sha1")),
         F.when(revisit, F.concat(F.lit("\r\nWARC-Refers-To: "), rid(F.col("response_id")), F.lit(f"\r\nWARC-Profile: {PROFILE}"))).otherwise(""),
         F.lit("\r\nContent-Type: application/http; msgtype=response\r\nContent-Length: "), length.cast("string"), F.lit("\r\n\r\n"),
     )
@@ -85,10 +89,10 @@ def write_warc(pages: DataFrame, path: str, min_bytes: int = 0, date: str = "202
 def header(block: bytes) -> tuple[dict[str, str], int] | None:
     """Fields of a record's header and its length, magic left out; None if it is no header."""
     end = block.find(b"\r\n\r\n")
-    if end < 0:
+    if end < 0 or not VERSION.match(block):
         return None
     fields = {}
-    for line in block[:end].split(b"\r\n"):
+    for line in block[:end].split(b"\r\n")[1:]:
         m = HEADER.match(line)
         if not m:
             return None
@@ -139,7 +143,9 @@ def entries(spark: SparkSession, path: str) -> DataFrame:
     """
     rows = written(candidates(spark, path), "candidates")
     order = Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("base", F.coalesce(F.sum("size").over(order), F.lit(0)))
+    # only three numbers per split of a file meet, not the offsets
+    bases = rows.select("file", "split", "size").withColumn("base", F.coalesce(F.sum("size").over(order), F.lit(0))).drop("size")
+    rows = written(rows.join(bases, ["file", "split"]), "based")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -171,7 +177,7 @@ def entries(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_warc(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:
-    """The archives' records: record_id, type, refers_to, digest, payload_bytes, http_length, payload.
+    """The archives' records: record_id, target_uri, type, refers_to, digest, payload_bytes, http_length, payload.
 
     ``payload_bytes`` and ``digest`` are computed from the bytes read; for a revisit they come from its
     header and from the length in its HTTP block. With ``payload`` false the bytes themselves stay out.
@@ -181,7 +187,7 @@ def read_warc(spark: SparkSession, path: str, payload: bool = True) -> DataFrame
     where = {(r["file"], r["split"]): (r["base"], r["entry"], r["owner"]) for r in plan.collect()}
     shared = spark.sparkContext.broadcast(where)
     fields = [("file", pa.string()), ("start", pa.int64()), ("part", pa.int64()), ("bytes", pa.binary())]
-    columns = [("record_id", pa.string()), ("type", pa.string()), ("refers_to", pa.string()), ("digest", pa.string()), ("payload_bytes", pa.int64()), ("payload", pa.binary())]
+    columns = [("record_id", pa.string()), ("target_uri", pa.string()), ("type", pa.string()), ("refers_to", pa.string()), ("digest", pa.string()), ("payload_bytes", pa.int64()), ("payload", pa.binary())]
     shape = pa.schema([*fields, *columns])
     magic = MAGIC.encode()
 
@@ -199,8 +205,11 @@ def read_warc(spark: SparkSession, path: str, payload: bool = True) -> DataFrame
                     got = header(raw)
                     need = got[1] + int(got[0]["content-length"]) + 4 if got else len(raw)
                     live = at + len(magic) + need
-                    if need <= len(raw):
-                        rows.append(record(raw[: need - 4], payload) if got else None)
+                    if not got:  # the chain ends here
+                        rows.append({"type": "damaged"})
+                        live = -1
+                    elif need <= len(raw):
+                        rows.append(record(raw[: need - 4], payload))
                     else:
                         held = [file, at, [(at, raw)], need, len(raw)]
                 elif held:  # inside a record that began in this split
@@ -214,10 +223,10 @@ def read_warc(spark: SparkSession, path: str, payload: bool = True) -> DataFrame
                 at += len(raw) + len(magic)
                 size += len(raw)
                 if size > 8 << 20:
-                    yield pa.RecordBatch.from_pylist([r for r in rows if r], schema=shape)
+                    yield pa.RecordBatch.from_pylist(rows, schema=shape)
                     rows, size = [], 0
         rows += fragments(held)
-        yield pa.RecordBatch.from_pylist([r for r in rows if r], schema=shape)
+        yield pa.RecordBatch.from_pylist(rows, schema=shape)
 
     def fragments(held):
         return [{"file": held[0], "start": held[1], "part": at, "bytes": raw} for at, raw in held[2]] if held else []
@@ -227,7 +236,8 @@ def read_warc(spark: SparkSession, path: str, payload: bool = True) -> DataFrame
         raw = magic.join(x for _, x in got)
         head = header(raw)
         need = head[1] + int(head[0]["content-length"]) if head else 0
-        return pa.Table.from_pylist([record(raw[:need], payload)] if head and got[0][0] == key[1].as_py() and len(raw) >= need else [], schema=pa.schema(columns))
+        whole = head and got[0][0] == key[1].as_py() and len(raw) >= need
+        return pa.Table.from_pylist([record(raw[:need], payload) if whole else {"type": "damaged"}], schema=pa.schema(columns))
 
     kinds = {pa.string(): "string", pa.int64(): "bigint", pa.binary(): "binary"}
     text = lambda c: ", ".join(f"{n} {kinds[t]}" for n, t in c)
@@ -236,7 +246,9 @@ def read_warc(spark: SparkSession, path: str, payload: bool = True) -> DataFrame
         found = written(found, "records")
         whole = found.where("start IS NULL").select(*[c for c, _ in columns])
         return whole.unionByName(found.where("start IS NOT NULL").select(*[c for c, _ in fields]).groupBy("file", "start").applyInArrow(gather, text(columns)))
-    return found.where("start IS NULL").select(*[c for c, _ in columns])
+    # a record that runs on over the end of its file left pieces: its first one tells so
+    kind = F.when(F.col("start").isNotNull(), "damaged").otherwise(F.col("type")).alias("type")
+    return found.where("start IS NULL OR part = start").select(*[kind if c == "type" else c for c, _ in columns])
 
 
 def record(raw: bytes, payload: bool) -> dict:
@@ -244,7 +256,7 @@ def record(raw: bytes, payload: bool) -> dict:
     body = raw[n:]
     cut_at = body.find(b"\r\n\r\n") + 4 if fields.get("content-type", "").startswith("application/http") else 0
     http, data = body[:cut_at], body[cut_at:]
-    out = {"record_id": fields.get("warc-record-id"), "type": fields["warc-type"], "refers_to": fields.get("warc-refers-to")}
+    out = {"record_id": fields.get("warc-record-id"), "target_uri": fields.get("warc-target-uri"), "type": fields["warc-type"], "refers_to": fields.get("warc-refers-to")}
     if out["type"] == "revisit":
         length = re.search(rb"(?im)^content-length:\s*(\d+)", http)
         out |= {"digest": fields.get("warc-payload-digest", "").removeprefix("sha1:"), "payload_bytes": int(length[1]) if length else None}

@@ -595,6 +595,21 @@ def test_warc_odd_rows(spark):
     assert warc.read_warc(spark, bare).count() == 0
 
 
+def test_warc_versions_uris_and_damage(spark, tmp_path):
+    def made(version, i, length=None):
+        body = f"HTTP/1.1 200 OK\r\n\r\ntekst {i}"
+        return f"WARC/{version}\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:{i}>\r\nWARC-Target-URI: https://x.nl/{i}\r\nContent-Type: application/http\r\nContent-Length: {len(body) if length is None else length}\r\n\r\n{body}\r\n\r\n"
+
+    whole, cut_off, broken = "".join(made("1.1", i) for i in range(3)), made("1.0", 3) + made("1.0", 4, 5000), made("1.0", 5) + "WARC/1.0\r\nhere is no header\r\n\r\n" + made("1.0", 6)
+    for k, x in enumerate((whole, cut_off, broken)):
+        (tmp_path / f"{k}.warc").write_bytes(x.encode())
+    got = Counter((r["record_id"], r["target_uri"], r["type"]) for r in warc.read_warc(spark, str(tmp_path)).collect())
+    assert got == Counter({(None, None, "damaged"): 2} | {(f"<urn:page:{i}>", f"https://x.nl/{i}", "response"): 1 for i in (0, 1, 2, 3, 5)})
+    path = shared.shared_path(spark, "warc")
+    warc.write_warc(spark.createDataFrame([(1, "https://x.nl/a b", "tekst"), (2, None, "tekst2")], "page_id long, url string, html string"), path)
+    assert {r["record_id"]: r["target_uri"] for r in warc.read_warc(spark, path).collect()} == {"<urn:page:1>": "https://x.nl/a%20b", "<urn:page:2>": None}
+
+
 # SentencePiece
 
 
