@@ -15,11 +15,11 @@ texts take 113 segments of 18 bits; work per text grows with the number of texts
 a quarter, up to segments of 31 bits.
 
 Equal sets of shingles are one node. Nodes that share a segment meet in sorted runs; a run of over ``block``
-nodes is compared by pairs of blocks instead, each a group of its own. A task returns all pairs whose
-chain holds, as long as they are few for the run's nodes. Of a dense run, as copies by the thousand make,
-it first returns each node's smallest partner. Once these links have made components, every pair of a
-dense run that is still apart is checked on all bits inside a task, which returns the smallest node that
-each node reaches. So all pairs count and no rows grow with the square of a group.
+nodes is compared by pairs of blocks instead, each a group of its own. A task returns a row for each node
+that has a chained partner, with the smallest of these, and never the pairs. The smallest partner of each
+node over all segments is checked first. Once these links have made components, every chained pair that is
+still apart is checked inside a task, by all bits and then by the sets, and the task returns the smallest
+component that each reaches. So all pairs count and no rows grow with the square of a group.
 
 Defined cases: as in ``simhash``; a text of fewer words than a shingle is one shingle, texts without
 words are alike.
@@ -41,8 +41,6 @@ from sievewright.llm.shared import components, one_per_id, per_row, written
 from sievewright.llm.simhash import groups
 
 SHORT = 8
-#: Chained pairs a node of a cell, up to which all go out as rows.
-FEW = 4
 BLOCKS = ["cell", "lo", "hi"]
 
 
@@ -162,30 +160,14 @@ def chained(a: np.ndarray, b: np.ndarray, ring: Ring) -> np.ndarray:
     return ok
 
 
-def _smallest(node: np.ndarray, ahead: np.ndarray, ring: Ring) -> tuple[list, list]:
-    """(a, b) with the smallest chained node b for each node a that has a smaller one."""
-    a, b = [], []
+def _lows(node: np.ndarray, ahead: np.ndarray, ring: Ring) -> tuple[np.ndarray, np.ndarray]:
+    """Which nodes of a cell have a chained partner, and the smallest node among these and itself."""
+    touched, low = np.zeros(len(node), bool), node.copy()
     for at in range(0, len(node), 256):
-        part = node[at : at + 256]
-        low = np.where(chained(ahead[at : at + 256, None], ahead[None, :], ring), node[None, :], np.iinfo(np.int64).max).min(1)
-        less = low < part
-        a.append(part[less])
-        b.append(low[less])
-    return a, b
-
-
-def _chains(node: np.ndarray, ahead: np.ndarray, ring: Ring) -> tuple[list, list] | None:
-    """All chained pairs (a, b), b < a, or None if there are more than FEW a node."""
-    a, b, n = [], [], 0
-    for at in range(0, len(node), 256):
-        i, j = np.nonzero(chained(ahead[at : at + 256, None], ahead[None, at:], ring))
-        i, j = i[i < j] + at, j[i < j] + at
-        n += len(i)
-        if n > FEW * len(node):
-            return None
-        a.append(np.maximum(node[i], node[j]))
-        b.append(np.minimum(node[i], node[j]))
-    return a, b
+        ok = chained(ahead[at : at + 256, None], ahead[None, :], ring)
+        touched[at : at + 256] = ok.sum(1) > 1  # each is chained to itself
+        low[at : at + 256] = np.where(ok, node[None, :], np.iinfo(np.int64).max).min(1)
+    return touched, low
 
 
 def _cells(nodes: DataFrame, ring: Ring) -> DataFrame:
@@ -203,11 +185,18 @@ def _cells(nodes: DataFrame, ring: Ring) -> DataFrame:
     return nodes.mapInArrow(run, "cell bigint, ahead bigint, node bigint")
 
 
-def candidates(nodes: DataFrame, ring: Ring, block: int = 4096) -> tuple[DataFrame, DataFrame]:
-    """Pairs (a, b), b < a, of nodes that share a segment and keep to the chain's budgets, and the dense cells.
+FOUND = "cell bigint, ahead bigint, node bigint, low bigint"
+
+
+def _found(cell: np.ndarray, ahead: np.ndarray, node: np.ndarray, low: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in (cell, ahead, node, low)], names=["cell", "ahead", "node", "low"])
 
-    All such pairs of a cell, but of a cell with more than FEW a node only the smallest partner of each:
-    these cells are dense, (cell, ahead, node) per row, and what they still hold is found by ``rest``.
+
+def candidates(nodes: DataFrame, ring: Ring, block: int = 4096) -> DataFrame:
+    """(cell, ahead, node, low): the nodes that share a segment with one that keeps to the chain's budgets.
+
+    ``low`` is the smallest such node, or the node itself. A row per node and cell, however many pairs
+    meet there.
     """
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -218,49 +207,44 @@ def candidates(nodes: DataFrame, ring: Ring, block: int = 4096) -> tuple[DataFra
             # the last cell may go on in the next batch; of one that is too long already, its number is enough
             last = int(np.searchsorted(x[0], x[0, -1])) if x.shape[1] else 0
             held = x[:, last:]
-            yield pairs(x[:, :last])
+            yield rows(x[:, :last])
         if held is not None:
-            yield pairs(held)
+            yield rows(held)
 
-    def pairs(x: np.ndarray) -> pa.RecordBatch:
+    def rows(x: np.ndarray) -> pa.RecordBatch:
         cell, ahead, node = x
         starts = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]])) if len(cell) else np.zeros(0, np.int64)
         size = np.diff(np.append(starts, len(cell)))
         short = np.repeat(size <= SHORT, size)
-        a, b = [], []
+        touched, low = np.zeros(len(cell), bool), node.copy()
         for d in range(1, SHORT):
             i = np.flatnonzero((cell[d:] == cell[:-d]) & short[d:]) if len(cell) > d else np.zeros(0, np.int64)
             i = i[chained(ahead[i], ahead[i + d], ring)]
-            a.append(np.maximum(node[i], node[i + d]))
-            b.append(np.minimum(node[i], node[i + d]))
+            touched[i] = touched[i + d] = True
+            np.minimum.at(low, i, node[i + d])
+            np.minimum.at(low, i + d, node[i])
+        crowded = np.zeros(len(cell), bool)
         for at, n in zip(starts[size > SHORT], size[size > SHORT]):
-            some = slice(at, at + n)
             if n > block:
-                p, q = [np.array([-2])], [cell[at : at + 1]]  # for passes of its own
-            elif (all_pairs := _chains(node[some], ahead[some], ring)) is not None:
-                p, q = all_pairs
+                crowded[at] = True  # for passes of its own
             else:
-                p, q = _smallest(node[some], ahead[some], ring)
-                p, q = [np.array([-1]), *p], [cell[at : at + 1], *q]
-            a += p
-            b += q
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
-
-    found = written(_cells(nodes, ring).repartition("cell").sortWithinPartitions("cell").mapInArrow(compare, "a bigint, b bigint"), "pairs")
-    near = found.where("a >= 0")
-    marked = found.where("a < 0").select(F.col("b").alias("cell"), (F.col("a") == -2).alias("crowded"))
-    if marked.isEmpty():
-        return near.distinct(), None
-    dense = written(_cells(nodes, ring).join(marked, "cell"), "dense")
+                touched[at : at + n], low[at : at + n] = _lows(node[at : at + n], ahead[at : at + n], ring)
+        names = ["cell", "ahead", "node", "low", "crowded"]
+        out = touched | crowded
+        return pa.RecordBatch.from_arrays([pa.array(c[out]) for c in (cell, ahead, node, low, crowded)], names=names)
 
     def crowd(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, ahead, node in groups(batches, BLOCKS, ["ahead", "node"]):
-            a, b = _smallest(node, ahead, ring)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
+        for key, ahead, node in groups(batches, BLOCKS, ["ahead", "node"]):
+            touched, low = _lows(node, ahead, ring)
+            yield _found(np.full(int(touched.sum()), key[0]), ahead[touched], node[touched], low[touched])
 
-    more = _dealt(dense.where("crowded"), block).select(*BLOCKS, "ahead", "node")
-    more = more.repartition(*BLOCKS).sortWithinPartitions(*BLOCKS).mapInArrow(crowd, "a bigint, b bigint")
-    return near.union(more).distinct(), dense
+    found = written(_cells(nodes, ring).repartition("cell").sortWithinPartitions("cell").mapInArrow(compare, FOUND + ", crowded boolean"), "chained")
+    near, marked = found.where("NOT crowded").drop("crowded"), found.where("crowded").select("cell")
+    if marked.isEmpty():
+        return near
+    more = _dealt(_cells(nodes, ring).join(marked, "cell"), block).select(*BLOCKS, "ahead", "node")
+    more = more.repartition(*BLOCKS).sortWithinPartitions(*BLOCKS).mapInArrow(crowd, FOUND)
+    return written(near.union(more.groupBy("cell", "ahead", "node").agg(F.min("low").alias("low"))), "chained")
 
 
 def _dealt(rows: DataFrame, block: int) -> DataFrame:
@@ -272,7 +256,7 @@ def _dealt(rows: DataFrame, block: int) -> DataFrame:
 
 
 def rest(dense: DataFrame, parts: DataFrame, nodes: DataFrame, ring: Ring, block: int = 4096, docs: DataFrame | None = None, words: int = 5) -> DataFrame:
-    """Star edges (a, b) for all verified pairs of dense cells that ``parts``, the components so far, leave apart.
+    """Star edges (a, b) for all verified pairs of chained nodes that ``parts``, the components so far, leave apart.
 
     Nodes with a chained partner of another component get their fingerprints and sets; their pairs are
     checked inside the task, and only the smallest component that each component reaches leaves it.
@@ -363,13 +347,12 @@ def verified(pairs: DataFrame, docs: DataFrame, ring: Ring, words: int) -> DataF
 
 def linked(nodes: DataFrame, ring: Ring, block: int = 4096, docs: DataFrame | None = None, words: int = 5) -> DataFrame:
     """(node, component) over all chained pairs that are similar; without ``docs``, all that the bits leave."""
-    pairs, dense = candidates(nodes, ring, block)
-    links = written(close(pairs, nodes, ring), "close")
+    chained_ = candidates(nodes, ring, block)
+    first = chained_.where("low < node").groupBy(F.col("node").alias("a")).agg(F.min("low").alias("b"))
+    links = written(close(written(first, "first"), nodes, ring), "close")
     if docs is not None:
         links = written(verified(links, docs, ring, words), "links")
-    if dense is None:
-        return components(links)
-    more = written(rest(dense, components(links), nodes, ring, max(2, block // 4), docs, words), "rest")
+    more = written(rest(chained_.drop("low"), components(links), nodes, ring, max(2, block // 4), docs, words), "rest")
     return components(links) if more.isEmpty() else components(links.union(more))
 
 
