@@ -258,8 +258,9 @@ def _dealt(rows: DataFrame, block: int) -> DataFrame:
 def rest(dense: DataFrame, parts: DataFrame, nodes: DataFrame, ring: Ring, block: int = 4096, docs: DataFrame | None = None, words: int = 5) -> DataFrame:
     """Star edges (a, b) for all verified pairs of chained nodes that ``parts``, the components so far, leave apart.
 
-    Nodes with a chained partner of another component get their fingerprints and sets; their pairs are
-    checked inside the task, and only the smallest component that each component reaches leaves it.
+    Nodes with a chained partner of another component get their fingerprints. Rows of nodes whose every pair
+    differs in too many bits, or is met in an earlier cell, end there; only the others get their sets, which
+    decide inside the task, and only the smallest component that each component reaches leaves it.
     """
     named = dense.join(parts, "node", "left").select("cell", "ahead", "node", F.coalesce("component", "node").alias("part"))
 
@@ -280,9 +281,28 @@ def rest(dense: DataFrame, parts: DataFrame, nodes: DataFrame, ring: Ring, block
 
     used = np.packbits(np.arange(ring.size) < ring.used).view(np.uint64)
 
+    def near(cell: int, ahead: np.ndarray, part: np.ndarray, wide: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """The pairs apart that all bits leave, each in the first of the cells where it is chained."""
+        fps = np.frombuffer(b"".join(wide), np.uint8).reshape(len(part), -1)
+        bits, (cells, aheads) = fps.view(np.uint64) & used, segments(fps, ring)
+        for i, j in apart(ahead, part):
+            for at in range(0, len(i), 1 << 12):
+                p, q = i[at : at + (1 << 12)], j[at : at + (1 << 12)]
+                ok = np.bitwise_count(bits[p] ^ bits[q]).sum(1, dtype=np.int64) <= ring.far
+                p, q = p[ok], q[ok]
+                ok = ((cells[p] == cells[q]) & chained(aheads[p], aheads[q], ring)).argmax(1) == cell >> ring.bits
+                yield p[ok], q[ok]
+
+    def by_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, ahead, node, part, wide in groups(batches, BLOCKS, ["ahead", "node", "part", "wide"]):
+            some = np.zeros(len(node), bool)
+            for i, j in near(key[0], ahead, part, wide):
+                some[i] = some[j] = True
+            if n := int(some.sum()):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, k)) for k in key] + [pa.array(x[some]) for x in (ahead, node, part)] + [pa.array(wide[some], pa.binary())], names=[*BLOCKS, "ahead", "node", "part", "wide"])
+
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, ahead, part, wide, sets in groups(batches, BLOCKS, ["ahead", "part", "wide", "shingles"]):
-            bits = np.frombuffer(b"".join(wide), np.uint64).reshape(len(part), -1) & used
+        for key, ahead, part, wide, sets in groups(batches, BLOCKS, ["ahead", "part", "wide", "shingles"]):
             labels, label = np.unique(part, return_inverse=True)
             root = list(range(len(labels)))
 
@@ -291,24 +311,23 @@ def rest(dense: DataFrame, parts: DataFrame, nodes: DataFrame, ring: Ring, block
                     root[k] = k = root[root[k]]
                 return k
 
-            for i, j in apart(ahead, part):
-                for at in range(0, len(i), 1 << 14):
-                    p, q = i[at : at + (1 << 14)], j[at : at + (1 << 14)]
-                    near = np.bitwise_count(bits[p] ^ bits[q]).sum(1, dtype=np.int64) <= ring.far
-                    for x, y in zip(p[near].tolist(), q[near].tolist()):
-                        u, v = top(int(label[x])), top(int(label[y]))
-                        if u != v and (sets[x] is None or similar(sets[x], sets[y], ring.least)):
-                            root[max(u, v)] = min(u, v)
+            for p, q in near(key[0], ahead, part, wide):
+                for x, y in zip(p.tolist(), q.tolist()):
+                    u, v = top(int(label[x])), top(int(label[y]))
+                    if u != v and (sets[x] is None or similar(sets[x], sets[y], ring.least)):
+                        root[max(u, v)] = min(u, v)
             low = np.array([top(k) for k in range(len(labels))])
             less = low < np.arange(len(labels))
             yield pa.RecordBatch.from_arrays([pa.array(labels[less]), pa.array(labels[low[less]])], names=["a", "b"])
 
-    rows = _dealt(named, block).select(*BLOCKS, "ahead", "node", "part").repartition(*BLOCKS).sortWithinPartitions(*BLOCKS)
-    ends = written(rows.mapInArrow(open_ends, "cell bigint, lo bigint, hi bigint, ahead bigint, node bigint, part bigint"), "open")
-    full = ends.join(nodes.select("node", "wide"), "node")
-    full = full.withColumn("shingles", F.lit(None).cast("binary")) if docs is None else full.join(shingle_sets(docs, ends.select("node"), words), "node")
-    full = full.select(*BLOCKS, "ahead", "part", "wide", "shingles")
-    return full.repartition(*BLOCKS).sortWithinPartitions(*BLOCKS).mapInArrow(check, "a bigint, b bigint")
+    dealt = lambda rows: rows.repartition(*BLOCKS).sortWithinPartitions(*BLOCKS)
+    head = "cell bigint, lo bigint, hi bigint, ahead bigint, node bigint, part bigint"
+    rows = _dealt(named, block).select(*BLOCKS, "ahead", "node", "part")
+    ends = written(dealt(rows).mapInArrow(open_ends, head), "open")
+    full = ends.join(nodes.select("node", "wide"), "node").select(*BLOCKS, "ahead", "node", "part", "wide")
+    full = written(dealt(full).mapInArrow(by_bits, head + ", wide binary"), "near")
+    sets = full.withColumn("shingles", F.lit(None).cast("binary")) if docs is None else full.join(shingle_sets(docs, full.select("node"), words), "node")
+    return dealt(sets.select(*BLOCKS, "ahead", "part", "wide", "shingles")).mapInArrow(check, "a bigint, b bigint")
 
 
 def shingle_sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
