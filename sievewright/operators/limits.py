@@ -93,12 +93,35 @@ def replay(hits: DataFrame, limit: Limit, weighted: bool = False) -> DataFrame:
     return rows.repartition("key").sortWithinPartitions("key", "t", "id").mapInArrow(run, f"id bigint, key {kind}, admitted boolean")
 
 
+ADMITTED, FAILED = "toegelaten", "mislukt"
+
+
+def admission(everyone: Meter, own: Meter, reserved: Meter, now: int, weight: float, ok: bool) -> str:
+    """What becomes of a hit: admitted, failed in the work, or the first limit that stops it.
+
+    Request limits count successes and are read before the work; weight is reserved before it and stays
+    so when the work fails.
+    """
+    if everyone.limited(now):
+        return "algemene limiet"
+    if own.limited(now):
+        return "eigen limiet"
+    if reserved.exceeds(now, weight):
+        return "tokenlimiet"
+    reserved.record(now, weight)
+    if not ok:
+        return FAILED
+    everyone.record(now)
+    own.record(now)
+    return ADMITTED
+
+
 def combined(hits: DataFrame, everyone: Limit, each: Limit, tokens: Limit) -> DataFrame:
-    """(id, decision) under three limits: admitted, or the first that stops the hit.
+    """(id, key, decision, used) under three limits; ``used`` is what the client has used once the hit is settled.
 
-    Request limits count successes and are read before the work; the token limit is reserved before it
-    and stays so when the work fails. All hits meet at the global limit, one by one, in a single task
-    that holds no more than the hits of its windows.
+    Hits have a ``lane``, what shares the limits on all requests and on weight. A lane's hits are decided one
+    by one, since each decision depends on all before it: lanes are what is parallel. A task holds no more
+    than the hits of a lane's windows.
     """
     import pyarrow as pa
 
@@ -107,26 +130,19 @@ def combined(hits: DataFrame, everyone: Limit, each: Limit, tokens: Limit) -> Da
     ship(hits.sparkSession)
 
     def run(batches):
-        all_, reserved, keys = Meter(everyone), Meter(tokens), {}
+        lane, all_, reserved, keys = None, Meter(everyone), Meter(tokens), {}
         for batch in batches:
-            out = []
-            for k, t, w, ok in zip(*(batch.column(c).to_pylist() for c in ("key", "t", "w", "ok"))):
+            out, used = [], []
+            for at, k, t, w, ok in zip(*(batch.column(c).to_pylist() for c in ("lane", "key", "t", "w", "ok"))):
+                if at != lane:
+                    lane, all_, reserved, keys = at, Meter(everyone), Meter(tokens), {}
                 own = keys.setdefault(k, Meter(each))
-                if all_.limited(t):
-                    out.append("algemene limiet")
-                elif own.limited(t):
-                    out.append("eigen limiet")
-                elif reserved.exceeds(t, w):
-                    out.append("tokenlimiet")
-                else:
-                    reserved.record(t, w)
-                    out.append("toegelaten" if ok else "mislukt")
-                    if ok:
-                        all_.record(t)
-                        own.record(t)
-            if len(keys) > 10_000:  # keys whose window is empty need no meter
-                keys = {k: m for k, m in keys.items() if m.usage(t)}
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(out, pa.string())], names=["id", "decision"])
-
-    rows = hits.select("id", "key", F.unix_micros("ts").alias("t"), F.col("w").cast("double").alias("w"), "ok")
-    return rows.repartition(1).sortWithinPartitions("t", "id").mapInArrow(run, "id bigint, decision string")
+                out.append(admission(all_, own, reserved, t, w, ok))
+                used.append(int(own.usage(t)))
+                if len(keys) > 10_000:  # keys whose window is empty need no meter
+                    keys = {k: m for k, m in keys.items() if m.usage(t)}
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("key"), pa.array(out, pa.string()), pa.array(used, pa.int64())], names=["id", "key", "decision", "used"])
+
+    rows = hits.select("id", "lane", "key", F.unix_micros("ts").alias("t"), F.col("w").cast("double").alias("w"), "ok")
+    kind = hits.schema["key"].dataType.simpleString()
+    return rows.repartition("lane").sortWithinPartitions("lane", "t", "id").mapInArrow(run, f"id bigint, key {kind}, decision string, used bigint")

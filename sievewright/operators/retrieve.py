@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from sievewright.functions import rules as R
 from sievewright.functions import text as X
+from sievewright.operators import impact
+from sievewright.operators.tables import written
 
 LEAST = 2
 
@@ -90,39 +92,79 @@ def unambiguous(scored: DataFrame, title_scores: DataFrame, items: DataFrame, le
     return won.join(best, "qid").where(~F.col("id").isin(*guarded) | (F.col("best") <= F.col("score")) if guarded else F.lit(True)).select("qid", "id", "score")
 
 
-def ranked_articles(scored: DataFrame, articles: DataFrame) -> DataFrame:
-    """(qid, id, place) by score, those without a successor first, newest first; then each successor that
-    stands behind one it replaces moves right before the first such.
+def ranked_articles(scored: DataFrame, articles: DataFrame, most: int) -> DataFrame:
+    """(qid, id, score, place): the first ``most`` places by score, those without a successor first, newest
+    first; then each successor that stands behind one it replaces moves right before the first such.
 
-    Articles have id, url, superseded_by, published, ord. Where a question's rows hold no chain of
-    successors, a successor's place is half a step before the first row it replaces. Only questions with
-    a chain are ordered as lists, one question at a time.
+    Articles have id, url, superseded_by, published, ord. ``scored`` holds all rows of a question, or at
+    least its first ``most`` and the successors of those.
+
+    Read from the top, a row that is reached pulls its successors, as far as they still stand behind it, to
+    right before itself; a pulled row is not reached any more and pulls nothing. So a row is pulled if a row
+    before it that names it is not pulled itself, and its place is told by the key (place of the first row
+    that pulls it, or its own; pulled or reached; own place). The first ``most`` places hold only the first
+    ``most`` rows and their successors.
+    """
+    rows = written(scored.select("qid", "id", "score").join(articles.select("id", "url", "superseded_by", "published", "ord"), "id"), "scored")
+    by = [F.col("score").desc(), F.col("superseded_by").isNotNull().cast("int"), F.col("published").desc(), "ord", "id"]
+    place = F.row_number().over(Window.partitionBy("qid").orderBy(*by))
+    first = written(rows.withColumn("r", place).where(F.col("r") <= most), "first")
+    names = first.where("superseded_by IS NOT NULL").select("qid", F.col("superseded_by").alias("url"), F.col("r").alias("x"))
+    next_ = rows.join(names.select("qid", "url").distinct(), ["qid", "url"], "left_semi").join(first.select("qid", "id", "r"), ["qid", "id"], "left_anti")
+    after = Window.partitionBy("qid").orderBy(*by)
+    nodes = written(first.select("qid", "id", "score", "url", "r").unionByName(next_.withColumn("r", F.row_number().over(after) + most).select("qid", "id", "score", "url", "r")), "nodes")
+    edges = written(names.join(nodes.select("qid", "url", F.col("r").alias("y")), ["qid", "url"]).where("y > x").select("qid", "x", "y"), "edges")
+    pulled = pulled_rows(edges.where(F.col("y") <= most))
+    pullers = edges.join(pulled.select("qid", F.col("y").alias("x")), ["qid", "x"], "left_anti").groupBy("qid", F.col("y").alias("r")).agg(F.min("x").alias("by"))
+    keyed = nodes.join(pullers, ["qid", "r"], "left").where((F.col("r") <= most) | F.col("by").isNotNull())
+    key = Window.partitionBy("qid").orderBy(F.coalesce("by", "r"), F.col("by").isNull(), "r")
+    return keyed.withColumn("place", F.row_number().over(key)).where(F.col("place") <= most).select("qid", "id", "score", F.col("place").cast("long").alias("place"))
+
+
+def best_articles(questions: DataFrame, idx: impact.Index, articles: DataFrame, most: int = 2, least: int = LEAST, stop=R.QUESTION_STOP) -> DataFrame:
+    """(qid, place, id): the first places of all articles of ``least`` points or more, successors promoted and put
+    in for what they replace. The index lists no more than the first places need; successors of those are
+    scored by lookup."""
+    by = [F.col("superseded_by").isNotNull().cast("int"), F.col("published").desc(), F.col("ord"), F.col("id")]
+    best, named, asked = impact.top(questions, idx, articles.select("id", "superseded_by", "published", "ord"), by, most, least, stop)
+    links = articles.where("superseded_by IS NOT NULL").select("id", F.col("superseded_by").alias("url"))
+    later = best.select("bag", "id").join(links, "id").select("bag", "url").join(articles.select("id", "url"), "url").select("bag", "id")
+    later = later.join(best.select("bag", "id"), ["bag", "id"], "left_anti")
+    rows = best.select("bag", "id", "score").unionByName(impact.full_scores(later, asked, idx).where(F.col("score") >= least))
+    ranked = ranked_articles(rows.withColumnRenamed("bag", "qid"), articles, most)
+    chosen = substituted(ranked, articles).withColumnRenamed("qid", "bag")
+    return named.join(chosen, "bag").select("qid", "place", "id")
+
+
+def pulled_rows(edges: DataFrame) -> DataFrame:
+    """(qid, y): the rows y of edges (qid, x, y) for which some x is not such a row itself; x < y.
+
+    A row with one open predecessor is that predecessor or its contrary, so edges jump over it to what it
+    depends on, and the way a chain is known doubles with each round: a chain of a thousand takes ten.
     """
-    rows = scored.join(articles.select("id", "url", "superseded_by", "published", "ord"), "id")
-    w = Window.partitionBy("qid").orderBy(F.col("score").desc(), F.col("superseded_by").isNotNull().cast("int"), F.col("published").desc(), "ord")
-    rows = rows.withColumn("r", F.row_number().over(w).cast("double"))
-    old = rows.where("superseded_by IS NOT NULL").select("qid", F.col("superseded_by").alias("url"), F.col("r").alias("before"))
-    next_ = rows.groupBy("qid", "url").agg(F.min("r").alias("at"), F.max(F.col("superseded_by").isNotNull()).alias("again"))
-    moves = old.join(next_, ["qid", "url"])
-    chained = moves.where("again").select("qid").distinct()
-    first = moves.where("before < at").groupBy("qid", "url", "at").agg((F.min("before") - 0.5).alias("to"))
-    plain = rows.join(chained, "qid", "left_anti").join(first.withColumnRenamed("at", "r"), ["qid", "url", "r"], "left").select("qid", "id", "score", F.coalesce("to", "r").alias("k"), "r")
-    plain = plain.select("qid", "id", "score", F.row_number().over(Window.partitionBy("qid").orderBy("k", "r")).cast("long").alias("place"))
-
-    def surgery(key, group):
-        import pyarrow as pa
-
-        got = sorted(group.to_pylist(), key=lambda x: x["r"])
-        for i in range(len(got)):
-            to = got[i]["superseded_by"]
-            j = next((k for k in range(i + 1, len(got)) if to is not None and got[k]["url"] == to), None)
-            if j is not None:
-                got.insert(i, got.pop(j))
-        return pa.table({"qid": [x["qid"] for x in got], "id": [x["id"] for x in got], "score": [x["score"] for x in got], "place": list(range(1, len(got) + 1))})
-
-    kinds = ", ".join(f"{c} {plain.schema[c].dataType.simpleString()}" for c in plain.columns)
-    listed = rows.join(chained, "qid", "left_semi").select("qid", "id", "score", "url", "superseded_by", "r").groupBy("qid").applyInArrow(surgery, kinds)
-    return plain.unionByName(listed)
+    known = []
+    open_ = edges.select("qid", "x", "y", F.lit(True).alias("neg"))
+    fresh = open_.select("qid", F.col("x").alias("node")).distinct().join(open_.select("qid", F.col("y").alias("node")).distinct(), ["qid", "node"], "left_anti").withColumn("value", F.lit(False))
+    while True:
+        told = open_.join(fresh.select("qid", F.col("node").alias("x"), "value"), ["qid", "x"], "left")
+        term = F.when(F.col("value").isNotNull(), F.col("value") != F.col("neg"))
+        w = Window.partitionBy("qid", "y")
+        told = told.withColumns({"term": term}).withColumns({"yes": F.coalesce(F.max("term").over(w), F.lit(False)), "left": F.sum(F.col("term").isNull().cast("int")).over(w)})
+        told = written(told, "told")
+        fresh = told.where("yes OR left = 0").select("qid", F.col("y").alias("node"), F.col("yes").alias("value")).distinct()
+        fresh = written(fresh, "fresh")
+        known.append(fresh)
+        rest = told.where("NOT yes AND left > 0 AND term IS NULL")
+        single = rest.where("left = 1").select("qid", F.col("y").alias("x"), F.col("x").alias("to"), F.col("neg").alias("turned"))
+        # an edge to a row that depends on one other now leads to that other, or to its contrary
+        open_ = rest.join(single, ["qid", "x"], "left").select("qid", F.coalesce("to", "x").alias("x"), "y", F.when(F.col("turned").isNull(), F.col("neg")).otherwise(F.col("neg") != F.col("turned")).alias("neg")).distinct()
+        open_ = written(open_, "open")
+        if open_.isEmpty():
+            break
+    out = known[0]
+    for more in known[1:]:
+        out = out.unionByName(more)
+    return out.where("value").select("qid", F.col("node").alias("y"))
 
 
 def substituted(chosen: DataFrame, articles: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from sievewright.functions import rules as R
 from sievewright.functions import text as X
+from sievewright.operators import impact as I
 from sievewright.operators import retrieve as Q
 from sievewright.plans import common as C
 from sievewright.plans.common import table
@@ -73,21 +74,41 @@ SELECT qid, id, score FROM n WHERE rn = 1 AND NOT coalesce(s2 = score AND t2 = t
 
 
 def articles(spark, d):
-    """Documents as articles: their first words, a URL of their own, and for some the next one as successor."""
+    """Documents as articles: first words as title, language and source as category and tag, a URL of their own,
+    and for some the next one as successor."""
     t = F.col("text")
     later = F.when(F.length(t) % 4 == 0, F.concat(F.lit("u"), (F.col("doc_id") + 1).cast("string")))
-    return table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("doc_id").alias("ord"), C.title(t).alias("title"), F.concat(F.lit("u"), "doc_id").alias("url"), later.alias("superseded_by"), (F.length(t) % 365).alias("published"), t.alias("body"))
+    return table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("doc_id").alias("ord"), C.title(t).alias("title"), F.concat(F.lit("u"), "doc_id").alias("url"), later.alias("superseded_by"), (F.length(t) % 365).alias("published"), t.alias("body"), F.concat_ws(" ", t, "lang", "source").alias("fields"))
 
 
 _COMMON = R.QUESTION_STOP + tuple("the of and to it at er or on es with is was that this for are be by la le les el los las un une una que du est sur pour dans au aux der die das und ist ein eine einen mit auf im den dem zu von".split())
 
 
+def article_index(rows):
+    return I.build(rows, [(F.col("fields"), 1)], _COMMON, most=2)
+
+
 def article_ranks(spark, d):
-    """The two best articles per question, successors before what they replace, replaced where that is clear."""
-    found, rows = questions(spark, d), articles(spark, d)
-    scored = Q.scores(found, Q.index(rows, [(F.col("title"), 1)], _COMMON), _COMMON).where(F.col("score") >= Q.LEAST)
-    best = Q.ranked_articles(scored, rows).where("place <= 2")
-    return Q.substituted(best, rows).select("qid", F.col("place").cast("long").alias("place"), "id")
+    """The two best articles per question by their whole text, successors before what they replace, replaced where that is clear."""
+    rows = articles(spark, d)
+    best = Q.best_articles(questions(spark, d), article_index(rows), rows, stop=_COMMON)
+    return best.select("qid", F.col("place").cast("long").alias("place"), "id")
+
+
+_WORDS = lambda c: f"list_filter({C.sql_raw_words(c)}, lambda w: length(w) >= 2 AND w NOT IN ({C.quoted(_COMMON)}))"
+_ARTICLES = f"""
+a AS (SELECT doc_id AS id, 'u' || doc_id AS url, CASE WHEN length(text) % 4 = 0 THEN 'u' || (doc_id + 1) END AS sup, length(text) % 365 AS published, text AS body, {C.sql_title('text')} AS title FROM documents),
+ax AS (SELECT doc_id AS id, unnest(list_distinct({_WORDS("concat_ws(' ', text, lang, source)")})) AS token FROM documents),
+sc AS (SELECT qid, id, count(*) AS score FROM (SELECT qid, unnest({_WORDS('text')}) AS token FROM q) JOIN ax USING (token) GROUP BY ALL HAVING count(*) >= 2),
+rk AS (SELECT qid, id, url, sup, row_number() OVER (PARTITION BY qid ORDER BY score DESC, sup IS NOT NULL, published DESC, id) AS r FROM sc JOIN a USING (id)),
+x1 AS (SELECT qid, id, sup, r FROM rk WHERE r = 1), s1 AS (SELECT k.qid, k.id, k.r FROM rk k JOIN x1 ON x1.qid = k.qid AND x1.sup = k.url AND k.r > 1),
+x2 AS (SELECT qid, id, sup, r FROM rk k WHERE r > 1 AND NOT EXISTS (SELECT 1 FROM s1 WHERE s1.qid = k.qid AND s1.r = k.r) QUALIFY row_number() OVER (PARTITION BY qid ORDER BY r) = 1),
+s2 AS (SELECT k.qid, k.id, k.r FROM rk k JOIN x2 ON x2.qid = k.qid AND x2.sup = k.url AND k.r > x2.r WHERE NOT EXISTS (SELECT 1 FROM s1 WHERE s1.qid = k.qid AND s1.r = k.r)),
+fin AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY part, r) AS place FROM (SELECT qid, id, r, 1 AS part FROM s1 UNION ALL SELECT qid, id, r, 2 FROM x1 UNION ALL SELECT qid, id, r, 3 FROM s2 UNION ALL SELECT qid, id, r, 4 FROM x2)),
+two AS (SELECT qid, place, f.id, sup, url FROM fin f JOIN a USING (id) WHERE place <= 2),
+uniq AS (SELECT url AS sup, min(id) AS next FROM a GROUP BY url HAVING count(*) = 1),
+chosen AS (SELECT t.qid, t.place, CASE WHEN next IS NOT NULL AND NOT EXISTS (SELECT 1 FROM two o WHERE o.qid = t.qid AND o.url = t.sup) AND NOT EXISTS (SELECT 1 FROM two o WHERE o.qid = t.qid AND o.sup = t.sup AND o.place < t.place) THEN next ELSE t.id END AS id FROM two t LEFT JOIN uniq USING (sup))"""
+RANKS_SQL = f"WITH {_Q}, {_ARTICLES} SELECT qid, place, id FROM chosen"
 
 
 def contexts(spark, d):
@@ -96,8 +117,7 @@ def contexts(spark, d):
     idx = item_index(items)
     search = lambda q: Q.top(Q.scores(q, idx), items, 2).select("qid", "id", "place")
     known = Q.retried(search(asked), asked, search).join(items, "id").select("qid", F.lit(1).alias("block"), "place", F.lit("Kennisbank").alias("name"), "title", F.substring("content", 1, 500).alias("snippet"))
-    scored = Q.scores(asked, Q.index(rows, [(F.col("title"), 1)], _COMMON), _COMMON).where(F.col("score") >= Q.LEAST)
-    best = Q.top(scored, rows.withColumn("priority", F.col("published")), 2)
+    best = Q.best_articles(asked, article_index(rows), rows, stop=_COMMON)
     read = best.join(rows, "id").select("qid", F.lit(2).alias("block"), "place", F.lit("Artikel").alias("name"), "title", Q.snippet(F.col("body"), F.col("title"), F.lit(""), F.lit(True)).alias("snippet"))
     contact = asked.where(X.any_of(F.lower("text"), ("contact", "question"))).select("qid", F.lit(3).alias("block"), F.lit(1).alias("place"), F.lit("Contact").alias("name"), F.lit("Contact").alias("title"), F.lit("Bel of mail.").alias("snippet"))
     out = Q.context(known.unionByName(read).unionByName(contact), asked)
@@ -116,4 +136,4 @@ def routes(spark, d):
 
 
 QUERIES = {"items_found": items_found, "follow_ups": follow_ups, "fallback_items": fallback_items, "article_ranks": article_ranks, "contexts": contexts, "answer_routes": routes}
-SQL = {"items_found": FOUND_SQL, "follow_ups": FOLLOW_SQL, "fallback_items": FALLBACK_SQL}
+SQL = {"items_found": FOUND_SQL, "follow_ups": FOLLOW_SQL, "fallback_items": FALLBACK_SQL, "article_ranks": RANKS_SQL}

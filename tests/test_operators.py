@@ -9,7 +9,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from sievewright.functions import text as X
-from sievewright.operators import facets, limits, overlap, retrieve, select, store, tables, validate
+from sievewright.operators import facets, impact, limits, overlap, retrieve, select, store, tables, validate
 from sievewright.sources import feeds
 from sievewright.streaming import limits as streaming
 
@@ -158,22 +158,70 @@ def promoted(rows):
     return [r[0] for r in ranked]
 
 
-def test_promotion_equals_the_list_form(spark):
+@pytest.mark.parametrize("most", [1, 2, 3, 50])
+def test_promotion_equals_the_list_form(spark, most):
     rng = random.Random(11)
     articles, scored, want = [], [], {}
-    for q in range(120):
-        n = rng.randrange(2, 6)
-        rows = [(100 * q + i, rng.randrange(2, 5), f"u{q}-{i}", rng.choice([None, None, f"u{q}-{rng.randrange(n)}"]), rng.randrange(4)) for i in range(n)]
+    for q in range(150):
+        n = rng.randrange(2, 9)
+        url = lambda: f"u{q}-{rng.randrange(n)}"  # noqa: B023, E731
+        rows = [(100 * q + i, rng.randrange(2, 5), f"u{q}-{i}" if q % 3 else url(), rng.choice([None, url(), url()]), rng.randrange(4)) for i in range(n)]  # a third share urls
         articles += [(i, i, u, s, p) for i, _, u, s, p in rows]
         scored += [(f"q{q}", r[0], r[1]) for r in rows]
-        want[f"q{q}"] = promoted(rows)
-    out = retrieve.ranked_articles(spark.createDataFrame(scored, "qid string, id long, score long"), spark.createDataFrame(articles, "id long, ord long, url string, superseded_by string, published long"))
+        want[f"q{q}"] = promoted(rows)[:most]
+    out = retrieve.ranked_articles(spark.createDataFrame(scored, "qid string, id long, score long"), spark.createDataFrame(articles, "id long, ord long, url string, superseded_by string, published long"), most)
     got = {}
     for r in sorted(rows_of(out), key=lambda r: (r["qid"], r["place"])):
         got.setdefault(r["qid"], []).append(r["id"])
     assert got == want
 
 
+def test_a_chain_of_a_thousand_successors(spark):
+    rows = [(i, 5, f"u{i}", f"u{i + 1}", 2000 - i) for i in range(1000)] + [(1000, 5, "u1000", "u1000", 0)]
+    articles = spark.createDataFrame([(i, i, u, s, p) for i, _, u, s, p in rows], "id long, ord long, url string, superseded_by string, published long")
+    out = retrieve.ranked_articles(spark.createDataFrame([("q", r[0], r[1]) for r in rows], "qid string, id long, score long"), articles, 2000)
+    assert [r["id"] for r in sorted(rows_of(out), key=lambda r: r["place"])] == promoted(rows)
+
+
+@pytest.fixture(scope="module")
+def library(spark):
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(60)]
+    pick = lambda n: " ".join(words[min(59, int(rng.paretovariate(0.7)) - 1)] for _ in range(n))
+    items = [(i, pick(rng.randrange(0, 4)), pick(rng.randrange(0, 30)) + rng.choice(["", "", " arbeidsongeschiktheid basisverzekering"])) for i in range(400)]
+    asked = [(f"q{i}", pick(rng.randrange(0, 9)) + rng.choice(["", "", "", " arbeidsongeschiktheidsverzekering"])) for i in range(80)]
+    asked += [("same", asked[3][1]), ("none", "w999"), ("empty", ""), ("null", None)]
+    return items, asked
+
+
+def overlap_score(question, fields):
+    tokens = lambda t: [w for w in (t or "").split() if len(w) > 1]
+    total = 0
+    for text, weight in fields:
+        held = set(tokens(text))
+        total += weight * sum(w in held or w == "arbeidsongeschiktheidsverzekering" and {"arbeidsongeschiktheid", "basisverzekering"} <= held for w in tokens(question))
+    return total
+
+
+@pytest.mark.parametrize("most,weights,long_", [(1, (1, 1), 10), (2, (2, 1), 50_000), (5, (3, 1), 25)])
+def test_the_index_finds_what_a_loop_finds(spark, library, monkeypatch, most, weights, long_):
+    monkeypatch.setattr(impact, "LONG", long_)  # lists this long are dealt over salts
+    items, asked = library
+    want = {}
+    for q, text in asked:
+        scores = [(overlap_score(text, [(t, weights[0]), (b, weights[1])]), i % 7, i) for i, t, b in items]
+        best = sorted((x for x in scores if x[0] >= 2), key=lambda x: (-x[0], x[1], x[2]))[:most]
+        want |= {(q, place): (i, score) for place, (score, _, i) in enumerate(best, 1)}
+    rows = spark.createDataFrame(items, "id long, title string, body string").withColumn("tie", F.col("id") % 7)
+    idx = impact.build(rows, [(F.col("title"), weights[0]), (F.col("body"), weights[1])], most=most)
+    best, named, told = impact.top(spark.createDataFrame(asked, "qid string, text string"), idx, rows.select("id", "tie"), [F.col("tie"), F.col("id")], most, 2)
+    got = {(r["qid"], r["place"]): (r["id"], r["score"]) for r in rows_of(named.join(best, "bag"))}
+    assert got == want
+    bars = impact.thresholds(told, idx, most, 2)
+    listed = impact.opened(told, idx, bars)[0].agg(F.sum("size")).first()[0]
+    assert listed < told.agg(F.sum("df")).first()[0] / 2  # most postings of what is asked are never listed
+
+
 def test_substitution_is_sequential(spark):
     articles = spark.createDataFrame([(1, "a", "n"), (2, "b", "n"), (3, "n", None), (4, "c", "d"), (5, "d", None), (6, "d", None)], "id long, url string, superseded_by string")
     chosen = spark.createDataFrame([("q", 1, 1), ("q", 2, 2), ("q", 3, 4), ("r", 1, 3), ("r", 2, 1)], "qid string, place int, id long")
@@ -256,11 +304,47 @@ def test_window_edge_is_open(spark):
 
 
 def test_three_limits(spark):
-    df = spark.createDataFrame([(i, i % 2, i, 10.0, i != 2) for i in range(8)], "id long, key long, s long, w double, ok boolean").withColumn("ts", F.timestamp_seconds("s"))
+    df = spark.createDataFrame([(i, 0, i % 2, i, 10.0, i != 2) for i in range(8)], "id long, lane long, key long, s long, w double, ok boolean").withColumn("ts", F.timestamp_seconds("s"))
     got = {r["id"]: r["decision"] for r in rows_of(limits.combined(df, limits.Limit(60, 4), limits.Limit(60, 2), limits.Limit(60, 45)))}
     assert got == {0: "toegelaten", 1: "toegelaten", 2: "mislukt", 3: "toegelaten", 4: "tokenlimiet", 5: "eigen limiet", 6: "tokenlimiet", 7: "eigen limiet"}
 
 
+def three_by_hand(hits, everyone, each, tokens):
+    """Decisions and what a client has used after them, hit by hit."""
+    done, held = [], []
+    for i, lane, key, t, w, ok in sorted(hits, key=lambda h: (h[3], h[0])):
+        recent = [h for h in done if h[0] == lane and t - h[2] < everyone.seconds]
+        own = [h for h in done if h[:2] == (lane, key) and t - h[2] < each.seconds]
+        weight = sum(h[1] for h in held if h[0] == lane and t - h[2] < tokens.seconds)
+        stop = "algemene limiet" if len(recent) >= everyone.most else "eigen limiet" if len(own) >= each.most else "tokenlimiet" if weight + w > tokens.most else None
+        if not stop:
+            held.append((lane, w, t))
+            if ok:
+                done.append((lane, key, t))
+        yield i, key, stop or ("toegelaten" if ok else "mislukt"), len(own) + (not stop and ok)
+
+
+def test_three_limits_as_a_stream_and_after_a_restart(spark, tmp_path):
+    rng = random.Random(2)
+    at, hits = 1000, []
+    for i in range(600):
+        at += rng.choice([0, 0, 1, 1, 2, 40 if i % 97 == 0 else 3])
+        hits.append((i, i % 2, rng.randrange(5), at, float(rng.randrange(1, 9)), rng.random() < 0.8))
+    three = limits.Limit(20, 6), limits.Limit(30, 3), limits.Limit(15, 40)
+    want = set(three_by_hand(hits, *three))
+    assert len({w[2] for w in want}) == 5
+    frame = lambda rows: spark.createDataFrame(rows, "id long, lane long, key long, s long, w double, ok boolean").withColumn("ts", F.timestamp_seconds("s")).drop("s")
+    assert {tuple(r.values()) for r in rows_of(limits.combined(frame(hits), *three))} == want
+    source = f"{tmp_path}/in"
+    for part in (hits[:150], hits[150:420], hits[420:]):  # each part is a run of its own, from the checkpoint of the last
+        frame(part).coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(frame(hits[:1]).schema).parquet(source)
+        streaming.to_completion(streaming.three_limits(stream, *three), f"{tmp_path}/out", f"{tmp_path}/state")
+    got = rows_of(spark.read.parquet(f"{tmp_path}/out"))
+    assert sorted(r["id"] for r in got) == [h[0] for h in hits]
+    assert {tuple(r.values()) for r in got} == want
+
+
 # scans
 
 
