@@ -30,62 +30,85 @@ LETTERS = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 els
 LEAST_DOCS = 10
 TOP = 10
 SCALE = 1_000_000_000
-#: Counts a task holds before it hands them on.
-HELD = 200_000
+#: Counts a task holds before it hands them on, and the most rows behind them.
+HELD = 600_000
+HELD_ROWS = 1 << 20
+#: Occurrences and documents of a term are held as one number: documents times this, plus occurrences.
+ONE = 1 << 40
 
 
-def counts(docs: DataFrame, bits: int = 64) -> DataFrame:
-    """(lang, source, digest, n, docs, term): partial counts, each term of a task in one row per group; rows hold no text."""
+def counts(docs: DataFrame, bits: int = 64, named: bool = False) -> DataFrame:
+    """(lang, source, digest, n, docs, term): partial counts, each term in one row per group and task.
+
+    ``term`` stands in the first of the rows a task hands on for it and is null in the others, or in all
+    rows where ``named``.
+    """
 
     def run(batches) -> Iterator:
+        import numpy as np
         import pyarrow as pa
         import xxhash
 
-        held: dict[tuple[str, str], tuple[Counter, Counter]] = {}
-        size = 0
+        shift, low = 64 - bits, 1 << 63 if bits == 64 else 0
 
-        def out():
-            for (lang, source), (n, d) in held.items():
-                terms = list(n)
-                digests = [(xxhash.xxh64_intdigest(t, 11) >> (64 - bits)) - (1 << 63 if bits == 64 else 0) for t in terms]
+        def out(held):
+            digests: dict[bytes, int] = {}
+            for (lang, source), found in held.items():
+                fresh = [t if named or t not in digests else None for t in found]
+                for t in fresh:
+                    if t is not None:
+                        digests[t] = (xxhash.xxh64_intdigest(t, 11) >> shift) - low
+                sums = np.fromiter(found.values(), np.int64, len(found))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([lang] * len(terms), pa.string()), pa.array([source] * len(terms), pa.string()), pa.array(digests, pa.int64()), pa.array(n.values(), pa.int64()), pa.array([d[t] for t in terms], pa.int64()), pa.array(terms, pa.binary())],
+                    [pa.array([lang] * len(found), pa.string()), pa.array([source] * len(found), pa.string()), pa.array([digests[t] for t in found], pa.int64()), pa.array(sums % ONE), pa.array(sums // ONE), pa.array(fresh, pa.binary())],
                     names=["lang", "source", "digest", "n", "docs", "term"],
-                )
+                )
 
+        held: dict[tuple[str, str], dict[bytes, int]] = {}
+        size = rows = 0
         for batch in cut(batches):
             for lang, source, text in zip(*(batch.column(c).to_pylist() for c in ("lang", "source", "text"))):
-                group = held.setdefault((lang, source), (Counter(), Counter()))
-                before = len(group[0])
-                seen = Counter(text.encode("utf-8", "surrogatepass").translate(LETTERS).split())
-                group[0].update(seen)
-                group[1].update(seen.keys())
-                size += len(group[0]) - before
-                if size > HELD:
-                    yield from out()
-                    held, size = {}, 0
-        yield from out()
+                group = held.setdefault((lang, source), {})
+                before = len(group)
+                for term, n in Counter(text.encode("utf-8", "surrogatepass").translate(LETTERS).split()).items():
+                    group[term] = group.get(term, 0) + ONE + n
+                size, rows = size + len(group) - before, rows + 1
+                if size > HELD or rows >= HELD_ROWS:
+                    yield from out(held)
+                    held, size, rows = {}, 0, 0
+        yield from out(held)
 
     filled = docs.select(*[F.coalesce(F.col(c), F.lit("")).alias(c) for c in ("lang", "source", "text")])
     return filled.mapInArrow(run, "lang string, source string, digest long, n long, docs long, term binary")
 
 
-def split(partial: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The counts keyed by (digest, part), and the string of each key.
+def kept_digests(partial: DataFrame, least_docs: int) -> DataFrame:
+    """(lang, digest): what may be a kept term, since so many documents of a language hold it or what shares its digest."""
+    return partial.groupBy("lang", "digest").agg(F.sum("docs").alias("docs")).where(F.col("docs") >= least_docs).select("lang", "digest")
+
+
+def split(docs: DataFrame, partial: DataFrame, least_docs: int, bits: int) -> tuple[DataFrame, DataFrame]:
+    """Sums per group (lang, source, digest, part, n, docs) of what may be kept, and the string of each key (digest, part).
 
     ``part`` is null for a digest of one term; where the smallest and the largest string of a digest
-    differ, it is the string. Only then are strings part of a key.
+    differ, it is the string. Only then are strings part of a key; they are counted anew, since tasks do
+    not name every count.
     """
-    ends = written(partial.groupBy("digest").agg(F.min("term").alias("low"), F.max("term").alias("high")), "terms")
-    shared = ends.where("low <> high")
-    plain = partial.select("lang", "source", "digest", "n", "docs")
+    sums = partial.groupBy("lang", "source", "digest").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    sums = written(sums, "sums")
+    wanted = written(kept_digests(sums, least_docs), "wanted")
+    sums = sums.join(wanted, ["lang", "digest"], "left_semi")
+    ends = partial.where("term IS NOT NULL").select("digest", "term").join(wanted.select("digest").distinct(), "digest", "left_semi")
+    ends = written(ends.groupBy("digest").agg(F.min("term").alias("low"), F.max("term").alias("high")), "terms")
+    shared = ends.where("low <> high").select("digest")
+    none = F.lit(None).cast("binary").alias("part")
     if shared.isEmpty():
-        return plain.withColumn("part", F.lit(None).cast("binary")), ends.select("digest", F.lit(None).cast("binary").alias("part"), F.col("low").alias("term"))
-    shared = shared.select("digest")
-    both = partial.join(shared, "digest", "left_semi").select("lang", "source", "digest", "n", "docs", F.col("term").alias("part"))
-    rest = plain.join(shared, "digest", "left_anti").withColumn("part", F.lit(None).cast("binary"))
-    names = ends.where("low = high").select("digest", F.lit(None).cast("binary").alias("part"), F.col("low").alias("term"))
-    return rest.unionByName(both), names.unionByName(both.select("digest", "part", F.col("part").alias("term")).distinct())
+        return sums.select("lang", "source", "digest", none, "n", "docs"), ends.select("digest", none, F.col("low").alias("term"))
+    again = counts(docs, bits, named=True).join(shared, "digest", "left_semi").withColumnRenamed("term", "part")
+    again = written(again.groupBy("lang", "source", "digest", "part").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")), "again")
+    rest = sums.join(shared, "digest", "left_anti").select("lang", "source", "digest", none, "n", "docs")
+    names = ends.where("low = high").select("digest", none, F.col("low").alias("term"))
+    return rest.unionByName(again), names.unionByName(again.select("digest", "part", F.col("part").alias("term")).distinct())
 
 
 def share(n: Column, total: Column, terms: Column) -> Column:
@@ -101,9 +124,9 @@ def apart(p: Column, q: Column) -> Column:
 def audit(docs: DataFrame, least_docs: int = LEAST_DOCS, top: int = TOP, bits: int = 64) -> DataFrame:
     """(lang, source, part, item, value, rank): how far a source is from each other one, and its telling terms."""
     partial = written(counts(docs, bits), "counts")
-    keyed, names = split(partial)
+    sums, names = split(docs, partial, least_docs, bits)
     key = ["digest", "part"]
-    sums = written(keyed.groupBy("lang", "source", *key).agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")), "sums")
+    sums = written(sums, "split")
     of_lang = sums.groupBy("lang", *key).agg(F.sum("n").alias("lang_n"), F.sum("docs").alias("docs")).where(F.col("docs") >= least_docs).drop("docs")
     same = lambda a, b: (a["lang"] == b["lang"]) & (a["digest"] == b["digest"]) & a["part"].eqNullSafe(b["part"])
     s, k = sums.drop("docs").alias("s"), of_lang.alias("k")
