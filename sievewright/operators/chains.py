@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 from sievewright.functions import text as X
 from sievewright.functions.rules import Rules
 from sievewright.operators import classify as K
+from sievewright.operators import overlap as O
 from sievewright.operators import select as S
 from sievewright.operators.tables import counted_before, written
-from sievewright.sources.feeds import with_pages
+from sievewright.sources.feeds import indexed_locs, with_pages
 
 
 def _first(steps: list[tuple[Column, str]], last: str) -> Column:
@@ -55,6 +56,56 @@ def url_funnel(urls: DataFrame, known: DataFrame, rules: Rules, hubs: tuple[str,
     return placed.withColumn("place", F.when(F.col("_last") == 0, F.col("_before") + 1).cast("int")).drop("_r", "_known", "_last", "_before")
 
 
+def expanded(landed: DataFrame, roots: DataFrame, fits: str, most: int = 50) -> DataFrame:
+    """(loc, level, kind): every sitemap that indexes lead to from ``roots`` (loc), level by level.
+
+    ``landed`` has loc and xml. An index adds its children to the next level's frontier, a table of its own;
+    what was met before, by a shorter way or in a circle, is left out. Kinds: ``index``, ``kaart`` for a map
+    of URLs whose name fits, ``andere naam`` for one that does not, ``niet geland`` for one that is missing.
+    """
+    frontier, met, level = roots.select("loc").distinct(), None, 0
+    while level < most:
+        told = frontier.join(landed.select("loc", "xml"), "loc", "left")
+        index = F.col("xml").rlike(r"(?i)<sitemapindex[\s>]")
+        kind = _first([(F.col("xml").isNull(), "niet geland"), (index, "index"), (~F.col("loc").rlike(fits), "andere naam")], "kaart")
+        now = written(told.select("loc", F.lit(level).alias("level"), kind.alias("kind"), F.when(index, indexed_locs(F.col("xml"))).alias("children")), "frontier")
+        met = now if met is None else met.unionByName(now)
+        frontier = written(now.select(F.explode("children").alias("loc")).distinct().join(met.select("loc"), "loc", "left_anti"), "next")
+        if frontier.isEmpty():
+            break
+        level += 1
+    return met.select("loc", "level", "kind")
+
+
+def index_ingest(urls: DataFrame, pages: DataFrame, known: DataFrame, articles: DataFrame, rules: Rules, hubs: tuple[str, ...], procedures: tuple[str, ...], service: tuple[tuple[str, ...], tuple[str, ...]], page_cap: int, cap: int, depth: int = 2) -> DataFrame:
+    """URLs of an index to records: the funnel on URLs first, then pages are read in order of place, and each
+    row keeps the reason it ended with in ``stage``, ``vastgelegd`` for a record.
+
+    Urls have loc, lastmod, ord, text; pages url_key, title, description; articles id, ord, title, category.
+    A run reads ``page_cap`` pages and makes ``cap`` records; rows behind that are ``niet opgehaald``. Adds
+    ``lowered``, whether a title without a signal lowered the tier, whatever came of the row.
+    """
+    rows = url_funnel(urls, known, rules, hubs, depth)
+    rows = written(rows, "funnel")
+    read = with_pages(rows.where((F.col("stage") == "kandidaat") & (F.col("place") <= page_cap)).drop("stage", "tier", "text"), pages, required=False)
+    both = F.concat_ws(" ", "title", "description")
+    tier, why = K.tier(F.col("title"), F.col("description"), rules)
+    read = read.withColumns({"_tier": tier, "_why": why, "category": K.best_category(both, rules)})
+    read = written(read, "read")
+    alike = O.best_overlap(read.where("title IS NOT NULL").select(F.col("ord").alias("id"), "ord", "title", "category"), articles).select(F.col("id").alias("ord"), F.lit(True).alias("_alike")).distinct()
+    read = read.join(alike, "ord", "left")
+    offered = X.any_of(F.lower(both), procedures) | service_page(F.col("loc"), F.coalesce("title", F.lit("")), *service)
+    late = _first([
+        (F.col("title").isNull() | F.col("description").isNull(), "geen titel of samenvatting"), (offered, "procedure of dienst"),
+        (F.col("_tier") == "afgewezen", "pagina niet relevant"), (F.col("_alike").isNotNull(), "overlap"),
+    ], "vastgelegd")
+    read = written(read.select("ord", "place", late.alias("_stage"), ((F.col("_why") == "titel zonder signaal") & ~offered).alias("_lowered")), "late")
+    read = counted_before(read, None, [F.col("place")], F.col("_stage") == "vastgelegd", "_n").where(F.col("_n") < cap)
+    out = rows.join(read.select("ord", "_stage", "_lowered"), "ord", "left")
+    stage = F.coalesce("_stage", F.when(F.col("stage") == "kandidaat", "niet opgehaald").otherwise(F.col("stage")))
+    return out.withColumns({"stage": stage, "lowered": F.coalesce("_lowered", F.lit(False)), "recorded": stage == "vastgelegd"}).drop("_stage", "_lowered")
+
+
 def topic_ingest(items: DataFrame, pages: DataFrame, known: DataFrame, rules: Rules, now: Column, months: int, page_cap: int, cap: int, budget: int) -> DataFrame:
     """Items of topics to records: age and known keys first, then the page is read, then relevance and caps.
 

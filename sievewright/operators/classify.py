@@ -166,3 +166,23 @@ def term_sql(text: str, rule: Term) -> str:
         return "false"
     low = f"trim(regexp_replace(lower({text}), '\\s+', ' ', 'g'))"
     return "(" + " AND ".join([_has(low, w, False) for w in rule.all] + ([any_sql(low, rule.any)] if rule.any else [])) + ")"
+
+
+def tier_sql(rules: Rules, title: str = "title", whole: str = "whole") -> tuple[str, str]:
+    """The tier and its reason, ``whole`` being title and text."""
+    plain = lambda c: f"replace(lower({c}), '-', ' ')"
+    words = lambda w: [x.lower().replace("-", " ") for x in w]
+    by = scores_sql(whole, rules)
+    strong, comparison, general = (any_sql(plain(whole), words(w)) for w in (rules.strong, rules.comparisons, rules.general))
+    signs = f"({any_sql(plain(title), words(rules.strong))} OR {any_sql(plain(title), words(rules.comparisons))} OR ({' + '.join(scores_sql(title, rules).values())}) > 0)"
+    steps = [
+        (f"({' + '.join(by.values())}) = 0", "afgewezen", "geen categorie"),
+        (f"regexp_matches(trim({whole}), '(?i)^wat is (?:een|de|het)\\b') AND NOT {strong} AND NOT {comparison}", "afgewezen", "alleen definitie"),
+        (f"{general} AND NOT {strong} AND NOT {comparison}", "afgewezen", "algemeen onderwerp"),
+        (f"({strong} OR {comparison}) AND NOT {signs}", "twijfel", "titel zonder signaal"),
+        (strong, "hoog", "sterk trefwoord"),
+        (comparison, "hoog", "vergelijking"),
+        (f"({' + '.join(e for c, e in by.items() if c != rules.legal_form)}) = 0", "afgewezen", "alleen rechtsvorm"),
+    ]
+    case = lambda k, last: "CASE " + " ".join(f"WHEN {x[0]} THEN '{x[k]}'" for x in steps) + f" ELSE '{last}' END"
+    return case(1, "twijfel"), case(2, "brede treffer")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from sievewright.functions import rules as R
 from sievewright.functions import text as X
 from sievewright.operators import classify as K
 from sievewright.functions.rules import SAMPLE
@@ -66,5 +67,43 @@ w AS (SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY i) - 1 AS
 b AS (SELECT page_id, pos, tag, CASE WHEN regexp_matches(l0, '^(?:#|-{{3,}}|\\*{{3,}}|_{{3,}}|={{3,}}|<)') THEN chr(92) || l0 ELSE l0 END AS line FROM w)"""
 BLOCKS_SQL = f"WITH {_BLOCKS} SELECT page_id, pos, tag, line FROM b"
 
-QUERIES = {"page_funnel": funnel, "page_clean": clean, "page_blocks": page_blocks}
-SQL = {"page_funnel": FUNNEL_SQL, "page_blocks": BLOCKS_SQL}
+def news_pages(spark, d):
+    """Documents as news pages: scripts and comments repeat the markers, menus and forms stand around the text,
+    a figure and documents inside it; some lack a marker."""
+    esc = lambda c: F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    markers = "Nieuwsbericht 01-01-2020 | 08:00 <p>Uit een script, lang genoeg om als alinea mee te tellen.</p> Heeft deze informatie u geholpen?"
+    lines = F.transform(F.split(esc(F.col("text")), "\n"), lambda x, i: F.when(i % 4 == 3, F.concat(F.lit("<li class='x'>"), x, F.lit("</li>"))).otherwise(F.concat(F.lit("<p>"), x, F.lit("</p>"))))
+    id_ = F.col("doc_id")
+    html = F.concat(
+        F.lit(f"<a href='#c'>Ga direct naar inhoud</a><header><nav><ul><li><a href='/'>Start</a></li></ul></nav></header><form>Vul in wat u zoekt</form><script>var a = '{markers}';</script><!-- {markers} --><main><h1>Titel</h1><p>"),
+        F.when(id_ % 11 == 5, "Toespraak").otherwise("Nieuwsbericht"), F.lit("&nbsp;<span>06-10-2025</span> &#124; <b>08:00</b></p>"), F.array_join(lines, "\n"),
+        F.lit("<figure><p>Een bijschrift dat lang genoeg is om als alinea mee te tellen.</p></figure><h2> Documenten </h2><p>Een document dat lang genoeg is om als alinea mee te tellen.</p><div>"),
+        F.when(id_ % 13 == 7, "Einde").otherwise("Heeft deze&nbsp;informatie u geholpen?"), F.lit("</div></main><footer>Terug naar boven</footer>"),
+    )
+    return table(spark, d, "documents").select("doc_id", html.alias("html"))
+
+
+def news_bodies(spark, d):
+    return P.news_bodies(news_pages(spark, d), 1500).select("doc_id", F.length("body").cast("long").alias("n_body"), F.md5("body").alias("body_md5"))
+
+
+def _news_sql() -> str:
+    line = "replace(replace(trim(regexp_replace(x, '\\s+', ' ', 'g')), '<', '&lt;'), '>', '&gt;')"
+    mark = lambda c: f"CASE WHEN regexp_matches({c}, '^(?:#|-{{3,}}|\\*{{3,}}|_{{3,}}|={{3,}}|<)') THEN chr(92) || {c} ELSE {c} END"
+    short = "|".join(a.replace(".", r"\.") for a in R.ABBREVIATIONS)
+    ends = "i > 1 AND regexp_full_match(coalesce(cs[i + 1], ''), '\\s?') AND (cs[i] IN ('.', '!', '?') OR regexp_full_match(cs[i], '[\\x{201D}\"\\x{2019}'')]') AND cs[i - 1] IN ('.', '!', '?'))"
+    return f"""
+WITH x AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, unnest(range(len(string_split(text, chr(10))))) AS i FROM documents WHERE doc_id % 11 <> 5 AND doc_id % 13 <> 7),
+l AS (SELECT doc_id, i, i % 4 <> 3 AS p, {mark("CASE WHEN i % 4 = 3 THEN '- ' || l ELSE l END")} AS l FROM (SELECT doc_id, i, {line} AS l FROM x) WHERE l <> ''),
+o AS (SELECT *, coalesce(sum(length(l) + 2) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start_ FROM l),
+j AS (SELECT doc_id, string_agg(l, chr(10) || chr(10) ORDER BY i) AS j FROM o GROUP BY doc_id),
+c AS (SELECT doc_id, j, CASE WHEN length(j) > 1500 THEN list_max(list_filter(list_filter(range(1, 1501), lambda i: {ends}), lambda i: NOT regexp_matches(j[greatest(1, i - 11):i], '(?i)(?:^|\\s)(?:{short})\\.$'))) END AS cut FROM (SELECT *, string_split(j[:1501], '') AS cs FROM j)),
+b AS (SELECT doc_id, CASE WHEN length(j) <= 1500 THEN j WHEN cut > 0 THEN rtrim(j[:cut]) END AS body FROM c),
+n AS (SELECT doc_id, count(*) FILTER (p AND least(length(l), length(body) - start_) >= 40) AS n FROM o JOIN b USING (doc_id) GROUP BY doc_id),
+g AS (SELECT doc_id, body FROM b JOIN n USING (doc_id) WHERE n >= 2 AND length(body) >= 400)
+SELECT doc_id, length(body)::BIGINT AS n_body, md5(body) AS body_md5 FROM documents LEFT JOIN g USING (doc_id)
+"""
+
+
+QUERIES = {"page_funnel": funnel, "page_clean": clean, "page_blocks": page_blocks, "news_bodies": news_bodies}
+SQL = {"page_funnel": FUNNEL_SQL, "page_blocks": BLOCKS_SQL, "news_bodies": _news_sql()}

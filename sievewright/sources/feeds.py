@@ -53,9 +53,15 @@ def news_items(maps: DataFrame, xml: str = "xml") -> DataFrame:
     return out.where("title IS NOT NULL AND loc IS NOT NULL AND loc <> ''").withColumn("pub_date", F.coalesce("published", "lastmod")).drop("published", "lastmod")
 
 
+def indexed_locs(xml: Column) -> Column:
+    """The sitemaps an index names, references undone."""
+    locs = F.regexp_extract_all(_bare(xml), F.lit(r"(?is)<loc>\s*(.*?)\s*</loc>"), F.lit(1))
+    return F.transform(locs, lambda x: F.replace(x, F.lit("&amp;"), F.lit("&")))
+
+
 def indexed_maps(index: DataFrame, xml: str = "xml", pattern: str = r"documents-\d+\.xml$") -> DataFrame:
     """(loc): the sitemaps of an index whose name fits."""
-    return index.select(F.explode(F.regexp_extract_all(_bare(F.col(xml)), F.lit(r"(?is)<loc>\s*(.*?)\s*</loc>"), F.lit(1))).alias("loc")).where(F.col("loc").rlike(pattern))
+    return index.select(F.explode(indexed_locs(F.col(xml))).alias("loc")).where(F.col("loc").rlike(pattern))
 
 
 def search_results(pages: DataFrame, base: str, body: str = "body") -> DataFrame:

@@ -18,6 +18,14 @@ ENTITIES = {
 }
 NO_CONTENT = r"(?is)<!--.*?-->|<(script|style|noscript|template|svg|iframe)\b.*?</\1\s*>"
 ASIDE = r"(?is)<(nav|aside|header|footer|form|button|dialog)\b.*?</\1\s*>"
+FIGURE = r"(?is)<figure\b.*?</figure\s*>"
+# What stands around the text of a news page, in HTML: a line of kind, date and time before it, a
+# question after it, a heading of documents inside it, and words of the site's own parts.
+GAP = r"(?:\s|&nbsp;|&#160;|<[^>]*>)*"
+NEWS_START = rf"Nieuwsbericht{GAP}\d{{2}}-\d{{2}}-\d{{4}}{GAP}(?:\||&#124;|&#x7c;){GAP}\d{{2}}:\d{{2}}"
+NEWS_END = r"Heeft(?:\s|&nbsp;)+deze(?:\s|&nbsp;)+informatie(?:\s|&nbsp;)+u(?:\s|&nbsp;)+geholpen"
+NEWS_STOP = r">\s*(?:Documenten|Bijlagen|Downloads)\s*<"
+NEWS_BOILERPLATE = r"(?i)Vul in wat u zoekt|Heeft deze informatie|Terug naar boven|Ga direct naar inhoud"
 MINISTRIES = {"ministerie-van-financien": "Ministerie van Financiën"}
 
 
@@ -38,7 +46,7 @@ def decode(c: Column) -> Column:
     valid = F.filter(numbers, lambda n: (code(n) > 0) & (code(n) <= 0x10FFFF) & (code(n) != 38))
     out = F.aggregate(valid, c, lambda acc, n: F.replace(acc, F.concat(F.lit("&#"), n, F.lit(";")), char(n)))
     out = F.when(F.instr(c, "&") > 0, reduce(lambda a, e: F.replace(a, F.lit(f"&{e[0]};"), F.lit(e[1])), ENTITIES.items(), out)).otherwise(c)
-    return F.regexp_replace(out, "(?i)&(?:amp|#38|#x26);", "&")
+    return F.regexp_replace(out, "(?i)&(?:amp|#0*38|#x0*26);", "&")
 
 
 def block_text(inner: Column) -> Column:
@@ -95,8 +103,9 @@ def region(html: Column, tag: str, end: str | None = None) -> Column:
 
 
 def between(html: Column, start: str, end: str, stop: str | None = None) -> Column:
-    """What stands between two markers, cut at ``stop``; null where either is missing."""
-    bare = F.regexp_replace(html, NO_CONTENT, " ")
+    """What stands between two markers, cut at ``stop``; null where either is missing. Markers inside scripts,
+    comments and figures are none."""
+    bare = F.regexp_replace(F.regexp_replace(html, NO_CONTENT, " "), FIGURE, " ")
     after = F.get(F.split(bare, f"(?is){start}", 2), 1)
     parts = F.split(after, f"(?is){end}", 2)
     inner = F.when(F.size(parts) > 1, F.get(parts, 0))
@@ -114,12 +123,17 @@ def blocks(inner: Column, links: bool = False) -> Column:
     return F.transform(F.filter(lines, lambda x: x["line"] != ""), lambda x: F.struct(x["tag"].alias("tag"), marked(x).alias("line")))
 
 
-def body(found: Column, most: int = 8000, least: int = 400, paragraph: int = 40, paragraphs: int = 2, boilerplate: str | None = None, after: bool = False) -> Column:
-    """Blocks joined by blank lines and cut at a sentence; null if too short, boilerplate, or of too few paragraphs.
+def joined(found: Column, most: int) -> Column:
+    """Blocks joined by blank lines and cut at a sentence."""
+    return X.truncate_sentence(F.array_join(F.transform(found, lambda x: x["line"]), "\n\n"), most)
+
 
-    ``after`` counts paragraphs on what survives the cut, else on all blocks.
+def told(found: Column, text: Column, least: int, paragraph: int, paragraphs: int, boilerplate: str | None, after: bool) -> Column:
+    """``text``, or null if it is too short, boilerplate, or of too few paragraphs.
+
+    ``after`` counts paragraphs on what survives the cut, else on all blocks; ``text`` should then be a
+    column, since it is looked at once a block.
     """
-    text = X.truncate_sentence(F.array_join(F.transform(found, lambda x: x["line"]), "\n\n"), most)
     start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("n"))
 
     def step(acc, x):
@@ -130,6 +144,19 @@ def body(found: Column, most: int = 8000, least: int = 400, paragraph: int = 40,
     return F.when(ok & ~text.rlike(boilerplate) if boilerplate else ok, text)
 
 
+def body(found: Column, most: int = 8000, least: int = 400, paragraph: int = 40, paragraphs: int = 2) -> Column:
+    """Blocks joined by blank lines and cut at a sentence; null if too short or of too few paragraphs, counted before the cut."""
+    return told(found, joined(found, most), least, paragraph, paragraphs, None, False)
+
+
+def news_bodies(pages: DataFrame, most: int = 8000, least: int = 400, paragraph: int = 40, paragraphs: int = 2) -> DataFrame:
+    """Adds ``body`` to pages with ``html``: the text of a news page between its markers, as markdown; null where it
+    cannot be told. Each step is a column of its own, made once."""
+    rows = pages.withColumn("_blocks", blocks(between(F.col("html"), NEWS_START, NEWS_END, NEWS_STOP), links=True))
+    rows = rows.withColumn("_text", joined(F.col("_blocks"), most))
+    return rows.withColumn("body", told(F.col("_blocks"), F.col("_text"), least, paragraph, paragraphs, NEWS_BOILERPLATE, True)).drop("_blocks", "_text")
+
+
 def clean_pages(pages: DataFrame, tag: str = "article", suffix: str = "") -> DataFrame:
     """One row per page: key, title, description, ministry, heading, body."""
     html = F.col("html")
