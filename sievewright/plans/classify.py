@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from sievewright.functions.rules import SAMPLE
 from sievewright.operators import classify as K
+from sievewright.operators import rule_tables as T
 from sievewright.plans import common as C
 from sievewright.plans.common import table
 
@@ -50,6 +51,35 @@ FROM g
 """
 
 
+def relevance_by_table(spark, d):
+    """The same gate by a rule table instead of rules in the plan."""
+    day, now = F.date_add(F.lit("2024-01-01").cast("date"), F.length("text") % 60).cast("timestamp"), F.lit("2024-02-01").cast("timestamp")
+    out = T.relevance(documents(spark, d).select("doc_id", "text", "title"), T.rule_table(spark, SAMPLE), SAMPLE.default, (day, now))
+    return out.select("doc_id", "keyword", "audience", "signal", "corroborated", "barred", "relevant", "hint", "category", F.array_join("audiences", ",").alias("audiences"), "priority")
+
+
+def passage_rules(spark, d):
+    """A rule per benchmark passage, its longer words the keywords, every other one between word borders."""
+    words = F.array_distinct(F.filter(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0)), lambda w: F.length(w) >= 4))
+    rows = table(spark, d, "benchmark").select(F.col("item_id").cast("int").alias("rule"), F.explode(words).alias("word"))
+    return rows.select("rule", F.lit("categorie").alias("kind"), F.concat(F.lit("p"), "rule").alias("name"), F.col("rule").alias("rank"), F.lit("woord").alias("part"), "word", (F.length("word") % 2 == 0).alias("whole"), F.lit(False).alias("broad"), F.lit("text").alias("scope"))
+
+
+def passage_words(spark, d):
+    """Per document and passage how many of the passage's words the document holds, from 5 on."""
+    out = T.matched(documents(spark, d).select("doc_id", "title", "text"), passage_rules(spark, d))
+    return out.select("doc_id", F.explode("matches").alias("m")).select("doc_id", F.col("m.name").alias("passage"), F.col("m.n").cast("long").alias("n")).where("n >= 5")
+
+
+PASSAGE_SQL = """
+WITH r AS (SELECT item_id, unnest(list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z]+'), lambda w: length(w) >= 4))) AS word FROM benchmark),
+w AS (SELECT word, length(word) % 2 = 0 AS whole, list(item_id) AS items FROM r GROUP BY word),
+d AS (SELECT doc_id, lower(text) AS low FROM documents), t AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(low, '[a-z0-9_]+'))) AS word FROM d),
+h AS (SELECT doc_id, items FROM t JOIN w USING (word) WHERE whole UNION ALL SELECT doc_id, items FROM d JOIN w ON NOT whole AND contains(low, word))
+SELECT doc_id, 'p' || i AS passage, count(*) AS n FROM (SELECT doc_id, unnest(items) AS i FROM h) GROUP BY ALL HAVING count(*) >= 5
+"""
+
+
 def tiers(spark, d):
     tier, reason = K.tier(F.col("title"), F.col("text"), SAMPLE)
     return documents(spark, d).select("doc_id", tier.alias("tier"), reason.alias("reason"))
@@ -79,5 +109,5 @@ SELECT doc_id, {case(1, 'twijfel')} AS tier, {case(2, 'brede treffer')} AS reaso
 """
 
 
-QUERIES = {"category_scores": category_scores, "relevance": relevance, "tiers": tiers}
-SQL = {"category_scores": SCORES_SQL, "relevance": _relevance_sql(), "tiers": _tiers_sql()}
+QUERIES = {"category_scores": category_scores, "relevance": relevance, "relevance_by_table": relevance_by_table, "passage_words": passage_words, "tiers": tiers}
+SQL = {"category_scores": SCORES_SQL, "relevance": _relevance_sql(), "relevance_by_table": _relevance_sql(), "passage_words": PASSAGE_SQL, "tiers": _tiers_sql()}

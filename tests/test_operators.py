@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import re
 from collections import Counter
 
 import pytest
@@ -9,8 +10,9 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from sievewright.functions import text as X
-from sievewright.operators import facets, impact, limits, overlap, retrieve, select, store, tables, validate
-from sievewright.sources import feeds
+from sievewright.functions.rules import Rules, Term
+from sievewright.operators import chains, facets, impact, limits, overlap, retrieve, rule_tables, select, store, tables, validate
+from sievewright.sources import feeds, pages
 from sievewright.streaming import limits as streaming
 
 
@@ -345,6 +347,64 @@ def test_three_limits_as_a_stream_and_after_a_restart(spark, tmp_path):
     assert {tuple(r.values()) for r in got} == want
 
 
+# rule tables
+
+
+def test_five_thousand_keywords_in_one_pass(spark):
+    rng = random.Random(8)
+    part = lambda n: "".join(rng.choice("abcdeé _") for _ in range(n)).strip() or "a"
+    words = list({part(rng.randrange(2, 6)) for _ in range(5000)} | {"a b", "a  b", "b\tc"})
+    rows = [(i % 40, "categorie", f"c{i % 40}", i % 40, "woord", w, i % 3 == 0, i % 5 == 0, "text") for i, w in enumerate(words)]
+    texts = ["", None, "A B a  b b\tc", *[part(rng.randrange(1, 60)).upper() for _ in range(150)]]
+    docs = spark.createDataFrame([(i, t, t) for i, t in enumerate(texts)], "id long, title string, text string")
+    found = rule_tables.matched(docs, spark.createDataFrame(rows, rule_tables.SCHEMA)).select("id", F.explode("matches").alias("m")).select("id", "m.name", "m.n", "m.narrow")
+    want = set()
+    for i, t in enumerate(texts):
+        low = (t or "").lower()
+        one = " ".join(low.split())
+        n, narrow = Counter(), Counter()
+        for _, _, name, _, _, w, whole, broad, _ in rows:
+            text = low if " " in w else one
+            pattern = rf"(?<![A-Za-z0-9_]){re.escape(w)}(?![A-Za-z0-9_])" if whole else re.escape(w)
+            if re.search(pattern, text):
+                n[name] += 1
+                narrow[name] += not broad
+        want |= {(i, name, n[name], narrow[name]) for name in n}
+    assert {tuple(r.values()) for r in rows_of(found)} == want
+
+
+def test_rules_of_terms_by_table(spark):
+    rules = Rules(categories={}, signals=(Term(all=("een wet", "nu"), any=("ja", "nee"), category="x"), Term(all=("alleen",)), Term()), exclusions=(Term(any=("reclame",), unless=("toch",)), Term(any=("gratis",), scope="title")))
+    texts = [("", "een  wet nu ja"), ("", "een wet nu"), ("", "alleen"), ("", "reclame alleen"), ("", "reclame toch alleen"), ("Gratis", "alleen"), ("x", "gratis alleen"), ("Gratis toch", "alleen")]
+    docs = spark.createDataFrame([(i, *t) for i, t in enumerate(texts)], "id long, title string, text string")
+    now = F.lit("2024-01-01").cast("timestamp")
+    out = rule_tables.relevance(docs, rule_tables.rule_table(spark, rules), "over", (now, now))
+    assert {r["id"]: (r["signal"], r["hint"], r["barred"], r["relevant"]) for r in rows_of(out)} == {
+        0: (True, "x", False, True), 1: (False, None, False, False), 2: (True, None, False, True), 3: (True, None, True, False),
+        4: (True, None, False, True), 5: (True, None, True, False), 6: (True, None, False, True), 7: (True, None, True, False),
+    }
+
+
+# chains
+
+
+def test_an_index_in_a_circle(spark):
+    xml = lambda *locs: "<sitemapindex>" + "".join(f"<sitemap><loc> {x} </loc></sitemap>" for x in locs) + "</sitemapindex>"
+    landed = spark.createDataFrame([("r", xml("a", "b", "documents-1.xml")), ("a", xml("r", "b", "c")), ("b", xml("documents-2.xml", "other.xml")), ("c", xml("documents-2.xml", "documents-3.xml?a=1&amp;b=documents-3.xml")), ("documents-1.xml", "<urlset/>"), ("documents-2.xml", "<urlset/>"), ("other.xml", "<urlset/>"), ("not met", "<urlset/>")], "loc string, xml string")
+    got = {r["loc"]: (r["level"], r["kind"]) for r in rows_of(chains.expanded(landed, spark.createDataFrame([("r",)], "loc string"), r"documents-\d+\.xml$"))}
+    assert got == {"r": (0, "index"), "a": (1, "index"), "b": (1, "index"), "documents-1.xml": (1, "kaart"), "documents-2.xml": (2, "kaart"), "other.xml": (2, "andere naam"), "c": (2, "index"), "documents-3.xml?a=1&b=documents-3.xml": (3, "niet geland")}
+
+
+def test_news_text_between_markers(spark):
+    long_ = "Een alinea die lang genoeg is om als inhoud mee te tellen, met een zin. " * 4
+    fake = f"Nieuwsbericht 01-01-2020 | 08:00 <p>nep {long_}</p> Heeft deze informatie u geholpen"
+    page = f"<script>{fake}</script><!-- {fake} --><style>{fake}</style><main><p>NIEUWSBERICHT<br/>&nbsp;06-10-2025 <i>&#x7c;</i> 08:00</p><p>{long_}</p><figure>{fake}</figure><h2>Kop &#0038; staart</h2><ul><li><a href='x'>link</a></li></ul><p>{long_}</p><h2> Bijlagen </h2><p>weg {long_}</p><div>Heeft&nbsp;deze informatie u geholpen?</div><p>na {long_}</p>"
+    docs = spark.createDataFrame([(1, page), (2, page.replace("NIEUWSBERICHT", "Toespraak")), (3, page.replace("u geholpen?", "iets")), (4, page.replace("Kop", "Terug naar boven")), (5, None)], "n int, html string")
+    got = {r["n"]: r["body"] for r in rows_of(pages.news_bodies(docs))}
+    assert got.pop(1) == f"{long_.strip()}\n\nKop & staart\n\n- link\n\n{long_.strip()}"
+    assert set(got.values()) == {None}
+
+
 # scans
 
 
