@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from sievewright.functions import text as X
 from sievewright.functions.rules import SAMPLE
+from sievewright.operators import chains as H
 from sievewright.operators import classify as K
 from sievewright.operators import overlap as O
 from sievewright.operators import select as S
@@ -14,9 +15,11 @@ from sievewright.operators.tables import written
 from sievewright.plans import common as C
 from sievewright.plans.classify import SQL as CLASSIFY_SQL
 from sievewright.plans.common import table
+from sievewright.sources import feeds as G
 
 NOW = "2024-02-15 00:00:00"
 BUDGET, CAP = 45, 10
+YEARLESS = r"regexp_replace(title, '\b20[0-9]{2}\b', ' ', 'g')"
 
 
 def items(spark, d):
@@ -106,6 +109,50 @@ SELECT id, tier, reason, CASE WHEN tier IS NULL THEN 'rejected' WHEN id IN (SELE
 """
 
 
+def candidate_rows(spark, d):
+    """Documents as records: a third with a year in the title, some of the days to come, some announcing a law."""
+    n = F.length("text")
+    rows = items(spark, d).select("doc_id", "source", "title", "link", "text", "day")
+    title = F.when(n % 3 == 0, F.concat("title", F.lit(" "), (2020 + n % 5).cast("string"))).otherwise(F.col("title"))
+    text = F.when(n % 6 == 0, F.concat("text", F.lit(" De wet geldt per 1 januari 2027."))).otherwise(F.col("text"))
+    return rows.select(F.col("doc_id").alias("id"), F.col("doc_id").alias("ord"), title.alias("title"), F.col("source").alias("category"), F.col("link").alias("url"), text.alias("text"), F.date_add("day", 20).cast("timestamp").alias("published"))
+
+
+def candidate_reasons(spark, d):
+    """Each unlabelled document as a subject to write about, held against labelled ones as articles and open proposals, with its reason and choice."""
+    rows = candidate_rows(spark, d)
+    labels = table(spark, d, "labels").select(F.col("doc_id").alias("id"))
+    mine, theirs = rows.join(labels, "id", "left_anti"), rows.join(labels, "id", "left_semi").withColumn("source_url", F.when(F.col("id") % 2 == 0, F.col("url")))
+    bodies = mine.where("id % 17 = 0").select(F.lit("auto/x").alias("headRefName"), F.when(F.col("id") % 2 == 0, "2024-01-01").alias("mergedAt"), F.lit("OPEN").alias("state"), F.concat(F.lit("<!-- bron: "), "url", F.lit(" -->")).alias("body"))
+    strength, _ = K.tier(F.col("title"), F.col("text"), SAMPLE)
+    out = H.judged_candidates(mine, theirs, G.proposal_urls(bodies, "auto/", "bron"), F.lit(NOW).cast("timestamp"), "(?i)license|wet", strength, F.col("category").isin("src2", "src0"))
+    out = written(out.withColumn("important", F.length("text") % 7 == 0).select("id", "title", "category", "tier", "reason", "important", "published"), "candidates")
+    picked = S.pick_topics(out.where("tier IS NOT NULL"))
+    return out.join(picked.select("id", "choice"), "id", "left").select("id", "tier", "reason", F.coalesce("choice", F.lit("rejected")).alias("choice"))
+
+
+def _candidates_sql() -> str:
+    strength, _ = K.tier_sql(SAMPLE, "title", "concat_ws(' ', title, text)")
+    ws, ts = f"list_sort(list_distinct({C.sql_significant('title')}))", f"list_distinct(list_filter({C.sql_significant(YEARLESS)}, lambda w: NOT regexp_full_match(w, '[0-9]+')))"
+    jac = "len(list_intersect(c.ws, x.ws)) / len(list_distinct(c.ws || x.ws)) >= 0.4 AND c.category = x.category"
+    return f"""
+WITH t AS (SELECT doc_id AS id, {C.sql_title('text')} AS t0, text AS x0, length(text) AS n, source AS category, doc_id IN (SELECT doc_id FROM labels) AS lab FROM documents),
+d AS (SELECT id, n, category, lab, CASE WHEN n % 3 = 0 THEN t0 || ' ' || (2020 + n % 5) ELSE t0 END AS title, CASE WHEN n % 3 = 0 THEN 2020 + n % 5 END AS y, CASE WHEN n % 6 = 0 THEN x0 || ' De wet geldt per 1 januari 2027.' ELSE x0 END AS text,
+      regexp_replace('https://' || category || '.example/' || regexp_replace(regexp_replace({C.sql_fold('t0')}, '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g')[:80], '/+$', '') AS url, CASE WHEN n % 50 <> 0 THEN DATE '2024-02-15' - (n % 120)::INT + 20 END AS day FROM t),
+e AS (SELECT *, {ws} AS ws, {ts} AS ts FROM d), m AS (SELECT * FROM e WHERE NOT lab), a AS (SELECT * FROM e WHERE lab),
+al AS (SELECT DISTINCT m.id FROM m JOIN a ON len(m.ws) > 0 AND len(a.ws) > 0 AND m.category = a.category AND len(list_intersect(m.ws, a.ws)) >= 0.4 * len(list_distinct(m.ws || a.ws))),
+yr AS (SELECT DISTINCT m.id FROM m JOIN a ON a.y >= m.y AND len(m.ts) >= 2 AND len(list_intersect(m.ts, a.ts)) >= 0.75 * len(m.ts)),
+s AS (SELECT m.*, {strength} AS kt, regexp_matches(text, '(?i)license|wet') AS law, n % 6 = 0 AS future, category IN ('src2', 'src0') AS special, DATE '2024-02-15' - day AS age, length(text) % 7 = 0 AS imp FROM m),
+r AS (SELECT *, CASE WHEN url IN (SELECT url FROM a WHERE id % 2 = 0) THEN 'bron al gebruikt' WHEN url IN (SELECT url FROM m WHERE id % 17 = 0 AND id % 2 = 1) THEN 'bron in een voorstel' WHEN length(text) < 600 THEN 'te weinig brontekst'
+  WHEN id IN (SELECT id FROM al) THEN 'onderwerp al behandeld' WHEN id IN (SELECT id FROM yr) THEN 'jaargebonden onderwerp al behandeld' WHEN special AND law AND future THEN 'aangekondigde wijziging' WHEN special AND kt = 'hoog' THEN 'blijvend relevante uitleg'
+  WHEN special THEN 'geen sterk signaal' WHEN day IS NULL THEN 'geen publicatiedatum' WHEN age < -1 THEN 'publicatiedatum in de toekomst' WHEN age <= 14 THEN 'actueel bericht' WHEN law AND (age <= 90 OR future) THEN 'nieuwe of aangekondigde regelgeving' ELSE 'niet meer actueel' END AS reason FROM s),
+c AS (SELECT *, CASE reason WHEN 'actueel bericht' THEN 1 WHEN 'nieuwe of aangekondigde regelgeving' THEN 2 WHEN 'aangekondigde wijziging' THEN 2 WHEN 'blijvend relevante uitleg' THEN 3 END AS tier FROM r),
+x AS (SELECT * FROM c WHERE tier < 3 ORDER BY tier, imp DESC, day DESC, id LIMIT 1),
+y AS (SELECT c.* FROM c, x WHERE c.tier < 3 AND c.id <> x.id AND NOT ({jac}) ORDER BY c.tier, c.imp DESC, c.day DESC, c.id LIMIT 1)
+SELECT id, tier, reason, CASE WHEN tier IS NULL THEN 'rejected' WHEN id IN (SELECT id FROM x UNION SELECT id FROM y) THEN 'selected' ELSE 'deferred' END AS choice FROM c
+"""
+
+
 def highlights(spark, d):
     """Four parts, spread over brands and types."""
     rows = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("category"), F.col("p_type").alias("source"), (F.col("p_size") == 50).alias("featured"), (F.col("p_size") % 3).alias("weight"), F.col("p_retailprice").alias("published"))
@@ -149,5 +196,5 @@ def recent(spark, d):
 
 RECENT_SQL = "SELECT o_orderkey, (DATE '1998-08-31' - o_orderdate::DATE)::BIGINT AS age FROM orders WHERE o_orderdate >= TIMESTAMP '1998-08-31' - INTERVAL 6 MONTH AND o_orderdate <= TIMESTAMP '1998-08-31'"
 
-QUERIES = {"ingest": ingest, "ingest_reasons": ingest_reasons, "topics": topics, "highlights": highlights, "read_caps": read_caps, "result_pages": result_pages, "recent_orders": recent}
-SQL = {"ingest": INGEST_SQL, "ingest_reasons": REASONS_SQL, "topics": _topics_sql(), "read_caps": READ_SQL, "result_pages": PAGES_SQL, "recent_orders": RECENT_SQL}
+QUERIES = {"ingest": ingest, "ingest_reasons": ingest_reasons, "topics": topics, "candidate_reasons": candidate_reasons, "highlights": highlights, "read_caps": read_caps, "result_pages": result_pages, "recent_orders": recent}
+SQL = {"ingest": INGEST_SQL, "ingest_reasons": REASONS_SQL, "topics": _topics_sql(), "candidate_reasons": _candidates_sql(), "read_caps": READ_SQL, "result_pages": PAGES_SQL, "recent_orders": RECENT_SQL}
