@@ -64,7 +64,7 @@ def leaves(docs: DataFrame, now: Column) -> DataFrame:
 def placed(rows: DataFrame) -> DataFrame:
     """Adds ``tree`` (place of the source in order), ``n`` (its leaves) and ``idx`` (place of a leaf in it, from 0)."""
     order = ["source", "doc_id", "leaf"]
-    dealt = written(rows.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "leaves")
+    dealt = written(written(rows, "hashed").repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "leaves")
     held = written(dealt.groupBy("source", "_range").agg(F.count("*").alias("_n")), "held")
     trees = counted_before(held.groupBy("source").agg(F.sum("_n").alias("n")), None, [F.col("source")], F.lit(True), "tree").withColumnRenamed("source", "_of")
     before = Window.partitionBy("source").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
