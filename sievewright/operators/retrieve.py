@@ -199,6 +199,14 @@ def context(sources: DataFrame, questions: DataFrame) -> DataFrame:
     return questions.select("qid").join(got, "qid", "left").select("qid", F.coalesce("n_sources", F.lit(0)).alias("n_sources"), F.coalesce("context", F.lit("(geen bronnen gevonden)")).alias("context"))
 
 
+def growth(before: DataFrame, after: DataFrame) -> DataFrame:
+    """(qid, before, after, growth): estimated tokens of each question's context under two versions of a store, and by how
+    much they grew; a question one version does not know counts as empty there."""
+    told = lambda df, name: df.select("qid", X.token_estimate(F.col("context")).alias(name))
+    out = told(before, "before").join(told(after, "after"), "qid", "full_outer").fillna(0, ["before", "after"])
+    return out.withColumn("growth", F.col("after") - F.col("before"))
+
+
 def retried(first: DataFrame, questions: DataFrame, search) -> DataFrame:
     """Results, and for questions without any those of the whole history; ``search`` takes (qid, text)."""
     lost = questions.join(first.select("qid").distinct(), "qid", "left_anti")

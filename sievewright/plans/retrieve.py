@@ -8,6 +8,7 @@ from sievewright.functions import rules as R
 from sievewright.functions import text as X
 from sievewright.operators import impact as I
 from sievewright.operators import retrieve as Q
+from sievewright.operators.tables import written
 from sievewright.plans import common as C
 from sievewright.plans.common import table
 
@@ -111,19 +112,62 @@ chosen AS (SELECT t.qid, t.place, CASE WHEN next IS NOT NULL AND NOT EXISTS (SEL
 RANKS_SQL = f"WITH {_Q}, {_ARTICLES} SELECT qid, place, id FROM chosen"
 
 
-def contexts(spark, d):
-    """The numbered context of each question from knowledge, articles and contact, retried with its history if empty."""
+def _sources(spark, d):
+    """What each question is answered from: knowledge, retried with the history if nothing is found, the best articles, contact."""
     asked, items, rows = questions(spark, d), knowledge(spark, d), articles(spark, d)
     idx = item_index(items)
     search = lambda q: Q.top(Q.scores(q, idx), items, 2).select("qid", "id", "place")
     known = Q.retried(search(asked), asked, search).join(items, "id").select("qid", F.lit(1).alias("block"), "place", F.lit("Kennisbank").alias("name"), "title", F.substring("content", 1, 500).alias("snippet"))
     best = Q.best_articles(asked, article_index(rows), rows, stop=_COMMON)
-    read = best.join(rows, "id").select("qid", F.lit(2).alias("block"), "place", F.lit("Artikel").alias("name"), "title", Q.snippet(F.col("body"), F.col("title"), F.lit(""), F.lit(True)).alias("snippet"))
+    read = written(best.join(rows.select("id", "title", "body"), "id"), "read")
     contact = asked.where(X.any_of(F.lower("text"), ("contact", "question"))).select("qid", F.lit(3).alias("block"), F.lit(1).alias("place"), F.lit("Contact").alias("name"), F.lit("Contact").alias("title"), F.lit("Bel of mail.").alias("snippet"))
-    out = Q.context(known.unionByName(read).unionByName(contact), asked)
+    return asked, written(known.unionByName(contact), "sources"), read
+
+
+def _context(asked, other, read, bodies: bool):
+    read = read.select("qid", F.lit(2).alias("block"), "place", F.lit("Artikel").alias("name"), "title", Q.snippet(F.col("body"), F.col("title"), F.lit(""), F.lit(bodies)).alias("snippet"))
+    return Q.context(other.unionByName(read.withColumn("place", F.col("place").cast("int"))), asked)
+
+
+def contexts(spark, d):
+    """The numbered context of each question from knowledge, articles and contact, retried with its history if empty."""
+    out = _context(*_sources(spark, d), True)
     return out.select("qid", "n_sources", F.md5("context").alias("context_md5"), X.token_estimate(F.col("context")).alias("tokens"))
 
 
+def context_versions(spark, d):
+    """How much each question's context grows where the store shows articles by their bodies instead of summaries."""
+    asked, other, read = _sources(spark, d)
+    out = Q.growth(_context(asked, other, read, False), _context(asked, other, read, True))
+    return out.select("qid", "before", "after", "growth", (F.col("growth") <= 600).alias("within"))
+
+
+def _contexts_sql() -> str:
+    short = "|".join(a.replace(".", r"\.") for a in R.ABBREVIATIONS)
+    plain = r"array_to_string(list_filter(list_transform(string_split_regex(body, '\n\s*\n'), lambda b: regexp_replace(trim(regexp_replace(b, '\s+', ' ', 'g')), '^\\([#*_=<-])', '\1')), lambda b: b <> ''), chr(10))"
+    ends = "i > 1 AND regexp_full_match(coalesce(cs[i + 1], ''), '\\s') AND (cs[i] IN ('.', '!', '?') OR regexp_full_match(cs[i], '[\\x{201D}\"\\x{2019}'')]') AND cs[i - 1] IN ('.', '!', '?'))"
+    return f"""
+WITH {_Q}, {_ARTICLES},
+hq AS (SELECT qid, text, array_to_string(list_filter(said, lambda t: trim(t) <> ''), ' ') AS history FROM (
+  SELECT role, text, conv_id || '-' || turn AS qid, list(CASE WHEN role = 'user' THEN text END) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 8 PRECEDING AND 1 PRECEDING) AS said FROM conversations) WHERE role = 'user'),
+f1 AS (SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY score DESC, priority DESC, id) AS place FROM own JOIN k USING (id) WHERE score >= 2 QUALIFY place <= 2),
+o2 AS (SELECT qid, id, sum(w) AS score FROM (SELECT qid, unnest({C.sql_tokens("concat_ws(' ', history, text)")}) AS token FROM hq WHERE qid NOT IN (SELECT qid FROM f1)) JOIN ix USING (token) GROUP BY ALL),
+f2 AS (SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY score DESC, priority DESC, id) AS place FROM o2 JOIN k USING (id) WHERE score >= 2 QUALIFY place <= 2),
+bd AS (SELECT id, title, p, string_split(p[:1201], '') AS cs FROM (SELECT id, title, replace(replace({plain}, '&lt;', '<'), '&gt;', '>') AS p FROM a WHERE id IN (SELECT id FROM chosen))),
+ct AS (SELECT id, title, p, coalesce(list_max(list_filter(list_filter(range(1, 1201), lambda i: {ends}), lambda i: NOT regexp_matches(p[greatest(1, i - 11):i], '(?i)(?:^|\\s)(?:{short})\\.$'))), -1) AS cut, CASE WHEN contains(p[:1201], ' ') THEN length(p[:1201]) - strpos(reverse(p[:1201]), ' ') ELSE -1 END AS sp FROM bd),
+sn AS (SELECT id, title, concat_ws(' ', title, '')[:500] AS brief, CASE WHEN p <> '' AND p <> trim(title) THEN CASE WHEN length(p) <= 1200 THEN p ELSE rtrim(p[:CASE WHEN cut >= 600 THEN cut WHEN sp > 0 THEN sp ELSE 1200 END]) END ELSE concat_ws(' ', title, '')[:500] END AS snippet FROM ct),
+src AS (SELECT qid, 1 AS block, place, 'Kennisbank' AS name, title, content[:500] AS snippet, content[:500] AS brief FROM (SELECT * FROM f1 UNION ALL SELECT * FROM f2) JOIN k USING (id)
+  UNION ALL SELECT qid, 2, place, 'Artikel', title, snippet, brief FROM chosen JOIN sn USING (id)
+  UNION ALL SELECT qid, 3, 1, 'Contact', 'Contact', 'Bel of mail.', 'Bel of mail.' FROM q WHERE contains(lower(text), 'contact') OR contains(lower(text), 'question')),
+nm AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY block, place) AS n FROM src),
+cx AS (SELECT qid, count(*) AS n_sources, string_agg('[' || n || '] ' || name || ' — "' || title || '"' || chr(10) || snippet, chr(10) || chr(10) ORDER BY n) AS context, string_agg('[' || n || '] ' || name || ' — "' || title || '"' || chr(10) || brief, chr(10) || chr(10) ORDER BY n) AS short FROM nm GROUP BY qid),
+al AS (SELECT qid, coalesce(n_sources, 0) AS n_sources, coalesce(context, '(geen bronnen gevonden)') AS context, coalesce(short, '(geen bronnen gevonden)') AS short FROM q LEFT JOIN cx USING (qid))"""
+
+
+CONTEXT_SQL = f"{_contexts_sql()} SELECT qid, n_sources, md5(context) AS context_md5, ceil(length(context) / 4)::BIGINT AS tokens FROM al"
+VERSIONS_SQL = f"{_contexts_sql()} SELECT qid, before, after, after - before AS growth, after - before <= 600 AS within FROM (SELECT qid, ceil(length(short) / 4)::BIGINT AS before, ceil(length(context) / 4)::BIGINT AS after FROM al)"
+
+
 def routes(spark, d):
     """How each request would be answered."""
     asked = questions(spark, d)
@@ -135,5 +179,5 @@ def routes(spark, d):
     return rows.select("qid", Q.decision(Q.request_error(F.col("text")), direct, limited, F.coalesce("n", F.lit(0)), F.coalesce("sure", F.lit(False))).alias("decision"), Q.dependent(F.col("text")).alias("leans"), Q.complex_question(F.col("text")).alias("complex"))
 
 
-QUERIES = {"items_found": items_found, "follow_ups": follow_ups, "fallback_items": fallback_items, "article_ranks": article_ranks, "contexts": contexts, "answer_routes": routes}
-SQL = {"items_found": FOUND_SQL, "follow_ups": FOLLOW_SQL, "fallback_items": FALLBACK_SQL, "article_ranks": RANKS_SQL}
+QUERIES = {"items_found": items_found, "follow_ups": follow_ups, "fallback_items": fallback_items, "article_ranks": article_ranks, "contexts": contexts, "context_versions": context_versions, "answer_routes": routes}
+SQL = {"items_found": FOUND_SQL, "follow_ups": FOLLOW_SQL, "fallback_items": FALLBACK_SQL, "article_ranks": RANKS_SQL, "contexts": CONTEXT_SQL, "context_versions": VERSIONS_SQL}
