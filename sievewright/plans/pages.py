@@ -105,5 +105,43 @@ SELECT doc_id, length(body)::BIGINT AS n_body, md5(body) AS body_md5 FROM docume
 """
 
 
-QUERIES = {"page_funnel": funnel, "page_clean": clean, "page_blocks": page_blocks, "news_bodies": news_bodies}
-SQL = {"page_funnel": FUNNEL_SQL, "page_blocks": BLOCKS_SQL, "news_bodies": _news_sql()}
+def page_heads(spark, d):
+    """Pages with a head of their own: a description in one of its four forms, empty in some, or none; a ministry's link."""
+    id_, t = F.col("page_id"), F.regexp_replace(P.page_title(F.col("html")), "[\"'<>&]", " ")
+    forms = ['<meta name="description" content="{}">', "<meta content='{}' name='description'>", '<META property="og:description" content="{}"/>', '<meta content="{}" property="og:description">']
+    told = F.when(id_ % 7 == 3, F.lit("")).otherwise(F.concat(F.lit("Over "), t, F.lit(" &amp; meer")))
+    meta = F.lit("")
+    for k, form in enumerate(forms):
+        head, tail = form.split("{}")
+        meta = F.when(id_ % 5 == k, F.concat(F.lit(head), told, F.lit(tail))).otherwise(meta)
+    link = F.when(id_ % 3 == 0, '<a href="/ministeries/ministerie-van-financien">').when(id_ % 3 == 1, '<a href="/ministeries/ministerie-van-elders">').otherwise("")
+    html = F.concat(F.lit("<head>"), meta, F.lit("</head>"), link, F.col("html"))
+    return table(spark, d, "pages").select("page_id", html.alias("html")).select("page_id", P.described(F.col("html")).alias("description"), P.ministry(F.col("html")).alias("ministry"), P.heading(F.col("html")).alias("heading"))
+
+
+_H1 = _STRIP("regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1)")
+_FIRST = f"list_filter(list_transform(regexp_extract_all(html, '(?is)<p[^>]*>(.*?)</p>', 1), lambda p: {_STRIP('p')}), lambda p: length(p) > 60)[1]"
+HEADS_SQL = f"""
+WITH t AS (SELECT page_id, {_FIRST} AS p1, {_H1} AS h1, trim(regexp_replace('Over ' || regexp_replace(nullif({_STRIP(_TITLE)}, ''), '["''<>&]', ' ', 'g') || ' & meer', '\\s+', ' ', 'g')) AS t FROM pages),
+u AS (SELECT *, coalesce(CASE WHEN page_id % 5 < 4 AND page_id % 7 <> 3 THEN t END, p1) AS d FROM t)
+SELECT page_id, CASE WHEN length(d) >= 20 THEN d END AS description, CASE WHEN page_id % 3 = 0 THEN 'Ministerie van Financiën' END AS ministry, CASE WHEN length(h1) >= 5 THEN h1 END AS heading FROM u
+"""
+
+
+def _clean_sql() -> str:
+    short = "|".join(a.replace(".", r"\.") for a in R.ABBREVIATIONS)
+    ends = "i > 1 AND regexp_full_match(coalesce(cs[i + 1], ''), '\\s?') AND (cs[i] IN ('.', '!', '?') OR regexp_full_match(cs[i], '[\\x{201D}\"\\x{2019}'')]') AND cs[i - 1] IN ('.', '!', '?'))"
+    return f"""
+WITH {_BLOCKS},
+j AS (SELECT page_id, string_agg(line, chr(10) || chr(10) ORDER BY pos) AS j, count(*) AS n_blocks, count(*) FILTER (tag = 'p' AND length(line) >= 40) AS paragraphs FROM b GROUP BY page_id),
+c AS (SELECT *, CASE WHEN length(j) > 8000 THEN list_max(list_filter(list_filter(range(1, 8001), lambda i: {ends}), lambda i: NOT regexp_matches(j[greatest(1, i - 11):i], '(?i)(?:^|\\s)(?:{short})\\.$'))) END AS cut FROM (SELECT *, string_split(j[:8001], '') AS cs FROM j)),
+t AS (SELECT page_id, n_blocks, paragraphs, CASE WHEN length(j) <= 8000 THEN j WHEN cut > 0 THEN rtrim(j[:cut]) END AS body FROM c),
+g AS (SELECT page_id, n_blocks, CASE WHEN length(body) >= 400 AND paragraphs >= 2 THEN body END AS body FROM t),
+k AS (SELECT page_id, {URL_KEY_SQL} AS url_key, nullif({_STRIP(_TITLE)}, '') AS title, {_FIRST} AS d, {_H1} AS h1, {_REGION} AS r FROM ({URL_PARTS_SQL}))
+SELECT page_id, url_key, title, CASE WHEN length(d) >= 20 THEN d END AS description, NULL::VARCHAR AS ministry, CASE WHEN length(h1) >= 5 THEN h1 END AS heading, CASE WHEN r IS NOT NULL THEN coalesce(n_blocks, 0) END::BIGINT AS n_blocks, length(body)::BIGINT AS n_body, md5(body) AS body_md5
+FROM k LEFT JOIN g USING (page_id)
+"""
+
+
+QUERIES = {"page_funnel": funnel, "page_clean": clean, "page_blocks": page_blocks, "news_bodies": news_bodies, "page_heads": page_heads}
+SQL = {"page_funnel": FUNNEL_SQL, "page_blocks": BLOCKS_SQL, "news_bodies": _news_sql(), "page_heads": HEADS_SQL, "page_clean": _clean_sql()}

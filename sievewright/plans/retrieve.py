@@ -179,5 +179,17 @@ def routes(spark, d):
     return rows.select("qid", Q.decision(Q.request_error(F.col("text")), direct, limited, F.coalesce("n", F.lit(0)), F.coalesce("sure", F.lit(False))).alias("decision"), Q.dependent(F.col("text")).alias("leans"), Q.complex_question(F.col("text")).alias("complex"))
 
 
+def _routes_sql() -> str:
+    sure = FALLBACK_SQL.split(f"WITH {_Q},")[1].rsplit("SELECT qid, id, score FROM n", 1)
+    return f"""
+WITH {_Q}, hq AS (SELECT qid, turn, text, array_to_string(list_filter(said, lambda t: trim(t) <> ''), ' ') AS history FROM (
+  SELECT role, text, turn, conv_id || '-' || turn AS qid, list(CASE WHEN role = 'user' THEN text END) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 8 PRECEDING AND 1 PRECEDING) AS said FROM conversations) WHERE role = 'user'),
+{sure[0]}, sure AS (SELECT qid FROM n{sure[1].rstrip()}), fd AS (SELECT DISTINCT qid FROM own WHERE score >= 2),
+b AS (SELECT hq.*, ws, qid IN (SELECT qid FROM sure) AS sure, qid IN (SELECT qid FROM fd) AS found, length(text) > 140 OR length(text) - length(replace(text, '?', '')) > 1 AS complex FROM hq JOIN (SELECT qid, ws FROM q) USING (qid))
+SELECT qid, CASE WHEN trim(coalesce(text, '')) = '' THEN 'fout: leeg' WHEN length(text) > 600 THEN 'fout: te lang' WHEN sure AND coalesce(history, '') = '' AND NOT complex THEN 'direct' WHEN turn > 2 AND found THEN 'bronnen zonder model'
+  WHEN turn > 2 AND sure THEN 'kennisitem' WHEN turn > 2 THEN 'limiet' ELSE 'model' END AS decision, len(ws) BETWEEN 1 AND 12 AND list_has_any(ws, [{C.quoted(R.CUES)}]) AS leans, complex FROM b
+"""
+
+
 QUERIES = {"items_found": items_found, "follow_ups": follow_ups, "fallback_items": fallback_items, "article_ranks": article_ranks, "contexts": contexts, "context_versions": context_versions, "answer_routes": routes}
-SQL = {"items_found": FOUND_SQL, "follow_ups": FOLLOW_SQL, "fallback_items": FALLBACK_SQL, "article_ranks": RANKS_SQL, "contexts": CONTEXT_SQL, "context_versions": VERSIONS_SQL}
+SQL = {"items_found": FOUND_SQL, "follow_ups": FOLLOW_SQL, "fallback_items": FALLBACK_SQL, "article_ranks": RANKS_SQL, "contexts": CONTEXT_SQL, "answer_routes": _routes_sql(), "context_versions": VERSIONS_SQL}

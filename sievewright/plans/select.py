@@ -159,6 +159,19 @@ def highlights(spark, d):
     return S.diversified(rows).select("id", "category", "source", F.col("place").cast("long").alias("place"))
 
 
+HIGHLIGHTS_SQL = """
+WITH RECURSIVE p AS (SELECT p_partkey AS id, p_brand AS category, p_type AS source, p_size = 50 AS featured, p_size % 3 AS weight, p_retailprice AS published FROM part),
+s(place, id, category, source, ids, cats, srcs) AS (
+  SELECT 0::BIGINT, NULL::BIGINT, NULL::VARCHAR, NULL::VARCHAR, []::BIGINT[], []::VARCHAR[], []::VARCHAR[]
+  UNION ALL
+  SELECT place + 1, id, category, source, list_append(ids, id), list_append(cats, category), list_append(srcs, source) FROM (
+    SELECT s.place, p.id, p.category, p.source, s.ids, s.cats, s.srcs, row_number() OVER (ORDER BY len(list_filter(s.cats, lambda c: c = p.category)) < 2 AND len(list_filter(s.srcs, lambda c: c = p.source)) < 2 DESC, featured DESC, weight DESC, published DESC, p.id) AS r
+    FROM s JOIN p ON NOT list_contains(s.ids, p.id) WHERE s.place < 4) WHERE r = 1
+)
+SELECT id, category, source, place FROM s WHERE place > 0
+"""
+
+
 def read_caps(spark, d):
     """Events per user up to the row at which five had survived; what lies behind is not evaluated."""
     rows = table(spark, d, "events").select("event_id", "user_id", "event_type")
@@ -197,4 +210,4 @@ def recent(spark, d):
 RECENT_SQL = "SELECT o_orderkey, (DATE '1998-08-31' - o_orderdate::DATE)::BIGINT AS age FROM orders WHERE o_orderdate >= TIMESTAMP '1998-08-31' - INTERVAL 6 MONTH AND o_orderdate <= TIMESTAMP '1998-08-31'"
 
 QUERIES = {"ingest": ingest, "ingest_reasons": ingest_reasons, "topics": topics, "candidate_reasons": candidate_reasons, "highlights": highlights, "read_caps": read_caps, "result_pages": result_pages, "recent_orders": recent}
-SQL = {"ingest": INGEST_SQL, "ingest_reasons": REASONS_SQL, "topics": _topics_sql(), "candidate_reasons": _candidates_sql(), "read_caps": READ_SQL, "result_pages": PAGES_SQL, "recent_orders": RECENT_SQL}
+SQL = {"ingest": INGEST_SQL, "ingest_reasons": REASONS_SQL, "topics": _topics_sql(), "candidate_reasons": _candidates_sql(), "highlights": HIGHLIGHTS_SQL, "read_caps": READ_SQL, "result_pages": PAGES_SQL, "recent_orders": RECENT_SQL}

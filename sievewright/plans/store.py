@@ -81,6 +81,13 @@ def source_result(spark, d):
     return S.run_result(docs)
 
 
+RESULT_SQL = """
+WITH p AS (SELECT source, count(*)::BIGINT AS fetched, count(*) FILTER (length(text) >= 400)::BIGINT AS relevant, count(*) FILTER (length(text) >= 1000)::BIGINT AS recorded, bool_or(length(text) < 10) AS failed FROM documents GROUP BY source)
+SELECT to_json({'fetched': sum(fetched)::BIGINT, 'relevant': sum(relevant)::BIGINT, 'recorded': sum(recorded)::BIGINT, 'sources': list({'source': source, 'fetched': fetched, 'relevant': relevant, 'recorded': recorded} ORDER BY source),
+  'failed': coalesce(list(source ORDER BY source) FILTER (failed), [])})::VARCHAR AS result FROM p
+"""
+
+
 def excluded_ids(spark, d):
     """Documents with an article, and those whose source has an open proposal."""
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("url_key"))
@@ -109,4 +116,4 @@ SELECT doc_id, CASE WHEN s < 'e' THEN s WHEN source < 'src3' THEN '~' || source
 """
 
 QUERIES = {"store_new_pages": new_pages, "store_upsert": upserted, "store_patch": patched, "store_record_ids": record_ids, "store_run_result": source_result, "store_exclusions": excluded_ids, "store_links": linked}
-SQL = {"store_new_pages": NEW_SQL, "store_upsert": UPSERT_SQL, "store_patch": PATCH_SQL, "store_record_ids": IDS_SQL, "store_exclusions": EXCLUDED_SQL, "store_links": LINK_SQL}
+SQL = {"store_new_pages": NEW_SQL, "store_upsert": UPSERT_SQL, "store_patch": PATCH_SQL, "store_record_ids": IDS_SQL, "store_run_result": RESULT_SQL, "store_exclusions": EXCLUDED_SQL, "store_links": LINK_SQL}
