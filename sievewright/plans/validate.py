@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from sievewright.functions import rules as R
 from sievewright.functions import text as X
 from sievewright.functions.rules import SAMPLE
 from sievewright.operators import validate as V
@@ -75,5 +76,46 @@ def checked(spark, d):
     return out.select("doc_id", "ok", F.array_join("errors", "; ").alias("errors"), F.array_join("warnings", "; ").alias("warnings"))
 
 
-QUERIES = {"fact_rows": fact_rows, "unsupported_facts": unsupported_facts, "title_similarity": title_similarity, "article_checks": checked}
-SQL = {"fact_rows": FACTS_SQL, "unsupported_facts": UNSUPPORTED_SQL, "title_similarity": SIMILARITY_SQL}
+_TEXTS = {
+    # (text, of which documents by length): sentences of an article and of its source
+    "article": (("Het kabinet wil dit.", "n % 2 = 0"), ("De regeling is inmiddels van kracht.", "n % 3 = 0"), ("De wet is ingegaan per 1 januari 2027.", "n % 7 = 0"), ("De regels zijn momenteel geldig.", "n % 4 = 1"), ("Er is geen geldende regelgeving.", "n % 4 = 3")),
+    "source": (("Er ligt een wetsvoorstel.", "n % 2 = 1"), ("Het is aangenomen.", "n % 9 = 0"), ("De regels zijn momenteel geldig.", "n % 8 = 1"), ("Zie artikel 5 lid 2 awb.", "n % 3 = 1"), ("Dit moet binnen twee weken.", "n % 3 = 2"), ("U moet zich melden bij de belastingdienst.", "n % 5 = 2"),
+               ("Bedrijven met personeel die minstens twaalf werknemers hebben betalen premie.", "n % 4 = 0"), ("Een starter hoeft dit niet te doen.", "n % 6 = 5")),
+    "body": (("Volgens artikel 5 geldt dit.", "n % 2 = 0"), ("Dat kan binnen twee weken.", "n % 4 = 2"), ("De Belastingdienst helpt.", "n % 3 = 0"), ("Voor bedrijven met personeel geldt een premie.", "n % 5 < 3"), ("Voor bedrijven met personeel en minstens twaalf werknemers geldt een premie.", "n % 5 = 1"), ("Er is subsidie, belasting en premie.", "n % 7 < 3")),
+}
+
+
+def article_rules(spark, d):
+    """Each rule of the check apart: documents with sentences of articles and sources, by their length, around their own text."""
+    text = lambda name: F.concat_ws(" ", *[F.expr(f"CASE WHEN {when} THEN '{t}' END") for t, when in _TEXTS[name]])
+    rows = table(spark, d, "documents").select("doc_id", "text", F.length("text").alias("n"))
+    rows = rows.select("doc_id", "n", F.concat_ws("\n", text("article"), "text").alias("article"), text("source").alias("source"), F.concat_ws(" ", text("body"), F.lit("Einde.")).alias("body"), F.expr("CASE n % 5 WHEN 1 THEN 'voorstel' WHEN 2 THEN 'van-kracht' WHEN 3 THEN 'onbekend' WHEN 4 THEN 'consultatie' END").alias("status"))
+    now = F.lit("2024-01-01").cast("timestamp")
+    who = F.when(F.col("n") % 2 == 1, F.array(F.lit("starter"), F.lit("werkgever"))).otherwise(F.array(F.lit("werkgever")))
+    out = rows.withColumns({"errors": V.status_errors(F.col("article"), F.col("status"), F.col("source"), now, ("van-kracht", *R.TENTATIVE)), "claims": V.claims(F.col("article"), F.col("source"))})
+    out = out.withColumns({"dropped": V.dropped_qualifiers(F.col("body"), F.col("source")), "missing": V.missing_details(F.col("body"), F.col("source")), "excluded": V.excluded_audiences(who, F.col("source"), F.col("body"), {"starter": ("starter",), "werkgever": ("werkgevers",)}), "repeated": V.repeats_list(F.lit("Dit gaat over subsidie, belasting, premie en toeslagen."), F.col("body"))})
+    return out.select("doc_id", *[F.array_join(c, "; ").alias(c) for c in ("errors", "claims", "dropped", "missing", "excluded")], "repeated")
+
+
+def _rules_sql() -> str:
+    parts = lambda name: "concat_ws(' ', " + ", ".join(f"CASE WHEN {when} THEN '{t}' END" for t, when in _TEXTS[name]) + ")"
+    re2 = lambda p: p.replace("'", "''")
+    normal = C.sql_normal("article")
+    found = " || ".join(f"regexp_extract_all(replace(m, 'geen geldende regelgeving', ''), '{c}')" for c in V.CLAIMS)
+    return f"""
+WITH a AS (SELECT doc_id, length(text) AS n, concat_ws(chr(10), {parts('article')}, text) AS article, {parts('source')} AS source, CASE length(text) % 5 WHEN 1 THEN 'voorstel' WHEN 2 THEN 'van-kracht' WHEN 3 THEN 'onbekend' WHEN 4 THEN 'consultatie' END AS status
+           FROM (SELECT *, length(text) AS n FROM documents)),
+b AS (SELECT *, {normal} AS m, {C.sql_normal('source')} AS ms, coalesce(status IN ('voorstel', 'consultatie', 'voornemen'), false) AS open FROM a)
+SELECT doc_id,
+  array_to_string(list_filter([CASE WHEN status = 'onbekend' THEN 'ongeldige status' END, CASE WHEN open AND NOT regexp_matches(article, '{re2(V.TENTATIVE_WORDS)}') THEN 'voorlopig zonder voorbehoud' END,
+    CASE WHEN open AND regexp_matches(article, '{re2(V.IN_FORCE)}') THEN 'voorlopig maar geldend genoemd' END,
+    CASE WHEN (status IS NULL OR status = 'van-kracht') AND regexp_matches(source, '{re2(V.SOURCE_TENTATIVE)}') AND NOT regexp_matches(source, '{re2(V.SOURCE_DEFINITE)}') THEN 'bron is voorlopig' END, CASE WHEN n % 7 = 0 THEN 'toekomst als verleden' END], lambda x: x IS NOT NULL), '; ') AS errors,
+  array_to_string(list_distinct(list_filter({found}, lambda c: NOT contains(ms, c))), '; ') AS claims,
+  CASE WHEN n % 4 = 0 AND n % 5 < 3 AND n % 5 <> 1 THEN 'Bedrijven met personeel die minstens twaalf werknemers hebben betalen premie' ELSE '' END AS dropped,
+  array_to_string(list_filter([CASE WHEN n % 3 = 1 AND n % 2 <> 0 THEN 'artikel 5 lid 2 awb' END, CASE WHEN n % 3 = 2 AND n % 4 <> 2 THEN 'binnen twee weken' END, CASE WHEN n % 5 = 2 AND n % 3 <> 0 THEN 'belastingdienst' END], lambda x: x IS NOT NULL), '; ') AS missing,
+  CASE WHEN n % 6 = 5 AND n % 2 = 1 THEN 'starter' ELSE '' END AS excluded, n % 7 < 3 AS repeated FROM b
+"""
+
+
+QUERIES = {"fact_rows": fact_rows, "unsupported_facts": unsupported_facts, "title_similarity": title_similarity, "article_checks": checked, "article_rules": article_rules}
+SQL = {"fact_rows": FACTS_SQL, "unsupported_facts": UNSUPPORTED_SQL, "title_similarity": SIMILARITY_SQL, "article_rules": _rules_sql()}
