@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sievewright.functions import text as X
@@ -55,3 +55,11 @@ def periods(rows: DataFrame, every: int, kind: str) -> DataFrame:
     end = F.make_date("year", "month", F.lit(1))
     name = F.when(F.lit(every) == 1, X.month_label(end)).when(F.lit(every) == 3, F.concat(F.quarter(end).cast("string"), F.lit("e kwartaal "), F.col("year").cast("string"))).otherwise(F.col("year").cast("string"))
     return rows.where(F.col("month") % every == 0).select("year", "month", F.lit(kind).alias("tax_type"), name.alias("period"), F.last_day(F.add_months(end, 1)).alias("deadline"))
+
+
+def types_in_order(rows: DataFrame, names: tuple[str, ...]) -> DataFrame:
+    """(tax_type, place): the types that occur, in the order of ``names``, others behind them by name."""
+    order = F.array(*[F.lit(n) for n in names])
+    kinds = rows.select("tax_type").where("tax_type IS NOT NULL").distinct()  # a row per type
+    known = F.nullif(F.array_position(order, F.col("tax_type")), F.lit(0))
+    return kinds.withColumn("place", F.row_number().over(Window.orderBy(known.asc_nulls_last(), "tax_type")))

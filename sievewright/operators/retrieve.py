@@ -47,7 +47,7 @@ def top(scored: DataFrame, items: DataFrame, most: int = 3, least: int = LEAST,
 
 
 def histories(turns: DataFrame) -> DataFrame:
-    """Each user turn with the one before it, and of the last eight messages those of the user and all, cut to 600 characters.
+    """Each user turn with the one before it, and of the last eight messages those of the user and all, cut to 600 characters, and the last two.
 
     Frames are bounded, so a conversation of any length costs its turns, not their square.
     """
@@ -55,7 +55,8 @@ def histories(turns: DataFrame) -> DataFrame:
     before = w.rowsBetween(Window.unboundedPreceding, -1)
     said = F.when(F.col("role") == "user", F.col("text"))
     recent = F.array_join(F.transform(F.collect_list(F.col("text")).over(w.rowsBetween(-8, -1)), lambda t: F.substring(t, 1, 600)), "\n")
-    out = turns.withColumns({"previous": F.last(said, ignorenulls=True).over(before), "history": F.array_join(F.filter(F.collect_list(said).over(w.rowsBetween(-8, -1)), lambda t: F.trim(t) != ""), " "), "recent": recent})
+    latest = F.array_join(F.transform(F.collect_list(F.col("text")).over(w.rowsBetween(-2, -1)), lambda t: F.substring(t, 1, 600)), "\n")
+    out = turns.withColumns({"previous": F.last(said, ignorenulls=True).over(before), "history": F.array_join(F.filter(F.collect_list(said).over(w.rowsBetween(-8, -1)), lambda t: F.trim(t) != ""), " "), "recent": recent, "latest": latest})
     return out.where("role = 'user'").withColumn("qid", F.concat_ws("-", "conv_id", "turn"))
 
 
@@ -221,9 +222,14 @@ def cited(answers: DataFrame, sources: DataFrame) -> DataFrame:
 
 
 def answer_rows(text: Column) -> Column:
-    """(first sentence, the rest) of a source."""
-    s = X.sentences(text)
-    return F.struct(F.coalesce(F.get(s, 0), F.lit("")).alias("lead"), F.array_join(F.slice(s, 2, 1000000), " ").alias("rest"))
+    """(first sentence, the rest) of a source; a text without a sentence leads as it is."""
+    s = F.filter(F.split(text, r"(?<=[.!?])\s+"), lambda x: F.trim(x) != "")
+    return F.struct(F.coalesce(F.get(s, 0), text).alias("lead"), F.array_join(F.slice(s, 2, 1000000), " ").alias("rest"))
+
+
+def answerable(text: Column) -> Column:
+    """Whether a kept text alone may answer a question: not where it asks for an amount, a comparison or a personal case."""
+    return ~F.coalesce(text, F.lit("")).rlike(R.PERSONAL)
 
 
 def request_error(text: Column) -> Column:

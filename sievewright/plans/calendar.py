@@ -71,5 +71,21 @@ SELECT y AS year, m AS month, 'btw' AS tax_type, (m + 2) // 3 || 'e kwartaal ' |
 UNION ALL SELECT y, m, 'loon', ['Januari', 'Februari', 'Maart', 'April', 'Mei', 'Juni', 'Juli', 'Augustus', 'September', 'Oktober', 'November', 'December'][m] || ' ' || y, d FROM q
 """
 
-QUERIES = {"deadline_labels": labels, "deadline_next": next_per_type, "deadline_months": month_groups, "deadline_month_view": month_view, "deadline_periods": period_rows}
-SQL = {"deadline_labels": LABELS_SQL, "deadline_next": NEXT_SQL, "deadline_months": MONTHS_SQL, "deadline_month_view": VIEW_SQL, "deadline_periods": PERIODS_SQL}
+def types(spark, d):
+    """The tax types that occur, in the order a site lists them."""
+    return K.types_in_order(deadlines(spark, d), ("3-MEDIUM", "9-NONE", "1-URGENT")).select("tax_type", F.col("place").cast("long").alias("place"))
+
+
+TYPES_SQL = f"WITH {_D} SELECT tax_type, row_number() OVER (ORDER BY CASE tax_type WHEN '3-MEDIUM' THEN 1 WHEN '9-NONE' THEN 2 WHEN '1-URGENT' THEN 3 ELSE 4 END, tax_type) AS place FROM (SELECT DISTINCT tax_type FROM d)"
+
+
+def in_month(spark, d):
+    """What is due in one month, in order."""
+    rows = K.ordered(K.in_month(deadlines(spark, d), F.lit("1996-02-10").cast("date")))
+    return rows.select("id", "tax_type", F.col("deadline").cast("string").alias("deadline"))
+
+
+IN_MONTH_SQL = f"WITH {_D} SELECT id, tax_type, deadline::VARCHAR AS deadline FROM d WHERE date_trunc('month', deadline) = DATE '1996-02-01'"
+
+QUERIES = {"deadline_labels": labels, "deadline_next": next_per_type, "deadline_months": month_groups, "deadline_month_view": month_view, "deadline_periods": period_rows, "deadline_types": types, "deadline_in_month": in_month}
+SQL = {"deadline_labels": LABELS_SQL, "deadline_next": NEXT_SQL, "deadline_months": MONTHS_SQL, "deadline_month_view": VIEW_SQL, "deadline_periods": PERIODS_SQL, "deadline_types": TYPES_SQL, "deadline_in_month": IN_MONTH_SQL}

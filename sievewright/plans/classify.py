@@ -80,6 +80,25 @@ SELECT doc_id, 'p' || i AS passage, count(*) AS n FROM (SELECT doc_id, unnest(it
 """
 
 
+MINISTRY, STEMS, BARRED = "Ministerie van Financiën", ("heit", "ción"), ("lytion",)
+
+
+def ministry_bypass(spark, d):
+    """The gate with a way round it: documents of a ministry's that hold a stem outside its name and nothing barred."""
+    rows = documents(spark, d).withColumn("tag", F.when(F.length("text") % 3 == 0, MINISTRY)).withColumn("text", F.concat(F.lit(MINISTRY + ". "), "text"))
+    rows = rows.withColumn("bypassed", K.bypass(F.col("tag"), F.col("text"), MINISTRY, STEMS, BARRED))
+    return K.relevance(rows, SAMPLE, passed=F.col("bypassed")).select("doc_id", "bypassed", "corroborated", "relevant")
+
+
+def _bypass_sql() -> str:
+    rest = f"replace(lower('{MINISTRY}. ' || text), '{MINISTRY.lower()}', ' ')"
+    by = f"(length(text) % 3 = 0 AND {K.any_sql(rest, STEMS)} AND NOT {K.any_sql('lower(text)', BARRED)})"
+    return f"""
+WITH r AS ({_relevance_sql()}), b AS (SELECT doc_id, {by} AS bypassed FROM documents)
+SELECT doc_id, bypassed, corroborated OR bypassed AS corroborated, (keyword OR audience OR signal OR bypassed) AND (corroborated OR bypassed) AND NOT barred AS relevant FROM r JOIN b USING (doc_id)
+"""
+
+
 def tiers(spark, d):
     tier, reason = K.tier(F.col("title"), F.col("text"), SAMPLE)
     return documents(spark, d).select("doc_id", tier.alias("tier"), reason.alias("reason"))
@@ -109,5 +128,5 @@ SELECT doc_id, {case(1, 'twijfel')} AS tier, {case(2, 'brede treffer')} AS reaso
 """
 
 
-QUERIES = {"category_scores": category_scores, "relevance": relevance, "relevance_by_table": relevance_by_table, "passage_words": passage_words, "tiers": tiers}
-SQL = {"category_scores": SCORES_SQL, "relevance": _relevance_sql(), "relevance_by_table": _relevance_sql(), "passage_words": PASSAGE_SQL, "tiers": _tiers_sql()}
+QUERIES = {"category_scores": category_scores, "relevance": relevance, "relevance_by_table": relevance_by_table, "passage_words": passage_words, "ministry_bypass": ministry_bypass, "tiers": tiers}
+SQL = {"category_scores": SCORES_SQL, "relevance": _relevance_sql(), "relevance_by_table": _relevance_sql(), "passage_words": PASSAGE_SQL, "ministry_bypass": _bypass_sql(), "tiers": _tiers_sql()}

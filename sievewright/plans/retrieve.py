@@ -168,6 +168,34 @@ CONTEXT_SQL = f"{_contexts_sql()} SELECT qid, n_sources, md5(context) AS context
 VERSIONS_SQL = f"{_contexts_sql()} SELECT qid, before, after, after - before AS growth, after - before <= 600 AS within FROM (SELECT qid, ceil(length(short) / 4)::BIGINT AS before, ceil(length(context) / 4)::BIGINT AS after FROM al)"
 
 
+def fallback_answers(spark, d):
+    """What a kept text answers where one item alone fits; questions for amounts or of personal cases, here those of every fifth conversation, are left out."""
+    asked = questions(spark, d).withColumn("text", F.when(F.col("conv_id") % 5 == 0, F.concat(F.lit("Hoeveel kost dit: "), "text")).otherwise(F.col("text"))).where(Q.answerable(F.col("text")))
+    items = knowledge(spark, d)
+    sure = Q.unambiguous(Q.scores(asked, item_index(items)), Q.scores(asked, Q.index(items, [(F.col("title"), 1)])), items, guarded=tuple(range(0, 40, 4)))
+    return sure.join(items, "id").select("qid", "id", Q.answer_rows(F.col("content")).alias("a")).select("qid", "id", "a.lead", F.md5("a.rest").alias("rest_md5"))
+
+
+ANSWERS_SQL = f"""
+WITH s AS ({FALLBACK_SQL}), p AS (SELECT item_id AS id, list_filter(string_split(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda x: trim(x) <> '') AS s, text FROM benchmark)
+SELECT qid, id, coalesce(p.s[1], text) AS lead, md5(array_to_string(p.s[2:], ' ')) AS rest_md5 FROM s JOIN p USING (id) WHERE split_part(qid, '-', 1)::BIGINT % 5 <> 0
+"""
+
+
+def question_histories(spark, d):
+    """Per question what went before it: the last question, the user's of the last eight messages, those eight, the last two."""
+    return questions(spark, d).select("qid", *[F.md5(F.coalesce(c, F.lit("-"))).alias(c) for c in ("previous", "history", "recent", "latest")])
+
+
+HISTORIES_SQL = """
+WITH w AS (SELECT role, conv_id || '-' || turn AS qid, last_value(CASE WHEN role = 'user' THEN text END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS previous,
+  list(CASE WHEN role = 'user' THEN text END) OVER e AS said, list(text) OVER e AS every, list(text) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 2 PRECEDING AND 1 PRECEDING) AS two
+  FROM conversations WINDOW e AS (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 8 PRECEDING AND 1 PRECEDING))
+SELECT qid, md5(coalesce(previous, '-')) AS previous, md5(coalesce(array_to_string(list_filter(said, lambda t: trim(t) <> ''), ' '), '')) AS history,
+  md5(coalesce(array_to_string(list_transform(every, lambda t: t[:600]), chr(10)), '')) AS recent, md5(coalesce(array_to_string(list_transform(two, lambda t: t[:600]), chr(10)), '')) AS latest FROM w WHERE role = 'user'
+"""
+
+
 def routes(spark, d):
     """How each request would be answered."""
     asked = questions(spark, d)
@@ -191,5 +219,5 @@ SELECT qid, CASE WHEN trim(coalesce(text, '')) = '' THEN 'fout: leeg' WHEN lengt
 """
 
 
-QUERIES = {"items_found": items_found, "follow_ups": follow_ups, "fallback_items": fallback_items, "article_ranks": article_ranks, "contexts": contexts, "context_versions": context_versions, "answer_routes": routes}
-SQL = {"items_found": FOUND_SQL, "follow_ups": FOLLOW_SQL, "fallback_items": FALLBACK_SQL, "article_ranks": RANKS_SQL, "contexts": CONTEXT_SQL, "answer_routes": _routes_sql(), "context_versions": VERSIONS_SQL}
+QUERIES = {"items_found": items_found, "follow_ups": follow_ups, "fallback_items": fallback_items, "article_ranks": article_ranks, "contexts": contexts, "context_versions": context_versions, "fallback_answers": fallback_answers, "question_histories": question_histories, "answer_routes": routes}
+SQL = {"items_found": FOUND_SQL, "follow_ups": FOLLOW_SQL, "fallback_items": FALLBACK_SQL, "article_ranks": RANKS_SQL, "contexts": CONTEXT_SQL, "answer_routes": _routes_sql(), "fallback_answers": ANSWERS_SQL, "question_histories": HISTORIES_SQL, "context_versions": VERSIONS_SQL}

@@ -57,15 +57,30 @@ def front_matter(spark, d):
 FRONT_SQL = f"SELECT doc_id, nullif({_T}, '') AS title, source AS category, NULL::VARCHAR AS source_url FROM documents WHERE {_T} <> ''"
 
 
+def _proposals(spark, d):
+    return table(spark, d, "customer").select(F.concat(F.lit("auto/"), "c_mktsegment").alias("headRefName"), F.when(F.col("c_acctbal") > 5000, "x").alias("mergedAt"), F.when(F.col("c_nationkey") > 12, "OPEN").alias("state"), F.concat(F.lit("<!-- bron: https://a.example/"), "c_custkey", F.lit(" --> en <!-- bron: https://b.example/"), "c_custkey", F.lit(" -->")).alias("body"))
+
+
 def proposals(spark, d):
     """Customers as proposals whose bodies mark two URLs; those unmerged."""
-    rows = table(spark, d, "customer").select(F.concat(F.lit("auto/"), "c_mktsegment").alias("headRefName"), F.when(F.col("c_acctbal") > 5000, "x").alias("mergedAt"), F.when(F.col("c_nationkey") > 12, "OPEN").alias("state"), F.concat(F.lit("<!-- bron: https://a.example/"), "c_custkey", F.lit(" --> en <!-- bron: https://b.example/"), "c_custkey", F.lit(" -->")).alias("body"))
-    return S.proposal_urls(rows, "auto/B", "bron")
+    return S.proposal_urls(_proposals(spark, d), "auto/B", "bron")
 
 
 PROPOSAL_SQL = "SELECT unnest(['https://a.example/' || c_custkey, 'https://b.example/' || c_custkey]) AS url FROM customer WHERE c_mktsegment LIKE 'B%' AND NOT coalesce(c_acctbal > 5000, false)"
 
 
+def taken_urls(spark, d):
+    """URLs that are taken: of articles that show, and of open proposals."""
+    shown = S.visible(table(spark, d, "customer").select("c_custkey", F.when(F.col("c_nationkey") % 4 > 0, F.col("c_nationkey") % 4 == 1).alias("hidden"))).select(F.concat(F.lit("https://c.example/"), "c_custkey").alias("url"))
+    return S.union_all(shown, S.proposal_urls(_proposals(spark, d), "auto/B", "bron", open_only=True)).distinct()
+
+
+TAKEN_SQL = """
+SELECT 'https://c.example/' || c_custkey AS url FROM customer WHERE c_nationkey % 4 <> 1
+UNION SELECT unnest(['https://a.example/' || c_custkey, 'https://b.example/' || c_custkey]) FROM customer WHERE c_mktsegment LIKE 'B%'
+"""
+
+
 def paged_items(spark, d):
     """Documents joined to landed pages by URL key, without losing those that have none."""
     pages = table(spark, d, "pages").groupBy(X.url_key(F.col("url")).alias("url_key")).agg(F.min("page_id").alias("page_id"))
@@ -81,5 +96,5 @@ def _paged_sql() -> str:
     return f"WITH p AS (SELECT url_key, min(page_id) AS page_id FROM ({keyed(URL_PARTS_SQL)}) GROUP BY url_key), i AS ({keyed(other)}) SELECT i.page_id AS item, p.page_id FROM i LEFT JOIN p USING (url_key)"
 
 
-QUERIES = {"scan_feed_items": feed_items, "scan_sitemap_items": sitemap_items, "scan_search_items": search_items, "scan_front_matter": front_matter, "scan_proposals": proposals, "scan_paged_items": paged_items}
-SQL = {"scan_feed_items": FEED_SQL, "scan_sitemap_items": MAP_SQL, "scan_search_items": SEARCH_SQL, "scan_front_matter": FRONT_SQL, "scan_proposals": PROPOSAL_SQL, "scan_paged_items": _paged_sql()}
+QUERIES = {"scan_feed_items": feed_items, "scan_sitemap_items": sitemap_items, "scan_search_items": search_items, "scan_front_matter": front_matter, "scan_proposals": proposals, "scan_paged_items": paged_items, "scan_taken_urls": taken_urls}
+SQL = {"scan_feed_items": FEED_SQL, "scan_sitemap_items": MAP_SQL, "scan_search_items": SEARCH_SQL, "scan_front_matter": FRONT_SQL, "scan_proposals": PROPOSAL_SQL, "scan_paged_items": _paged_sql(), "scan_taken_urls": TAKEN_SQL}

@@ -11,7 +11,7 @@ from sievewright.operators import classify as K
 from sievewright.operators import overlap as O
 from sievewright.operators import select as S
 from sievewright.operators import store as T
-from sievewright.operators.tables import written
+from sievewright.operators.tables import shared_path, written
 from sievewright.plans import common as C
 from sievewright.plans.classify import SQL as CLASSIFY_SQL
 from sievewright.plans.common import table
@@ -131,6 +131,15 @@ def candidate_reasons(spark, d):
     return out.join(picked.select("id", "choice"), "id", "left").select("id", "tier", "reason", F.coalesce("choice", F.lit("rejected")).alias("choice"))
 
 
+def run_summary(spark, d):
+    """What a run did, told while its rows are written: items by outcome, candidates by choice."""
+    when = lambda c: F.count_if(F.coalesce(c, F.lit(False)))
+    run = T.observed_write(ingested(spark, d).select("doc_id", "reason", "recorded"), shared_path(spark, "run"), items=F.count("*"), created=when(F.col("recorded")), known=when(F.col("reason") == "dubbel"), put_off=when(F.col("reason") == "niet beoordeeld"))
+    choice = F.col("choice")
+    run |= T.observed_write(candidate_reasons(spark, d), shared_path(spark, "run"), candidates=F.count("*"), selected=when(choice == "selected"), deferred=when(choice == "deferred"), rejected=when(choice == "rejected"))
+    return spark.createDataFrame(list(run.items()), "metric string, n long")
+
+
 def _candidates_sql() -> str:
     strength, _ = K.tier_sql(SAMPLE, "title", "concat_ws(' ', title, text)")
     ws, ts = f"list_sort(list_distinct({C.sql_significant('title')}))", f"list_distinct(list_filter({C.sql_significant(YEARLESS)}, lambda w: NOT regexp_full_match(w, '[0-9]+')))"
@@ -153,6 +162,13 @@ SELECT id, tier, reason, CASE WHEN tier IS NULL THEN 'rejected' WHEN id IN (SELE
 """
 
 
+SUMMARY_SQL = f"""
+WITH i AS ({INGEST_SQL}), c AS ({_candidates_sql()})
+SELECT unnest(['items', 'created', 'known', 'put_off']) AS metric, unnest([count(*), count(*) FILTER (recorded), count(*) FILTER (reason = 'dubbel'), count(*) FILTER (reason = 'niet beoordeeld')]) AS n FROM i
+UNION ALL SELECT unnest(['candidates', 'selected', 'deferred', 'rejected']), unnest([count(*), count(*) FILTER (choice = 'selected'), count(*) FILTER (choice = 'deferred'), count(*) FILTER (choice = 'rejected')]) FROM c
+"""
+
+
 def highlights(spark, d):
     """Four parts, spread over brands and types."""
     rows = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("category"), F.col("p_type").alias("source"), (F.col("p_size") == 50).alias("featured"), (F.col("p_size") % 3).alias("weight"), F.col("p_retailprice").alias("published"))
@@ -209,5 +225,5 @@ def recent(spark, d):
 
 RECENT_SQL = "SELECT o_orderkey, (DATE '1998-08-31' - o_orderdate::DATE)::BIGINT AS age FROM orders WHERE o_orderdate >= TIMESTAMP '1998-08-31' - INTERVAL 6 MONTH AND o_orderdate <= TIMESTAMP '1998-08-31'"
 
-QUERIES = {"ingest": ingest, "ingest_reasons": ingest_reasons, "topics": topics, "candidate_reasons": candidate_reasons, "highlights": highlights, "read_caps": read_caps, "result_pages": result_pages, "recent_orders": recent}
-SQL = {"ingest": INGEST_SQL, "ingest_reasons": REASONS_SQL, "topics": _topics_sql(), "candidate_reasons": _candidates_sql(), "highlights": HIGHLIGHTS_SQL, "read_caps": READ_SQL, "result_pages": PAGES_SQL, "recent_orders": RECENT_SQL}
+QUERIES = {"ingest": ingest, "ingest_reasons": ingest_reasons, "topics": topics, "candidate_reasons": candidate_reasons, "run_summary": run_summary, "highlights": highlights, "read_caps": read_caps, "result_pages": result_pages, "recent_orders": recent}
+SQL = {"ingest": INGEST_SQL, "ingest_reasons": REASONS_SQL, "topics": _topics_sql(), "candidate_reasons": _candidates_sql(), "run_summary": SUMMARY_SQL, "highlights": HIGHLIGHTS_SQL, "read_caps": READ_SQL, "result_pages": PAGES_SQL, "recent_orders": RECENT_SQL}
