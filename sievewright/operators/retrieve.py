@@ -208,10 +208,12 @@ def growth(before: DataFrame, after: DataFrame) -> DataFrame:
     return out.withColumn("growth", F.col("after") - F.col("before"))
 
 
-def retried(first: DataFrame, questions: DataFrame, search) -> DataFrame:
-    """Results, and for questions without any those of the whole history; ``search`` takes (qid, text)."""
-    lost = questions.join(first.select("qid").distinct(), "qid", "left_anti")
-    return first.unionByName(search(lost.select("qid", F.concat_ws(" ", "history", "text").alias("text"))))
+def unanswered(questions: DataFrame, *sources: DataFrame) -> DataFrame:
+    """(qid, text): the questions that none of the tables of sources (qid, …) answers, each with its history before it."""
+    lost = questions
+    for found in sources:
+        lost = lost.join(found.select("qid").distinct(), "qid", "left_anti")
+    return lost.select("qid", F.concat_ws(" ", "history", "text").alias("text"))
 
 
 def cited(answers: DataFrame, sources: DataFrame) -> DataFrame:

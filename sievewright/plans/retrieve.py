@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from sievewright.functions import rules as R
@@ -112,16 +114,27 @@ chosen AS (SELECT t.qid, t.place, CASE WHEN next IS NOT NULL AND NOT EXISTS (SEL
 RANKS_SQL = f"WITH {_Q}, {_ARTICLES} SELECT qid, place, id FROM chosen"
 
 
+CONTACT = ("contact", "question")
+
+
 def _sources(spark, d):
-    """What each question is answered from: knowledge, retried with the history if nothing is found, the best articles, contact."""
+    """What each question is answered from: knowledge, the best articles, contact; a question without any source is
+    asked again with its whole history, of all of them."""
     asked, items, rows = questions(spark, d), knowledge(spark, d), articles(spark, d)
-    idx = item_index(items)
-    search = lambda q: Q.top(Q.scores(q, idx), items, 2).select("qid", "id", "place")
-    known = Q.retried(search(asked), asked, search).join(items, "id").select("qid", F.lit(1).alias("block"), "place", F.lit("Kennisbank").alias("name"), "title", F.substring("content", 1, 500).alias("snippet"))
-    best = Q.best_articles(asked, article_index(rows), rows, stop=_COMMON)
-    read = written(best.join(rows.select("id", "title", "body"), "id"), "read")
-    contact = asked.where(X.any_of(F.lower("text"), ("contact", "question"))).select("qid", F.lit(3).alias("block"), F.lit(1).alias("place"), F.lit("Contact").alias("name"), F.lit("Contact").alias("title"), F.lit("Bel of mail.").alias("snippet"))
-    return asked, written(known.unionByName(contact), "sources"), read
+    known_index, read_index = item_index(items), article_index(rows)
+
+    def found(asked):
+        known = Q.top(Q.scores(asked, known_index), items, 2).join(items, "id").select("qid", F.lit(1).alias("block"), "place", F.lit("Kennisbank").alias("name"), "title", F.substring("content", 1, 500).alias("snippet"))
+        contact = asked.where(X.any_of(F.lower("text"), CONTACT)).select("qid", F.lit(3).alias("block"), F.lit(1).alias("place"), F.lit("Contact").alias("name"), F.lit("Contact").alias("title"), F.lit("Bel of mail.").alias("snippet"))
+        best = Q.best_articles(asked, read_index, rows, stop=_COMMON)
+        return written(known.unionByName(contact), "sources"), written(best.join(rows.select("id", "title", "body"), "id"), "read")
+
+    other, read = found(asked.select("qid", "text"))
+    lost = written(Q.unanswered(asked, other, read), "lost")
+    if not lost.isEmpty():
+        more, also = found(lost)
+        other, read = other.unionByName(more), read.unionByName(also)
+    return asked, other, read
 
 
 def _context(asked, other, read, bodies: bool):
@@ -146,19 +159,22 @@ def _contexts_sql() -> str:
     short = "|".join(a.replace(".", r"\.") for a in R.ABBREVIATIONS)
     plain = r"array_to_string(list_filter(list_transform(string_split_regex(body, '\n\s*\n'), lambda b: regexp_replace(trim(regexp_replace(b, '\s+', ' ', 'g')), '^\\([#*_=<-])', '\1')), lambda b: b <> ''), chr(10))"
     ends = "i > 1 AND regexp_full_match(coalesce(cs[i + 1], ''), '\\s') AND (cs[i] IN ('.', '!', '?') OR regexp_full_match(cs[i], '[\\x{201D}\"\\x{2019}'')]') AND cs[i - 1] IN ('.', '!', '?'))"
+    again = re.sub(r"\b(sc|rk|x1|s1|x2|s2|fin|two|uniq|chosen)\b", r"\1_again", _ARTICLES[_ARTICLES.index("sc AS (") :]).replace("FROM q)", "FROM lost)")
     return f"""
 WITH {_Q}, {_ARTICLES},
 hq AS (SELECT qid, text, array_to_string(list_filter(said, lambda t: trim(t) <> ''), ' ') AS history FROM (
   SELECT role, text, conv_id || '-' || turn AS qid, list(CASE WHEN role = 'user' THEN text END) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 8 PRECEDING AND 1 PRECEDING) AS said FROM conversations) WHERE role = 'user'),
 f1 AS (SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY score DESC, priority DESC, id) AS place FROM own JOIN k USING (id) WHERE score >= 2 QUALIFY place <= 2),
-o2 AS (SELECT qid, id, sum(w) AS score FROM (SELECT qid, unnest({C.sql_tokens("concat_ws(' ', history, text)")}) AS token FROM hq WHERE qid NOT IN (SELECT qid FROM f1)) JOIN ix USING (token) GROUP BY ALL),
+lost AS (SELECT qid, concat_ws(' ', history, text) AS text FROM hq WHERE qid NOT IN (SELECT qid FROM f1) AND qid NOT IN (SELECT qid FROM chosen) AND NOT contains(lower(text), 'contact') AND NOT contains(lower(text), 'question')),
+{again},
+o2 AS (SELECT qid, id, sum(w) AS score FROM (SELECT qid, unnest({C.sql_tokens("text")}) AS token FROM lost) JOIN ix USING (token) GROUP BY ALL),
 f2 AS (SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY score DESC, priority DESC, id) AS place FROM o2 JOIN k USING (id) WHERE score >= 2 QUALIFY place <= 2),
-bd AS (SELECT id, title, p, string_split(p[:1201], '') AS cs FROM (SELECT id, title, replace(replace({plain}, '&lt;', '<'), '&gt;', '>') AS p FROM a WHERE id IN (SELECT id FROM chosen))),
+bd AS (SELECT id, title, p, string_split(p[:1201], '') AS cs FROM (SELECT id, title, replace(replace({plain}, '&lt;', '<'), '&gt;', '>') AS p FROM a WHERE id IN (SELECT id FROM chosen UNION SELECT id FROM chosen_again))),
 ct AS (SELECT id, title, p, coalesce(list_max(list_filter(list_filter(range(1, 1201), lambda i: {ends}), lambda i: NOT regexp_matches(p[greatest(1, i - 11):i], '(?i)(?:^|\\s)(?:{short})\\.$'))), -1) AS cut, CASE WHEN contains(p[:1201], ' ') THEN length(p[:1201]) - strpos(reverse(p[:1201]), ' ') ELSE -1 END AS sp FROM bd),
 sn AS (SELECT id, title, concat_ws(' ', title, '')[:500] AS brief, CASE WHEN p <> '' AND p <> trim(title) THEN CASE WHEN length(p) <= 1200 THEN p ELSE rtrim(p[:CASE WHEN cut >= 600 THEN cut WHEN sp > 0 THEN sp ELSE 1200 END]) END ELSE concat_ws(' ', title, '')[:500] END AS snippet FROM ct),
 src AS (SELECT qid, 1 AS block, place, 'Kennisbank' AS name, title, content[:500] AS snippet, content[:500] AS brief FROM (SELECT * FROM f1 UNION ALL SELECT * FROM f2) JOIN k USING (id)
-  UNION ALL SELECT qid, 2, place, 'Artikel', title, snippet, brief FROM chosen JOIN sn USING (id)
-  UNION ALL SELECT qid, 3, 1, 'Contact', 'Contact', 'Bel of mail.', 'Bel of mail.' FROM q WHERE contains(lower(text), 'contact') OR contains(lower(text), 'question')),
+  UNION ALL SELECT qid, 2, place, 'Artikel', title, snippet, brief FROM (SELECT * FROM chosen UNION ALL SELECT * FROM chosen_again) JOIN sn USING (id)
+  UNION ALL SELECT qid, 3, 1, 'Contact', 'Contact', 'Bel of mail.', 'Bel of mail.' FROM (SELECT qid, text FROM q UNION ALL SELECT qid, text FROM lost) WHERE contains(lower(text), 'contact') OR contains(lower(text), 'question')),
 nm AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY block, place) AS n FROM src),
 cx AS (SELECT qid, count(*) AS n_sources, string_agg('[' || n || '] ' || name || ' — "' || title || '"' || chr(10) || snippet, chr(10) || chr(10) ORDER BY n) AS context, string_agg('[' || n || '] ' || name || ' — "' || title || '"' || chr(10) || brief, chr(10) || chr(10) ORDER BY n) AS short FROM nm GROUP BY qid),
 al AS (SELECT qid, coalesce(n_sources, 0) AS n_sources, coalesce(context, '(geen bronnen gevonden)') AS context, coalesce(short, '(geen bronnen gevonden)') AS short FROM q LEFT JOIN cx USING (qid))"""

@@ -347,6 +347,24 @@ def test_three_limits_as_a_stream_and_after_a_restart(spark, tmp_path):
     assert {tuple(r.values()) for r in got} == want
 
 
+def test_a_run_is_counted_while_it_is_written(spark, tmp_path):
+    rows = spark.range(1000).withColumn("even", F.col("id") % 2 == 0)
+    assert store.observed_write(rows, f"{tmp_path}/run", n=F.count("*"), even=F.count_if("even"), none=F.sum(F.when(F.col("id") < 0, 1))) == {"n": 1000, "even": 500, "none": 0}
+    assert spark.read.parquet(f"{tmp_path}/run").count() == 1000
+
+
+def test_unanswered_questions_are_asked_with_their_history(spark):
+    asked = spark.createDataFrame([("a", "x", "h"), ("b", "y", "h"), ("c", "z", ""), ("d", "w", None)], "qid string, text string, history string")
+    some = lambda *ids: spark.createDataFrame([(i, 1) for i in ids], "qid string, place int")
+    assert {r["qid"]: r["text"] for r in rows_of(retrieve.unanswered(asked, some("a", "a"), some()))} == {"b": "h y", "c": " z", "d": "w"}
+
+
+def test_questions_a_kept_text_does_not_answer(spark):
+    texts = ["Hoeveel kost het?", "wat MAG IK doen", "magik", "wat is btw", None, "Is dit beter?"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "n int, text string")
+    assert [r["n"] for r in rows_of(rows.where(retrieve.answerable(F.col("text"))))] == [2, 3, 4]
+
+
 # rule tables
 
 
