@@ -51,3 +51,10 @@ def counted_before(rows: DataFrame, group: str | None, order: list[Column], flag
         dealt = dealt.join(sums, "_range")
     inside = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     return dealt.withColumn(name, F.col("_base") + F.coalesce(F.sum("_flag").over(inside), F.lit(0))).drop("_flag", "_range", "_base")
+
+
+def spread_join(rows: DataFrame, few: DataFrame, on: str, by: str, copies: int = 32) -> DataFrame:
+    """Rows with the columns of ``few``, which has a row per key ``on``: each key's rows are dealt by ``by`` over
+    copies of that row, so that a key of a third of all rows is many tasks'."""
+    copied = few.withColumn("_copy", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
+    return rows.withColumn("_copy", F.pmod(F.xxhash64(by), F.lit(copies)).cast("int")).join(copied, [on, "_copy"]).drop("_copy")

@@ -57,7 +57,7 @@ def topic_records(spark, d):
     items = _items(spark, d).drop("html")
     html = F.col("html")
     landed = table(spark, d, "pages").select("page_id", X.url_key(F.col("url")).alias("url_key"), P.page_title(html).alias("title"), P.strip_html(P.region(html, "article")).alias("body"))
-    landed = T.first_per_key(landed, "url_key", "page_id").select("url_key", "title", F.substring("body", 1, 200).alias("description"), "body")
+    landed = T.first_per_key(landed, "url_key", "page_id").select("url_key", "title", F.col("body").alias("description"), F.lit(None).cast("string").alias("body"))
     known = T.known_urls(table(spark, d, "pages").where("url LIKE '%#%'"))
     out = H.topic_ingest(items, landed, known, SAMPLE, F.lit(NOW).cast("timestamp"), 9, 100, 30, 45)
     return out.select("ord", "source", "recorded", "reason")
@@ -74,7 +74,7 @@ def _records_sql() -> str:
     return f"""
 WITH u AS ({URL_PARTS_SQL}), i AS (SELECT page_id AS ord, {URL_KEY_SQL} AS url_key, {scheme} AS source, url, DATE '{NOW}' - (length(html) % 400)::INT AS day, nullif({_STRIP(_TITLE)}, '') AS title, {_STRIP(f"coalesce({_REGION}, '')")} AS body FROM u),
 p AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY url_key ORDER BY ord) AS r FROM i) WHERE r = 1),
-c AS (SELECT i.ord, i.source, CASE WHEN i.day < DATE '{NOW}' - INTERVAL 9 MONTH THEN 'te oud' WHEN i.url_key IN (SELECT url_key FROM i WHERE url LIKE '%#%') THEN 'dubbel' END AS cheap, p.title, p.body[:200] AS description, concat_ws(' ', p.title, p.body[:200], p.body) AS x FROM i JOIN p USING (url_key)),
+c AS (SELECT i.ord, i.source, CASE WHEN i.day < DATE '{NOW}' - INTERVAL 9 MONTH THEN 'te oud' WHEN i.url_key IN (SELECT url_key FROM i WHERE url LIKE '%#%') THEN 'dubbel' END AS cheap, p.title, p.body AS description, concat_ws(' ', p.title, p.body) AS x FROM i JOIN p USING (url_key)),
 r AS (SELECT *, coalesce(count(*) FILTER (cheap IS NULL) OVER (PARTITION BY source ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) < 100 AS rd FROM c),
 v AS (SELECT *, coalesce(cheap, CASE WHEN title IS NULL THEN 'geen titel' WHEN length(description) < 20 THEN 'korte omschrijving' WHEN NOT ((({total}) > 0 OR {who} OR {sig}) AND (({narrow}) > 0 OR {who} OR {sig}) AND NOT ({bar})) THEN 'niet relevant' END) AS reason FROM r),
 w AS (SELECT source, least(count(*) FILTER (reason IS NULL AND rd), 30) AS want FROM v GROUP BY source),

@@ -27,7 +27,7 @@ def items(spark, d):
     t = F.col("text")
     day = F.date_sub(F.lit(NOW).cast("date"), F.length(t) % 120)
     link = F.concat(F.lit("https://"), "source", F.lit(".example/"), X.slug(C.title(t)))
-    return table(spark, d, "documents").select("doc_id", F.col("doc_id").alias("pos"), "source", "text", C.title(t).alias("title"), F.substring(t, 1, 300).alias("description"), link.alias("link"), F.when(F.length(t) % 50 != 0, day).alias("day"))
+    return table(spark, d, "documents").select("doc_id", F.col("doc_id").alias("pos"), "source", "text", C.title(t).alias("title"), t.alias("description"), link.alias("link"), F.when(F.length(t) % 50 != 0, day).alias("day"))
 
 
 def ingested(spark, d):
@@ -60,7 +60,7 @@ rel AS ({CLASSIFY_SQL['relevance']}),
 i AS (SELECT doc_id, source, text, {C.sql_title('text')} AS title, 'https://' || source || '.example/' || regexp_replace(regexp_replace({C.sql_fold(C.sql_title('text'))}, '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g')[:80] AS link FROM documents),
 k AS (SELECT *, regexp_replace(link, '/+$', '') AS url_key FROM i),
 a AS (SELECT k.*, CASE WHEN trim(title) = '' THEN 'ontbrekende velden' WHEN url_key IN (SELECT url_key FROM k WHERE doc_id IN (SELECT doc_id FROM labels)) THEN 'dubbel'
-        WHEN length(text[:300]) < 20 THEN 'korte omschrijving' WHEN NOT rel.relevant THEN 'niet relevant' WHEN length(text) % 50 = 0 THEN 'geen datum' END AS r0 FROM k JOIN rel USING (doc_id)),
+        WHEN length(text) < 20 THEN 'korte omschrijving' WHEN NOT rel.relevant THEN 'niet relevant' WHEN length(text) % 50 = 0 THEN 'geen datum' END AS r0 FROM k JOIN rel USING (doc_id)),
 b AS (SELECT *, CASE WHEN r0 IS NULL AND row_number() OVER (PARTITION BY url_key, r0 IS NULL ORDER BY doc_id) > 1 THEN 'dubbel' ELSE r0 END AS r1, regexp_extract(source, '[0-9]+')::INT AS rank FROM a),
 w AS (SELECT source, min(rank) AS rank, least(count(*) FILTER (r1 IS NULL), {CAP}) AS want FROM b GROUP BY source),
 l AS (SELECT source, least({CAP}, greatest(0, {BUDGET} - coalesce(sum(want) OVER (ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))) AS lim FROM w),

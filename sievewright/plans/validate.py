@@ -8,6 +8,7 @@ from sievewright.functions import rules as R
 from sievewright.functions import text as X
 from sievewright.functions.rules import SAMPLE
 from sievewright.operators import validate as V
+from sievewright.operators.tables import spread_join
 from sievewright.plans import common as C
 from sievewright.plans.common import table
 
@@ -38,7 +39,7 @@ def unsupported_facts(spark, d):
     """Facts of a document that the first document of its source has not."""
     docs = table(spark, d, "documents").select("doc_id", "source", "text")
     first = docs.groupBy("source").agg(F.min_by("text", "doc_id").alias("source_text"))
-    rows = docs.join(first, "source").select("doc_id", F.explode(V.unsupported(F.col("text"), F.col("source_text"))).alias("f"))
+    rows = spread_join(docs, first, "source", "doc_id").select("doc_id", F.explode(V.unsupported(F.col("text"), F.col("source_text"))).alias("f"))
     return rows.select("doc_id", "f.kind", "f.value")
 
 
@@ -54,7 +55,7 @@ def title_similarity(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "source", C.title(F.col("text")).alias("title"))
     first = docs.groupBy("source").agg(F.min_by("title", "doc_id").alias("other"))
     score = X.jaccard(X.title_words(F.col("title")), X.title_words(F.col("other")))
-    return docs.join(first, "source").select("doc_id", score.alias("score"), (score > 0.75).alias("too_close"))
+    return spread_join(docs, first, "source", "doc_id").select("doc_id", score.alias("score"), (score > 0.75).alias("too_close"))
 
 
 SIMILARITY_SQL = f"""
@@ -68,8 +69,8 @@ def checked(spark, d):
     """The whole check: errors and warnings of each document as an article on its source's first document."""
     docs = table(spark, d, "documents")
     first = docs.groupBy("source").agg(F.min_by("text", "doc_id").alias("source_text"))
-    rows = docs.join(first, "source").select(
-        "doc_id", C.title(F.col("text"), 12).alias("title"), F.substring("text", 1, 200).alias("summary"), F.col("text").alias("body"), F.lit("").alias("relevance"), F.when(F.col("lang") == "en", "voorstel").alias("status"),
+    rows = spread_join(docs, first, "source", "doc_id").select(
+        "doc_id", C.title(F.col("text"), 12).alias("title"), F.coalesce(F.get(X.sentences(F.col("text")), 0), F.lit("")).alias("summary"), F.col("text").alias("body"), F.lit("").alias("relevance"), F.when(F.col("lang") == "en", "voorstel").alias("status"),
         F.col("lang").alias("category"), F.array(F.lit("starter")).alias("audiences"), C.title(F.col("source_text"), 12).alias("source_title"), "source_text", F.concat(F.lit("https://www."), "source", F.lit(".example/x")).alias("source_url"), (F.length("text") % 9 == 0).alias("duplicate"),
     )
     out = V.validated(rows, F.lit("2024-01-01").cast("timestamp"), "example", SAMPLE.audiences, categories=("en", "de", "fr"))

@@ -460,6 +460,14 @@ def test_dependent_questions(spark):
 # positions and streams
 
 
+def test_spread_join_keeps_every_row_once(spark):
+    rows = spark.range(500).select("id", F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("k"), F.col("id") % 7)).alias("key"))
+    few = rows.groupBy("key").agg(F.count("*").alias("n"))
+    got = rows_of(tables.spread_join(rows, few, "key", "id", copies=4))
+    assert len(got) == 500 and {r["id"] for r in got} == set(range(500))
+    assert all(r["n"] == sum(x["key"] == r["key"] for x in got) for r in got)
+
+
 def test_counted_before_equals_plain_count(spark):
     r = random.Random(2)
     rows = [(i, r.choice(["a", "a", "a", "b", None]), r.choice([1, 2, 3, 4]) * 100 + i % 7, r.random() < 0.5) for i in range(300)]
