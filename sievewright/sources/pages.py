@@ -144,9 +144,9 @@ def told(found: Column, text: Column, least: int, paragraph: int, paragraphs: in
     return F.when(ok & ~text.rlike(boilerplate) if boilerplate else ok, text)
 
 
-def body(found: Column, most: int = 8000, least: int = 400, paragraph: int = 40, paragraphs: int = 2) -> Column:
-    """Blocks joined by blank lines and cut at a sentence; null if too short or of too few paragraphs, counted before the cut."""
-    return told(found, joined(found, most), least, paragraph, paragraphs, None, False)
+def body(found: Column, most: int = 8000, least: int = 400, paragraph: int = 40, paragraphs: int = 2, boilerplate: str | None = None, after: bool = False) -> Column:
+    """Blocks joined by blank lines and cut at a sentence; null if too short, boilerplate, or of too few paragraphs."""
+    return told(found, joined(found, most), least, paragraph, paragraphs, boilerplate, after)
 
 
 def news_bodies(pages: DataFrame, most: int = 8000, least: int = 400, paragraph: int = 40, paragraphs: int = 2) -> DataFrame:
