@@ -111,9 +111,8 @@ def opened(asked: DataFrame, idx: Index, bars: DataFrame) -> tuple[DataFrame, Da
     return blocks.select("bag", "token", "w", "n", "size"), rows.where("NOT _listed").select("bag", "token", "n", "most")
 
 
-def candidates(asked: DataFrame, idx: Index, bars: DataFrame) -> DataFrame:
-    """(bag, id): every item whose score may reach the bar."""
-    listed, rest = opened(asked, idx, bars)
+def candidates(idx: Index, bars: DataFrame, listed: DataFrame, rest: DataFrame) -> DataFrame:
+    """(bag, id, part): every item whose score may reach the bar, and what the lists gave it; ``listed`` and ``rest`` are ``opened``."""
     total = idx.blocks.agg(F.sum("n")).first()[0] or 0
     length = max(LONG, -(-total // MOST_LONG))
     salts = lambda c: F.expr(f"{c} div {length} + 1")
@@ -126,13 +125,19 @@ def candidates(asked: DataFrame, idx: Index, bars: DataFrame) -> DataFrame:
     bound = bars.join(more, "bag", "left").fillna(0, ["more"])
     bound = bound.withColumn("_copy", F.explode(F.sequence(F.lit(0), F.lit(COPIES - 1))))
     dealt = found.withColumn("_copy", F.pmod(F.xxhash64("id"), F.lit(COPIES)).cast("int"))
-    return dealt.join(bound, ["bag", "_copy"]).where(F.col("part") + F.col("more") >= F.col("bar")).select("bag", "id")
+    return dealt.join(bound, ["bag", "_copy"]).where(F.col("part") + F.col("more") >= F.col("bar")).select("bag", "id", "part")
 
 
 def scored(asked: DataFrame, idx: Index, most: int, least: int) -> DataFrame:
-    """(bag, id, score): all items that score at least as the last of ``most`` places does, and at least ``least``."""
+    """(bag, id, score): all items that score at least as the last of ``most`` places does, and at least ``least``.
+
+    Lists gave such an item all of its tokens but those only looked up, so these are what is looked up here.
+    """
     bars = written(thresholds(asked, idx, most, least), "bars")
-    out = full_scores(candidates(asked, idx, bars), asked, idx)
+    listed, rest = opened(asked, idx, bars)
+    found = written(candidates(idx, bars, listed, rest), "candidates")
+    more = full_scores(found, rest, idx).withColumnRenamed("score", "more")
+    out = found.join(more, ["bag", "id"], "left").select("bag", "id", (F.col("part") + F.coalesce("more", F.lit(0))).alias("score"))
     return out.where(F.col("score") >= least)
 
 
