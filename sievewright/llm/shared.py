@@ -24,20 +24,25 @@ def shared_path(spark: SparkSession, name: str) -> str:
     The cluster names that folder in ``spark.checkpoint.dir``; only where that is unset on this machine
     alone, as in local tests, a temporary folder serves.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        base = tempfile.mkdtemp(prefix="sievewright-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="sievewright-"))
+        base = spark.sparkContext.getCheckpointDir()
     return f"{base.rstrip('/')}/sievewright/{name}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """The table written to the shared folder and read again: this cuts the lineage and survives lost executors."""
+    return df.sparkSession.read.schema(df.schema).parquet(stored(df, name))
+
+
+def stored(df: DataFrame, name: str) -> str:
+    """Where in the shared folder the table has been written."""
     path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return path
 
 
 def fold(key: Column, n: int = 5) -> Column:

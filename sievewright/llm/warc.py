@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sievewright.llm.shared import cut, shared_path, table, written
+from sievewright.llm.shared import cut, shared_path, stored, table, written
 
 #: What every record begins with; the minor version and the end of the line follow.
 MAGIC = "WARC/1."
@@ -100,6 +100,25 @@ def header(block: bytes) -> tuple[dict[str, str], int] | None:
     return (fields, end + 4) if fields.get("content-length", "").isdigit() and "warc-type" in fields else None
 
 
+def steady(spark: SparkSession) -> SparkSession:
+    """A session with the settings of this one, in which a text file is split alike by every scan.
+
+    What Spark chooses a split's length from is fixed here, the parallelism of this moment among it, so
+    executors that come or go between two scans, or later settings of ``spark``, change nothing.
+    """
+    own = spark.newSession()
+    for k, v in spark.conf.getAll.items():
+        if spark.conf.isModifiable(k):
+            own.conf.set(k, v)
+    slots = spark.conf.get("spark.sql.files.minPartitionNum", None) or spark.conf.get("spark.sql.leafNodeDefaultParallelism", None)
+    fixed = {"spark.sql.files.minPartitionNum": slots or str(spark.sparkContext.defaultParallelism)}
+    for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes"):
+        fixed[k] = spark.conf.get(k)
+    for k, v in fixed.items():
+        own.conf.set(k, v)
+    return own
+
+
 def pieces(spark: SparkSession, path: str) -> DataFrame:
     """(file, split, seq, value): the bytes after each magic, up to the next, in order within a split.
 
@@ -182,7 +201,8 @@ def read_warc(spark: SparkSession, path: str, payload: bool = True) -> DataFrame
     ``payload_bytes`` and ``digest`` are computed from the bytes read; for a revisit they come from its
     header and from the length in its HTTP block. With ``payload`` false the bytes themselves stay out.
     """
-    plan = written(entries(spark, path), "entries")
+    own = steady(spark)
+    plan = written(entries(own, path), "entries")
     # one row per input split, as many as the scan itself has to list on the driver
     where = {(r["file"], r["split"]): (r["base"], r["entry"], r["owner"]) for r in plan.collect()}
     shared = spark.sparkContext.broadcast(where)
@@ -241,9 +261,9 @@ def read_warc(spark: SparkSession, path: str, payload: bool = True) -> DataFrame
 
     kinds = {pa.string(): "string", pa.int64(): "bigint", pa.binary(): "binary"}
     text = lambda c: ", ".join(f"{n} {kinds[t]}" for n, t in c)
-    found = pieces(spark, path).mapInArrow(run, text([*fields, *columns]))
+    # written by the session whose splits are fixed, and read again by the caller's
+    found = spark.read.schema(text([*fields, *columns])).parquet(stored(pieces(own, path).mapInArrow(run, text([*fields, *columns])), "records"))
     if any(r[2] >= 0 for r in where.values()):  # else no file has a second split, and nothing can run on
-        found = written(found, "records")
         whole = found.where("start IS NULL").select(*[c for c, _ in columns])
         return whole.unionByName(found.where("start IS NOT NULL").select(*[c for c, _ in fields]).groupBy("file", "start").applyInArrow(gather, text(columns)))
     # a record that runs on over the end of its file left pieces: its first one tells so

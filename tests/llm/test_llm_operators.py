@@ -8,6 +8,7 @@ import re
 import time
 import zlib
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
@@ -584,6 +585,30 @@ def test_warc_round_trip(spark, size):
             assert r["type"] == "revisit" and r["refers_to"] == f"<urn:page:{top[x or '']}>"
 
 
+def test_warc_splits_stay_as_they_were(spark, monkeypatch):
+    """Settings and parallelism that change between the two scans change no split."""
+    rows = [(i, f"<p>{i} {'WARC/1.0' + chr(13) + chr(10) if i % 3 == 0 else ''}{'x' * (i * 37 % 900)}</p>") for i in range(300)]
+    path = shared.shared_path(spark, "warc")
+    warc.write_warc(spark.createDataFrame(rows, "page_id long, html string").coalesce(1), path)
+    real, key = warc.entries, "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(key)
+
+    def then_changed(session, where):
+        out = real(session, where)
+        spark.conf.set(key, "1500")
+        spark.conf.set("spark.sql.files.minPartitionNum", "90")
+        return out
+
+    monkeypatch.setattr(warc, "entries", then_changed)
+    try:
+        spark.conf.set(key, "9000")
+        got = {r["record_id"]: r["payload"] for r in warc.read_warc(spark, path).collect()}
+    finally:
+        spark.conf.set(key, before)
+        spark.conf.unset("spark.sql.files.minPartitionNum")
+    assert got == {f"<urn:page:{i}>": bytearray(h.encode()) for i, h in rows}
+
+
 def test_warc_odd_rows(spark):
     rows = spark.createDataFrame([(None, "a"), (1, "a"), (2, "b"), (2, "b"), (3, "")], "page_id long, html string")
     path = shared.shared_path(spark, "warc")
@@ -838,3 +863,11 @@ def test_pipeline_stages(spark):
         docs = out
     assert sum(r["n_words"] for r in rows_of(corpus_pipeline.packed(spark, docs, d))) == sum(len(r["text"].encode().split()) for r in rows_of(docs))
     assert not re.search(BASE[0][1], " ".join(r["text"] for r in rows_of(docs)))
+
+
+def test_shared_folder_without_a_setting(spark):
+    """A local session whose setting is unset gets one folder, the same for all that is written."""
+    unset = SimpleNamespace(conf=SimpleNamespace(get=lambda key, default=None: default), sparkContext=spark.sparkContext)
+    first, second = (shared.shared_path(unset, "x") for _ in range(2))
+    assert first != second and first.rsplit("/", 1)[0] == second.rsplit("/", 1)[0]
+    assert spark.sparkContext.getCheckpointDir() in first
