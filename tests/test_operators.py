@@ -4,6 +4,7 @@ import itertools
 import random
 import re
 from collections import Counter
+from types import SimpleNamespace
 
 import pytest
 from pyspark.errors import PySparkException
@@ -503,3 +504,11 @@ def test_missing_authorities_and_denied_claims(spark):
     row = spark.createDataFrame([("U kunt dit aanvragen bij de autoriteit financiële markten of bij DUO.", "Er is nog geen geldende regel. Dit geldt nu. Bel de AFM.")], "source string, article string")
     got = row.select(V.missing_details(F.col("article"), F.col("source")).alias("m"), V.claims(F.col("article"), F.col("source")).alias("c")).first()
     assert got["m"] == ["dienst uitvoering onderwijs"] and got["c"] == ["geldt nu"]
+
+
+def test_shared_folder_without_a_setting(spark):
+    """A local session whose setting is unset gets one folder, the same for all that is written."""
+    unset = SimpleNamespace(conf=SimpleNamespace(get=lambda key, default=None: default), sparkContext=spark.sparkContext)
+    first, second = (tables.shared_path(unset, "x") for _ in range(2))
+    assert first != second and first.rsplit("/", 1)[0] == second.rsplit("/", 1)[0]
+    assert spark.sparkContext.getCheckpointDir() in first
