@@ -7,11 +7,13 @@ Every candidate is described by format (digits, groups, separators, brackets, bo
 word shortly before).
 
 Labels do not come from the base's patterns matching a candidate. Base spans are rewritten, where they
-stand, into the written-out forms: these are the positives. The same digits as dates, versions and codes
-are decoys; with the generators' candidates in the corpus itself, which count by ``doubt`` as they may be
-personal data, they are the negatives. So a form is trusted as far as personal data rewritten so is more
-frequent than whatever else looks like it. Boosted
-trees per kind tell the two apart; a threshold per kind is calibrated on held-out documents to
+stand, into the written-out forms: these are the positives. The same names and digits as prices, dates,
+lists and codes are decoys. A candidate of the corpus is unlabelled, as it may be personal data: it is a
+negative only where no positive of its kind has its shape, and all such count as much as what is made, at
+most. Positives and decoys count in four surroundings alike, with and without a cue and with plain borders,
+so that what stands around the corpus's base spans is not what is learnt; e-mail addresses are described by
+their separators, not by the length of names and domains. Boosted trees per kind tell the two apart, and a
+cue never lowers a score; a threshold per kind is calibrated on held-out documents to
 ``precision``. Candidates at or above it that overlap no base span and no better candidate are added.
 Without any base span of a kind there is nothing to learn from, and nothing of that kind is added.
 
@@ -57,6 +59,11 @@ WIDE = (
 CUES = {"email": "mail|contact|write", "ip": "address|host|server", "card": "card|credit|visa|iban|account|number", "phone": "phone|tel|call|mobile|fax|contact"}
 #: Name and largest value of each feature.
 FEATURES = (("digits", 20), ("groups", 8), ("longest", 8), ("opens", 6), ("spaces", 6), ("dots", 5), ("dashes", 5), ("slashes", 3), ("brackets", 4), ("words", 4), ("left", 2), ("right", 2), ("cue", 1))
+#: What of them makes a shape: the separators, with the digits where these are not free.
+_SEPARATORS = ("groups", "spaces", "dots", "dashes", "slashes", "brackets", "words")
+SHAPE = {"email": _SEPARATORS, "ip": _SEPARATORS, "card": ("digits", *_SEPARATORS), "phone": ("digits", "longest", "opens", *_SEPARATORS)}
+#: What stands for the @ of an address.
+AT = r" ?[(\[{<] ?(?:at|AT|@) ?[)\]}>] ?| (?:at|AT) | ?@ ?"
 SPAN = "array<struct<s:int,k:int,e:int,m:string>>"
 
 
@@ -65,8 +72,6 @@ class Params:
     trees: int = 40
     rate: float = 0.4
     precision: float = 0.9
-    #: What a candidate of the corpus counts for against its form: it may be personal data itself.
-    doubt: float = 0.25
     folds: int = 5
 
 
@@ -140,8 +145,12 @@ def rewritten(x: Column) -> Column:
     part = lambda a, k: F.substring(last, a, k)
     shapes = (("(", ") ", "-"), ("(", ") ", " "), ("", "-", "-"), ("", ".", "."), ("", " ", " "), ("", " ", "-"), ("", "/", "-"), ("(", ")", "-"), ("0", " ", " "), ("0", "-", "-"))
     phones = [F.when(n >= 10, F.concat(F.lit(a), part(1, 3), F.lit(b), part(4, 3), F.lit(c), part(7, 4))) for a, b, c in shapes]
+    pair = lambda a: F.substring(last, a, F.lit(2))
+    phones += [F.when(n >= 10, F.concat(F.lit("0"), F.substring(last, 2, F.lit(1)), *[F.concat(F.lit(c), pair(a)) for a in (3, 5, 7, 9)])) for c in " ."]
     phones += [F.concat(F.lit("00"), F.regexp_replace(F.substring(m, 2, 1 << 20), r"[()]", "")), m]
     bad = {
+        0: [F.concat(user, F.lit(x)) for x in (" @ 4.50", "@ 10.30", " (at) 10.30")],
+        2: [F.when(n == 16, four(sep)).when(n == 15, six(sep)) for sep in (", ", ": ")],
         1: [F.concat(at(1, 1), F.lit(". "), at(2, 1), F.lit(". "), at(3, 1), F.lit(". "), at(1, 1))],
         3: [F.concat(at(1, 4), F.lit(c), at(5, 2), F.lit(c), at(7, 2)) for c in "-/. "]
         + [F.concat(at(1, 2), F.lit(c), at(3, 2), F.lit(c), at(5, 4)) for c in "-/. "]
@@ -153,7 +162,7 @@ def rewritten(x: Column) -> Column:
     return F.filter(F.when(x["k"] == 0, made[0]).when(x["k"] == 1, made[1]).when(x["k"] == 2, made[2]).otherwise(made[3]), lambda f: f["m"].isNotNull())
 
 
-def found(docs: DataFrame, key: list[str], doubt: float) -> DataFrame:
+def found(docs: DataFrame, key: list[str]) -> DataFrame:
     """``key``, ``base`` (accepted base spans), ``cand`` (proposals apart from them) and ``made`` (base spans rewritten)."""
     text = F.col("_t")
     rows = docs.select(*key, F.coalesce("text", F.lit("")).alias("_t"))
@@ -162,39 +171,41 @@ def found(docs: DataFrame, key: list[str], doubt: float) -> DataFrame:
     rows = rows.withColumn("_ok", F.filter(base, accepted))
     apart = lambda c: F.forall("_ok", lambda b: (b["e"] <= c["s"]) | (c["e"] <= b["s"]))
     rows = rows.withColumn("_wide", F.array_distinct(F.filter(wide, lambda c: apart(c) & possible(c))))
-    cand = F.transform("_wide", lambda c: described(text, c, c["m"], F.lit(0), F.lit(doubt)))
-    made = F.flatten(F.transform("_ok", lambda b: F.transform(rewritten(b), lambda f: described(text, b, f["m"], f["y"], F.lit(1.0)))))
+    cand = F.transform("_wide", lambda c: described(text, c, c["m"], F.lit(0), F.lit(False)))
+    made = F.flatten(F.transform("_ok", lambda b: F.transform(rewritten(b), lambda f: described(text, b, f["m"], f["y"], F.lit(True)))))
     return rows.select(*key, F.col("_ok").alias("base"), cand.alias("cand"), made.alias("made"))
 
 
-def described(text: Column, c: Column, m: Column, y: Column, w: Column) -> Column:
-    """The features of the form ``m`` at the place of the span ``c``."""
+def described(text: Column, c: Column, m: Column, y: Column, made: Column) -> Column:
+    """The features of the form ``m`` at the place of the span ``c``; of an e-mail address, its separators are counted."""
     before = F.lower(F.substring(text, F.greatest(c["s"] - 31, F.lit(1)), F.least(c["s"], F.lit(32))))
-    count = lambda what: F.length(m) - F.length(F.regexp_replace(m, what, ""))
+    number = c["k"] != 0
+    seen = F.when(number, m).otherwise(F.regexp_extract(m, AT, 0))
+    count = lambda what: F.length(seen) - F.length(F.regexp_replace(seen, what, ""))
+    dot = F.when(m.rlike(r"[(\[{<] ?(?:dot|DOT|\.)"), 2).when(m.rlike(" (?:dot|DOT) "), 1).otherwise(0)
     border = lambda x: F.when(x.rlike(r"[A-Za-z0-9]"), 2).when(x.rlike(r"[\\/_#=:.-]"), 1).otherwise(0)
     left = F.when(c["s"] > 0, F.substring(text, c["s"], F.lit(1))).otherwise("")
     right = F.regexp_replace(F.substring(text, c["e"] + 1, F.lit(2)), r"^[.:](?:\s|$)", " ")
     runs = F.regexp_extract_all(m, F.lit("[0-9]+"), F.lit(0))
-    number = c["k"] != 0
     cue = F.lit(False)
     for k, name in enumerate(KINDS):
         cue = cue | ((c["k"] == k) & before.rlike(CUES[name]))
     value = {
         "digits": F.when(number, F.length(digits(m))).otherwise(0),
-        "groups": F.when(number, F.size(runs)).otherwise(0),
+        "groups": F.when(number, F.size(runs)).otherwise(m.rlike("[A-Za-z]{2,}$").cast("int")),
         "longest": F.when(number, F.array_max(F.transform(runs, F.length))).otherwise(0),
         "opens": F.when(number, F.length(F.element_at(runs, 1))).otherwise(0),
         "spaces": count(r"\s"),
-        "dots": count(r"\."),
+        "dots": F.when(number, count(r"\.")).otherwise(dot),
         "dashes": F.when(number, count("-")).otherwise(0),
         "slashes": count("[/_:,]"),
         "brackets": count(r"[()\[\]{}<>]"),
-        "words": F.size(F.regexp_extract_all(m, F.lit(r"(?<![A-Za-z0-9])(?:at|AT|dot|DOT)(?![A-Za-z0-9])"), F.lit(0))),
+        "words": F.size(F.regexp_extract_all(seen, F.lit(r"(?<![A-Za-z0-9])(?:at|AT|dot|DOT)(?![A-Za-z0-9])"), F.lit(0))),
         "left": border(left),
         "right": border(F.substring(right, 1, 1)),
         "cue": cue.cast("int"),
     }
-    return F.struct(c["s"].alias("s"), c["k"].alias("k"), c["e"].alias("e"), y.alias("y"), w.alias("w"), *[F.least(F.coalesce(value[n], F.lit(0)), F.lit(most)).cast("int").alias(n) for n, most in FEATURES])
+    return F.struct(c["s"].alias("s"), c["k"].alias("k"), c["e"].alias("e"), y.alias("y"), made.alias("made"), *[F.least(F.coalesce(value[n], F.lit(0)), F.lit(most)).cast("int").alias(n) for n, most in FEATURES])
 
 
 @dataclass
@@ -224,18 +235,22 @@ class Trees:
 def boost(x: np.ndarray, weight: np.ndarray, positive: np.ndarray, p: Params) -> Trees:
     """Newton boosting of the log loss over rows of features with their weights and how much of these is positive.
 
-    Gradients are summed in a histogram per feature, whose values are few.
+    Gradients are summed in a histogram per feature, whose values are few. The cue only splits what a first
+    split has parted, and only where its side has the larger value, so that it never lowers a score.
     """
+    cue = [name for name, _ in FEATURES].index("cue")
     share = (positive.sum() + 0.5) / (weight.sum() + 1)
     model = Trees(math.log(share / (1 - share)), [])
     z = np.full(len(x), model.bias)
 
-    def best(part, g, h):
+    def best(part, g, h, first):
         """The split of ``part`` with the largest gain, as (gain, feature, cut)."""
         top = (0.0, 0, 0)
         for f, (_, most) in enumerate(FEATURES):
             gl, hl = (np.cumsum(np.bincount(x[part, f], v[part], most + 1)) for v in (g, h))
             gain = gl**2 / (hl + 1) + (gl[-1] - gl) ** 2 / (hl[-1] - hl + 1) - gl[-1] ** 2 / (hl[-1] + 1)
+            if f == cue and (first or gl[0] / (hl[0] + 1) < (gl[-1] - gl[0]) / (hl[-1] - hl[0] + 1)):
+                continue  # gradients fall as values rise
             at = int(np.argmax(gain[:-1]))
             if gain[at] > top[0] + 1e-9:
                 top = (float(gain[at]), f, at + 1)
@@ -245,12 +260,12 @@ def boost(x: np.ndarray, weight: np.ndarray, positive: np.ndarray, p: Params) ->
     for _ in range(p.trees if len(x) else 0):
         q = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
         g, h = weight * q - positive, weight * q * (1 - q)
-        gain, f, cut = best(np.ones(len(x), bool), g, h)
+        gain, f, cut = best(np.ones(len(x), bool), g, h, True)
         if gain < 1e-6:
             break
         sides = []
         for part in (x[:, f] < cut, x[:, f] >= cut):
-            _, f2, at = best(part, g, h)
+            _, f2, at = best(part, g, h, False)
             low, high = part & (x[:, f2] < at), part & (x[:, f2] >= at)
             sides.append((f2, at, value(low, g, h), value(high, g, h)))
             z += np.where(low, sides[-1][2], 0) + np.where(high, sides[-1][3], 0)
@@ -258,14 +273,45 @@ def boost(x: np.ndarray, weight: np.ndarray, positive: np.ndarray, p: Params) ->
     return model
 
 
+def labelled(grouped: list) -> dict[bool, list[tuple]]:
+    """Training rows of one kind, (features, weight, positive weight), by whether they are held out.
+
+    ``grouped`` holds (held, made, kind, features, count, positives). Half of what is made counts as it stands and half
+    between plain borders, each half with and half without a cue.
+    """
+    names = [n for n, _ in FEATURES]
+    left, right, cue = (names.index(n) for n in ("left", "right", "cue"))
+    shape = lambda r: tuple(r[3][names.index(n)] for n in SHAPE[KINDS[r[2]]])
+    trusted = {shape(r) for r in grouped if r[1] and r[5]}
+    against = [r for r in grouped if not r[1] and shape(r) not in trusted]
+    share = min(1.0, sum(r[4] for r in grouped if r[1]) / max(1, sum(r[4] for r in against)))
+    total: dict[tuple, list[float]] = {}
+
+    def add(held, features, n, pos):
+        both = total.setdefault((held, tuple(features)), [0.0, 0.0])
+        both[0], both[1] = both[0] + n, both[1] + pos
+
+    for held, _, _, features, n, _ in against:
+        add(held, features, share * n, 0.0)
+    for held, made, _, features, n, pos in grouped:
+        for plain in (False, True) if made else ():
+            for c in (0, 1):
+                x = list(features)
+                x[cue] = c
+                if plain:
+                    x[left] = x[right] = 0
+                add(held, x, n / 4, pos / 4)
+    return {held: sorted((x, n, pos) for (h, x), (n, pos) in total.items() if h == held) for held in (False, True)}
+
+
 def train(cands: DataFrame, p: Params = Params()) -> list[Trees]:
     """A model per kind, from the candidates of all documents; ``cands`` has cand, made and fold (0 calibrates)."""
     names = [n for n, _ in FEATURES]
-    flat = cands.select("fold", F.explode(F.concat("cand", "made")).alias("c")).select("fold", "c.k", *[f"c.{n}" for n in names], "c.y", "c.w")
-    grouped = flat.groupBy((F.col("fold") == 0).alias("held"), "k", *names).agg(F.sum("w").alias("n"), F.sum("y").alias("pos")).collect()
+    flat = cands.select("fold", F.explode(F.concat("cand", "made")).alias("c")).select("fold", "c.k", *[f"c.{n}" for n in names], "c.y", "c.made")
+    grouped = flat.groupBy((F.col("fold") == 0).alias("held"), "made", "k", *names).agg(F.count("*").alias("n"), F.sum("y").alias("pos")).collect()
     models = []
     for k in range(len(KINDS)):
-        rows = {h: sorted((tuple(r[n] for n in names), float(r["n"]), float(r["pos"])) for r in grouped if r["k"] == k and r["held"] == h) for h in (False, True)}
+        rows = labelled(sorted((r["held"], r["made"], k, tuple(r[n] for n in names), r["n"], r["pos"]) for r in grouped if r["k"] == k))
         fit = rows[False] or rows[True]
         model = boost(np.array([r[0] for r in fit], int).reshape(-1, len(names)), np.array([r[1] for r in fit]), np.array([r[2] for r in fit]), p)
         scored = sorted(((model.score(f), n, pos) for f, n, pos in rows[True] or fit), reverse=True)
@@ -300,7 +346,7 @@ def _detected(docs: DataFrame, carry: list[Column], p: Params) -> DataFrame:
     """``_c0``, ``_c1``, … for ``carry``, then base and added; own names, so that none of the input's can clash."""
     names = [f"_c{i}" for i in range(len(carry))]
     rows = docs.select(*[c.alias(n) for c, n in zip(carry, names)], F.col("text").alias("text"))
-    got = found(rows.withColumn("_f", F.pmod(F.xxhash64("text"), F.lit(p.folds))), [*names, "_f"], p.doubt).withColumnRenamed("_f", "fold")
+    got = found(rows.withColumn("_f", F.pmod(F.xxhash64("text"), F.lit(p.folds))), [*names, "_f"]).withColumnRenamed("_f", "fold")
     got = written(got, "candidates")
     models = train(got, p)
     plain = F.transform("base", lambda b: F.struct(b["s"].alias("s"), b["k"].alias("k"), b["e"].alias("e")))

@@ -427,6 +427,58 @@ def test_pii_trees_add_written_out_spans(spark):
         assert hit >= 0.9 * sum(x[0] == k for i in got for x in got[i]), kind
 
 
+@pytest.mark.parametrize("before", ["text", "contact", "mail", "card"])
+def test_pii_surroundings_and_lengths_are_not_learnt(spark, before):
+    """All base spans look and stand alike; written-out ones have other names and domains and stand behind any word."""
+    r = random.Random(3)
+    d = lambda k: "".join(str(r.randrange(10)) for _ in range(k))
+
+    def card():
+        while not luhn(c := "4" + d(15)):
+            pass
+        return c
+
+    ip = lambda: [str(r.randrange(1, 256)) for _ in range(4)]
+    base = [lambda: f"contact x.{d(2)}@mail{d(1)}.example.com", lambda: f"host {'.'.join(ip())}", lambda: f"number {card()}", lambda: f"tel +1 {d(3)} 555 {d(4)}"]
+    name = lambda: r.choice(["jane", "k_lee", "jan.van.dijk"])
+    wide = [
+        ("email", lambda: f"{name()} (at) site (dot) org"), ("email", lambda: f"{name()}[at]site.org"), ("email", lambda: f"{name()} AT site DOT org"), ("email", lambda: f"{name()}<at>a.site.co.uk"),
+        ("phone", lambda: f"5{d(2)}-{d(3)}-{d(4)}"), ("phone", lambda: f"(2{d(2)}) 555-{d(4)}"), ("phone", lambda: f"06 {d(2)} {d(2)} {d(2)} {d(2)}"),
+        ("card", lambda: ".".join(re.findall("....", card()))), ("ip", lambda: "[.]".join(ip())), ("ip", lambda: " . ".join(ip())),
+    ]
+    like = [lambda: f"20{d(2)}-0{r.randrange(1, 10)}-1{d(1)}", lambda: f"1{d(1)}.0{r.randrange(1, 10)}.20{d(2)}", lambda: f"{d(1)}. {d(1)}. {d(1)}. {d(1)}", lambda: "apples @ 3.50", lambda: "1998, 1999, 2000, 2001", lambda: f"{d(2)}/{d(2)}/{d(4)}"]
+    rows = []
+    for i in range(3000):
+        text, spans = prose(10, r), set()
+        if i % 3 == 0:
+            text += f" {r.choice(base)()} {prose(5, r)}"
+        elif i % 3 == 1:
+            kind, made = r.choice(wide)
+            text, made = f"{text} {before} ", made()
+            spans = {(pii.KINDS.index(kind), len(text), len(text) + len(made))}
+            text += f"{made} {prose(5, r)}"
+        else:
+            text += f" {before} {r.choice(like)()} {prose(5, r)}"
+        rows.append((text, spans))
+    df = spark.createDataFrame([(i, x) for i, (x, _) in enumerate(rows)], "doc_id long, text string")
+    got = {r["doc_id"]: {(a["k"], a["s"], a["e"]) for a in r["added"]} for r in pii.detect(df, "doc_id").collect()}
+    for k, kind in enumerate(pii.KINDS):
+        want = sum(x[0] == k for _, s in rows for x in s)
+        hit = sum(sum(x[0] == k for x in got[i] & s) for i, (_, s) in enumerate(rows))
+        assert hit >= 0.8 * want, (kind, hit, want)
+        assert hit >= 0.9 * sum(x[0] == k for i in got for x in got[i]), kind
+
+
+def test_pii_cue_never_lowers(spark):
+    names = [n for n, _ in pii.FEATURES]
+    rng = np.random.default_rng(5)
+    x = np.array([[rng.integers(0, most + 1) for _, most in pii.FEATURES] for _ in range(400)])
+    model = pii.boost(x, np.ones(400), ((x[:, 0] > 8) & (x[:, names.index("cue")] == 0)).astype(float), pii.Params())
+    for row in x.tolist():
+        low, high = ([*row[:-1], c] for c in (0, 1))
+        assert names[-1] == "cue" and model.score(high) >= model.score(low)
+
+
 def test_pii_adds_swallowed_phone(spark):
     rows = [(i, f"bel call +1 (20{i % 10}) 555-01{i % 90 + 10} of niet") for i in range(200)] + [(999, "call +1 (202) 555-0143 10.0.0.1 of niet")]
     got = {r["doc_id"]: r for r in rows_of(pii.detect(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id"))}
