@@ -3,8 +3,11 @@
 A page becomes a stream of block tags and text slots, and runs of equal groups of tokens, of any length,
 become repeated groups. Pages of one host that have the same form are counted together where they lie;
 the distinct forms of a host are then aligned, some at a time and their results again, so that all pages
-take part and no task holds a host: what only one side has becomes an optional group. The result, the
-host's wrapper, is a sequence of tokens, slots, optional and repeated groups without alternatives.
+take part and no task holds a host: what only one side has becomes an optional group. A text block with its tags is
+aligned as one token, and where optional blocks recur side by side they become one repeated group of
+optional blocks, so that articles of freely ordered blocks give a short wrapper. The result, the
+host's wrapper, is a sequence of tokens, slots, optional and repeated groups without alternatives, and
+every page that took part in it fits it.
 
 Each slot knows whether its text is the same on all pages that have it, on ``DISTINCT`` pages of different
 content at least: then it is template. Each slot gets a role from its place and from what varies: inside
@@ -57,6 +60,10 @@ INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i img
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose end may be left out; their end tags carry nothing.
 OPEN = set("p li dt dd tr td th option thead tbody tfoot colgroup".split())
+#: Text blocks whose end tags must be there.
+CLOSED = set("h1 h2 h3 h4 h5 h6 blockquote pre figure figcaption ul ol dl table caption address".split())
+#: What is part of a text, lists and quotes included, and no box around it.
+TEXT = set("p h1 h2 h3 h4 h5 h6 blockquote pre figure figcaption ul ol li dl dt dd caption address".split())
 ASIDE = set("nav footer aside form button select dialog menu head object canvas audio video map fieldset".split())
 #: Words of a class or id that say an element is no part of the article.
 NAMES = set(
@@ -133,7 +140,7 @@ def off(attributes: str) -> bool:
     return False
 
 
-# A wrapper is a list of nodes: ["t", tag], ["?", nodes], ["+", nodes] and slots
+# A wrapper is a list of nodes: ["t", tag], ["?", nodes], ["+", nodes], ["=", nodes] for a whole block, and slots
 # ["#", hash of the text or None if it varies, characters in all, up to DISTINCT hashes of pages' contents].
 
 
@@ -158,6 +165,63 @@ def joined(groups: list[list]) -> list:
     return out
 
 
+def blocks(nodes: list) -> list:
+    """Text blocks as one node each, tags included, so that alignment never parts a block's tags.
+
+    A block holds slots and blocks alone; a tag whose end may be left out takes the slot that follows it.
+    """
+    out: list = []
+    starts: list[tuple[int, str]] = []  # blocks that are open, with nothing but blocks in them so far
+    for x in nodes:
+        name = re.split("[ !>]", x[1].lstrip("</"), maxsplit=1)[0] if x[0] == "t" else ""
+        if x[0] == "#" and out and out[-1][0] == "t" and re.split("[ !>]", out[-1][1][1:], maxsplit=1)[0] in OPEN:
+            out[-1] = ["=", [out[-1], x]]
+            continue
+        out.append(x)
+        if name in CLOSED and x[1][1] != "/":
+            starts.append((len(out) - 1, name))
+        elif name in CLOSED and starts and starts[-1][1] == name:
+            at, _ = starts.pop()
+            out[at:] = [["=", fold(out[at:])]]
+        elif name and name not in OPEN:
+            starts.clear()
+    return out
+
+
+def kinds(node: list) -> list[list] | None:
+    """The blocks that optional and repeated groups are made of; None if they hold anything else."""
+    if node[0] == "=":
+        return [node]
+    if node[0] not in "?+":
+        return None
+    parts = [kinds(x) for x in node[1]]
+    return None if None in parts else [y for x in parts for y in x]
+
+
+def loosened(nodes: list) -> list:
+    """Neighbouring optional groups of blocks, where a block recurs, as one repeated group of each of their blocks:
+    any of these, any number of times. So a wrapper's length depends on the kinds of blocks, not on the pages."""
+    out: list = []
+    run: list[list] = []
+
+    def close():
+        found = [y for x in run for y in kinds(x)]
+        own: dict[str, list] = {}
+        for y in found:
+            own[key(y)] = merge(own[key(y)], y) if key(y) in own else y
+        out.extend([["?", [["+", [["?", [own[k]]] for k in sorted(own)]]]]] if len(own) < len(found) else run)
+        run.clear()
+
+    for x in nodes:
+        if x[0] == "?" and kinds(x):
+            run.append(x)
+            continue
+        close()
+        out.append([x[0], loosened(x[1])] if x[0] in "?+" and not kinds(x) else x)
+    close()
+    return out
+
+
 def fold(nodes: list) -> list:
     """Runs of an equal group of nodes as one repeated group, shortest groups first, twice over.
 
@@ -340,14 +404,14 @@ def form(html: str) -> list:
     """A page's folded nodes."""
     tokens = stream(html)
     content = xxhash.xxh64_hexdigest(max((x for _, x in tokens), key=len, default="").encode("utf-8", "surrogatepass"))
-    return fold([["#", xxhash.xxh64_hexdigest(x.encode("utf-8", "surrogatepass")), len(x), [content]] if t == "#" else ["t", t] for t, x in tokens])
+    return fold(blocks([["#", xxhash.xxh64_hexdigest(x.encode("utf-8", "surrogatepass")), len(x), [content]] if t == "#" else ["t", t] for t, x in tokens]))
 
 
 def infer(forms: list[list]) -> list:
     """The wrapper of several forms, the wrappers of parts of a host among them."""
     out = None
     for nodes in forms:
-        out = nodes if out is None else align(out, nodes)
+        out = nodes if out is None else loosened(align(out, nodes))
     return out or []
 
 
@@ -357,7 +421,7 @@ def assigned(wrapper: list) -> list:
 
     def walk(nodes):
         for x in nodes:
-            if x[0] in "?+":
+            if x[0] in "?+=":
                 walk(x[1])
             else:
                 flat.append(("#", x) if x[0] == "#" else (x[1], None))
@@ -375,13 +439,17 @@ def roles(tags: list[str], mass: list[int]) -> list[bool]:
     """For each token of a stream, whether a text there is content."""
     stack: list[tuple[str, bool, int]] = []  # (name, set aside, number)
     where: list[tuple[tuple[int, ...], bool, bool]] = []  # (open elements, set aside, in an article)
+    home: list[int | None] = []  # the element that a text counts for: what holds its block, or the box it stands in
     number = 0
     for t in tags:
         if t == "#":
             aside = any(x[1] or x[0] == "header" and not any(y[0] in ARTICLE for y in stack[:k]) for k, x in enumerate(stack))
             where.append((tuple(x[2] for x in stack), aside, any(x[0] in ARTICLE and not x[1] for x in stack)))
+            holds = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] not in TEXT), 0)
+            home.append(stack[max(0, holds - 1) if holds == len(stack) - 1 else holds][2] if stack else None)
             continue
         where.append(((), True, False))
+        home.append(None)
         if t[1] == "/":
             name = t[2:-1]
             k = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == name), None)
@@ -397,49 +465,75 @@ def roles(tags: list[str], mass: list[int]) -> list[bool]:
     if any(x[2] and not x[1] for x in where):
         return [x[2] and not x[1] for x in where]
     held: dict[int, int] = {}
-    for (elements, aside, _), n in zip(where, mass):
-        if not aside and elements:
-            inner = [e for e in elements]
-            held[inner[-2] if len(inner) > 1 else inner[-1]] = held.get(inner[-2] if len(inner) > 1 else inner[-1], 0) + n
+    for (_, aside, _), e, n in zip(where, home, mass):
+        if not aside and e is not None:
+            held[e] = held.get(e, 0) + n
     top = max(held, key=lambda e: (held[e], -e), default=None)
     return [not x[1] and (top in x[0] or not x[0]) for x in where]
 
 
-def read(wrapper: list, tokens: list[tuple[str, str]]) -> list[str] | None:
-    """The content texts of a page that fits the wrapper, else None. Choices look one token ahead."""
-    out: list[str] = []
-
-    def starts(nodes: list, at: int) -> bool:
-        for x in nodes:
-            if x[0] == "?":
-                if starts(x[1], at):
-                    return True
-                continue
-            if x[0] == "+":
-                return starts(x[1], at)
-            return at < len(tokens) and tokens[at][0] == ("#" if x[0] == "#" else x[1])
-        return False
+def program(wrapper: list) -> list[tuple]:
+    """The wrapper as steps: (token, role, 0) to take, or ("", step to try first, step to try else) to choose."""
+    out: list[tuple] = []
 
-    def run(nodes: list, at: int) -> int:
+    def add(nodes):
         for x in nodes:
-            if at < 0:
-                return at
+            at = len(out)
             if x[0] == "?":
-                if starts(x[1], at):
-                    at = run(x[1], at)
+                out.append(())
+                add(x[1])
+                out[at] = ("", at + 1, len(out))
+            elif x[0] == "=":
+                add(x[1])
             elif x[0] == "+":
-                at = run(x[1], at)
-                while at >= 0 and starts(x[1], at):
-                    at = run(x[1], at)
-            elif at >= len(tokens) or tokens[at][0] != ("#" if x[0] == "#" else x[1]):
-                return -1
+                add(x[1])
+                out.append(("", at, len(out) + 1))
             else:
-                if x[0] == "#" and x[-1] and (x[-1] is True or x[-1] != xxhash.xxh64_hexdigest(tokens[at][1].encode("utf-8", "surrogatepass"))):
-                    out.append(tokens[at][1])
-                at += 1
-        return at
+                out.append(("#", x[-1], 0) if x[0] == "#" else (x[1], False, 0))
+
+    add(wrapper)
+    return out
+
 
-    return out if run(wrapper, 0) == len(tokens) else None
+def fitted(steps: list[tuple], tokens: list[tuple[str, str]]) -> list[str] | None:
+    """The content texts of a page that fits the wrapper, else None.
+
+    Optional and repeated groups are taken where they can be and given back where what follows then fails.
+    No choice is tried twice at one token, so the work is at most choices times tokens.
+    """
+    n, end = len(tokens), len(steps)
+    tried: set[int] = set()
+    open_: list[tuple] = [(0, 0, None)]  # (step, token, the content slots before as a linked list)
+    while open_:
+        pc, at, path = open_.pop()
+        while pc < end:
+            name, a, b = steps[pc]
+            if not name:
+                state = pc * (n + 1) + at
+                if state in tried:
+                    break
+                tried.add(state)
+                open_.append((b, at, path))
+                pc = a
+            elif at < n and tokens[at][0] == name:
+                if a:
+                    path = (path, at, a)
+                pc, at = pc + 1, at + 1
+            else:
+                break
+        if pc == end and at == n:
+            out = []
+            while path:
+                path, k, role = path
+                if role is True or role != xxhash.xxh64_hexdigest(tokens[k][1].encode("utf-8", "surrogatepass")):
+                    out.append(tokens[k][1])
+            return out[::-1]
+    return None
+
+
+def read(wrapper: list, tokens: list[tuple[str, str]]) -> list[str] | None:
+    """As ``fitted``, for a wrapper with its roles."""
+    return fitted(program(wrapper), tokens)
 
 
 def by_place(tokens: list[tuple[str, str]]) -> list[str]:
@@ -449,15 +543,15 @@ def by_place(tokens: list[tuple[str, str]]) -> list[str]:
 
 
 @lru_cache(256)
-def loaded(wrapper: str | None) -> list | None:
-    return assigned(json.loads(wrapper)) if wrapper else None
+def loaded(wrapper: str | None) -> list[tuple] | None:
+    return program(assigned(json.loads(wrapper))) if wrapper else None
 
 
 def main_text(html: str, wrapper: str | None) -> tuple[str, bool]:
     """The page's main text, and whether it fitted the wrapper."""
     tokens = stream(html)
     known = loaded(wrapper)
-    blocks = read(known, tokens) if known else None
+    blocks = fitted(known, tokens) if known else None
     return "\n\n".join(by_place(tokens) if blocks is None else blocks), blocks is not None
 
 

@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import json
 import math
 import random
 import re
@@ -776,14 +777,48 @@ def test_html_wrapper_is_union_free():
     def walk(nodes):
         for x in nodes:
             kinds.add(x[0])
-            if x[0] in "?+":
+            if x[0] in "?+=":
                 walk(x[1])
 
     walk(wrapper)
-    assert kinds == {"t", "#", "?", "+"}
+    assert kinds == {"t", "#", "?", "+", "="}
     assert html_extraction.read(wrapper, html_extraction.stream(page(3))) == wanted(3).split("\n\n")
 
 
+def varied(r, names):
+    """A page of boxes without names whose body has blocks in any order, and its main text."""
+    parts, texts = [], []
+    for _ in range(r.randrange(4, 14)):
+        name = r.choice(names)
+        own = [" ".join(prose(r.randrange(4, 12), r).split()) for _ in range(r.randrange(1, 5) if name == "ul" else 1)]
+        texts += own
+        parts.append({"ul": "<ul>" + "".join(f"<li>{x}</li>" for x in own) + "</ul>", "figure": f"<figure><img src=x><figcaption>{own[0]}</figcaption></figure>"}.get(name) or f"<{name}>{own[0]}</{name}>")
+    return f"<html><body><div>Welkom op deze site</div><div>{''.join(parts)}</div><div>Alle rechten voorbehouden</div></body></html>", "\n\n".join(texts)
+
+
+VARIED = ["p"], ["p", "h2"], ["p", "h2", "ul"], ["p", "h2", "ul", "blockquote"], ["p", "h2", "ul", "blockquote", "figure", "pre"]
+
+
+@pytest.mark.parametrize("names", VARIED)
+@pytest.mark.parametrize("count", [200, 600])
+def test_html_wrapper_accepts_every_page_it_is_made_of(names, count):
+    h, r = html_extraction, random.Random(len(names))
+    pages = [varied(r, names) for _ in range(count)]
+    level = [h.form(x) for x, _ in pages]
+    while len(level) > 1:
+        level = [h.infer(level[k : k + h.FAN]) for k in range(0, len(level), h.FAN)]
+    wrapper = json.dumps(level[0])
+    assert [h.main_text(x, wrapper) for x, _ in pages] == [(text, True) for _, text in pages]
+    assert len(wrapper) < 3_000
+
+
+def test_html_varied_hosts(spark):
+    r = random.Random(8)
+    pages = [(k, f"https://h{k % 5}.nl/{k}", *varied(r, VARIED[k % 5])) for k in range(500)]
+    got = rows_of(html_extraction.extract(spark.createDataFrame([p[:3] for p in pages], "page_id long, url string, html string")))
+    assert {x["page_id"]: (x["text"], x["fitted"]) for x in got} == {p[0]: (p[3], True) for p in pages}
+
+
 def nameless(i, r):
     """A page whose names say nothing: only what is constant on its host, and what varies, tells its parts."""
     text = [prose(r.randrange(4, 12) if i % 3 else 60, r) for _ in range(1 + i % 4)]
