@@ -47,7 +47,7 @@ SELECT qid, id, score, place FROM (SELECT qid, id, score, row_number() OVER (PAR
 
 
 def follow_ups(spark, d):
-    """As above, with the previous question where the present one leans on it (cue words of the sample texts added)."""
+    """As above, with the previous question where the present one leans on it."""
     items = knowledge(spark, d)
     out = Q.follow_up(questions(spark, d), items, item_index(items))
     return out.select("qid", "id", "score", "past", F.col("place").cast("long").alias("place"))
