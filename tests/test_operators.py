@@ -71,6 +71,15 @@ def test_overlap_equals_brute_force(spark):
     assert got == want
 
 
+def test_titles_meet_by_two_words_and_category(spark):
+    """Sets that share one word, or are of two categories, make no joined row."""
+    many = spark.createDataFrame([(i, i, f"gedeeld eigen{i}x ander{i}x", "p" if i % 2 else "q") for i in range(60)], "id long, ord long, title string, category string")
+    sets = many.select(F.col("id").alias("set"), F.split("title", " ").alias("words"), "category")
+    keys = overlap._keyed(sets, overlap._two(F.col("words"), F.col("category")), "x")
+    assert keys.count() == keys.select("key").distinct().count() == 180
+    assert {r["match"] == r["id"] for r in rows_of(overlap.best_overlap(many, many))} == {True}
+
+
 def test_newer_year(spark):
     df = lambda rows: spark.createDataFrame(rows, "id long, ord long, title string")
     mine = df([(1, 1, "Tarieven inkomstenbelasting boxen 2025"), (2, 2, "Tarieven inkomstenbelasting"), (3, 3, "Aangifte 2025")])
