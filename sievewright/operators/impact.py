@@ -12,10 +12,16 @@ its best items. A question is answered in steps, all of them equi-joins:
 
 So a token that half of all items hold is listed only for questions that hold little else. Lists are
 split over salts where they are long, and equal questions are answered once.
+
+Where whole texts are asked of whole texts, nearly every item is a candidate of every question. Then the
+first places alone are wanted, and ``first_places`` takes items in blocks of the order that decides between
+equal scores: a question is done once its last place has all that its tokens can add, since what follows
+can at most be equal. Tasks hold one block and the questions of their part.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -23,7 +29,7 @@ from pyspark.sql import functions as F
 
 from sievewright.functions import rules as R
 from sievewright.functions import text as X
-from sievewright.operators.tables import written
+from sievewright.operators.tables import counted_before, written
 
 #: Postings of a token and weight beyond which they are dealt over salts.
 LONG = 50_000
@@ -31,6 +37,8 @@ LONG = 50_000
 MOST_LONG = 10_000
 #: Copies of a question's row where many of its items meet it.
 COPIES = 16
+#: Items of a block of the order; most open questions of a part, and least parts.
+BLOCK, PART, PARTS = 4096, 32_768, 24
 
 
 @dataclass(frozen=True)
@@ -68,7 +76,7 @@ def build(items: DataFrame, groups: list[tuple[Column, int]], stop=R.QUESTION_ST
     tokens = blocks.groupBy("token").agg(F.sum("n").alias("df"), F.max("w").alias("most"))
     place = F.row_number().over(Window.partitionBy("token").orderBy(F.col("w").desc(), "id"))
     best = posts.withColumn("_place", place).where(F.col("_place") <= most).select("token", "id")
-    return Index(posts, blocks, written(tokens, "tokens"), written(best, "best"))
+    return Index(posts, blocks, written(tokens, "tokens"), best)  # the best are found only where they are asked for
 
 
 def bags(questions: DataFrame, idx: Index, stop=R.QUESTION_STOP) -> tuple[DataFrame, DataFrame]:
@@ -80,11 +88,11 @@ def bags(questions: DataFrame, idx: Index, stop=R.QUESTION_STOP) -> tuple[DataFr
     return rows.select("qid", "bag"), written(asked.join(idx.tokens, "token"), "asked")
 
 
-def full_scores(pairs: DataFrame, asked: DataFrame, idx: Index) -> DataFrame:
+def full_scores(pairs: DataFrame, asked: DataFrame, idx: Index, copies: int = COPIES) -> DataFrame:
     """(bag, id, score) of the pairs (bag, id) given: every token looked up by token and item."""
-    copy = F.explode(F.sequence(F.lit(0), F.lit(COPIES - 1))).alias("_copy")
-    wanted = asked.select("bag", "token", "n", copy)
-    dealt = pairs.select("bag", "id").distinct().withColumn("_copy", F.pmod(F.xxhash64("id"), F.lit(COPIES)).cast("int"))
+    copy = F.explode(F.sequence(F.lit(0), F.lit(copies - 1))).alias("_copy")
+    wanted = asked.select("bag", "token", "n", copy).hint("merge")  # sizes are guessed without the copies: never sent through the driver
+    dealt = pairs.select("bag", "id").distinct().withColumn("_copy", F.pmod(F.xxhash64("id"), F.lit(copies)).cast("int"))
     hits = dealt.join(wanted, ["bag", "_copy"]).join(idx.postings, ["token", "id"])
     return hits.groupBy("bag", "id").agg(F.sum(F.col("n") * F.col("w")).alias("score"))
 
@@ -123,7 +131,7 @@ def candidates(idx: Index, bars: DataFrame, listed: DataFrame, rest: DataFrame)
     # an item that reaches the bar stands in no block left out, so only the tokens looked up can add to its part
     more = rest.groupBy("bag").agg(F.sum(F.col("n") * F.col("most")).alias("more"))
     bound = bars.join(more, "bag", "left").fillna(0, ["more"])
-    bound = bound.withColumn("_copy", F.explode(F.sequence(F.lit(0), F.lit(COPIES - 1))))
+    bound = bound.withColumn("_copy", F.explode(F.sequence(F.lit(0), F.lit(COPIES - 1)))).hint("merge")
     dealt = found.withColumn("_copy", F.pmod(F.xxhash64("id"), F.lit(COPIES)).cast("int"))
     return dealt.join(bound, ["bag", "_copy"]).where(F.col("part") + F.col("more") >= F.col("bar")).select("bag", "id", "part")
 
@@ -141,13 +149,119 @@ def scored(asked: DataFrame, idx: Index, most: int, least: int) -> DataFrame:
     return out.where(F.col("score") >= least)
 
 
+class Part:
+    """The open questions of a part, and the best (score, rank) each has met; ``bar`` is the score to beat."""
+
+    def __init__(self, most: int, least: int):
+        self.most, self.least = most, least
+        self.bags: dict[str, dict] = {}
+
+    def ask(self, bag: str, token: str, n: int, bar: int, full: int) -> None:
+        self.bags.setdefault(bag, {"tokens": [], "n": [], "bar": bar, "full": full, "best": []})
+        self.bags[bag]["tokens"].append(token)
+        self.bags[bag]["n"].append(n)
+
+    def block(self, first: int, lists: list[tuple]) -> None:
+        """Scores the items from rank ``first`` on; lists: (token, weight, slots)."""
+        import numpy as np
+
+        places = {t: i for i, t in enumerate(dict.fromkeys(t for t, _, _ in lists))}
+        held = np.zeros((len(places), BLOCK), np.float32)
+        for t, w, slots in lists:
+            held[places[t], slots] = w
+        top = held.max(axis=1)
+        for bag in self.bags.values():
+            if bag["bar"] >= bag["full"]:
+                continue
+            at = [(places[t], n) for t, n in zip(bag["tokens"], bag["n"]) if t in places]
+            if not at:
+                continue
+            rows, n = np.array([x for x, _ in at]), np.array([x for _, x in at], np.float32)
+            if n @ top[rows] <= bag["bar"]:
+                continue
+            scores = n @ held[rows]
+            over = np.flatnonzero(scores > bag["bar"])
+            if len(over):
+                over = over[np.argsort(-scores[over], kind="stable")[: self.most]]
+                bag["best"] = sorted([*bag["best"], *((int(scores[i]), first + int(i)) for i in over)], key=lambda x: (-x[0], x[1]))[: self.most]
+                if len(bag["best"]) == self.most:
+                    bag["bar"] = max(bag["bar"], bag["best"][-1][0])
+
+    def rows(self) -> list[tuple]:
+        return [(name, rank, score) for name, bag in self.bags.items() for score, rank in bag["best"]]
+
+
+def _round(rows: DataFrame, most: int, least: int) -> DataFrame:
+    """(bag, rank, score) of rows (part, block, bag, token, n, bar, full, slots): a part's questions, block -1, then its blocks."""
+    import pyarrow as pa
+
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        at, part, lists = (None, -1), None, []
+
+        def told(part):
+            cols = list(zip(*part.rows())) or [(), (), ()]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int64(), pa.int64()))], names=["bag", "rank", "score"])
+
+        for batch in batches:
+            plain = [batch.column(c).to_pylist() for c in ("part", "block", "bag", "token", "n", "bar", "full")]
+            slots = batch.column("slots")
+            for i, (p, block, bag, token, n, bar, full) in enumerate(zip(*plain)):
+                if (p, block) != at:
+                    if lists:
+                        part.block(at[1] * BLOCK, lists)
+                        lists = []
+                    if p != at[0]:
+                        if part:
+                            yield told(part)
+                        part = Part(most, least)
+                    at = p, block
+                if block < 0:
+                    part.ask(bag, token, n, bar, full)
+                else:
+                    lists.append((token, n, slots[i].values.to_numpy()))
+        if lists:
+            part.block(at[1] * BLOCK, lists)
+        if part:
+            yield told(part)
+
+    return rows.sortWithinPartitions("part", "block").mapInArrow(run, "bag string, rank bigint, score bigint")
+
+
+def first_places(asked: DataFrame, idx: Index, order: DataFrame, by: list[Column], most: int, least: int) -> DataFrame:
+    """(bag, id, score, place): the first ``most`` of all items of ``least`` points or more, by score and then ``by``."""
+    from sievewright.session import ship
+
+    ship(asked.sparkSession)
+    ranks = written(counted_before(order, None, by, F.lit(True), "rank").select("id", F.col("rank").cast("long").alias("rank")), "ranks")
+    posts = idx.postings.join(asked.select("token").distinct(), "token", "left_semi").join(ranks, "id")
+    lists = posts.groupBy(F.expr(f"rank div {BLOCK}").alias("block"), "token", "w").agg(F.collect_list((F.col("rank") % BLOCK).cast("int")).alias("slots"))
+    lists = written(lists, "lists")
+    last = lists.agg(F.max("block")).first()[0]
+    full = asked.groupBy("bag").agg(F.sum(F.col("n") * F.col("most")).alias("full"))
+    open_ = written(full.withColumn("bar", F.lit(least - 1).cast("long")), "open")
+    place = F.row_number().over(Window.partitionBy("bag").orderBy(F.col("score").desc(), "rank"))
+    best, start, end = None, 0, 1
+    while last is not None and start <= last:
+        parts = max(PARTS, -(-open_.count() // PART))
+        questions = asked.join(open_, "bag").select(F.pmod(F.xxhash64("bag"), F.lit(parts)).cast("int").alias("part"), F.lit(-1).cast("long").alias("block"), "bag", "token", F.col("n").cast("long").alias("n"), "bar", "full", F.lit(None).cast("array<int>").alias("slots"))
+        # each part reads the round's blocks
+        copies = lists.where(F.col("block").between(start, end - 1)).select(F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), "block", F.lit(None).cast("string").alias("bag"), "token", F.col("w").alias("n"), F.lit(0).cast("long").alias("bar"), F.lit(0).cast("long").alias("full"), "slots")
+        found = _round(questions.unionByName(copies).repartition(parts, "part"), most, least)
+        best = written((found if best is None else best.unionByName(found)).withColumn("place", place).where(F.col("place") <= most).drop("place"), "first")
+        bars = best.groupBy("bag").agg(F.when(F.count("*") >= most, F.min("score")).alias("_bar"))
+        open_ = written(open_.join(bars, "bag", "left").select("bag", "full", F.greatest("bar", F.coalesce("_bar", "bar")).alias("bar")).where("bar < full"), "open")
+        if open_.isEmpty():
+            break
+        start, end = end, end * 8
+    if best is None:
+        best = asked.select("bag", F.lit(0).cast("long").alias("rank"), F.lit(0).cast("long").alias("score")).limit(0)
+    return best.withColumn("place", place).join(ranks, "rank").select("bag", "id", "score", "place")
+
+
 def top(questions: DataFrame, idx: Index, order: DataFrame, by: list[Column], most: int, least: int, stop=R.QUESTION_STOP) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(bag, id, score, place), the questions (qid, bag), and what each bag asks.
 
     ``order`` has ``id`` and the columns that ``by`` breaks equal scores with.
     """
     named, asked = bags(questions, idx, stop)
-    rows = scored(asked, idx, most, least).join(order, "id")
-    place = F.row_number().over(Window.partitionBy("bag").orderBy(F.col("score").desc(), *by))
-    best = rows.withColumn("place", place).where(F.col("place") <= most).select("bag", "id", "score", "place")
-    return written(best, "best"), named, asked
+    return written(first_places(asked, idx, order, by, most, least), "best"), named, asked

@@ -131,7 +131,7 @@ def best_articles(questions: DataFrame, idx: impact.Index, articles: DataFrame,
     links = articles.where("superseded_by IS NOT NULL").select("id", F.col("superseded_by").alias("url"))
     later = best.select("bag", "id").join(links, "id").select("bag", "url").join(articles.select("id", "url"), "url").select("bag", "id")
     later = later.join(best.select("bag", "id"), ["bag", "id"], "left_anti")
-    rows = best.select("bag", "id", "score").unionByName(impact.full_scores(later, asked, idx).where(F.col("score") >= least))
+    rows = best.select("bag", "id", "score").unionByName(impact.full_scores(later, asked, idx, copies=1).where(F.col("score") >= least))
     ranked = ranked_articles(rows.withColumnRenamed("bag", "qid"), articles, most)
     chosen = substituted(ranked, articles).withColumnRenamed("qid", "bag")
     return named.join(chosen, "bag").select("qid", "place", "id")

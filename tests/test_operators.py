@@ -234,6 +234,20 @@ def test_the_index_finds_what_a_loop_finds(spark, library, monkeypatch, most, we
     assert listed < told.agg(F.sum("df")).first()[0] / 2  # most postings of what is asked are never listed
 
 
+def test_a_part_keeps_the_first_places_over_blocks():
+    """Equal scores go to the earlier rank; a question is done once all its tokens are met so often."""
+    part = impact.Part(2, 2)
+    for token, n in (("a", 1), ("b", 2)):
+        part.ask("q", token, n, 1, 7)
+    part.block(0, [("a", 1, [0, 5]), ("b", 1, [5, 9]), ("b", 3, [7])])
+    assert part.bags["q"]["best"] == [(6, 7), (3, 5)]
+    part.block(impact.BLOCK, [("a", 1, [1, 2]), ("b", 3, [2, 3]), ("b", 1, [1])])
+    assert part.bags["q"]["best"] == [(7, impact.BLOCK + 2), (6, 7)]  # (6, BLOCK + 3) comes later
+    part.block(2 * impact.BLOCK, [("a", 1, [0]), ("b", 3, [0])])
+    part.block(3 * impact.BLOCK, [("a", 1, [0]), ("b", 3, [0])])
+    assert [r[1:] for r in part.rows()] == [(impact.BLOCK + 2, 7), (2 * impact.BLOCK, 7)]
+
+
 def test_substitution_is_sequential(spark):
     articles = spark.createDataFrame([(1, "a", "n"), (2, "b", "n"), (3, "n", None), (4, "c", "d"), (5, "d", None), (6, "d", None)], "id long, url string, superseded_by string")
     chosen = spark.createDataFrame([("q", 1, 1), ("q", 2, 2), ("q", 3, 4), ("r", 1, 3), ("r", 2, 1)], "qid string, place int, id long")
