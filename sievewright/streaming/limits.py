@@ -12,6 +12,8 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 
 from sievewright.operators.limits import ADMITTED, Limit, Meter, admission, decide
 
+#: Groups of clients that a lane's hits are settled in.
+GROUPS = 16
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -93,27 +95,36 @@ class Reserve(StatefulProcessor):
 
 
 class Settle(StatefulProcessor):
-    """After the work: what each client has used in its window, once a hit is settled."""
+    """After the work: what each client has used in its window, once a hit is settled.
+
+    A group is many clients of a lane: each group costs calls to the state store, however few its hits.
+    """
 
     def __init__(self, each: Limit):
         self.each = each
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.hits = handle.getListState("hits", "t bigint, w double")
+        self.hits = handle.getListState("hits", "key bigint, t bigint")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator:
         import pandas as pd
 
         got = pd.concat(list(rows)).sort_values(["t", "id"])
-        meter, used = Meter(self.each, sorted(self.hits.get())), []
-        for t, decision in zip(got["t"], got["decision"]):
+        own, used, now = {}, [], int(got["t"].iloc[-1])
+        for client, t in sorted(self.hits.get(), key=lambda x: x[1]):
+            own.setdefault(client, Meter(self.each)).record(t)
+        for client, t, decision in zip(got["key"].tolist(), got["t"].tolist(), got["decision"]):
+            meter = own.get(client)
             if decision == ADMITTED:
-                meter.record(int(t))
-            used.append(int(meter.usage(int(t))))
-        _keep(self.hits, list(meter.hits))
-        _timer(self.handle, int(got["t"].iloc[-1]) + self.each.micros)
-        yield pd.DataFrame({"id": got["id"], "key": key[1], "decision": got["decision"], "used": used})
+                meter = own.setdefault(client, Meter(self.each))
+                meter.record(t)
+            used.append(int(meter.usage(t)) if meter else 0)
+        for meter in own.values():
+            meter.prune(now)
+        _keep(self.hits, [(client, t) for client, m in own.items() for t, _ in m.hits])
+        _timer(self.handle, now + self.each.micros)
+        yield pd.DataFrame({"id": got["id"], "key": got["key"], "decision": got["decision"], "used": used})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator:
         self.hits.clear()
@@ -138,7 +149,7 @@ def three_limits(hits: DataFrame, everyone: Limit, each: Limit, tokens: Limit, l
     """The streaming form of ``operators.limits.combined``: (id, key, decision, used) per hit (id, lane, key, ts, w, ok).
 
     Two stateful operators in a row: one by ``lane``, what shares the request and weight limits, decides and
-    reserves; one by client of a lane settles. Hits of a micro-batch are taken in order of time and id, batches in
+    reserves; one by groups of a lane's clients settles. Hits of a micro-batch are taken in order of time and id, batches in
     the order they come; a hit ``late`` or more behind the latest of the batches before is left out.
     """
     spark = hits.sparkSession
@@ -147,7 +158,7 @@ def three_limits(hits: DataFrame, everyone: Limit, each: Limit, tokens: Limit, l
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
     rows = hits.withWatermark("ts", late).select("id", "lane", "key", "ts", F.unix_micros("ts").alias("t"), F.col("w").cast("double").alias("w"), "ok")
     decided = rows.groupBy("lane").transformWithStateInPandas(Reserve(everyone, each, tokens), outputStructType="id bigint, lane bigint, key bigint, ts timestamp, t bigint, decision string", outputMode="Append", timeMode="EventTime", eventTimeColumnName="ts")
-    return decided.groupBy("lane", "key").transformWithStateInPandas(Settle(each), outputStructType="id bigint, key bigint, decision string, used bigint", outputMode="Append", timeMode="EventTime")
+    return decided.withColumn("clients", F.pmod(F.xxhash64("key"), F.lit(GROUPS)).cast("int")).groupBy("lane", "clients").transformWithStateInPandas(Settle(each), outputStructType="id bigint, key bigint, decision string, used bigint", outputMode="Append", timeMode="EventTime")
 
 
 def windowed_usage(hits: DataFrame, size: str = "60 seconds", slide: str = "10 seconds", late: str = "2 minutes") -> DataFrame:

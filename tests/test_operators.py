@@ -8,6 +8,7 @@ from types import SimpleNamespace
 
 import pytest
 from pyspark.errors import PySparkException
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from sievewright.functions import text as X
@@ -535,3 +536,21 @@ def test_shared_folder_without_a_setting(spark):
     first, second = (tables.shared_path(unset, "x") for _ in range(2))
     assert first != second and first.rsplit("/", 1)[0] == second.rsplit("/", 1)[0]
     assert spark.sparkContext.getCheckpointDir() in first
+
+
+def test_values_named_in_functions_of_arrays_are_made_once(spark):
+    df = spark.createDataFrame([(["Een. Twee.", "Drie."],)], "a array<string>")
+    text = F.array_join("a", " ")
+    for c in (X.truncate_sentence(text, 8), X.truncate_boundary(text, 8), validate.unsupported(text, F.lit("x")), validate.claims(text, F.lit("x"))):
+        assert df.select(c.alias("x"))._jdf.queryExecution().analyzed().toString().count("array_join(") == 1
+    assert df.select(X.truncate_sentence(text, 8)).first()[0] == "Een."
+
+
+def test_a_stream_of_files_out_of_time_order_loses_no_hit(spark, tmp_path):
+    from sievewright.plans import limits as queries
+
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet").orderBy("ts").limit(60).withColumn("late", F.row_number().over(Window.orderBy("ts")) > 30)
+    for late in (True, False):
+        events.where(F.col("late") == late).drop("late").coalesce(1).write.mode("append").parquet(f"{tmp_path}/events.parquet")
+    told = lambda f: {tuple(r.values()) for r in rows_of(f(spark, str(tmp_path)).select("id", "key", "decision", "used"))}
+    assert told(queries.three_limits_stream) == told(queries.three_limits)
