@@ -51,7 +51,7 @@ def decode(c: Column) -> Column:
 
 def block_text(inner: Column) -> Column:
     bare = F.regexp_replace(F.regexp_replace(inner, r"(?i)<br\s*/?>", " "), "<[^>]*>", " ")
-    return F.replace(F.replace(X.squeeze(decode(bare)), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    return F.replace(F.replace(X.squeeze(X.once(bare, decode)), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
 
 
 def neutral_line(c: Column) -> Column:
@@ -83,21 +83,21 @@ def page_title(html: Column, suffix: str = "") -> Column:
 
 def heading(html: Column) -> Column:
     h1 = strip_html(F.regexp_extract(html, r"(?is)<h1[^>]*>(.*?)</h1>", 1))
-    return F.when(F.length(h1) >= 5, h1)
+    return X.once(h1, lambda h: F.when(F.length(h) >= 5, h))
 
 
 def described(html: Column) -> Column:
     """The meta description, else the first paragraph of over 60 characters; null under 20."""
     paragraphs = F.transform(F.regexp_extract_all(html, F.lit(r"(?is)<p[^>]*>(.*?)</p>"), F.lit(1)), strip_html)
     out = F.coalesce(meta_description(html), F.get(F.filter(paragraphs, lambda p: F.length(p) > 60), 0))
-    return F.when(F.length(out) >= 20, out)
+    return X.once(out, lambda o: F.when(F.length(o) >= 20, o))
 
 
 def region(html: Column, tag: str, end: str | None = None) -> Column:
     """What stands inside ``tag``, after its first heading and before ``end``; asides taken out. Null without the tag."""
     bare = F.regexp_replace(html, NO_CONTENT, " ")
     pattern = rf"(?is)<{tag}\b[^>]*>(.*?)</{tag}\s*>"
-    inner = F.when(bare.rlike(pattern), F.regexp_replace(F.regexp_extract(bare, pattern, 1), ASIDE, " "))
+    inner = X.once(bare, lambda b: F.when(b.rlike(pattern), F.regexp_replace(F.regexp_extract(b, pattern, 1), ASIDE, " ")))
     inner = F.regexp_replace(inner, r"(?is)^.*?</h1\s*>", "")
     return F.get(F.split(inner, f"(?i){end}", 2), 0) if end else inner
 
@@ -146,7 +146,7 @@ def told(found: Column, text: Column, least: int, paragraph: int, paragraphs: in
 
 def body(found: Column, most: int = 8000, least: int = 400, paragraph: int = 40, paragraphs: int = 2, boilerplate: str | None = None, after: bool = False) -> Column:
     """Blocks joined by blank lines and cut at a sentence; null if too short, boilerplate, or of too few paragraphs."""
-    return told(found, joined(found, most), least, paragraph, paragraphs, boilerplate, after)
+    return X.once(joined(found, most), lambda text: told(found, text, least, paragraph, paragraphs, boilerplate, after))
 
 
 def news_bodies(pages: DataFrame, most: int = 8000, least: int = 400, paragraph: int = 40, paragraphs: int = 2) -> DataFrame:
