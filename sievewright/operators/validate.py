@@ -72,17 +72,29 @@ def tagged(values: dict[str, Column]) -> Column:
     return F.concat(*[F.transform(v, mark(k)) for k, v in values.items()])
 
 
+def supported(source: Column) -> Column:
+    """What a source supports, as one value: amounts and any other number, percentages, dates, years, its text in normal form."""
+    def told(plain):
+        s = facts(plain, plain)
+        return F.struct(F.array_union(s["amount"], numbers(plain, plain)).alias("amount"), s["percentage"].alias("percentage"), s["date"].alias("date"), s["year"].alias("year"), plain.alias("plain"))
+
+    return X.once(X.normal(source), told)
+
+
+def lacking(article: Column, known: Column) -> Column:
+    """(kind, value) of the article's facts that are not among ``known``, what its source supports."""
+    def told(plain):
+        a = facts(plain, plain)
+        missing = {k: F.array_except(a[k], known[k]) for k in a}
+        missing["date"] = F.filter(missing["date"], lambda d: F.instr(known["plain"], d) == 0)
+        return tagged(missing)
+
+    return X.once(X.normal(article), told)
+
+
 def unsupported(article: Column, source: Column) -> Column:
     """(kind, value) of the article's facts that the source has not; any number in the source supports an amount."""
-    a, s = facts(article), facts(source)
-    plain = X.normal(source)
-    missing = {
-        "amount": F.array_except(F.array_except(a["amount"], s["amount"]), numbers(source)),
-        "percentage": F.array_except(a["percentage"], s["percentage"]),
-        "date": F.filter(F.array_except(a["date"], s["date"]), lambda d: F.instr(plain, d) == 0),
-        "year": F.array_except(a["year"], s["year"]),
-    }
-    return tagged(missing)
+    return X.once(supported(source), lambda known: lacking(article, known))
 
 
 def status_errors(article: Column, status: Column, source: Column, now: Column, known: tuple[str, ...]) -> Column:
@@ -99,8 +111,8 @@ def status_errors(article: Column, status: Column, source: Column, now: Column,
 
 def claims(article: Column, source: Column) -> Column:
     """Claims of being in force that the source does not make."""
-    plain = X.normal(source)
-    return F.array_distinct(F.filter(F.concat(*[_all(X.normal(article), DENIED + c) for c in CLAIMS]), lambda c: F.instr(plain, c) == 0))
+    made = X.once(X.normal(article), lambda a: F.concat(*[_all(a, DENIED + c) for c in CLAIMS]))
+    return X.once(X.normal(source), lambda plain: F.array_distinct(F.filter(made, lambda c: F.instr(plain, c) == 0)))
 
 
 def dropped_qualifiers(article: Column, source: Column) -> Column:
@@ -112,50 +124,52 @@ def dropped_qualifiers(article: Column, source: Column) -> Column:
     words = F.transform(heads, lambda x: F.struct(last(X.detail_words(x["head"])).alias("h"), F.filter(F.array_distinct(X.detail_words(x["rest"])), lambda w: F.length(w) > 4).alias("q"), x["whole"].alias("whole"), x["rest"].alias("rest")))
     usable = F.filter(words, lambda x: (F.size(x["h"]) >= 2) & (F.size(x["q"]) >= 2) & ~x["rest"].rlike(r":\s*$"))
 
-    def dropped(x):
+    def dropped(sets, x):
         hits = F.filter(sets, lambda s: F.forall(x["h"], lambda w: F.array_contains(s, w)))
-        return (F.size(hits) > 0) & ~F.exists(hits, lambda s: F.size(F.array_intersect(x["q"], s)) * 2 >= F.size(x["q"]))
+        return X.once(hits, lambda hits: (F.size(hits) > 0) & ~F.exists(hits, lambda s: F.size(F.array_intersect(x["q"], s)) * 2 >= F.size(x["q"])))
 
-    return F.array_distinct(F.transform(F.filter(usable, dropped), lambda x: F.substring(X.squeeze(F.regexp_replace(x["whole"], r"^[-•*]\s*", "")), 1, 160)))
+    # the article's sentences are only cut into words where the source has conditions
+    found = X.once(usable, lambda heads: F.when(F.size(heads) > 0, X.once(sets, lambda sets: F.filter(heads, lambda x: dropped(sets, x)))).otherwise(heads))
+    return F.array_distinct(F.transform(found, lambda x: F.substring(X.squeeze(F.regexp_replace(x["whole"], r"^[-•*]\s*", "")), 1, 160)))
 
 
 def missing_details(article: Column, source: Column) -> Column:
     """Legal references, terms and authorities in procedures that the article leaves out."""
-    a, s = X.normal(article), X.normal(source)
-    legal = F.filter(_all(s, LEGAL), lambda r: F.instr(a, F.regexp_extract(r, r"artikel\s+\S+", 0)) == 0)
-    terms = F.filter(_all(s, WITHIN), lambda t: F.instr(a, t) == 0)
-    steps = F.filter(X.sentences(source), lambda x: x.rlike(PROCEDURE))
+    steps = F.transform(F.filter(X.sentences(source), lambda x: x.rlike(PROCEDURE)), X.normal)
 
-    def lacking(name, *short):
-        names = rf"(?i)\b(?:{'|'.join((name, *short))})\b"
-        return F.when(F.exists(steps, lambda x: X.normal(x).rlike(names)) & ~a.rlike(names), F.lit(name))
+    def left_out(a, s, steps):
+        def lacking(name, *short):
+            names = rf"(?i)\b(?:{'|'.join((name, *short))})\b"
+            return F.when(F.exists(steps, lambda x: x.rlike(names)) & ~a.rlike(names), F.lit(name))
 
-    return F.array_distinct(F.concat(legal, terms, F.array_compact(F.array(*[lacking(*names) for names in AUTHORITIES]))))
+        legal = F.filter(_all(s, LEGAL), lambda r: F.instr(a, F.regexp_extract(r, r"artikel\s+\S+", 0)) == 0)
+        terms = F.filter(_all(s, WITHIN), lambda t: F.instr(a, t) == 0)
+        return F.array_distinct(F.concat(legal, terms, F.array_compact(F.array(*[lacking(*names) for names in AUTHORITIES]))))
+
+    return X.once(F.struct(X.normal(article).alias("a"), X.normal(source).alias("s"), steps.alias("steps")), lambda x: left_out(x["a"], x["s"], x["steps"]))
 
 
 def excluded_audiences(audiences: Column, source: Column, article: Column, keywords: dict[str, tuple[str, ...]]) -> Column:
     """Chosen audiences with a keyword all of whose words stand in a sentence that excludes."""
     sets = F.transform(F.filter(F.concat(X.sentences(source), X.sentences(article)), lambda s: s.rlike(EXCLUSION)), lambda s: X.detail_words(s))
 
-    def named(words):
+    def named(sets, words):
         out = F.lit(False)
         for w in words:
             out = out | F.exists(sets, lambda s: F.forall(X.detail_words(F.lit(w)), lambda x: F.array_contains(s, x)))
         return out
 
-    return F.array_compact(F.array(*[F.when(F.array_contains(audiences, a) & named(w), F.lit(a)) for a, w in keywords.items()]))
+    return X.once(sets, lambda sets: F.array_compact(F.array(*[F.when(F.array_contains(audiences, a) & named(sets, w), F.lit(a)) for a, w in keywords.items()])))
 
 
 def repeats_list(summary: Column, body: Column) -> Column:
     """Whether a sentence of the summary lists four or more parts, three quarters of which the body has."""
-    words = X.detail_words(body)
-
-    def listed(s):
+    def listed(words, s):
         parts = F.filter(F.transform(F.split(s, r",|\s+en\s+|\s+of\s+"), lambda s: X.detail_words(s)), lambda p: F.size(p) > 0)
-        same = F.filter(parts, lambda p: F.size(F.filter(p, lambda w: F.array_contains(words, w))) >= F.ceil(F.size(p) / 2))
-        return (F.size(parts) >= 4) & (F.size(same) / F.size(parts) >= 0.75)
+        same = lambda parts: F.filter(parts, lambda p: F.size(F.filter(p, lambda w: F.array_contains(words, w))) >= F.ceil(F.size(p) / 2))
+        return X.once(parts, lambda parts: (F.size(parts) >= 4) & (F.size(same(parts)) / F.size(parts) >= 0.75))
 
-    return F.exists(X.sentences(summary), listed)
+    return X.once(X.detail_words(body), lambda words: F.exists(X.sentences(summary), lambda s: listed(words, s)))
 
 
 def validated(rows: DataFrame, now: Column, host: str, keywords: dict, statuses=("van-kracht", *R.TENTATIVE), categories: tuple = ()) -> DataFrame:

@@ -39,7 +39,8 @@ def unsupported_facts(spark, d):
     """Facts of a document that the first document of its source has not."""
     docs = table(spark, d, "documents").select("doc_id", "source", "text")
     first = docs.groupBy("source").agg(F.min_by("text", "doc_id").alias("source_text"))
-    rows = spread_join(docs, first, "source", "doc_id").select("doc_id", F.explode(V.unsupported(F.col("text"), F.col("source_text"))).alias("f"))
+    known = first.select("source", V.supported(F.col("source_text")).alias("known"))  # once a source
+    rows = spread_join(docs, known, "source", "doc_id").select("doc_id", F.explode(V.lacking(F.col("text"), F.col("known"))).alias("f"))
     return rows.select("doc_id", "f.kind", "f.value")
 
 
