@@ -22,6 +22,8 @@ from sievewright.functions.text import squeeze
 SCHEMA = "rule int, kind string, name string, rank int, part string, word string, whole boolean, broad boolean, scope string"
 #: The most keywords that are sent to tasks; a table beyond it is refused.
 MOST = 1_000_000
+#: Rows whose texts a worker holds as strings at a time.
+ROWS = 256
 MATCHES = "array<struct<kind:string,name:string,rank:int,n:int,narrow:int>>"
 
 
@@ -130,7 +132,7 @@ def matched(docs: DataFrame, rules: DataFrame, title: str = "title", text: str =
     def run(batches) -> Iterator[pa.RecordBatch]:
         matcher = Matcher(rows)
         kind = pa.list_(pa.struct([("kind", pa.string()), ("name", pa.string()), ("rank", pa.int32()), ("n", pa.int32()), ("narrow", pa.int32())]))
-        for batch in batches:
+        for batch in (b.slice(k, ROWS) for b in batches for k in range(0, b.num_rows, ROWS)):  # few texts at a time are strings here
             texts = zip(*(batch.column(c).to_pylist() for c in ("_low", "_sq", "_ti")))
             found = pa.array([matcher.matches(*x) for x in texts], kind)
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], found], names=[*names, "matches"])
