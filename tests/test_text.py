@@ -27,6 +27,12 @@ def test_words_keep_repeats_and_order(spark):
     assert one(spark, "eenmanszaken of rechtspersoon", X.detail_words) == ["enmanszak", "rechtsperson"]
 
 
+def test_sentences_keep_digits_that_are_their_place(spark):
+    text = "Een. 1 twee? \u00a0\n2.0 is drie\n\n 33 vier 3!\n4"
+    assert one(spark, text, X.sentences) == ["Een.", "1 twee?", "2.0 is drie", "33 vier 3!", "4"]
+    assert one(spark, "0 nul. \u20031 een\u3000\n2", X.sentences) == ["0 nul.", "1 een", "2"]
+
+
 @pytest.mark.parametrize("text,date", [
     ("geldt per 31 februari 2027", dt.date(2027, 3, 3)), ("vanaf 2028", dt.date(2028, 1, 1)), ("met ingang van 1 juli 2020 en vanaf 2 mei 2026", dt.date(2026, 5, 2)), ("in 2030", None), ("kóper 2031", dt.date(2031, 1, 1)),
 ])
