@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from sievewright.functions import text as X
 
 STATUSES = ("kandidaat", "verwerkt", "afgewezen")
+#: The end of an id that was given a number: from 2 on, without leading zeros. Others end in digits of their own.
+NUMBERED = r"-([2-9]|[1-9][0-9]{1,17})$"
 
 
 def known_urls(*tables: DataFrame, url: str = "url") -> DataFrame:
@@ -68,10 +70,10 @@ def unique_ids(rows: DataFrame, base: str, order: str, existing: DataFrame) -> D
     """
     todo, taken, done = rows, existing.select("id").distinct(), None
     while True:
-        parts = taken.select(F.col("id").alias(base), F.lit(1).alias("k")).union(taken.where(r"id RLIKE '-[0-9]{1,6}$'").select(F.regexp_replace("id", r"-[0-9]+$", ""), F.regexp_extract("id", r"-([0-9]+)$", 1).cast("int")))
+        parts = taken.select(F.col("id").alias(base), F.lit(1).cast("long").alias("k")).union(taken.where(F.col("id").rlike(NUMBERED)).select(F.regexp_replace("id", NUMBERED, ""), F.regexp_extract("id", NUMBERED, 1).cast("long")))
         held = parts.groupBy(base).agg(F.array_sort(F.collect_set("k")).alias("_taken"))
         n = F.row_number().over(Window.partitionBy(base).orderBy(order))
-        k = F.aggregate(F.coalesce("_taken", F.expr("CAST(array() AS array<int>)")), F.col("_n"), lambda at, t: at + (t <= at).cast("int"))
+        k = F.aggregate(F.coalesce("_taken", F.expr("CAST(array() AS array<bigint>)")), F.col("_n").cast("long"), lambda at, t: at + (t <= at).cast("long"))
         got = todo.withColumn("_n", n).join(held, base, "left").withColumn("_k", k)
         got = got.withColumn("id", F.when(F.col("_k") == 1, F.col(base)).otherwise(F.concat(F.col(base), F.lit("-"), F.col("_k").cast("string"))))
         got = got.withColumn("_first", F.row_number().over(Window.partitionBy("id").orderBy(order)))

@@ -32,6 +32,13 @@ def test_ids_take_the_next_free_number(spark):
     assert len(set(got.values())) == 6 and got[1] == "a-2" and got[2] == "a-3" and got[5] == "b" and got[6] == "b-3"
 
 
+def test_digits_that_no_id_was_given_take_no_number(spark):
+    rows = spark.createDataFrame([(1, "a"), (2, "a"), (3, "b"), (4, "b"), (5, "c"), (6, "c")], "n long, base string")
+    held = spark.createDataFrame([("a-1",), ("b-02",), ("c-2",), ("c-9000000000",)], "id string")
+    got = {r["n"]: r["id"] for r in rows_of(store.unique_ids(rows, "base", "n", held))}
+    assert got == {1: "a", 2: "a-2", 3: "b", 4: "b-2", 5: "c", 6: "c-3"}
+
+
 def test_upsert_keeps_ids_and_checks(spark):
     old = spark.createDataFrame([("k1", 1, "x", "kandidaat"), ("k2", 2, "y", "kandidaat")], "url_key string, id long, title string, status string")
     new = spark.createDataFrame([("k1", 9, "z", "verwerkt"), ("k3", 3, "w", "kandidaat")], old.schema)
