@@ -125,8 +125,9 @@ def topic_ingest(items: DataFrame, pages: DataFrame, known: DataFrame, rules: Ru
     return rows.withColumn("reason", F.when(~F.col("evaluated") | ~F.col("_read"), "niet beoordeeld").otherwise(F.col("reason")))
 
 
-def judged_candidates(records: DataFrame, articles: DataFrame, pending: DataFrame, now: Column, law: str, strength: Column, special: Column) -> DataFrame:
-    """Adds ``tier`` (1 to 3, null where none) and ``reason`` to records of id, ord, title, category, url, text, published.
+def judged_candidates(records: DataFrame, articles: DataFrame, pending: DataFrame, now: Column, special: Column) -> DataFrame:
+    """Adds ``tier`` (1 to 3, null where none) and ``reason`` to records of id, ord, title, category, url, published,
+    ``strength`` and what ``select.evidence`` adds; their texts are not needed any more.
 
     First a URL that an article (id, ord, title, category, source_url) is based on, then one in ``pending``
     (url) proposals; then the rules of ``select.candidate``, fed by titles that overlap an article's and by
@@ -138,7 +139,7 @@ def judged_candidates(records: DataFrame, articles: DataFrame, pending: DataFram
     yearly = O.newer_year(records, articles).select("id", F.lit(True).alias("_yearly"))
     rows = records.withColumn("_key", X.url_key(F.col("url"))).join(keys(articles, "source_url", "_covered"), "_key", "left").join(keys(pending, "url", "_pending"), "_key", "left")
     rows = rows.join(alike, "id", "left").join(yearly, "id", "left")
-    tier, reason = S.candidate(F.col("_alike").isNotNull(), F.col("_yearly").isNotNull(), F.col("text"), F.col("text"), F.col("published"), now, law, strength, special)
+    tier, reason = S.candidate(F.col("_alike").isNotNull(), F.col("_yearly").isNotNull(), F.col("published"), now, special)
     taken = F.when(F.col("_covered"), "bron al gebruikt").when(F.col("_pending"), "bron in een voorstel")
     return rows.withColumns({"tier": F.when(taken.isNull(), tier), "reason": F.coalesce(taken, reason)}).drop("_key", "_covered", "_pending", "_alike", "_yearly")
 

@@ -141,6 +141,29 @@ def test_topics_suppress_overlap_and_hold_back_the_last_tier(spark):
     assert [r["choice"] for r in only] == ["selected"]
 
 
+@pytest.mark.parametrize("name", ["topics", "candidate_reasons"])
+def test_candidates_leave_their_texts_behind(spark, monkeypatch, name):
+    """What is joined, ranked and told holds no text, and the choice reads the documents no more."""
+    from sievewright.plans import select as plans
+
+    seen, best = [], plans.O.best_overlap
+    monkeypatch.setattr(plans.O, "best_overlap", lambda mine, theirs: seen.extend([mine, theirs]) or best(mine, theirs))
+    out = plans.QUERIES[name](spark, "/root/testdata/sf0.001")
+    assert len(seen) == 2 and not any("text" in df.columns for df in seen)
+    assert not any("documents.parquet" in f for df in (*seen, out) for f in df.inputFiles())
+
+
+def test_tiers_in_steps_equal_those_in_one_expression(spark):
+    from sievewright.functions.rules import SAMPLE
+    from sievewright.operators import classify
+
+    texts = ["Keiten lytion", "wat is een keit", "lich-ontion", "thereas und", None, "", "under thing", "elle wat is de", "mente lytion ontion"]
+    rows = spark.createDataFrame([(a, b) for a in ("x lytion", "keit", "", None) for b in texts], "title string, text string")
+    tier, _ = classify.tier(F.col("title"), F.col("text"), SAMPLE)
+    got = rows_of(classify.tiered(rows, SAMPLE).withColumn("want", tier))
+    assert len({r["want"] for r in got}) == 3 and all(r["strength"] == r["want"] for r in got)
+
+
 def test_month_ends_are_clamped(spark):
     now = F.lit("2024-08-31").cast("timestamp")
     df = spark.createDataFrame([("2024-02-29",), ("2024-02-28",), (None,)], "d string").withColumn("t", F.to_timestamp("d"))
