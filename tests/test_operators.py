@@ -153,6 +153,15 @@ def test_candidates_leave_their_texts_behind(spark, monkeypatch, name):
     assert not any("documents.parquet" in f for df in (*seen, out) for f in df.inputFiles())
 
 
+def test_ingest_joins_no_texts(spark, monkeypatch):
+    from sievewright.plans import select as plans
+
+    seen, known = [], plans.T.known_urls
+    monkeypatch.setattr(plans.T, "known_urls", lambda rows, **k: seen.append(rows) or known(rows, **k))
+    plans.ingested(spark, "/root/testdata/sf0.001")
+    assert len(seen) == 1 and "text" not in seen[0].columns and not any("documents.parquet" in f for f in seen[0].inputFiles())
+
+
 def test_tiers_in_steps_equal_those_in_one_expression(spark):
     from sievewright.functions.rules import SAMPLE
     from sievewright.operators import classify
