@@ -1,18 +1,23 @@
 """Language-model scores from a probabilistic suffix tree over words.
 
-Training texts give exact counts of all words. Contexts of one and of two words are counted where every
-part is frequent enough, as shares of all tokens, so that the tree has at most ``depth / pair_share``
-entries at any corpus size; all text is counted for it. A context stays only if its next-word
-distribution differs from that of the next shorter context by a likelihood-ratio test. Its distribution
-keeps explicit next words, discounted, and gives the rest of its mass to the shorter context's; the root
-adds one half to every count. A token is scored by the longest suffix of what precedes it that is a
-state of the tree. Each distribution sums to one over the known words and one unknown word.
-
-Words that make up less than ``word_share`` of all tokens never are explicit: their root probability is
-joined by word, which no key can dominate. More frequent words, at most ``1 / word_share``, are broadcast.
+Training texts give exact counts of all words and of all contexts of one and of two words with the words
+that follow them. A next word is explicit in a context if it follows it ``least`` times, at any corpus
+size. A context stays only if its next-word distribution differs from that of the next shorter context by
+a likelihood-ratio test. Its distribution keeps explicit next words, discounted, and gives the rest of its
+mass to the shorter context's; the root adds one half to every count. A token is scored by the longest
+suffix of what precedes it that is a state of the tree. Each distribution sums to one over the known words
+and one unknown word.
+
+What is frequent, by a share of all tokens, is broadcast: at most ``1 / word_share`` words and about
+``1 / pair_share`` pairs and triples of words. The shares decide where a number is looked up, not what it
+is. All other words meet their counts by a join on the word, all other pairs and triples in the task that
+their words are dealt to: there they are counted, and there each text's share of the score is summed. A
+logarithm of a probability is a sum of what each length adds, so no position travels twice. Words that are
+not broadcast stand for themselves by 62 bits of their hash.
 
 Defined cases: a null or empty text is the end token alone; a null id belongs to fold 0 and trains;
-without training texts, N and V are 0; rows that repeat are scored alike, each on its own.
+without training texts, N and V are 0; rows that repeat are scored alike, each on its own. The texts are
+read several times and rows are told apart by their place, so a partition must give the same rows each time.
 """
 
 from __future__ import annotations
@@ -20,27 +25,38 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from hashlib import blake2b
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import RDD
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sievewright.llm.shared import cut, fold, table, written
+from sievewright.llm.warc import steady
 
 #: The end of a text, as a token: no word is empty.
 END = b""
+#: Codes of words without an id start here; ids are smaller.
+RARE = 1 << 62
+#: What stands before a text's start, and in place of the first word of a pair.
+START, PAIR = -2, -3
+COUNTS = "c bigint, a bigint, b bigint, n bigint"
+VALUES = "c bigint, a bigint, b bigint, value double"
 
 
 @dataclass(frozen=True)
 class Params:
     word_share: float = 2e-6
     pair_share: float = 1e-5
+    least: int = 2
     discount: float = 0.5
     penalty: float = 2.0
     held_fold: int = 1
     flush: int = 400_000
+    positions: int = 1_000_000
 
 
 def words(text: str | None) -> list[bytes]:
@@ -69,18 +85,27 @@ def word_counts(docs: DataFrame, p: Params) -> DataFrame:
     return docs.mapInArrow(run, "word string, n bigint, every bigint").groupBy("word").agg(F.sum("n").alias("n"), F.sum("every").alias("every"))
 
 
+class Codes(dict):
+    """The ids of words; others get a code from their hash."""
+
+    def __missing__(self, word: bytes) -> int:
+        out = self[word] = int.from_bytes(blake2b(word, digest_size=8).digest(), "big") % RARE + RARE
+        return out
+
+
 class Batch:
-    """Ids of all tokens of some texts in a row; -1 for words without an id, -2 before a text's start."""
+    """Ids of all tokens of some texts in a row; -1 for words without an id (``Codes`` have them all), -2 before a text's start."""
 
     def __init__(self, texts: list, ids: dict[bytes, int]):
         self.texts = [words(x) for x in texts]
-        end = ids.get(END, -1)
+        coded = isinstance(ids, Codes)
+        end = ids[END] if coded else ids.get(END, -1)
         self.sizes = np.array([len(w) + 1 for w in self.texts], np.int64)
         self.ids = np.empty(int(self.sizes.sum()), np.int64)
         at = 0
         self.starts = np.cumsum(self.sizes) - self.sizes
         for w in self.texts:
-            self.ids[at : at + len(w)] = np.fromiter(map(ids.get, w, repeat(-1)), np.int64, len(w))
+            self.ids[at : at + len(w)] = np.fromiter(map(ids.__getitem__, w) if coded else map(ids.get, w, repeat(-1)), np.int64, len(w))
             at += len(w) + 1
             self.ids[at - 1] = end
         self.h1 = self.before(1)
@@ -148,10 +173,21 @@ class Tree:
     distinct: int
     span: int
     root: np.ndarray  # root probability by id
-    known: np.ndarray
+    n: np.ndarray
     one: Level
     two: Level
     pairs: np.ndarray  # sorted keys of the contexts of two words
+    pair_n: np.ndarray
+    triples: np.ndarray  # sorted: place of the context in ``pairs`` * span + next
+    triple_n: np.ndarray
+
+    def places(self, c: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the frequent pair (a, b) and the frequent triple (c, a, b) stand, -1 where they are not frequent."""
+        near = (a >= 0) & (a < self.span) & (b >= 0) & (b < self.span)
+        pair = find(self.pairs, np.where(near, a * near * self.span + b * near, -1))
+        far = near & (c >= 0) & (c < self.span)
+        before = find(self.pairs, np.where(far, c * far * self.span + a * far, -1))
+        return pair, find(self.triples, np.where(before >= 0, before * self.span + b * near, -1))
 
     def next_probability(self, ids: np.ndarray, h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
         """Probability of each token after the two before it; for words without an id, its ratio to the root's."""
@@ -197,24 +233,30 @@ def pulled(counts: DataFrame, least: float) -> tuple[np.ndarray, np.ndarray]:
     return keys[order].astype(np.int64), n[order].astype(np.int64)
 
 
+def frequent(p: Params, total: int) -> float:
+    """The least count of a frequent word, pair or triple."""
+    return max(2.0, p.pair_share * total)
+
+
 def grow(docs: DataFrame, counts: DataFrame, p: Params):
-    """The tree, the broadcast ids, and the least count of a word with an id."""
+    """The tree of what is frequent, the broadcast ids, and the least count of a word with an id."""
     total, distinct, every = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count_if(F.col("n") > 0), F.coalesce(F.sum("every"), F.lit(0))).first()
     least = max(2.0, p.word_share * every)
     got = counts.where(F.col("every") >= least).orderBy(F.desc("n"), "word").toArrow()
     vocab, n = [x.encode("utf-8", "surrogatepass") for x in got["word"].to_pylist()], got["n"].to_numpy().astype(np.int64)
     context = docs.sparkSession.sparkContext
     ids = context.broadcast({w: i for i, w in enumerate(vocab)})
-    enough = max(2.0, p.pair_share * total)
+    enough = frequent(p, total)
     span = max(1, int((n >= enough).sum()))
     root = (n + 0.5) / (total + 0.5 * (distinct + 1))
     keys, pairs = pulled(pair_counts(docs, ids, None, span, p), enough)
     own = np.maximum(n[:span], 1).astype(float)
     plain = n / max(1, total)
     one = level(keys, pairs, own, plain[keys % span] if len(keys) else np.zeros(0), p, span)
-    tree = Tree(total, distinct, span, root, n > 0, one, Level(keys[:0], np.zeros(0), np.zeros(0)), keys)
+    tree = Tree(total, distinct, span, root, n, one, Level(keys[:0], np.zeros(0), np.zeros(0)), keys, pairs, keys[:0], pairs[:0])
     # two words: contexts are the frequent pairs, which the text's last pair can end as well
     long, thrice = pulled(pair_counts(docs, ids, context.broadcast(keys), span, p), enough)
+    tree.triples, tree.triple_n = long, thrice
     if len(long):
         at = keys[long // span]
         shorter = tree.next_probability(long % span, at % span, np.full(len(long), -2))
@@ -222,21 +264,277 @@ def grow(docs: DataFrame, counts: DataFrame, p: Params):
     return tree, ids, least
 
 
+def packed(columns: list[np.ndarray]) -> bytes:
+    """Columns in one compressed piece, equal bytes of neighbouring numbers side by side."""
+    return pa.compress(b"".join(x.view(np.uint8).reshape(-1, x.itemsize).T.tobytes() for x in columns), codec="zstd", asbytes=True)
+
+
+def unpacked(body: bytes, n: int, kinds: list) -> list[np.ndarray]:
+    sizes = [np.dtype(k).itemsize for k in kinds]
+    raw, out, at = np.frombuffer(pa.decompress(body, n * sum(sizes), codec="zstd", asbytes=True), np.uint8), [], 0
+    for k, size in zip(kinds, sizes):
+        out.append(np.ascontiguousarray(raw[at : at + n * size].reshape(size, n).T).view(k).reshape(-1))
+        at += n * size
+    return out
+
+
+def dealt(c: np.ndarray, a: np.ndarray, b: np.ndarray, apart: np.ndarray, parts: int) -> np.ndarray:
+    """The part of each pair (a, b) and of the triples that end in it; those of a frequent pair lie apart."""
+    h = a.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + b.view(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
+    h += np.where(apart, c, 0).view(np.uint64) * np.uint64(0x165667B19E3779F9)
+    h ^= h >> np.uint64(29)
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    return ((h ^ h >> np.uint64(32)) % np.uint64(parts)).astype(np.int64)
+
+
+def place(part: int) -> int:
+    return part
+
+
+def pieces(part: np.ndarray, columns: list[np.ndarray], parts: int) -> tuple[list, list, list]:
+    """Parts, rows and packed columns of those that have any; columns come sorted by part."""
+    cuts = np.searchsorted(part, np.arange(parts + 1))
+    some = np.flatnonzero(np.diff(cuts)).tolist()
+    return some, [int(cuts[k + 1] - cuts[k]) for k in some], [packed([x[cuts[k] : cuts[k + 1]] for x in columns]) for k in some]
+
+
+PIECE = "part int, base bigint, n int, body binary"
+PLACES, WORTHS = [np.int64, np.int64, np.int64, np.int32], [np.int64, np.int64, np.int64, np.float64]
+
+
+def dealt_rows(pieces: DataFrame, parts: int) -> RDD:
+    return pieces.rdd.map(lambda r: (r[0], (r[1], r[2], bytes(r[3])))).partitionBy(parts, place)
+
+
+def occurrences(rows: DataFrame, ids, shared, parts: int, p: Params) -> RDD:
+    """(part, piece of occurrences): each place of each text with the two words before, where the pair or the triple is not frequent.
+
+    All jobs that read it read the same shuffle files: it is made once.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tree, codes, held, size = shared.value, Codes(ids.value), [], 0
+        for batch in cut(batches, 4 << 20):
+            t = Batch(batch.column("text").to_pylist(), codes)
+            doc = batch.column("rid").to_numpy() * 2 + batch.column("train").to_numpy(zero_copy_only=False)
+            pair, triple = tree.places(t.h2, t.h1, t.ids)
+            ok = (t.h1 != START) & ((pair < 0) | (t.h2 != START) & (triple < 0))
+            held.append([t.h2[ok], t.h1[ok], t.ids[ok], np.repeat(doc, t.sizes)[ok], pair[ok] >= 0])
+            size += len(held[-1][0])
+            if size > p.positions:
+                yield rows_of(held)
+                held, size = [], 0
+            if len(codes) > len(ids.value) + p.flush:
+                codes = Codes(ids.value)
+        if size:
+            yield rows_of(held)
+
+    def rows_of(held):
+        c, a, b, doc, apart = map(np.concatenate, zip(*held))
+        base = int(doc.min()) // 2
+        part = dealt(c, a, b, apart, parts)
+        order = np.lexsort((c, b, a, part))
+        some, n, bodies = pieces(part[order], [c[order], a[order], b[order], (doc[order] - 2 * base).astype(np.int32)], parts)
+        return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([base] * len(some), pa.int64()), pa.array(n, pa.int32()), pa.array(bodies, pa.binary())], names=["part", "base", "n", "body"])
+
+    return dealt_rows(rows.select("rid", "text", "train").mapInArrow(run, PIECE), parts)
+
+
+def read(pieces: list, kinds: list) -> tuple[list[np.ndarray], np.ndarray]:
+    """The columns of all pieces, and what each row's base is."""
+    got = [unpacked(body, n, kinds) for _, n, body in pieces]
+    columns = [np.concatenate([g[k] for g in got]) if got else np.zeros(0, kind) for k, kind in enumerate(kinds)]
+    return columns, np.repeat(np.array([base or 0 for base, _, _ in pieces], np.int64), [n for _, n, _ in pieces])
+
+
+def groups(*sorted_columns: np.ndarray) -> np.ndarray:
+    """A number for each run of equal rows."""
+    new = np.zeros(len(sorted_columns[0]), bool)
+    for x in sorted_columns:
+        new[1:] |= x[1:] != x[:-1]
+    return np.cumsum(new)
+
+
+def frame(spark: SparkSession, batches: RDD, schema: str) -> DataFrame:
+    """The record batches of an RDD as a table."""
+
+    def closed(batch: pa.RecordBatch) -> tuple[bytes]:
+        out = pa.BufferOutputStream()
+        with pa.ipc.new_stream(out, batch.schema) as stream:
+            stream.write_batch(batch)
+        return (out.getvalue().to_pybytes(),)
+
+    def opened(bodies: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in bodies:
+            for x in batch.column("body"):
+                yield from pa.ipc.open_stream(x.as_buffer())
+
+    return spark.createDataFrame(batches.map(closed), "body binary", verifySchema=False).mapInArrow(opened, schema)
+
+
+def explicit(spark: SparkSession, places: RDD, shared, p: Params) -> DataFrame:
+    """(c, a, b, n): all pairs, with c = PAIR, and triples that occur ``least`` times in training texts."""
+
+    def run(rows: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
+        tree = shared.value
+        (c, a, b, doc), _ = read([x for _, x in rows], PLACES)
+        train = (doc & 1) == 1
+        c, a, b = c[train], a[train], b[train]
+        order = np.lexsort((c, b, a))
+        c, a, b = c[order], a[order], b[order]
+        if not len(a):
+            return
+        for triple, g in ((False, groups(a, b)), (True, groups(a, b, c))):
+            first, n = np.flatnonzero(np.diff(g, prepend=-1)), np.bincount(g)
+            pair, _ = tree.places(c[first], a[first], b[first])
+            ok = (n >= p.least) & (c[first] != START if triple else pair < 0)
+            first, n = first[ok], n[ok]
+            yield pa.RecordBatch.from_arrays([pa.array(c[first] if triple else np.full(len(first), PAIR)), pa.array(a[first]), pa.array(b[first]), pa.array(n)], names=["c", "a", "b", "n"])
+
+    tree = shared.value
+    at, last = tree.triples // tree.span, tree.triples % tree.span
+    columns = [
+        np.concatenate([np.full(len(tree.pairs), PAIR), tree.pairs[at] // tree.span]),
+        np.concatenate([tree.pairs // tree.span, tree.pairs[at] % tree.span]),
+        np.concatenate([tree.pairs % tree.span, last]),
+        np.concatenate([tree.pair_n, tree.triple_n]),
+    ]
+    known = spark.createDataFrame(pa.table(columns, names=["c", "a", "b", "n"])).where(F.col("n") >= p.least)
+    return frame(spark, places.mapPartitions(run), COUNTS).union(known)
+
+
+def by_word(rows: DataFrame, near: DataFrame, far: DataFrame, key: str) -> DataFrame:
+    """Left join on a word's code: frequent words are broadcast, so that none of them meets in one task."""
+    rare = F.col(key) >= RARE
+    one = rows.where(~rare).join(F.broadcast(near.withColumnRenamed("code", key)), key, "left")
+    return one.unionByName(rows.where(rare).join(far.withColumnRenamed("code", key), key, "left"))
+
+
+def judged(n: Column, own: Column, shorter: Column, p: Params, over=lambda x: x) -> tuple[Column, Column]:
+    """``level`` as aggregates over a context's next words: whether it stays, and the mass it leaves to the shorter one."""
+    held, left = over(F.max(own)), F.greatest(over(F.max(own)) - over(F.sum(n)), F.lit(0))
+    g = over(F.sum(2 * n * F.log(n / own / shorter)))
+    g += F.when(left > 0, 2 * left * F.log(left / held / F.greatest(1 - over(F.sum(shorter)), F.lit(1e-12)))).otherwise(0.0)
+    return g > p.penalty * over(F.count(n)), 1 - over(F.sum((n - p.discount) / own))
+
+
+def fit(tree: Tree, counts: DataFrame, few: DataFrame, p: Params) -> tuple[DataFrame, DataFrame, np.ndarray]:
+    """Sets the shares and rests of what is frequent to those of the whole tree.
+
+    Returns the rests of the contexts of one word (code, rest), what all other pairs and triples add to a
+    score (c, a, b, value), and the rests by id.
+    """
+    spark, span, enough = counts.sparkSession, tree.span, frequent(p, tree.total)
+    n, plain = F.col("n"), F.col("next") / max(1, tree.total)
+    near = spark.createDataFrame(pa.table([np.arange(len(tree.n)), tree.n], names=["code", "n"])).select("code", F.col("n").alias("own"))
+    far = few.select("code", F.col("n").alias("own"))
+    pairs = by_word(counts.where(F.col("c") == PAIR).drop("c"), near, far, "a")
+    pairs = by_word(pairs, near.withColumnRenamed("own", "next"), far.withColumnRenamed("own", "next"), "b")
+    stays, rest = judged(n, F.col("own"), plain, p)
+    ones = written(pairs.groupBy(F.col("a").alias("code")).agg(stays.alias("stays"), rest.alias("rest")).where("stays").drop("stays"), "ones")
+
+    pairs = by_word(pairs, ones.where(F.col("code") < RARE), ones.where(F.col("code") >= RARE), "a")
+    share = F.when(F.col("rest").isNull(), 0.0).otherwise((n - p.discount) / F.col("own"))
+    below = F.coalesce("rest", F.lit(1.0)) * (F.col("next") + 0.5) / (tree.total + 0.5 * (tree.distinct + 1))
+    pairs = written(pairs.select("a", "b", "n", share.alias("share"), (share + below).alias("p"), F.log10(1 + share / below).alias("value")), "pairs")
+
+    context = Window.partitionBy("c", "a")
+    stays, rest = judged(n, F.col("own"), F.col("p"), p, lambda x: x.over(context))
+    triples = counts.where(F.col("c") != PAIR).join(pairs.select("a", "b", "p"), ["a", "b"]).join(pairs.select(F.col("a").alias("c"), F.col("b").alias("a"), F.col("n").alias("own")), ["c", "a"])
+    triples = triples.withColumns({"stays": stays, "rest": rest, "first": F.col("b") == F.min("b").over(context)}).where("stays")
+    share = (n - p.discount) / F.col("own")
+    triples = written(triples.select("c", "a", "b", "n", "own", "first", "rest", share.alias("share"), F.log10(1 + share / (F.col("rest") * F.col("p"))).alias("value")), "triples")
+
+    often = lambda n, *words: (F.col(n) >= enough) & (F.greatest(*words) < span)
+    rests = triples.where("first").select("c", "a", "own", "rest")
+    # frequent ones: a bounded number, looked up where texts are scored
+    by_id = np.ones(len(tree.n))
+    got = ones.where(F.col("code") < RARE).toArrow()
+    by_id[got["code"].to_numpy()] = got["rest"].to_numpy()
+    tree.one = Level(tree.pairs, np.zeros(len(tree.pairs)), by_id[:span])
+    got = pairs.where(often("n", "a", "b")).select("a", "b", "share").toArrow()
+    tree.one.share[find(tree.pairs, got["a"].to_numpy() * span + got["b"].to_numpy())] = got["share"].to_numpy()
+    tree.two = Level(tree.triples, np.zeros(len(tree.triples)), np.ones(len(tree.pairs)))
+    got = rests.where(often("own", "c", "a")).toArrow()
+    tree.two.rest[find(tree.pairs, got["c"].to_numpy() * span + got["a"].to_numpy())] = got["rest"].to_numpy()
+    got = triples.where(often("n", "c", "a", "b")).select("c", "a", "b", "share").toArrow()
+    tree.two.share[tree.places(*(got[x].to_numpy() for x in "cab"))[1]] = got["share"].to_numpy()
+    # all others: the share of a next word, and the rest of a pair where it is the context
+    values = pairs.where(~often("n", "a", "b") & (F.col("value") != 0)).select(F.lit(PAIR).cast("long").alias("c"), "a", "b", "value")
+    values = values.union(rests.where(~often("own", "c", "a")).select(F.lit(PAIR).cast("long"), "c", "a", F.log10("rest")))
+    return ones, values.union(triples.where(~often("n", "c", "a", "b")).select("c", "a", "b", "value")), by_id
+
+
+def sums(spark: SparkSession, places: RDD, values: DataFrame, shared, p: Params) -> DataFrame:
+    """(rid, more): what pairs and triples that are not frequent add to each text's score."""
+    parts = places.getNumPartitions()
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            c, a, b, value = (batch.column(x).to_numpy() for x in ("c", "a", "b", "value"))
+            pair, _ = shared.value.places(c, a, b)
+            part = dealt(c, a, b, (c != PAIR) & (pair >= 0), parts)
+            order = np.argsort(part, kind="stable")
+            some, n, bodies = pieces(part[order], [x[order] for x in (c, a, b, value)], parts)
+            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.nulls(len(some), pa.int64()), pa.array(n, pa.int32()), pa.array(bodies, pa.binary())], names=["part", "base", "n", "body"])
+
+    def run(rows: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
+        both = ([], [])
+        for _, x in rows:
+            both[x[0] is None].append(x)
+        (c, a, b, doc), base = read(both[0], PLACES)
+        (c2, a2, b2, value), _ = read(both[1], WORTHS)
+        if not len(c) or not len(c2):
+            return
+        c, a, b = np.concatenate([c, c2]), np.concatenate([a, a2]), np.concatenate([b, b2])
+        order = np.lexsort((c, b, a))
+        value = np.concatenate([np.zeros(len(doc)), value])[order]
+        c, a, b = c[order], a[order], b[order]
+        pair, triple, whole = groups(a, b), groups(a, b, c), c == PAIR
+        more = np.bincount(pair, np.where(whole, value, 0.0))[pair] + np.bincount(triple, np.where(whole, 0.0, value))[triple]
+        here = order < len(doc)
+        rid, at = np.unique(base[order[here]] + (doc[order[here]] >> 1), return_inverse=True)
+        yield pa.RecordBatch.from_arrays([pa.array(rid), pa.array(np.bincount(at, more[here], len(rid)))], names=["rid", "more"])
+
+    # parts already lie together, so dealing them again moves nothing
+    worth = dealt_rows(values.mapInArrow(deal, PIECE), parts)
+    return frame(spark, places.union(worth).partitionBy(parts, place).mapPartitions(run), "rid bigint, more double").groupBy("rid").agg(F.sum("more").alias("more"))
+
+
+def rare_words(counts: DataFrame, least: float) -> DataFrame:
+    """(word, n, code) of the words without an id."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes = Codes()
+        for batch in batches:
+            found = [codes[x.encode("utf-8", "surrogatepass")] for x in batch.column("word").to_pylist()]
+            codes.clear()
+            yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("n"), pa.array(found, pa.int64())], names=["word", "n", "code"])
+
+    return counts.where(F.col("every") < least).select("word", "n").mapInArrow(run, "word string, n bigint, code bigint")
+
+
 def score(docs: DataFrame, p: Params = Params()) -> DataFrame:
     """Per row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
-    rows = docs.select("doc_id", "text", (fold(F.col("doc_id")) != p.held_fold).alias("train"))
+    rows = docs.select("doc_id", "text", (fold(F.col("doc_id")) != p.held_fold).alias("train"), F.monotonically_increasing_id().alias("rid"))
     counts = written(word_counts(rows.select("text", "train"), p), "words")
     tree, ids, least = grow(rows.select("text", "train"), counts, p)
     total, distinct = tree.total, tree.distinct
-    shared = docs.sparkSession.sparkContext.broadcast(tree)
+    spark = docs.sparkSession
+    few = written(rare_words(counts, least), "rare")
+    shared = spark.sparkContext.broadcast(tree)
+    places = occurrences(rows, ids, shared, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")), p)
+    ones, values, rests = fit(tree, written(explicit(spark, places, shared, p), "explicit"), few, p)
+    tail = sums(spark, places, values, shared, p)
+    fitted, later = spark.sparkContext.broadcast(tree), spark.sparkContext.broadcast(np.where(np.arange(len(rests)) < tree.span, 0.0, np.log10(rests)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree = shared.value
+        tree, extra = fitted.value, np.concatenate([later.value, np.zeros(2)])  # ids -1 and -2 add nothing
         log_root = np.log10(tree.root) if len(tree.root) else np.zeros(1)
         for batch in cut(batches, 4 << 20):
             b = Batch(batch.column("text").to_pylist(), ids.value)
             has = b.ids >= 0
-            model = np.log10(tree.next_probability(b.ids, b.h1, b.h2))
+            model = np.log10(tree.next_probability(b.ids, b.h1, b.h2)) + extra[b.h1]
             add = lambda x: np.add.reduceat(x, b.starts) if len(b.ids) else x
             rare, n, sizes = [], [], []
             for k, w in enumerate(b.texts):
@@ -248,21 +546,22 @@ def score(docs: DataFrame, p: Params = Params()) -> DataFrame:
                 n += seen.values()
                 sizes.append(len(seen))
             lists = lambda x: pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), x)
-            known = has & (tree.known[b.ids] if len(tree.known) else False)
+            known = has & (tree.n[b.ids] > 0 if len(tree.n) else False)
             cols = [batch.column("rid"), batch.column("doc_id"), batch.column("train"), pa.array(b.sizes), pa.array(add(known.astype(np.int64))), pa.array(add(np.where(has, log_root[b.ids], 0.0))), pa.array(add(model)), lists(pa.array(rare, pa.binary()).cast(pa.string())), lists(pa.array(n, pa.int64()))]
             yield pa.RecordBatch.from_arrays(cols, names=["rid", "doc_id", "train", "n_tokens", "known", "base", "model", "rare", "times"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    parts = rows.withColumn("rid", F.monotonically_increasing_id()).mapInArrow(run, f"rid bigint, doc_id {kind}, train boolean, n_tokens bigint, known bigint, base double, model double, rare array<string>, times array<bigint>")
+    parts = rows.mapInArrow(run, f"rid bigint, doc_id {kind}, train boolean, n_tokens bigint, known bigint, base double, model double, rare array<string>, times array<bigint>")
     parts = written(parts, "parts")
     each = parts.select("rid", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("rid", F.col("x.rare").alias("word"), F.col("x.times").alias("times"))
-    few = counts.where(F.col("every") < least).select("word", "n")
     log = F.log10((F.col("n") + 0.5) / (total + 0.5 * (distinct + 1)))
-    sums = each.join(few, "word").groupBy("rid").agg(F.sum(F.col("times") * log).alias("more"), F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("more_known"))
-    out = parts.drop("rare", "times").join(sums, "rid", "left")
-    more = F.coalesce("more", F.lit(0.0))
-    return out.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", (F.col("known") + F.coalesce("more_known", F.lit(0))).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), (F.col("base") + more).alias("base_score"), (F.col("model") + more).alias("score"))
+    few = few.join(ones.where(F.col("code") >= RARE), "code", "left").select("word", "n", F.coalesce(F.log10("rest"), F.lit(0.0)).alias("left"))
+    rare = each.join(few, "word").groupBy("rid").agg(F.sum(F.col("times") * log).alias("base_more"), F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("more_known"), F.sum(F.col("times") * F.col("left")).alias("left"))
+    out = parts.drop("rare", "times").join(rare, "rid", "left").join(tail, "rid", "left")
+    base = F.coalesce("base_more", F.lit(0.0))
+    more = base + F.coalesce("left", F.lit(0.0)) + F.coalesce("more", F.lit(0.0))
+    return out.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", (F.col("known") + F.coalesce("more_known", F.lit(0))).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), (F.col("base") + base).alias("base_score"), (F.col("model") + more).alias("score"))
 
 
 def op3_lm_scoring(spark, sf_dir: str) -> DataFrame:
-    return score(table(spark, sf_dir, "documents"))
+    return score(table(steady(spark), sf_dir, "documents"))

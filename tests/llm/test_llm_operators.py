@@ -604,6 +604,55 @@ def test_suffix_tree_distributions_sum_to_one(spark):
             assert abs(known + unknown - 1) < 1e-9
 
 
+def whole_tree(texts, p):
+    """doc_id -> score by a plain suffix tree of every context of one or two words."""
+    train = [ws for i, ws in texts if zlib.crc32(b"" if i is None else str(i).encode()) % 5 != p.held_fold]
+    n = Counter(x for ws in train for k in (1, 2, 3) for x in zip(*(ws[j:] for j in range(k))))
+    total = sum(map(len, train))
+    norm = total + 0.5 * (sum(len(x) == 1 for x in n) + 1)
+    root = lambda w: (n[(w,)] + 0.5) / norm
+
+    def states(size, shorter, likely):
+        after = {}
+        for x, k in n.items():
+            if len(x) == size + 1 and k >= p.least:
+                after.setdefault(x[:-1], []).append((x[-1], k))
+        out = {}
+        for x, nexts in after.items():
+            left = n[x] - sum(k for _, k in nexts)
+            g = sum(2 * k * math.log(k / n[x] / likely(x, w)) for w, k in nexts)
+            if left:
+                g += 2 * left * math.log(left / n[x] / max(1 - sum(likely(x, w) for w, _ in nexts), 1e-12))
+            if g > p.penalty * len(nexts):
+                shares = {w: (k - p.discount) / n[x] for w, k in nexts}
+                out[x] = shares, 1 - sum(shares.values())
+        return lambda x, w: out[x][0].get(w, 0) + out[x][1] * shorter(x, w) if x in out else shorter(x, w)
+
+    one = states(1, lambda x, w: root(w), lambda x, w: n[(w,)] / total)
+    suffix = lambda x, w: one(x[1:], w)
+    two = states(2, suffix, suffix)
+
+    def probability(before, w):
+        return two(before, w) if len(before) == 2 else one(before, w) if before else root(w)
+
+    return {i: sum(math.log10(probability(tuple(ws[max(0, k - 2) : k]), w)) for k, w in enumerate(ws)) for i, ws in texts}
+
+
+@pytest.mark.parametrize("shares", [(2e-6, 1e-5), (1e-2, 2e-2), (0.5, 0.5)])
+def test_suffix_tree_scores_are_those_of_the_whole_tree(spark, shares):
+    """What is broadcast as frequent changes no score: every context and next word is met, however rare."""
+    rng = random.Random(4)
+    some = [f"w{k}" for k in range(60)]
+    texts = [" ".join(rng.choice(["a b c", "a b d", "x y", "ÿ a b c", rng.choice(some), f"{rng.choice(some)} {rng.choice(some[:3])} z"]) for _ in range(rng.randrange(40))) for _ in range(120)]
+    texts += [None, "", " a", "A b", texts[3], "new words only", "b b b b b a b a b"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3, "doc_id")
+    p = suffix_tree.Params(*shares, positions=500)
+    got = {r["doc_id"]: r["score"] for r in rows_of(suffix_tree.score(rows, p))}
+    want = whole_tree([(i, suffix_tree.words(x) + [b""]) for i, x in enumerate(texts)], p)
+    assert got.keys() == want.keys()
+    assert max(abs(got[i] - want[i]) for i in want) < 1e-6
+
+
 # WARC
 
 
