@@ -33,15 +33,15 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/sievewright/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, codec: str | None = None) -> DataFrame:
     """The table written to the shared folder and read again: this cuts the lineage and survives lost executors."""
-    return df.sparkSession.read.schema(df.schema).parquet(stored(df, name))
+    return df.sparkSession.read.schema(df.schema).parquet(stored(df, name, codec))
 
 
-def stored(df: DataFrame, name: str) -> str:
+def stored(df: DataFrame, name: str, codec: str | None = None) -> str:
     """Where in the shared folder the table has been written."""
     path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=codec)
     return path
 
 

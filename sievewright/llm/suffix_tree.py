@@ -10,10 +10,9 @@ and one unknown word.
 
 What is frequent, by a share of all tokens, is broadcast: at most ``1 / word_share`` words and about
 ``1 / pair_share`` pairs and triples of words. The shares decide where a number is looked up, not what it
-is. All other words meet their counts by a join on the word, all other pairs and triples in the task that
-their words are dealt to: there they are counted, and there each text's share of the score is summed. A
-logarithm of a probability is a sum of what each length adds, so no position travels twice. Words that are
-not broadcast stand for themselves by 62 bits of their hash.
+is. All other words, pairs and triples are dealt to tasks: there they are counted, and there each text's
+share of the scores is summed. A logarithm of a probability is a sum of what each length adds, so every
+position is dealt once. Words that are not broadcast stand for themselves by 62 bits of their hash.
 
 Defined cases: a null or empty text is the end token alone; a null id belongs to fold 0 and trains;
 without training texts, N and V are 0; rows that repeat are scored alike, each on its own. The texts are
@@ -41,8 +40,8 @@ from sievewright.llm.warc import steady
 END = b""
 #: Codes of words without an id start here; ids are smaller.
 RARE = 1 << 62
-#: What stands before a text's start, and in place of the first word of a pair.
-START, PAIR = -2, -3
+#: What stands before a text's start, and in place of the words before a pair and before a word.
+START, PAIR, WORD = -2, -3, -4
 COUNTS = "c bigint, a bigint, b bigint, n bigint"
 VALUES = "c bigint, a bigint, b bigint, value double"
 
@@ -56,7 +55,7 @@ class Params:
     penalty: float = 2.0
     held_fold: int = 1
     flush: int = 400_000
-    positions: int = 1_000_000
+    positions: int = 500_000
 
 
 def words(text: str | None) -> list[bytes]:
@@ -279,8 +278,8 @@ def unpacked(body: bytes, n: int, kinds: list) -> list[np.ndarray]:
 
 
 def dealt(c: np.ndarray, a: np.ndarray, b: np.ndarray, apart: np.ndarray, parts: int) -> np.ndarray:
-    """The part of each pair (a, b) and of the triples that end in it; those of a frequent pair lie apart."""
-    h = a.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + b.view(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
+    """The part of each rare word b, pair (a, b) and the triples that end in it; those of a frequent pair lie apart."""
+    h = np.where(b < RARE, a, 0).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + b.view(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
     h += np.where(apart, c, 0).view(np.uint64) * np.uint64(0x165667B19E3779F9)
     h ^= h >> np.uint64(29)
     h *= np.uint64(0xBF58476D1CE4E5B9)
@@ -307,24 +306,24 @@ def dealt_rows(pieces: DataFrame, parts: int) -> RDD:
 
 
 def occurrences(rows: DataFrame, ids, shared, parts: int, p: Params) -> RDD:
-    """(part, piece of occurrences): each place of each text with the two words before, where the pair or the triple is not frequent.
+    """(part, piece of occurrences): each place of each text with the two words before, where word, pair or triple is not frequent.
 
     All jobs that read it read the same shuffle files: it is made once.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tree, codes, held, size = shared.value, Codes(ids.value), [], 0
-        for batch in cut(batches, 4 << 20):
+        for batch in cut(batches, 1 << 20):
             t = Batch(batch.column("text").to_pylist(), codes)
             doc = batch.column("rid").to_numpy() * 2 + batch.column("train").to_numpy(zero_copy_only=False)
             pair, triple = tree.places(t.h2, t.h1, t.ids)
-            ok = (t.h1 != START) & ((pair < 0) | (t.h2 != START) & (triple < 0))
+            ok = (t.ids >= RARE) | (t.h1 != START) & ((pair < 0) | (t.h2 != START) & (triple < 0))
             held.append([t.h2[ok], t.h1[ok], t.ids[ok], np.repeat(doc, t.sizes)[ok], pair[ok] >= 0])
             size += len(held[-1][0])
             if size > p.positions:
                 yield rows_of(held)
                 held, size = [], 0
-            if len(codes) > len(ids.value) + p.flush:
+            if len(codes) > len(ids.value) + p.flush // 4:
                 codes = Codes(ids.value)
         if size:
             yield rows_of(held)
@@ -333,7 +332,7 @@ def occurrences(rows: DataFrame, ids, shared, parts: int, p: Params) -> RDD:
         c, a, b, doc, apart = map(np.concatenate, zip(*held))
         base = int(doc.min()) // 2
         part = dealt(c, a, b, apart, parts)
-        order = np.lexsort((c, b, a, part))
+        order = np.lexsort((c, a, b, part))
         some, n, bodies = pieces(part[order], [c[order], a[order], b[order], (doc[order] - 2 * base).astype(np.int32)], parts)
         return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([base] * len(some), pa.int64()), pa.array(n, pa.int32()), pa.array(bodies, pa.binary())], names=["part", "base", "n", "body"])
 
@@ -373,23 +372,23 @@ def frame(spark: SparkSession, batches: RDD, schema: str) -> DataFrame:
 
 
 def explicit(spark: SparkSession, places: RDD, shared, p: Params) -> DataFrame:
-    """(c, a, b, n): all pairs, with c = PAIR, and triples that occur ``least`` times in training texts."""
+    """(c, a, b, n): what occurs ``least`` times in training texts: words without an id (c and a are WORD), pairs (c is PAIR), triples."""
 
     def run(rows: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
         tree = shared.value
         (c, a, b, doc), _ = read([x for _, x in rows], PLACES)
         train = (doc & 1) == 1
         c, a, b = c[train], a[train], b[train]
-        order = np.lexsort((c, b, a))
+        order = np.lexsort((c, a, b))
         c, a, b = c[order], a[order], b[order]
-        if not len(a):
-            return
-        for triple, g in ((False, groups(a, b)), (True, groups(a, b, c))):
-            first, n = np.flatnonzero(np.diff(g, prepend=-1)), np.bincount(g)
-            pair, _ = tree.places(c[first], a[first], b[first])
-            ok = (n >= p.least) & (c[first] != START if triple else pair < 0)
-            first, n = first[ok], n[ok]
-            yield pa.RecordBatch.from_arrays([pa.array(c[first] if triple else np.full(len(first), PAIR)), pa.array(a[first]), pa.array(b[first]), pa.array(n)], names=["c", "a", "b", "n"])
+        for level, g in enumerate((groups(b), groups(b, a), groups(b, a, c))):
+            first, n = np.flatnonzero(np.diff(g, prepend=-1)), np.bincount(g, minlength=1)
+            w, x, y, n = c[first], a[first], b[first], n[: len(first)]
+            ok = (y >= RARE, (x != START) & (tree.places(w, x, y)[0] < 0), w >= 0)[level] & (n >= p.least)
+            w, x, y, n = w[ok], x[ok], y[ok], n[ok]
+            if level < 2:
+                w = np.full(len(w), (WORD, PAIR)[level])
+            yield pa.RecordBatch.from_arrays([pa.array(w), pa.array(x if level else w), pa.array(y), pa.array(n)], names=["c", "a", "b", "n"])
 
     tree = shared.value
     at, last = tree.triples // tree.span, tree.triples % tree.span
@@ -418,16 +417,15 @@ def judged(n: Column, own: Column, shorter: Column, p: Params, over=lambda x: x)
     return g > p.penalty * over(F.count(n)), 1 - over(F.sum((n - p.discount) / own))
 
 
-def fit(tree: Tree, counts: DataFrame, few: DataFrame, p: Params) -> tuple[DataFrame, DataFrame, np.ndarray]:
+def fit(tree: Tree, counts: DataFrame, p: Params) -> tuple[DataFrame, np.ndarray]:
     """Sets the shares and rests of what is frequent to those of the whole tree.
 
-    Returns the rests of the contexts of one word (code, rest), what all other pairs and triples add to a
-    score (c, a, b, value), and the rests by id.
+    Returns what all other words, pairs and triples add to a score (c, a, b, value), and the rests of words by id.
     """
     spark, span, enough = counts.sparkSession, tree.span, frequent(p, tree.total)
     n, plain = F.col("n"), F.col("next") / max(1, tree.total)
     near = spark.createDataFrame(pa.table([np.arange(len(tree.n)), tree.n], names=["code", "n"])).select("code", F.col("n").alias("own"))
-    far = few.select("code", F.col("n").alias("own"))
+    far = counts.where(F.col("c") == WORD).select(F.col("b").alias("code"), F.col("n").alias("own"))
     pairs = by_word(counts.where(F.col("c") == PAIR).drop("c"), near, far, "a")
     pairs = by_word(pairs, near.withColumnRenamed("own", "next"), far.withColumnRenamed("own", "next"), "b")
     stays, rest = judged(n, F.col("own"), plain, p)
@@ -436,17 +434,17 @@ def fit(tree: Tree, counts: DataFrame, few: DataFrame, p: Params) -> tuple[DataF
     pairs = by_word(pairs, ones.where(F.col("code") < RARE), ones.where(F.col("code") >= RARE), "a")
     share = F.when(F.col("rest").isNull(), 0.0).otherwise((n - p.discount) / F.col("own"))
     below = F.coalesce("rest", F.lit(1.0)) * (F.col("next") + 0.5) / (tree.total + 0.5 * (tree.distinct + 1))
-    pairs = written(pairs.select("a", "b", "n", share.alias("share"), (share + below).alias("p"), F.log10(1 + share / below).alias("value")), "pairs")
+    pairs = written(pairs.select("a", "b", "n", share.alias("share"), below.alias("below")), "pairs", "zstd")
 
     context = Window.partitionBy("c", "a")
     stays, rest = judged(n, F.col("own"), F.col("p"), p, lambda x: x.over(context))
-    triples = counts.where(F.col("c") != PAIR).join(pairs.select("a", "b", "p"), ["a", "b"]).join(pairs.select(F.col("a").alias("c"), F.col("b").alias("a"), F.col("n").alias("own")), ["c", "a"])
+    triples = counts.where(F.col("c") >= 0).join(pairs.select("a", "b", (F.col("share") + F.col("below")).alias("p")), ["a", "b"]).join(pairs.select(F.col("a").alias("c"), F.col("b").alias("a"), F.col("n").alias("own")), ["c", "a"])
     triples = triples.withColumns({"stays": stays, "rest": rest, "first": F.col("b") == F.min("b").over(context)}).where("stays")
     share = (n - p.discount) / F.col("own")
-    triples = written(triples.select("c", "a", "b", "n", "own", "first", "rest", share.alias("share"), F.log10(1 + share / (F.col("rest") * F.col("p"))).alias("value")), "triples")
+    triples = written(triples.select("c", "a", "b", "n", "own", F.when(F.col("first"), F.col("rest")).alias("rest"), F.log10(1 + share / (F.col("rest") * F.col("p"))).alias("value")), "triples", "zstd")
 
     often = lambda n, *words: (F.col(n) >= enough) & (F.greatest(*words) < span)
-    rests = triples.where("first").select("c", "a", "own", "rest")
+    rests = triples.where("rest IS NOT NULL").select("c", "a", "own", "rest")
     # frequent ones: a bounded number, looked up where texts are scored
     by_id = np.ones(len(tree.n))
     got = ones.where(F.col("code") < RARE).toArrow()
@@ -457,17 +455,20 @@ def fit(tree: Tree, counts: DataFrame, few: DataFrame, p: Params) -> tuple[DataF
     tree.two = Level(tree.triples, np.zeros(len(tree.triples)), np.ones(len(tree.pairs)))
     got = rests.where(often("own", "c", "a")).toArrow()
     tree.two.rest[find(tree.pairs, got["c"].to_numpy() * span + got["a"].to_numpy())] = got["rest"].to_numpy()
-    got = triples.where(often("n", "c", "a", "b")).select("c", "a", "b", "share").toArrow()
+    got = triples.where(often("n", "c", "a", "b")).select("c", "a", "b", share.alias("share")).toArrow()
     tree.two.share[tree.places(*(got[x].to_numpy() for x in "cab"))[1]] = got["share"].to_numpy()
-    # all others: the share of a next word, and the rest of a pair where it is the context
-    values = pairs.where(~often("n", "a", "b") & (F.col("value") != 0)).select(F.lit(PAIR).cast("long").alias("c"), "a", "b", "value")
-    values = values.union(rests.where(~often("own", "c", "a")).select(F.lit(PAIR).cast("long"), "c", "a", F.log10("rest")))
-    return ones, values.union(triples.where(~often("n", "c", "a", "b")).select("c", "a", "b", "value")), by_id
+    # all others: the rest of a word or pair where it is the context, and the share of a next word unless
+    # its task knows all of it
+    none = lambda x: F.lit(x).cast("long")
+    values = pairs.where((F.col("a") >= RARE) & (F.col("share") > 0)).select(none(PAIR).alias("c"), "a", "b", F.log10(1 + F.col("share") / F.col("below")).alias("value"))
+    values = values.union(ones.where(F.col("code") >= RARE).select(none(WORD), none(WORD), "code", F.log10("rest")))
+    values = values.union(rests.where(~often("own", "c", "a")).select(none(PAIR), "c", "a", F.log10("rest")))
+    return values.union(triples.where(~often("n", "c", "a", "b")).select("c", "a", "b", "value")), by_id
 
 
-def sums(spark: SparkSession, places: RDD, values: DataFrame, shared, p: Params) -> DataFrame:
-    """(rid, more): what pairs and triples that are not frequent add to each text's score."""
-    parts = places.getNumPartitions()
+def sums(spark: SparkSession, places: RDD, values: DataFrame, shared, rests, p: Params) -> DataFrame:
+    """(rid, base, known, more): words without an id in the base and how many are known, and what they and other pairs and triples add to the score."""
+    parts, norm = places.getNumPartitions(), shared.value.total + 0.5 * (shared.value.distinct + 1)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -484,83 +485,60 @@ def sums(spark: SparkSession, places: RDD, values: DataFrame, shared, p: Params)
             both[x[0] is None].append(x)
         (c, a, b, doc), base = read(both[0], PLACES)
         (c2, a2, b2, value), _ = read(both[1], WORTHS)
-        if not len(c) or not len(c2):
-            return
         c, a, b = np.concatenate([c, c2]), np.concatenate([a, a2]), np.concatenate([b, b2])
-        order = np.lexsort((c, b, a))
-        value = np.concatenate([np.zeros(len(doc)), value])[order]
+        order = np.lexsort((c, a, b))
+        value, train = np.concatenate([np.zeros(len(doc)), value])[order], np.concatenate([doc & 1, np.zeros(len(c2), doc.dtype)])[order]
         c, a, b = c[order], a[order], b[order]
-        pair, triple, whole = groups(a, b), groups(a, b, c), c == PAIR
-        more = np.bincount(pair, np.where(whole, value, 0.0))[pair] + np.bincount(triple, np.where(whole, 0.0, value))[triple]
-        here = order < len(doc)
+        word, pair, triple, more = groups(b), groups(b, a), groups(b, a, c), np.zeros(len(b))
+        for g, kind in ((word, c == WORD), (pair, c == PAIR), (triple, c >= 0)):
+            more += np.bincount(g, np.where(kind, value, 0.0), 1)[g]
+        here, tree, rest = order < len(doc), shared.value, np.append(rests.value, 1.0)
+        n, pair_n = np.bincount(word, train, 1)[word], np.bincount(pair, train, 1)[pair]
+        root = np.where(b < RARE, np.append(tree.root, 1.0)[np.where(b < RARE, b, -1)], (n + 0.5) / norm)
+        first = np.where((a >= 0) & (a < RARE), a, -1)
+        ok = (rest[first] < 1) & (pair_n >= p.least) & (tree.places(c, a, b)[0] < 0)
+        more += np.where(ok, np.log10(1 + np.where(ok, pair_n - p.discount, 0) / np.append(tree.n, 1)[first] / (rest[first] * root)), 0.0)
+        n, rare = n[here], b[here] >= RARE
+        base_value = np.where(rare, np.log10((n + 0.5) / norm), 0.0)
         rid, at = np.unique(base[order[here]] + (doc[order[here]] >> 1), return_inverse=True)
-        yield pa.RecordBatch.from_arrays([pa.array(rid), pa.array(np.bincount(at, more[here], len(rid)))], names=["rid", "more"])
+        added = [np.bincount(at, x, len(rid)) for x in (base_value, rare & (n > 0), more[here])]
+        yield pa.RecordBatch.from_arrays([pa.array(rid), pa.array(added[0]), pa.array(added[1].astype(np.int64)), pa.array(added[2])], names=["rid", "base", "known", "more"])
 
     # parts already lie together, so dealing them again moves nothing
     worth = dealt_rows(values.mapInArrow(deal, PIECE), parts)
-    return frame(spark, places.union(worth).partitionBy(parts, place).mapPartitions(run), "rid bigint, more double").groupBy("rid").agg(F.sum("more").alias("more"))
-
-
-def rare_words(counts: DataFrame, least: float) -> DataFrame:
-    """(word, n, code) of the words without an id."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes = Codes()
-        for batch in batches:
-            found = [codes[x.encode("utf-8", "surrogatepass")] for x in batch.column("word").to_pylist()]
-            codes.clear()
-            yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("n"), pa.array(found, pa.int64())], names=["word", "n", "code"])
-
-    return counts.where(F.col("every") < least).select("word", "n").mapInArrow(run, "word string, n bigint, code bigint")
+    return frame(spark, places.union(worth).partitionBy(parts, place).mapPartitions(run), "rid bigint, base double, known bigint, more double").groupBy("rid").agg(F.sum("base").alias("base_more"), F.sum("known").alias("more_known"), F.sum("more").alias("more"))
 
 
 def score(docs: DataFrame, p: Params = Params()) -> DataFrame:
     """Per row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     rows = docs.select("doc_id", "text", (fold(F.col("doc_id")) != p.held_fold).alias("train"), F.monotonically_increasing_id().alias("rid"))
-    counts = written(word_counts(rows.select("text", "train"), p), "words")
-    tree, ids, least = grow(rows.select("text", "train"), counts, p)
-    total, distinct = tree.total, tree.distinct
+    counts = written(word_counts(rows.select("text", "train"), p), "words", "zstd")
+    tree, ids, _ = grow(rows.select("text", "train"), counts, p)
     spark = docs.sparkSession
-    few = written(rare_words(counts, least), "rare")
     shared = spark.sparkContext.broadcast(tree)
     places = occurrences(rows, ids, shared, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")), p)
-    ones, values, rests = fit(tree, written(explicit(spark, places, shared, p), "explicit"), few, p)
-    tail = sums(spark, places, values, shared, p)
-    fitted, later = spark.sparkContext.broadcast(tree), spark.sparkContext.broadcast(np.where(np.arange(len(rests)) < tree.span, 0.0, np.log10(rests)))
+    values, by_id = fit(tree, written(explicit(spark, places, shared, p), "explicit", "zstd"), p)
+    fitted, rests = spark.sparkContext.broadcast(tree), spark.sparkContext.broadcast(by_id)
+    tail = sums(spark, places, values, shared, rests, p)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree, extra = fitted.value, np.concatenate([later.value, np.zeros(2)])  # ids -1 and -2 add nothing
+        tree, extra = fitted.value, np.concatenate([np.log10(rests.value), np.zeros(2)])  # ids -1 and -2 add nothing
+        extra[: min(tree.span, len(rests.value))] = 0  # these are in the tree
         log_root = np.log10(tree.root) if len(tree.root) else np.zeros(1)
         for batch in cut(batches, 4 << 20):
             b = Batch(batch.column("text").to_pylist(), ids.value)
             has = b.ids >= 0
             model = np.log10(tree.next_probability(b.ids, b.h1, b.h2)) + extra[b.h1]
             add = lambda x: np.add.reduceat(x, b.starts) if len(b.ids) else x
-            rare, n, sizes = [], [], []
-            for k, w in enumerate(b.texts):
-                own = b.ids[b.starts[k] : b.starts[k] + len(w)]
-                seen = Counter(w[i] for i in np.flatnonzero(own < 0).tolist())
-                if b.ids[b.starts[k] + len(w)] < 0:
-                    seen[END] += 1
-                rare += seen.keys()
-                n += seen.values()
-                sizes.append(len(seen))
-            lists = lambda x: pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), x)
             known = has & (tree.n[b.ids] > 0 if len(tree.n) else False)
-            cols = [batch.column("rid"), batch.column("doc_id"), batch.column("train"), pa.array(b.sizes), pa.array(add(known.astype(np.int64))), pa.array(add(np.where(has, log_root[b.ids], 0.0))), pa.array(add(model)), lists(pa.array(rare, pa.binary()).cast(pa.string())), lists(pa.array(n, pa.int64()))]
-            yield pa.RecordBatch.from_arrays(cols, names=["rid", "doc_id", "train", "n_tokens", "known", "base", "model", "rare", "times"])
+            cols = [batch.column("rid"), batch.column("doc_id"), batch.column("train"), pa.array(b.sizes), pa.array(add(known.astype(np.int64))), pa.array(add(np.where(has, log_root[b.ids], 0.0))), pa.array(add(model))]
+            yield pa.RecordBatch.from_arrays(cols, names=["rid", "doc_id", "train", "n_tokens", "known", "base", "model"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    parts = rows.mapInArrow(run, f"rid bigint, doc_id {kind}, train boolean, n_tokens bigint, known bigint, base double, model double, rare array<string>, times array<bigint>")
-    parts = written(parts, "parts")
-    each = parts.select("rid", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("rid", F.col("x.rare").alias("word"), F.col("x.times").alias("times"))
-    log = F.log10((F.col("n") + 0.5) / (total + 0.5 * (distinct + 1)))
-    few = few.join(ones.where(F.col("code") >= RARE), "code", "left").select("word", "n", F.coalesce(F.log10("rest"), F.lit(0.0)).alias("left"))
-    rare = each.join(few, "word").groupBy("rid").agg(F.sum(F.col("times") * log).alias("base_more"), F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("more_known"), F.sum(F.col("times") * F.col("left")).alias("left"))
-    out = parts.drop("rare", "times").join(rare, "rid", "left").join(tail, "rid", "left")
-    base = F.coalesce("base_more", F.lit(0.0))
-    more = base + F.coalesce("left", F.lit(0.0)) + F.coalesce("more", F.lit(0.0))
-    return out.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", (F.col("known") + F.coalesce("more_known", F.lit(0))).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), (F.col("base") + base).alias("base_score"), (F.col("model") + more).alias("score"))
+    parts = rows.mapInArrow(run, f"rid bigint, doc_id {kind}, train boolean, n_tokens bigint, known bigint, base double, model double")
+    out = parts.join(tail, "rid", "left")
+    base, more = F.coalesce("base_more", F.lit(0.0)), F.coalesce("more", F.lit(0.0))
+    return out.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", (F.col("known") + F.coalesce("more_known", F.lit(0))).alias("n_known"), F.lit(tree.total).cast("long").alias("train_tokens"), (F.col("base") + base).alias("base_score"), (F.col("model") + base + more).alias("score"))
 
 
 def op3_lm_scoring(spark, sf_dir: str) -> DataFrame:
