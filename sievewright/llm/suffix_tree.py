@@ -497,7 +497,7 @@ def sums(spark: SparkSession, places: RDD, values: DataFrame, shared, rests, p:
         root = np.where(b < RARE, np.append(tree.root, 1.0)[np.where(b < RARE, b, -1)], (n + 0.5) / norm)
         first = np.where((a >= 0) & (a < RARE), a, -1)
         ok = (rest[first] < 1) & (pair_n >= p.least) & (tree.places(c, a, b)[0] < 0)
-        more += np.where(ok, np.log10(1 + np.where(ok, pair_n - p.discount, 0) / np.append(tree.n, 1)[first] / (rest[first] * root)), 0.0)
+        more += np.where(ok, np.log10(1 + np.where(ok, pair_n - p.discount, 0) / np.maximum(np.append(tree.n, 1)[first], 1) / (rest[first] * root)), 0.0)
         n, rare = n[here], b[here] >= RARE
         base_value = np.where(rare, np.log10((n + 0.5) / norm), 0.0)
         rid, at = np.unique(base[order[here]] + (doc[order[here]] >> 1), return_inverse=True)
