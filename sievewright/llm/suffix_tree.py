@@ -8,12 +8,12 @@ mass to the shorter context's; the root adds one half to every count. A token is
 suffix of what precedes it that is a state of the tree. Each distribution sums to one over the known words
 and one unknown word.
 
-Texts are split into words once, into chunks whose words are numbered; tasks that own words by a hash count
-them and tell each chunk its words' ids. Ids run by falling count, so the count of any word follows from
+Texts are split into words once, into groups of chunks whose words are numbered; tasks that own words by a hash count
+them and tell each group its words' ids. Ids run by falling count, so the count of any word follows from
 where the counts begin. A logarithm of a probability is a sum of what word, pair and triple add, so every
 position is dealt once, by its pair: to the task of its first word, if that is not frequent, which then
 judges the word as a context by itself. There pairs and triples are counted, and each text's share of the
-scores is summed and told to its chunk. Of contexts of two words only sums travel, and back what they leave.
+scores is summed and told to its chunk. Of contexts of two words, explicit counts travel and, back, what they leave.
 
 What is frequent, by a share of all tokens, is broadcast instead: at most ``1 / pair_share`` words, pairs and
 triples. The share decides where a number is looked up, not what it is. ``grow`` is the tree of what is
@@ -259,17 +259,19 @@ KINDS = {
     PLACE: [np.int32] * 4,
     PAIRS: [np.int32, np.int32, np.int64],
     TRIPLES: [np.int32, np.int32, np.int64],
-    CONTEXT: [np.int32, np.int32, np.float64, np.int64, np.float64, np.int32],
+    CONTEXT: [np.int32, np.int32, np.int64, np.float64],
     STATE: [np.int32, np.int32, np.int64, np.float64],
     OWN: [np.int32, np.int32, np.float64],
     SUMS: [np.int32, np.float64],
 }
+#: A group has at most as many chunks as this many bits can tell.
+GROUP = 8
 PIECE = "part int, kind int, base bigint, n int, body binary"
 
 
 def packed(columns: list[np.ndarray]) -> bytes:
     """Columns in one compressed piece, equal bytes of neighbouring numbers side by side."""
-    return pa.compress(b"".join(x.view(np.uint8).reshape(-1, x.itemsize).T.tobytes() for x in columns), codec="zstd", asbytes=True)
+    return pa.Codec("zstd", compression_level=3).compress(b"".join(x.view(np.uint8).reshape(-1, x.itemsize).T.tobytes() for x in columns), asbytes=True)
 
 
 def unpacked(body: bytes, n: int, kinds: list) -> list[np.ndarray]:
@@ -318,9 +320,9 @@ def mixed(*numbers: np.ndarray | int, parts: int) -> np.ndarray:
     return ((h ^ h >> np.uint64(32)) % np.uint64(parts)).astype(np.int64)
 
 
-def home(chunk: int, parts: int) -> int:
-    """The part that keeps a chunk: evenly spread over tasks and over the chunks of each."""
-    return int(((chunk >> 20) * 0.6180339887498949 + (chunk & (1 << 20) - 1) * 0.7548776662466927) % 1 * parts)
+def home(group: int, parts: int) -> int:
+    """The part that keeps a group of chunks: evenly spread over tasks and over the groups of each."""
+    return int(((group >> 20) * 0.6180339887498949 + (group & (1 << 20) - 1) * 0.7548776662466927) % 1 * parts)
 
 
 def groups(*sorted_columns: np.ndarray) -> np.ndarray:
@@ -362,10 +364,13 @@ class Numbered(dict):
 
 
 def chunked(rows: DataFrame, parts: int, p: Params) -> RDD:
-    """Chunks of texts in numbers at their homes, and their words with counts, dealt by a hash of the word."""
+    """Chunks of texts in numbers at their homes, and the words of groups of chunks with counts, dealt by a hash of the word.
+
+    A group's chunks, at most ``1 << GROUP``, share the numbers of words and so their home.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunk, held, size, numbers = TaskContext.get().partitionId() << 20, [], 0, Numbered()
+        group, many, held, size, numbers, n = TaskContext.get().partitionId() << 20, 0, [], 0, Numbered(), np.zeros(0, np.int64)
         for batch in cut(batches, 1 << 20):
             for x, rid, train in zip(batch.column("text").to_pylist(), batch.column("rid").to_pylist(), batch.column("train").to_pylist()):
                 w = words(x)
@@ -373,21 +378,34 @@ def chunked(rows: DataFrame, parts: int, p: Params) -> RDD:
                 held.append((2 * rid + train, np.fromiter(map(numbers.__getitem__, w), np.int32, len(w))))
                 size += len(w)
                 if size >= p.positions:
-                    yield table_of(chunk, held, numbers)
-                    chunk, held, size, numbers = chunk + 1, [], 0, Numbered()
+                    rows, n = chunk_of(group, many, held, n)
+                    yield table_of(rows)
+                    many, held, size = many + 1, [], 0
+                    if len(numbers) >= p.flush or many >> GROUP:
+                        yield table_of(words_of(group, numbers, n))
+                        group, many, numbers, n = group + 1, 0, Numbered(), np.zeros(0, np.int64)
         if size:
-            yield table_of(chunk, held, numbers)
+            rows, n = chunk_of(group, many, held, n)
+            yield table_of(rows)
+        if len(numbers):
+            yield table_of(words_of(group, numbers, n))
 
-    def table_of(chunk, held, numbers):
+    def chunk_of(group, many, held, n):
         doc, ids = np.array([x for x, _ in held], np.int64), np.concatenate([x for _, x in held])
         sizes = np.array([len(x) for _, x in held], np.int32)
-        n = np.bincount(ids[np.repeat(doc & 1, sizes) == 1], minlength=len(numbers))
+        more = np.bincount(ids[np.repeat(doc & 1, sizes) == 1], minlength=max(len(n), int(ids.max()) + 1))
+        more[: len(n)] += n
+        at, chunk = home(group, parts), (group << GROUP) + many
+        return [piece(at, TEXT, chunk, [ids]), piece(at, DOCS, chunk, [doc, sizes])], more
+
+    def words_of(group, numbers, n):
         code = np.frombuffer(b"".join(blake2b(w, digest_size=8).digest() for w in numbers), np.int64)
         part = mixed(code, parts=parts)
         order = np.argsort(part, kind="stable")
-        at = home(chunk, parts)
-        out = [piece(at, TEXT, chunk, [ids]), piece(at, DOCS, chunk, [doc, sizes]), *pieces(part[order], WORDS, chunk, [code[order], order, n[order]], parts)]
-        flat = [(k, *x) for k, x in out]
+        return pieces(part[order], WORDS, group, [code[order], order, n[order]], parts)
+
+    def table_of(rows):
+        flat = [(k, *x) for k, x in rows]
         return pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(zip(*flat), (pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.binary()))], names=["part", "kind", "base", "n", "body"])
 
     return rows.select("rid", "text", "train").mapInArrow(run, PIECE).rdd.map(lambda r: (r[0], (r[1], r[2], r[3], bytes(r[4])))).partitionBy(parts, place)
@@ -441,7 +459,7 @@ class Known:
 
 
 def dictionary(rows: list) -> tuple:
-    """Words of a part by falling count: each row's number in its chunk, chunk and word, and the counts of words."""
+    """Words of a part by falling count: each row's number in its group, group and word, and the counts of words."""
     (code, number, n), chunk = read(rows, WORDS)
     _, word = np.unique(code, return_inverse=True)
     total = np.bincount(word, n, 0).astype(np.int64)
@@ -451,7 +469,7 @@ def dictionary(rows: list) -> tuple:
 
 
 def named(first: RDD, parts: int, p: Params) -> tuple[RDD, Known]:
-    """The ids of each chunk's words at its home, and what all tasks know of words."""
+    """The ids of each group's words at its home, and what all tasks know of words."""
 
     def census(rows: Iterator[tuple]) -> Iterator[tuple]:
         rows = list(rows)
@@ -522,11 +540,12 @@ def chunks(rows: list) -> Iterator[Chunk]:
     bodies: dict[int, dict] = {}
     for x in rows:
         if x[0] in (TEXT, DOCS, IDS):
-            bodies.setdefault(x[1], {}).setdefault(x[0], []).append(x)
-    for chunk, of in bodies.items():
-        (number, ids), _ = read(of[IDS], IDS)
-        by_number = np.empty(len(ids), np.int32)
-        by_number[number] = ids
+            bodies.setdefault(x[1] << GROUP if x[0] == IDS else x[1], {}).setdefault(x[0], []).append(x)
+    for chunk, of in sorted(bodies.items()):
+        if IDS in of:  # a group begins
+            (number, ids), _ = read(of[IDS], IDS)
+            by_number = np.empty(len(ids), np.int32)
+            by_number[number] = ids
         (doc, sizes), _ = read(of[DOCS], DOCS)
         yield Chunk(chunk, doc, sizes.astype(np.int64), by_number[read(of[TEXT], TEXT)[0][0]])
 
@@ -614,7 +633,7 @@ class Counted:
     m: np.ndarray
 
     def judged(self, k: Known, p: Params):
-        """Which pairs are frequent; what the first word leaves; the second word's share and probability after it."""
+        """Which pairs are frequent; what the first word leaves; the second word's share after it, and what it gets from the root."""
         hot, own = k.pair(self.a, self.b), np.maximum(k.n(self.a), 1)
         known, near = (self.n >= p.least) & (hot < 0), self.a < k.span
         rest = np.ones(len(self.a))
@@ -627,7 +646,7 @@ class Counted:
             rest[~near] = left[of[~near]]
         share = np.where(known & (rest < 1), (self.n - p.discount) / own, 0.0)
         share[hot >= 0] = k.share[hot[hot >= 0]]
-        return hot, rest, share, share + rest * k.root(self.b)
+        return hot, rest, share, rest * k.root(self.b)
 
 
 def counted(rows: list) -> tuple[Counted, np.ndarray, np.ndarray, np.ndarray]:
@@ -699,24 +718,24 @@ def fit(spark: SparkSession, lists: RDD, known: Known, parts: int, p: Params) ->
     ready = context.broadcast(known)
 
     def twos(rows: Iterator[tuple], hot: bool):
-        """Sums over the explicit next words of each context of two words, its own count still missing."""
+        """By explicit triple: where its context stands if that is frequent, the context, occurrences, probability in the shorter one."""
         k, x = ready.value, reopened([x for _, x in rows])
-        *_, likely = x.judged(k, p)
-        a, likely = x.a[x.pair], likely[x.pair]
+        _, _, share, below = x.judged(k, p)
+        a = x.a[x.pair]
         at = k.pair(x.c, a)
         some = (at >= 0) == hot
-        key, of = np.unique(at[some] if hot else both(x.c[some], a[some]), return_inverse=True)
-        return key, tallies(of, x.m[some], 1.0, likely[some], len(key))
+        return [y[some] for y in (at, x.c, a, x.m, (share + below)[x.pair])]
 
     def frequent_twos(rows: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
-        yield batch_of(*twos(rows, True))
+        at, _, _, m, likely = twos(rows, True)
+        some, of = np.unique(at, return_inverse=True)
+        yield batch_of(some, tallies(of, m, 1.0, likely, len(some)))
 
     def other_twos(part: int, rows: Iterator[tuple]) -> Iterator[tuple]:
-        key, sums = twos(rows, False)
-        c, a = key >> 32, key & 0xFFFFFFFF
+        _, c, a, m, likely = twos(rows, False)
         to = dealt(c, c, a, False, span, parts)
-        order = np.argsort(to, kind="stable")
-        yield from pieces(to[order], CONTEXT, part, [x[order] for x in (c, a, *sums)], parts)
+        order = np.lexsort((c, a, to))
+        yield from pieces(to[order], CONTEXT, part, [x[order] for x in (c, a, m, likely)], parts)
 
     sums = summed(spark, lists.mapPartitions(frequent_twos), len(known.pairs))
     at, last = known.triples // span, known.triples % span
@@ -727,19 +746,16 @@ def fit(spark: SparkSession, lists: RDD, known: Known, parts: int, p: Params) ->
 
     def states(part: int, rows: Iterator[tuple]) -> Iterator[tuple]:
         rows = [x for _, x in rows]
-        (c, a, *sums), source = read(rows, CONTEXT)
+        (c, a, m, likely), source = read(rows, CONTEXT)
         (first, second, n), _ = read(rows, PAIRS)
         key, of = np.unique(both(c, a), return_inverse=True)
         own = n[find(both(first, second), key)] if len(key) else n[:0]
-        sums = [np.bincount(of, x, len(key)) for x in sums]
-        sums[0] = sums[0] - 2 * sums[1] * np.log(own)
-        rest = judged(*sums, own, p)
+        rest = judged(*tallies(of, m, own[of], likely, len(key)), own, p)
         stays = rest < 1
         yield piece(part, OWN, part, [key[stays] >> 32, key[stays] & 0xFFFFFFFF, rest[stays]])
         keep = stays[of]
-        order = np.argsort(source[keep], kind="stable")
-        of = of[keep][order]
-        yield from pieces(source[keep][order], STATE, part, [key[of] >> 32, key[of] & 0xFFFFFFFF, own[of], rest[of]], parts)
+        source, of = np.divmod(np.unique(both(source[keep], of[keep])), 1 << 32)
+        yield from pieces(source, STATE, part, [key[of] >> 32, key[of] & 0xFFFFFFFF, own[of], rest[of]], parts)
 
     asked = lists.mapPartitionsWithIndex(other_twos).partitionBy(parts, place)
     return lists.union(asked).partitionBy(parts, place).mapPartitionsWithIndex(states).partitionBy(parts, place), known
@@ -753,8 +769,9 @@ def sums(places: RDD, states: RDD, fitted, parts: int, p: Params) -> RDD:
         x, order, pair, triple = counted(rows)
         if not len(order):
             return
-        hot, rest, share, likely = x.judged(k, p)
-        add = np.where(hot < 0, np.log10(1 + share / (likely - share)) + np.where(x.a >= k.span, np.log10(rest), 0.0), 0.0)
+        hot, rest, share, below = x.judged(k, p)
+        likely = share + below
+        add = np.where(hot < 0, np.log10(1 + share / below) + np.where(x.a >= k.span, np.log10(rest), 0.0), 0.0)
         (first, second, left), _ = read(rows, OWN)
         at = find(both(first, second), both(x.a, x.b))
         add += np.where((at >= 0) & (hot < 0), np.log10(np.append(left, 1.0)[at]), 0.0)
@@ -777,7 +794,7 @@ def sums(places: RDD, states: RDD, fitted, parts: int, p: Params) -> RDD:
         for j, t in enumerate(known.tolist()):
             y = slice(*np.searchsorted(key, [j << 32, j + 1 << 32]))
             if y.stop > y.start:
-                yield piece(home(t, parts), SUMS, t, [key[y] & 0xFFFFFFFF, total[y]])
+                yield piece(home(t >> GROUP, parts), SUMS, t, [key[y] & 0xFFFFFFFF, total[y]])
 
     return places.union(states).partitionBy(parts, place).mapPartitions(run).partitionBy(parts, place)
 
