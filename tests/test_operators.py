@@ -153,6 +153,29 @@ def test_candidates_leave_their_texts_behind(spark, monkeypatch, name):
     assert not any("documents.parquet" in f for df in (*seen, out) for f in df.inputFiles())
 
 
+def test_topics_leave_out_yearly_subjects_already_treated(spark, tmp_path):
+    """A subject of a year that a labelled document treats for that year or a later one, and changes announced for a day to come, as in its SQL."""
+    import duckdb
+    from sievewright.plans import select as plans
+
+    filler = " ".join(f"woord{i}" for i in range(120))
+    texts = [
+        (1, "src3", f"Overzicht vrijstellingen huurinkomsten ondernemers 2023 belastingkantoor amsterdam wijzer {filler}", True),
+        (2, "src5", f"Vrijstellingen huurinkomsten 2023 ondernemers en van de het {filler}", False), (3, "src5", f"Vrijstellingen huurinkomsten 2025 ondernemers en van de het {filler}", False),
+        (4, "src5", f"Vrijstellingen huurinkomsten jaarlijks ondernemers en van de het {filler}", False), (5, "src2", f"Iets nieuws op komst {filler} de wet geldt per 31 april 2024.", False),
+        (6, "src2", f"Iets ouds voorbij {filler} de wet geldt per 1 maart 2021.", False), (7, "src4", f"Geheel anders {filler} {filler} de wet ingaat op 2031 en meer.", False),
+    ]
+    spark.createDataFrame([(i, t, "nl", s, len(t)) for i, s, t, _ in texts], "doc_id long, text string, lang string, source string, n_chars long").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, 1, 0) for i, _, _, labelled in texts if labelled], "doc_id long, quality int, toxic int").coalesce(1).write.parquet(f"{tmp_path}/labels.parquet")
+    got = sorted(tuple(r.values()) for r in rows_of(plans.topics(spark, str(tmp_path)).select("id", "tier", "reason", "choice")))
+    told = {r[0]: r[2] for r in got}
+    assert told[2] == "jaargebonden onderwerp al behandeld" and told[5] == "aangekondigde wijziging" and "jaargebonden onderwerp al behandeld" not in (told[3], told[4])
+    con = duckdb.connect()
+    for t in ("documents", "labels"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    assert got == sorted(con.sql(f"SELECT id, tier, reason, choice FROM ({plans.SQL['topics']})").fetchall())
+
+
 def test_ingest_joins_no_texts(spark, monkeypatch):
     from sievewright.plans import select as plans
 
