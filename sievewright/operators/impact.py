@@ -14,15 +14,16 @@ So a token that half of all items hold is listed only for questions that hold li
 split over salts where they are long, and equal questions are answered once.
 
 Where whole texts are asked of whole texts, nearly every item is a candidate of every question. Then the
-first places alone are wanted, and ``first_places`` takes items in blocks of the order that decides between
-equal scores: a question is done once its last place has all that its tokens can add, since what follows
-can at most be equal. Tasks hold one block and the questions of their part.
+first places alone are wanted, and ``first_places`` deals items over blocks, each a task that holds its items
+by token and scores all questions, as they pass, on all of them. Items move once; what is copied to each
+block is the questions' tokens, a small part of the texts.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -37,55 +38,74 @@ LONG = 50_000
 MOST_LONG = 10_000
 #: Copies of a question's row where many of its items meet it.
 COPIES = 16
-#: Items of a block of the order; most open questions of a part, and least parts.
-BLOCK, PART, PARTS = 4096, 32_768, 24
+#: Items of a block of the order, if they come in that order.
+BLOCK = 4096
+#: Most items of a task's block; blocks there are where that is less; questions times items of a block before there are so many.
+SLOTS, PARTS, WORK = 49_152, 24, 2**22
+#: A token has a row of a block's slots if that share of them holds it, and so many have one at most.
+SHARE, ROWS = 64, 4096
 
 
 @dataclass(frozen=True)
 class Index:
-    """``postings`` (token, id, w), ``blocks`` (token, w, n), ``tokens`` (token, df, most), ``best`` (token, id)."""
+    """``held`` (id, w, tokens with spaces between them), written; from it, made where asked for: ``postings`` (token, id, w), ``blocks`` (token, w, n), ``tokens`` (token, df, most), ``best`` (token, id)."""
 
+    held: DataFrame
     postings: DataFrame
     blocks: DataFrame
     tokens: DataFrame
     best: DataFrame
 
+    def among(self, ids: DataFrame) -> Index:
+        """The same with postings of the items (id) alone."""
+        few = self.held.join(ids, "id", "left_semi")
+        return replace(self, held=few, postings=_postings(few))
 
-def postings(items: DataFrame, groups: list[tuple[Column, int]], stop=R.QUESTION_STOP, aliases=None) -> DataFrame:
-    """(token, id, w): the weights of the groups of fields that hold a token, whole texts.
+
+def held_tokens(items: DataFrame, groups: list[tuple[Column, int]], stop=R.QUESTION_STOP, aliases=None) -> DataFrame:
+    """(id, w, tokens): the distinct tokens of each group of fields, as one string, with its weight, whole texts.
 
     A token with an alias that a group does not hold counts there if the group holds all required terms.
     """
     aliases = R.ALIASES if aliases is None else aliases
     listed = []
     for field, w in groups:
-        rows = items.select("id", F.array_distinct(X.tokens(field, stop)).alias("held"))
+        rows = items.select("id", X.tokens(field, stop, F.array_distinct(X.raw_words(field))).alias("held"))
         more = [F.when(~F.array_contains("held", k) & (F.size(F.array_except(F.array(*map(F.lit, v)), "held")) == 0), F.lit(k)) for k, v in aliases.items()]
         held = F.concat("held", F.array_compact(F.array(*more))) if more else F.col("held")
-        listed.append(rows.select(F.explode(held).alias("token"), "id", F.lit(w).cast("long").alias("w")))
+        listed.append(rows.select("id", F.lit(w).cast("long").alias("w"), F.array_join(held, " ").alias("tokens")).where("tokens <> ''"))  # one string takes half the room of an array
     out = listed[0]
     for other in listed[1:]:
         out = out.unionByName(other)
-    return out if len(listed) == 1 else out.groupBy("token", "id").agg(F.sum("w").alias("w"))
+    return out
+
+
+def _postings(held: DataFrame) -> DataFrame:
+    return held.select(F.explode(F.split("tokens", " ")).alias("token"), "id", "w").groupBy("token", "id").agg(F.sum("w").alias("w"))
 
 
 def build(items: DataFrame, groups: list[tuple[Column, int]], stop=R.QUESTION_STOP, aliases=None, most: int = 3) -> Index:
     """The index of items with an ``id``; ``most`` is how many places a question may ask for."""
-    posts = written(postings(items, groups, stop, aliases), "postings")
-    blocks = written(posts.groupBy("token", "w").agg(F.count("*").alias("n")), "blocks")
+    held = written(held_tokens(items, groups, stop, aliases), "held", compression="zstd")
+    posts = _postings(held)
+    blocks = posts.groupBy("token", "w").agg(F.count("*").alias("n"))
     tokens = blocks.groupBy("token").agg(F.sum("n").alias("df"), F.max("w").alias("most"))
     place = F.row_number().over(Window.partitionBy("token").orderBy(F.col("w").desc(), "id"))
     best = posts.withColumn("_place", place).where(F.col("_place") <= most).select("token", "id")
-    return Index(posts, blocks, written(tokens, "tokens"), best)  # the best are found only where they are asked for
+    return Index(held, posts, blocks, tokens, best)
 
 
-def bags(questions: DataFrame, idx: Index, stop=R.QUESTION_STOP) -> tuple[DataFrame, DataFrame]:
-    """Questions (qid, bag) and what each distinct bag of tokens asks: (bag, token, n, df, most) for tokens the index has."""
+def bags(questions: DataFrame, stop=R.QUESTION_STOP) -> tuple[DataFrame, DataFrame]:
+    """Questions (qid, bag), and what each distinct bag of tokens asks, (bag, tokens with spaces between them); bags are numbers, questions without a token have none."""
     sorted_ = F.array_sort(X.tokens(F.col("text"), stop))
-    rows = written(questions.select("qid", sorted_.alias("_tokens")).select("qid", "_tokens", F.sha2(F.array_join("_tokens", " "), 256).alias("bag")), "bags")
-    one = rows.groupBy("bag").agg(F.first("_tokens").alias("_tokens"))
-    asked = one.select("bag", F.explode("_tokens").alias("token")).groupBy("bag", "token").agg(F.count("*").alias("n"))
-    return rows.select("qid", "bag"), written(asked.join(idx.tokens, "token"), "asked")
+    rows = written(questions.select("qid", F.array_join(sorted_, " ").alias("tokens")).where("tokens <> ''").withColumn("_key", F.sha2("tokens", 256)), "asked")
+    one = written(rows.groupBy("_key").agg(F.first("tokens").alias("tokens")).withColumn("bag", F.monotonically_increasing_id()), "bags")
+    return rows.join(one.select("_key", "bag"), "_key").select("qid", "bag"), one.select("bag", "tokens")
+
+
+def counted(asked: DataFrame) -> DataFrame:
+    """(bag, token, n) of bags (bag, tokens)."""
+    return asked.select("bag", F.explode(F.split("tokens", " ")).alias("token")).groupBy("bag", "token").agg(F.count("*").alias("n"))
 
 
 def full_scores(pairs: DataFrame, asked: DataFrame, idx: Index, copies: int = COPIES) -> DataFrame:
@@ -149,6 +169,56 @@ def scored(asked: DataFrame, idx: Index, most: int, least: int) -> DataFrame:
     return out.where(F.col("score") >= least)
 
 
+class Block:
+    """Items by slot, in the order that decides between equal scores: the slots of each token, and a row of all slots where many hold it."""
+
+    def __init__(self, names, ranks, places, slots, weights):
+        """``names`` are the tokens and ``ranks`` those of the slots; a posting is the place of its name, a slot and a weight, one for each two."""
+        import numpy as np
+
+        order = np.argsort(places, kind="stable")
+        self.names, self.ranks = names, ranks
+        self.slots, self.weights = slots[order].astype(np.int32), weights[order].astype(np.min_scalar_type(int(weights.max(initial=0))))
+        df = np.bincount(places, minlength=len(names))
+        starts = np.concatenate(([0], np.cumsum(df)))
+        self.top = np.maximum.reduceat(self.weights, starts[:-1]).astype(np.int64) if len(names) else np.zeros(0, np.int64)
+        often = np.argsort(-df, kind="stable")[:ROWS]
+        often = often[df[often] * SHARE >= len(ranks)]
+        self.rows = np.zeros((len(often), len(ranks)), self.weights.dtype)
+        for row, place in zip(self.rows, often.tolist()):
+            at = slice(starts[place], starts[place + 1])
+            row[self.slots[at]] = self.weights[at]
+        self.row = dict(zip(often.tolist(), self.rows))
+        self.starts, self.tops = starts.tolist(), self.top.tolist()
+        self.sums = np.zeros(len(ranks), np.uint8), np.zeros(len(ranks), np.int64)
+
+    def best(self, places: list[int], n: list[int], most: int, bar: int) -> list[tuple]:
+        """The first ``most`` (score, rank) above ``bar``, for the tokens at these places, each asked ``n`` times."""
+        import numpy as np
+
+        full = sum([self.tops[p] * k for p, k in zip(places, n)])
+        if full <= bar:
+            return []
+        sums = self.sums[full > 255]  # what is summed up fits
+        sums.fill(0)
+        for p, k in zip(places, n):
+            add = self.row.get(p)
+            if add is not None:
+                np.add(sums, add if k == 1 else add.astype(sums.dtype) * k, out=sums)
+                continue
+            start, end = self.starts[p], self.starts[p + 1]
+            add = self.weights[start:end]
+            sums[self.slots[start:end]] += add if k == 1 else add.astype(sums.dtype) * k
+        out = []
+        for _ in range(min(most, len(sums))):
+            slot = int(sums.argmax())  # the first of equals
+            if sums[slot] <= bar:
+                break
+            out.append((int(sums[slot]), int(self.ranks[slot])))
+            sums[slot] = 0
+        return out
+
+
 class Part:
     """The open questions of a part, and the best (score, rank) each has met; ``bar`` is the score to beat."""
 
@@ -157,33 +227,34 @@ class Part:
         self.bags: dict[str, dict] = {}
 
     def ask(self, bag: str, token: str, n: int, bar: int, full: int) -> None:
-        self.bags.setdefault(bag, {"tokens": [], "n": [], "bar": bar, "full": full, "best": []})
-        self.bags[bag]["tokens"].append(token)
-        self.bags[bag]["n"].append(n)
+        if bag not in self.bags:
+            self.bags[bag] = {"tokens": [], "n": [], "bar": bar, "full": full, "best": []}
+        bag = self.bags[bag]
+        bag["tokens"].append(token)
+        bag["n"].append(n)
 
     def block(self, first: int, lists: list[tuple]) -> None:
         """Scores the items from rank ``first`` on; lists: (token, weight, slots)."""
         import numpy as np
+        import pyarrow as pa
 
         places = {t: i for i, t in enumerate(dict.fromkeys(t for t, _, _ in lists))}
-        held = np.zeros((len(places), BLOCK), np.float32)
-        for t, w, slots in lists:
-            held[places[t], slots] = w
-        top = held.max(axis=1)
-        for bag in self.bags.values():
-            if bag["bar"] >= bag["full"]:
-                continue
-            at = [(places[t], n) for t, n in zip(bag["tokens"], bag["n"]) if t in places]
-            if not at:
-                continue
-            rows, n = np.array([x for x, _ in at]), np.array([x for _, x in at], np.float32)
-            if n @ top[rows] <= bag["bar"]:
-                continue
-            scores = n @ held[rows]
-            over = np.flatnonzero(scores > bag["bar"])
-            if len(over):
-                over = over[np.argsort(-scores[over], kind="stable")[: self.most]]
-                bag["best"] = sorted([*bag["best"], *((int(scores[i]), first + int(i)) for i in over)], key=lambda x: (-x[0], x[1]))[: self.most]
+        flat = lambda of: np.concatenate([np.zeros(0, np.int64), *(np.full(len(slots), of(t, w)) for t, w, slots in lists)])
+        slots = np.concatenate([np.zeros(0, np.int64), *(np.asarray(x) for _, _, x in lists)])
+        self.scan(Block(pa.array(places, pa.string()), first + np.arange(BLOCK), flat(lambda t, w: places[t]), slots, flat(lambda t, w: w)))
+
+    def scan(self, block: Block) -> None:
+        """Scores the items of a block that comes after those before it."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        open_ = [bag for bag in self.bags.values() if bag["bar"] < bag["full"]]
+        places = iter(pc.index_in(pa.array([t for bag in open_ for t in bag["tokens"]], pa.string()), value_set=block.names).to_pylist())
+        for bag in open_:
+            at = [(p, n) for p, n in zip((next(places) for _ in bag["tokens"]), bag["n"]) if p is not None]
+            found = block.best([p for p, _ in at], [n for _, n in at], self.most, bag["bar"])
+            if found:
+                bag["best"] = sorted([*bag["best"], *found], key=lambda x: (-x[0], x[1]))[: self.most]
                 if len(bag["best"]) == self.most:
                     bag["bar"] = max(bag["bar"], bag["best"][-1][0])
 
@@ -191,40 +262,94 @@ class Part:
         return [(name, rank, score) for name, bag in self.bags.items() for score, rank in bag["best"]]
 
 
-def _round(rows: DataFrame, most: int, least: int) -> DataFrame:
-    """(bag, rank, score) of rows (part, block, bag, token, n, bar, full, slots): a part's questions, block -1, then its blocks."""
+class Gathered:
+    """What a task has read of a block before its questions come: items' ranks, then their tokens."""
+
+    def __init__(self):
+        self.ids, self.ranks, self.held, self.w, self.tokens = [], [], [], [], []
+
+    def add(self, kind: int, rows) -> None:
+        import pyarrow.compute as pc
+
+        n = rows.column("n").to_numpy(zero_copy_only=False)
+        if kind == 0:
+            self.ids.append(rows.column("id"))
+            self.ranks.append(n)
+        else:
+            self.held.append(rows.column("id"))
+            self.w.append(n)
+            self.tokens.append(pc.split_pattern(rows.column("tokens"), " "))
+
+    def block(self) -> Block | None:
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        if not self.ids or not self.held:
+            return None
+        ranks = np.concatenate(self.ranks)
+        order = np.argsort(ranks, kind="stable")
+        slot = np.empty(len(ranks), np.int64)
+        slot[order] = np.arange(len(ranks))
+        of = pc.index_in(pa.chunked_array(self.held), value_set=pa.chunked_array(self.ids).combine_chunks())
+        lengths = np.concatenate([pc.list_value_length(x).to_numpy(zero_copy_only=False) for x in self.tokens])
+        names = pa.chunked_array([x.flatten() for x in self.tokens]).dictionary_encode().unify_dictionaries()
+        places = np.concatenate([x.indices.to_numpy() for x in names.chunks])
+        of = np.repeat(pc.fill_null(of, -1).to_numpy(), lengths)
+        slots, weights, known = slot[of], np.repeat(np.concatenate(self.w), lengths), of >= 0
+        key = places[known].astype(np.int64) * len(ranks) + slots[known]
+        weights = weights[known]
+        if sum(map(len, self.held)) > len(ranks):  # an item has several groups of fields
+            key, at = np.unique(key, return_inverse=True)
+            weights = np.bincount(at, weights).astype(np.int64)
+        # names that no known item holds are left out
+        held, places = np.unique(key // len(ranks), return_inverse=True)
+        return Block(names.chunk(0).dictionary.take(pa.array(held)), ranks[order], places, key % len(ranks), weights)
+
+
+def _scored(rows: DataFrame, most: int, least: int) -> DataFrame:
+    """(bag, rank, score): the first places of each question among a block's items. Rows are (block, kind, id, n, tokens), n being
+    an item's rank (kind 0), the weight of tokens of it (1) or a question's bag (2)."""
     import pyarrow as pa
 
-    def run(batches) -> Iterator[pa.RecordBatch]:
-        at, part, lists = (None, -1), None, []
+    def told(block: Block, rows) -> pa.RecordBatch:
+        part, most_w = Part(most, least), int(block.top.max(initial=0))
+        for bag, tokens in zip(rows.column("n").to_pylist(), rows.column("tokens").to_pylist()):
+            tokens = tokens.split(" ")
+            for token, n in Counter(tokens).items():
+                part.ask(bag, token, n, least - 1, len(tokens) * most_w)
+        part.scan(block)
+        cols = list(zip(*part.rows())) or [(), (), ()]
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["bag", "rank", "score"])
 
-        def told(part):
-            cols = list(zip(*part.rows())) or [(), (), ()]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int64(), pa.int64()))], names=["bag", "rank", "score"])
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        import numpy as np
 
+        at, gathered, block = None, None, None
         for batch in batches:
-            plain = [batch.column(c).to_pylist() for c in ("part", "block", "bag", "token", "n", "bar", "full")]
-            slots = batch.column("slots")
-            for i, (p, block, bag, token, n, bar, full) in enumerate(zip(*plain)):
-                if (p, block) != at:
-                    if lists:
-                        part.block(at[1] * BLOCK, lists)
-                        lists = []
-                    if p != at[0]:
-                        if part:
-                            yield told(part)
-                        part = Part(most, least)
-                    at = p, block
-                if block < 0:
-                    part.ask(bag, token, n, bar, full)
-                else:
-                    lists.append((token, n, slots[i].values.to_numpy()))
-        if lists:
-            part.block(at[1] * BLOCK, lists)
-        if part:
-            yield told(part)
-
-    return rows.sortWithinPartitions("part", "block").mapInArrow(run, "bag string, rank bigint, score bigint")
+            keys = batch.column("block").to_numpy() * 3 + batch.column("kind").to_numpy()
+            ends = [0, *(np.flatnonzero(np.diff(keys)) + 1).tolist(), len(keys)]
+            for start, end in zip(ends, ends[1:]):
+                if start == end:
+                    continue
+                of, kind = divmod(int(keys[start]), 3)
+                if of != at:
+                    at, gathered, block = of, Gathered(), None
+                if kind < 2:
+                    gathered.add(kind, batch.slice(start, end - start))
+                    continue
+                if gathered:
+                    block, gathered = gathered.block(), None
+                if block:
+                    yield told(block, batch.slice(start, end - start))
+
+    return rows.sortWithinPartitions("block", "kind").mapInArrow(run, "bag bigint, rank bigint, score bigint")
+
+
+def _keys(spark, n: int) -> Column:
+    """A number for each of ``n`` partitions that lies there when dealt by it."""
+    found = spark.range(64 * n).groupBy(F.pmod(F.hash("id"), F.lit(n)).alias("at")).agg(F.min("id").alias("id")).collect()  # n rows
+    return F.array(*[F.lit(r["id"]) for r in sorted(found, key=lambda r: r["at"])])
 
 
 def first_places(asked: DataFrame, idx: Index, order: DataFrame, by: list[Column], most: int, least: int) -> DataFrame:
@@ -233,35 +358,26 @@ def first_places(asked: DataFrame, idx: Index, order: DataFrame, by: list[Column
 
     ship(asked.sparkSession)
     ranks = written(counted_before(order, None, by, F.lit(True), "rank").select("id", F.col("rank").cast("long").alias("rank")), "ranks")
-    posts = idx.postings.join(asked.select("token").distinct(), "token", "left_semi").join(ranks, "id")
-    lists = posts.groupBy(F.expr(f"rank div {BLOCK}").alias("block"), "token", "w").agg(F.collect_list((F.col("rank") % BLOCK).cast("int")).alias("slots"))
-    lists = written(lists, "lists")
-    last = lists.agg(F.max("block")).first()[0]
-    full = asked.groupBy("bag").agg(F.sum(F.col("n") * F.col("most")).alias("full"))
-    open_ = written(full.withColumn("bar", F.lit(least - 1).cast("long")), "open")
+    items = ranks.count()
+    blocks = max(-(-items // SLOTS), min(PARTS, 1 + items * asked.count() // WORK))
+    keys = _keys(asked.sparkSession, blocks)
+    dealt = F.get(keys, F.pmod(F.xxhash64("id"), F.size(keys)).cast("int")).alias("block")
+    none = F.lit(None)
+    tokens, id_ = none.cast("string").alias("tokens"), none.cast(idx.held.schema["id"].dataType).alias("id")
+    kinds = [
+        ranks.select(dealt, F.lit(0).alias("kind"), "id", F.col("rank").alias("n"), tokens),
+        idx.held.select(dealt, F.lit(1).alias("kind"), "id", F.col("w").alias("n"), "tokens"),
+        asked.select(F.explode(keys).alias("block"), F.lit(2).alias("kind"), id_, F.col("bag").alias("n"), "tokens"),  # each block is asked everything
+    ]
+    found = _scored(kinds[0].unionByName(kinds[1]).unionByName(kinds[2]).repartition(blocks, "block"), most, least)
     place = F.row_number().over(Window.partitionBy("bag").orderBy(F.col("score").desc(), "rank"))
-    best, start, end = None, 0, 1
-    while last is not None and start <= last:
-        parts = max(PARTS, -(-open_.count() // PART))
-        questions = asked.join(open_, "bag").select(F.pmod(F.xxhash64("bag"), F.lit(parts)).cast("int").alias("part"), F.lit(-1).cast("long").alias("block"), "bag", "token", F.col("n").cast("long").alias("n"), "bar", "full", F.lit(None).cast("array<int>").alias("slots"))
-        # each part reads the round's blocks
-        copies = lists.where(F.col("block").between(start, end - 1)).select(F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), "block", F.lit(None).cast("string").alias("bag"), "token", F.col("w").alias("n"), F.lit(0).cast("long").alias("bar"), F.lit(0).cast("long").alias("full"), "slots")
-        found = _round(questions.unionByName(copies).repartition(parts, "part"), most, least)
-        best = written((found if best is None else best.unionByName(found)).withColumn("place", place).where(F.col("place") <= most).drop("place"), "first")
-        bars = best.groupBy("bag").agg(F.when(F.count("*") >= most, F.min("score")).alias("_bar"))
-        open_ = written(open_.join(bars, "bag", "left").select("bag", "full", F.greatest("bar", F.coalesce("_bar", "bar")).alias("bar")).where("bar < full"), "open")
-        if open_.isEmpty():
-            break
-        start, end = end, end * 8
-    if best is None:
-        best = asked.select("bag", F.lit(0).cast("long").alias("rank"), F.lit(0).cast("long").alias("score")).limit(0)
-    return best.withColumn("place", place).join(ranks, "rank").select("bag", "id", "score", "place")
+    return found.withColumn("place", place).where(F.col("place") <= most).join(ranks, "rank").select("bag", "id", "score", "place")
 
 
 def top(questions: DataFrame, idx: Index, order: DataFrame, by: list[Column], most: int, least: int, stop=R.QUESTION_STOP) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(bag, id, score, place), the questions (qid, bag), and what each bag asks.
+    """(bag, id, score, place), the questions (qid, bag), and what each bag asks, (bag, token, n, df, most) for tokens the index has.
 
     ``order`` has ``id`` and the columns that ``by`` breaks equal scores with.
     """
-    named, asked = bags(questions, idx, stop)
-    return written(first_places(asked, idx, order, by, most, least), "best"), named, asked
+    named, asked = bags(questions, stop)
+    return written(first_places(asked, idx, order, by, most, least), "best"), named, counted(asked).join(idx.tokens, "token")

@@ -127,11 +127,14 @@ def best_articles(questions: DataFrame, idx: impact.Index, articles: DataFrame,
     in for what they replace. The index lists no more than the first places need; successors of those are
     scored by lookup."""
     by = [F.col("superseded_by").isNotNull().cast("int"), F.col("published").desc(), F.col("ord"), F.col("id")]
-    best, named, asked = impact.top(questions, idx, articles.select("id", "superseded_by", "published", "ord"), by, most, least, stop)
+    articles = written(articles.select("id", "url", "superseded_by", "published", "ord"), "articles")  # their texts stay behind
+    named, asked = impact.bags(questions, stop)
+    best = written(impact.first_places(asked, idx, articles, by, most, least), "best")
     links = articles.where("superseded_by IS NOT NULL").select("id", F.col("superseded_by").alias("url"))
     later = best.select("bag", "id").join(links, "id").select("bag", "url").join(articles.select("id", "url"), "url").select("bag", "id")
-    later = later.join(best.select("bag", "id"), ["bag", "id"], "left_anti")
-    rows = best.select("bag", "id", "score").unionByName(impact.full_scores(later, asked, idx, copies=1).where(F.col("score") >= least))
+    later = written(later.join(best.select("bag", "id"), ["bag", "id"], "left_anti"), "later")
+    few = idx.among(written(later.select("id").distinct(), "successors"))
+    rows = best.select("bag", "id", "score").unionByName(impact.full_scores(later, impact.counted(asked), few, copies=1).where(F.col("score") >= least))
     ranked = ranked_articles(rows.withColumnRenamed("bag", "qid"), articles, most)
     chosen = substituted(ranked, articles).withColumnRenamed("qid", "bag")
     return named.join(chosen, "bag").select("qid", "place", "id")

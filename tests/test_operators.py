@@ -311,6 +311,40 @@ def test_a_part_keeps_the_first_places_over_blocks():
     assert [r[1:] for r in part.rows()] == [(impact.BLOCK + 2, 7), (2 * impact.BLOCK, 7)]
 
 
+def test_items_are_dealt_once_over_blocks(spark, library, monkeypatch):
+    """Blocks of few items find what a loop finds, also past 255 points; a task's items are not copied for parts of the questions."""
+    items, asked = library
+    asked = [*asked, ("long", " ".join(["w1"] * 300 + ["w2", "w40"]))]
+    seen, frame = [], type(spark.range(1))
+    plain = frame.mapInArrow
+    monkeypatch.setattr(frame, "mapInArrow", lambda self, *a, **k: seen.append(self) or plain(self, *a, **k))
+    monkeypatch.setattr(impact, "SLOTS", 90, raising=False)
+    rows = spark.createDataFrame(items, "id long, title string, body string").withColumn("tie", F.col("id") % 7)
+    idx = impact.build(rows, [(F.col("title"), 2), (F.col("body"), 1)], most=2)
+    best, named, _ = impact.top(spark.createDataFrame(asked, "qid string, text string"), idx, rows.select("id", "tie"), [F.col("tie"), F.col("id")], 2, 2)
+    got = {(r["qid"], r["place"]): (r["id"], r["score"]) for r in rows_of(named.join(best, "bag"))}
+    want = {}
+    for q, text in asked:
+        scores = sorted((-overlap_score(text, [(t, 2), (b, 1)]), i % 7, i) for i, t, b in items)
+        want |= {(q, place): (i, -s) for place, (s, _, i) in enumerate(scores[:2], 1) if -s >= 2}
+    assert got == want and got["long", 1][1] > 255
+    told = [r for df in seen for r in rows_of(df)]
+    assert len({r["block"] for r in told}) >= 5
+    copied = sum(len(str(r)) for r in told if not r.get("bag") and r.get("kind") != 2)  # all but questions
+    assert copied < 5 * sum(len(t) + len(b) + 60 for _, t, b in items)
+
+
+def test_contexts_carry_no_bodies(spark, monkeypatch):
+    """An article is cut once; what is written and joined per question holds no whole text."""
+    from sievewright.plans import retrieve as plans
+
+    seen, keep = {}, plans.written
+    monkeypatch.setattr(plans, "written", lambda df, name, **k: seen.setdefault(name, keep(df, name, **k)))
+    _, _, read = plans._sources(spark, "/root/testdata/sf0.001")
+    assert not any("body" in df.columns for df in (read, *seen.values()))
+    assert not any("documents.parquet" in f for f in read.inputFiles())
+
+
 def test_substitution_is_sequential(spark):
     articles = spark.createDataFrame([(1, "a", "n"), (2, "b", "n"), (3, "n", None), (4, "c", "d"), (5, "d", None), (6, "d", None)], "id long, url string, superseded_by string")
     chosen = spark.createDataFrame([("q", 1, 1), ("q", 2, 2), ("q", 3, 4), ("r", 1, 3), ("r", 2, 1)], "qid string, place int, id long")
