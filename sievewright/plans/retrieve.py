@@ -126,19 +126,22 @@ def _sources(spark, d):
     def found(asked):
         known = Q.top(Q.scores(asked, known_index), items, 2).join(items, "id").select("qid", F.lit(1).alias("block"), "place", F.lit("Kennisbank").alias("name"), "title", F.substring("content", 1, 500).alias("snippet"))
         contact = asked.where(X.any_of(F.lower("text"), CONTACT)).select("qid", F.lit(3).alias("block"), F.lit(1).alias("place"), F.lit("Contact").alias("name"), F.lit("Contact").alias("title"), F.lit("Bel of mail.").alias("snippet"))
-        best = Q.best_articles(asked, read_index, rows, stop=_COMMON)
-        return written(known.unionByName(contact), "sources"), written(best.join(rows.select("id", "title", "body"), "id"), "read")
+        return written(known.unionByName(contact), "sources"), written(Q.best_articles(asked, read_index, rows, stop=_COMMON), "read")
 
     other, read = found(asked.select("qid", "text"))
     lost = written(Q.unanswered(asked, other, read), "lost")
     if not lost.isEmpty():
         more, also = found(lost)
         other, read = other.unionByName(more), read.unionByName(also)
-    return asked, other, read
+    # an article is cut once, however many questions it is read for, and its text goes no further
+    chosen = written(read.select("id").distinct(), "chosen")
+    cut = lambda bodies: Q.snippet(F.col("body"), F.col("title"), F.lit(""), F.lit(bodies))
+    shown = written(rows.join(chosen, "id", "left_semi").select("id", "title", cut(True).alias("full"), cut(False).alias("brief")), "shown")
+    return asked, other, read.join(shown, "id")
 
 
 def _context(asked, other, read, bodies: bool):
-    read = read.select("qid", F.lit(2).alias("block"), "place", F.lit("Artikel").alias("name"), "title", Q.snippet(F.col("body"), F.col("title"), F.lit(""), F.lit(bodies)).alias("snippet"))
+    read = read.select("qid", F.lit(2).alias("block"), "place", F.lit("Artikel").alias("name"), "title", F.col("full" if bodies else "brief").alias("snippet"))
     return Q.context(other.unionByName(read.withColumn("place", F.col("place").cast("int"))), asked)
 
 
