@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,6 +35,11 @@ AUTHORITIES = (
 )
 # Wordings that leave a group out.
 EXCLUSION = r"(?i)\b(?:hoeft|hoeven|hoef)\b[^.]*\bniet\b|\bniet\b[^.]*\b(?:verplicht|nodig)\b|\bgeldt\b[^.]*\bniet\b|\bvrijgesteld\b|\buitgezonderd\b|\bniet van toepassing\b"
+# Words one of which stands wherever the pattern of the same name is met; they are sought first, in the normal form.
+IN_TENTATIVE_WORDS = ("voorstel", "voorgesteld", "consultatie", "voornemen", "plan", "wil", "nog ", "parlement", "goedkeuring", "zou")
+IN_IN_FORCE = ("kracht", "geldt", "ingegaan", "getreden")
+IN_EXCLUSION = ("niet", "vrijgesteld", "uitgezonderd")
+IN_CLAIMS = (("geldt ",), ("momenteel", "op dit moment", "thans"), ("geldende ",), ("actueel",))
 # Claims that something holds now.
 CLAIMS = (
     r"\bgeldt (?:momenteel|op dit moment|nu|thans)\b",
@@ -49,6 +56,15 @@ def _all(c: Column, pattern: str, group: int = 0) -> Column:
     return F.regexp_extract_all(c, F.lit(pattern), F.lit(group))
 
 
+def _none(of: str) -> Column:
+    return F.array().cast(f"array<{of}>")
+
+
+def _any(plain: Column, words: tuple[str, ...]) -> Column:
+    """Whether a word stands in the text; far cheaper than a pattern, which is then asked only of texts that have one."""
+    return reduce(lambda a, b: a | b, [plain.contains(w) for w in words])
+
+
 def facts(text: Column, plain: Column | None = None) -> dict[str, Column]:
     """Distinct amounts, percentages, dates and years of a text, numbers in canonical form; ``plain`` is the text in normal form, if known."""
     t = X.normal(text) if plain is None else plain
@@ -81,15 +97,15 @@ def supported(source: Column) -> Column:
     return X.once(X.normal(source), told)
 
 
-def lacking(article: Column, known: Column) -> Column:
+def lacking(article: Column, known: Column, plain: Column | None = None) -> Column:
     """(kind, value) of the article's facts that are not among ``known``, what its source supports."""
     def told(plain):
         a = facts(plain, plain)
         missing = {k: F.array_except(a[k], known[k]) for k in a}
         missing["date"] = F.filter(missing["date"], lambda d: F.instr(known["plain"], d) == 0)
-        return tagged(missing)
+        return F.when(~plain.rlike(r"\d"), _none("struct<kind:string,value:string>")).otherwise(tagged(missing))  # every fact has a digit
 
-    return X.once(X.normal(article), told)
+    return X.once(X.normal(article) if plain is None else plain, told)
 
 
 def unsupported(article: Column, source: Column) -> Column:
@@ -97,61 +113,90 @@ def unsupported(article: Column, source: Column) -> Column:
     return X.once(supported(source), lambda known: lacking(article, known))
 
 
-def status_errors(article: Column, status: Column, source: Column, now: Column, known: tuple[str, ...]) -> Column:
+def undecided(source: Column) -> Column:
+    """Whether a source tells of a proposal and of nothing that holds."""
+    return source.rlike(SOURCE_TENTATIVE) & ~source.rlike(SOURCE_DEFINITE)
+
+
+def status_errors(article: Column, status: Column, source: Column, now: Column, known: tuple[str, ...], plain: Column | None = None, undecided_: Column | None = None) -> Column:
+    """``plain`` is the article in normal form and ``undecided_`` what is asked of the source, where they are known."""
+    plain = X.normal(article) if plain is None else plain
     tentative = status.isin(*R.TENTATIVE)
-    late = F.exists(X.sentences(article), lambda s: (F.size(X.future_dates(s, now)) > 0) & s.rlike(AS_PAST))
+    late = F.exists(X.sentences(article), lambda s: s.contains("20") & (F.size(X.future_dates(s, now)) > 0) & s.rlike(AS_PAST))
     return F.array_compact(F.array(
         F.when(status.isNotNull() & ~status.isin(*known), "ongeldige status"),
-        F.when(tentative & ~article.rlike(TENTATIVE_WORDS), "voorlopig zonder voorbehoud"),
-        F.when(tentative & article.rlike(IN_FORCE), "voorlopig maar geldend genoemd"),
-        F.when((status.isNull() | (status == "van-kracht")) & source.rlike(SOURCE_TENTATIVE) & ~source.rlike(SOURCE_DEFINITE), "bron is voorlopig"),
-        F.when(late, "toekomst als verleden"),
+        F.when(tentative & ~(_any(plain, IN_TENTATIVE_WORDS) & article.rlike(TENTATIVE_WORDS)), "voorlopig zonder voorbehoud"),
+        F.when(tentative & _any(plain, IN_IN_FORCE) & article.rlike(IN_FORCE), "voorlopig maar geldend genoemd"),
+        F.when((status.isNull() | (status == "van-kracht")) & (undecided(source) if undecided_ is None else undecided_), "bron is voorlopig"),
+        F.when(article.contains("20") & late, "toekomst als verleden"),
     ))
 
 
-def claims(article: Column, source: Column) -> Column:
-    """Claims of being in force that the source does not make."""
-    made = X.once(X.normal(article), lambda a: F.concat(*[_all(a, DENIED + c) for c in CLAIMS]))
-    return X.once(X.normal(source), lambda plain: F.array_distinct(F.filter(made, lambda c: F.instr(plain, c) == 0)))
+def claims(article: Column, source: Column, plain: Column | None = None, source_plain: Column | None = None) -> Column:
+    """Claims of being in force that the source does not make; normal forms are made unless given."""
+    # the claim is looked for first, and only where there is one, what stands before it
+    made = lambda a: F.concat(*[F.when(~_any(a, words), _none("string")).otherwise(_all(a, f"(?={c}){DENIED}{c}")) for words, c in zip(IN_CLAIMS, CLAIMS)])
+    new = lambda made: F.array_distinct(F.filter(made, lambda c: F.instr(X.normal(source) if source_plain is None else source_plain, c) == 0))
+    return X.once(X.normal(article) if plain is None else plain, lambda a: X.once(made(a), new))
 
 
-def dropped_qualifiers(article: Column, source: Column) -> Column:
-    """Conditions of the source whose head stands in a sentence of the article without half of their words."""
-    sets = F.transform(X.sentences(article), lambda s: X.detail_words(s))
+def conditions(source: Column) -> Column:
+    """Conditions of a source: words of their head (h) and of the rest (q), and the whole."""
     lines = F.split(source, r"\n+|(?<=[.;])\s+")
     heads = F.flatten(F.transform(lines, lambda s: F.arrays_zip(_all(s, QUALIFIER, 1).alias("head"), _all(s, QUALIFIER, 2).alias("rest"), _all(s, QUALIFIER).alias("whole"))))
     last = lambda w: F.slice(w, F.greatest(F.size(w) - 2, F.lit(1)), F.lit(3))
     words = F.transform(heads, lambda x: F.struct(last(X.detail_words(x["head"])).alias("h"), F.filter(F.array_distinct(X.detail_words(x["rest"])), lambda w: F.length(w) > 4).alias("q"), x["whole"].alias("whole"), x["rest"].alias("rest")))
-    usable = F.filter(words, lambda x: (F.size(x["h"]) >= 2) & (F.size(x["q"]) >= 2) & ~x["rest"].rlike(r":\s*$"))
+    return F.filter(words, lambda x: (F.size(x["h"]) >= 2) & (F.size(x["q"]) >= 2) & ~x["rest"].rlike(r":\s*$"))
+
+
+def dropped_qualifiers(article: Column, source: Column, known: Column | None = None) -> Column:
+    """Conditions of the source whose head stands in a sentence of the article without half of their words; ``known`` are its ``conditions``."""
+    sets = F.transform(X.sentences(article), lambda s: X.detail_words(s))
 
     def dropped(sets, x):
         hits = F.filter(sets, lambda s: F.forall(x["h"], lambda w: F.array_contains(s, w)))
         return X.once(hits, lambda hits: (F.size(hits) > 0) & ~F.exists(hits, lambda s: F.size(F.array_intersect(x["q"], s)) * 2 >= F.size(x["q"])))
 
     # the article's sentences are only cut into words where the source has conditions
-    found = X.once(usable, lambda heads: F.when(F.size(heads) > 0, X.once(sets, lambda sets: F.filter(heads, lambda x: dropped(sets, x)))).otherwise(heads))
+    found = X.once(conditions(source) if known is None else known, lambda heads: F.when(F.size(heads) > 0, X.once(sets, lambda sets: F.filter(heads, lambda x: dropped(sets, x)))).otherwise(heads))
     return F.array_distinct(F.transform(found, lambda x: F.substring(X.squeeze(F.regexp_replace(x["whole"], r"^[-•*]\s*", "")), 1, 160)))
 
 
-def missing_details(article: Column, source: Column) -> Column:
-    """Legal references, terms and authorities in procedures that the article leaves out."""
+def _named(names: tuple[str, ...]) -> str:
+    return rf"(?i)\b(?:{'|'.join(names)})\b"
+
+
+def details(source: Column) -> Column:
+    """Legal references, terms, and authorities in procedures of a source."""
+    def told(s, steps):
+        met = F.array(*[F.when(F.exists(steps, lambda x: x.rlike(_named(names))), F.lit(names[0])) for names in AUTHORITIES])
+        return F.struct(_all(s, LEGAL).alias("legal"), _all(s, WITHIN).alias("terms"), F.array_compact(met).alias("names"))
+
     steps = F.transform(F.filter(X.sentences(source), lambda x: x.rlike(PROCEDURE)), X.normal)
+    return X.once(F.struct(X.normal(source).alias("s"), steps.alias("steps")), lambda x: told(x["s"], x["steps"]))
+
 
-    def left_out(a, s, steps):
-        def lacking(name, *short):
-            names = rf"(?i)\b(?:{'|'.join((name, *short))})\b"
-            return F.when(F.exists(steps, lambda x: x.rlike(names)) & ~a.rlike(names), F.lit(name))
+def missing_details(article: Column, source: Column, known: Column | None = None) -> Column:
+    """Legal references, terms and authorities in procedures that the article leaves out; ``known`` are the source's ``details``."""
+    def left_out(a, x):
+        legal = F.filter(x["legal"], lambda r: F.instr(a, F.regexp_extract(r, r"artikel\s+\S+", 0)) == 0)
+        terms = F.filter(x["terms"], lambda t: F.instr(a, t) == 0)
+        names = F.array(*[F.when(F.array_contains(x["names"], n[0]) & ~a.rlike(_named(n)), F.lit(n[0])) for n in AUTHORITIES])
+        return F.array_distinct(F.concat(legal, terms, F.array_compact(names)))
 
-        legal = F.filter(_all(s, LEGAL), lambda r: F.instr(a, F.regexp_extract(r, r"artikel\s+\S+", 0)) == 0)
-        terms = F.filter(_all(s, WITHIN), lambda t: F.instr(a, t) == 0)
-        return F.array_distinct(F.concat(legal, terms, F.array_compact(F.array(*[lacking(*names) for names in AUTHORITIES]))))
+    nothing = lambda x: x["legal"].isNotNull() & (F.size(x["legal"]) + F.size(x["terms"]) + F.size(x["names"]) == 0)
+    return X.once(details(source) if known is None else known, lambda x: F.when(nothing(x), _none("string")).otherwise(X.once(X.normal(article), lambda a: left_out(a, x))))
 
-    return X.once(F.struct(X.normal(article).alias("a"), X.normal(source).alias("s"), steps.alias("steps")), lambda x: left_out(x["a"], x["s"], x["steps"]))
 
+def exclusions(text: Column, plain: Column | None = None) -> Column:
+    """The words of each sentence that excludes; ``plain`` is the normal form of the text or of one that holds it."""
+    sets = F.transform(F.filter(X.sentences(text), lambda s: s.rlike(EXCLUSION)), lambda s: X.detail_words(s))
+    return F.when(text.isNotNull() & ~_any(X.normal(text) if plain is None else plain, IN_EXCLUSION), _none("array<string>")).otherwise(sets)
 
-def excluded_audiences(audiences: Column, source: Column, article: Column, keywords: dict[str, tuple[str, ...]]) -> Column:
-    """Chosen audiences with a keyword all of whose words stand in a sentence that excludes."""
-    sets = F.transform(F.filter(F.concat(X.sentences(source), X.sentences(article)), lambda s: s.rlike(EXCLUSION)), lambda s: X.detail_words(s))
+
+def excluded_audiences(audiences: Column, source: Column, article: Column, keywords: dict[str, tuple[str, ...]], plain: Column | None = None, known: Column | None = None) -> Column:
+    """Chosen audiences with a keyword all of whose words stand in a sentence that excludes; ``known`` are the source's ``exclusions``."""
+    sets = F.concat(exclusions(source) if known is None else known, exclusions(article, plain))
 
     def named(sets, words):
         out = F.lit(False)
@@ -164,19 +209,31 @@ def excluded_audiences(audiences: Column, source: Column, article: Column, keywo
 
 def repeats_list(summary: Column, body: Column) -> Column:
     """Whether a sentence of the summary lists four or more parts, three quarters of which the body has."""
-    def listed(words, s):
-        parts = F.filter(F.transform(F.split(s, r",|\s+en\s+|\s+of\s+"), lambda s: X.detail_words(s)), lambda p: F.size(p) > 0)
-        same = lambda parts: F.filter(parts, lambda p: F.size(F.filter(p, lambda w: F.array_contains(words, w))) >= F.ceil(F.size(p) / 2))
-        return X.once(parts, lambda parts: (F.size(parts) >= 4) & (F.size(same(parts)) / F.size(parts) >= 0.75))
+    parts = lambda s: F.filter(F.transform(F.split(s, r",|\s+en\s+|\s+of\s+"), lambda s: X.detail_words(s)), lambda p: F.size(p) > 0)
+    lists = F.filter(F.transform(X.sentences(summary), parts), lambda parts: F.size(parts) >= 4)
+
+    def had(words, parts):
+        same = F.filter(parts, lambda p: F.size(F.filter(p, lambda w: F.array_contains(words, w))) >= F.ceil(F.size(p) / 2))
+        return F.size(same) / F.size(parts) >= 0.75
+
+    # the body is only cut into words where the summary has a list
+    return X.once(lists, lambda lists: F.when(F.size(lists) > 0, X.once(X.detail_words(body), lambda words: F.exists(lists, lambda parts: had(words, parts)))).otherwise(F.when(summary.isNotNull(), False)))
+
 
-    return X.once(X.detail_words(body), lambda words: F.exists(X.sentences(summary), lambda s: listed(words, s)))
+def known_source(title: Column, text: Column) -> Column:
+    """What the check asks of a source, as one value that all its articles share."""
+    return F.struct(
+        title.alias("title"), supported(F.concat_ws("\n", title, text)).alias("facts"), X.normal(text).alias("plain"), undecided(text).alias("undecided"),
+        conditions(text).alias("conditions"), details(text).alias("details"), exclusions(text).alias("exclusions"),
+    )
 
 
 def validated(rows: DataFrame, now: Column, host: str, keywords: dict, statuses=("van-kracht", *R.TENTATIVE), categories: tuple = ()) -> DataFrame:
     """Adds errors, warnings and ok. Rows have title, summary, body, relevance, status, category, audiences,
-    source_title, source_text, source_url, duplicate."""
-    whole = F.concat_ws("\n", "title", "summary", "body", "relevance")
-    source = F.col("source_text")
+    source_url, duplicate, and ``known``, which is ``known_source`` of their source."""
+    rows = rows.withColumn("_whole", F.concat_ws("\n", "title", "summary", "body", "relevance"))
+    rows = rows.withColumn("_plain", X.normal(F.col("_whole")))  # a column of its own, so that it is made once
+    whole, plain, known, none = F.col("_whole"), F.col("_plain"), F.col("known"), F.lit(None).cast("string")
     checks = [
         (~X.url_parts(F.col("source_url"))["host"].endswith(host), "bron niet officieel"),
         (F.col("duplicate"), "bron al gebruikt"),
@@ -187,16 +244,16 @@ def validated(rows: DataFrame, now: Column, host: str, keywords: dict, statuses=
         (F.col("body").rlike(r"<[a-zA-Z/][^>]*>"), "html in tekst"),
         (F.exists(F.regexp_extract_all("body", F.lit(r"\]\((https?://[^)]+)\)"), F.lit(1)), lambda u: ~X.url_parts(u)["host"].endswith(host)), "vreemde link"),
         (~F.col("category").isin(*categories) if categories else F.lit(False), "onbekende categorie"),
-        (X.jaccard(X.title_words(F.col("title")), X.title_words(F.col("source_title"))) > 0.75, "titel lijkt te veel op bron"),
+        (X.jaccard(X.title_words(F.col("title")), X.title_words(known["title"])) > 0.75, "titel lijkt te veel op bron"),
     ]
     single = F.array_compact(F.array(*[F.when(c, F.lit(e)) for c, e in checks]))
-    facts_ = F.transform(unsupported(whole, F.concat_ws("\n", "source_title", "source_text")), lambda x: F.concat(x["kind"], F.lit(" "), x["value"]))
-    errors = F.concat(single, facts_, status_errors(whole, F.col("status"), source, now, statuses))
+    facts_ = F.transform(lacking(whole, known["facts"], plain), lambda x: F.concat(x["kind"], F.lit(" "), x["value"]))
+    errors = F.concat(single, facts_, status_errors(whole, F.col("status"), none, now, statuses, plain, known["undecided"]))
     warnings = F.concat(
-        F.transform(claims(whole, source), lambda c: F.concat(F.lit("claim: "), c)),
-        F.transform(dropped_qualifiers(F.col("body"), source), lambda c: F.concat(F.lit("voorwaarde: "), c)),
-        F.transform(missing_details(F.col("body"), source), lambda c: F.concat(F.lit("ontbreekt: "), c)),
-        F.transform(excluded_audiences(F.col("audiences"), source, F.col("body"), keywords), lambda c: F.concat(F.lit("uitgezonderd: "), c)),
+        F.transform(claims(whole, none, plain, known["plain"]), lambda c: F.concat(F.lit("claim: "), c)),
+        F.transform(dropped_qualifiers(F.col("body"), none, known["conditions"]), lambda c: F.concat(F.lit("voorwaarde: "), c)),
+        F.transform(missing_details(F.col("body"), none, known["details"]), lambda c: F.concat(F.lit("ontbreekt: "), c)),
+        F.transform(excluded_audiences(F.col("audiences"), none, F.col("body"), keywords, plain, known["exclusions"]), lambda c: F.concat(F.lit("uitgezonderd: "), c)),
         F.array_compact(F.array(F.when(repeats_list(F.col("summary"), F.col("body")), "samenvatting herhaalt opsomming"))),
     )
-    return rows.withColumns({"errors": errors, "warnings": warnings}).withColumn("ok", F.size("errors") == 0)
+    return rows.withColumns({"errors": errors, "warnings": warnings}).withColumn("ok", F.size("errors") == 0).drop("_whole", "_plain")

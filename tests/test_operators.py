@@ -626,6 +626,43 @@ def test_missing_authorities_and_denied_claims(spark):
     assert got["m"] == ["dienst uitvoering onderwijs"] and got["c"] == ["geldt nu"]
 
 
+def test_a_source_is_asked_once_for_all_its_articles(spark, monkeypatch):
+    """What the check joins to a document is what was told of its source, not the source's text to be asked again."""
+    from sievewright.plans import validate as plans
+
+    seen, join = [], plans.spread_join
+    monkeypatch.setattr(plans, "spread_join", lambda rows, few, *a: seen.append(few) or join(rows, few, *a))
+    out = plans.checked(spark, "/root/testdata/sf0.001")
+    assert len(seen) == 1 and "source_text" not in seen[0].columns and not any("documents.parquet" in f for f in seen[0].inputFiles())
+    assert out.count() == spark.read.parquet("/root/testdata/sf0.001/documents.parquet").count()
+
+
+def test_checks_seek_rare_words_before_patterns(spark):
+    """Texts without a claim cost little more than their normal form, and the words sought first turn no match away."""
+    import time
+
+    words = "De ondernemer krijgt subsidie en betaalt belasting over het jaar. "
+    df = spark.range(64).select(F.concat(F.repeat(F.lit(words), 400), F.col("id").cast("string")).alias("t")).repartition(4).cache()
+    df.count()
+
+    def took(c):
+        best = 1e9
+        for _ in range(3):
+            began = time.perf_counter()
+            df.select(F.sum(F.hash(c))).collect()
+            best = min(best, time.perf_counter() - began)
+        return best
+
+    assert took(validate.claims(F.col("t"), F.lit("x"))) < 4 * took(X.normal(F.col("t"))) + 0.2
+    rows = ["Dit IS momenteel van kracht.", "Het geldt\u00a0nu.", "geldende&nbsp;regels", "Er zijn geen geldende regels", "Zij zijn nog altijd actueel", "niets", ""]
+    got = [r[0] for r in spark.createDataFrame(list(enumerate(rows)), "i int, t string").orderBy("i").select(validate.claims(F.col("t"), F.lit(""))).collect()]
+    assert got == [["is momenteel van kracht"], ["geldt nu"], ["geldende regels"], [], ["zijn nog altijd actueel"], [], []]
+    none = spark.createDataFrame([(None, "Het geldt nu.")], "s string, a string")
+    s, a = F.col("s"), F.col("a")
+    told = none.select(validate.missing_details(a, s), validate.excluded_audiences(F.array(F.lit("x")), s, a, {"x": ("x",)}), validate.claims(s, a), validate.dropped_qualifiers(a, s)).first()
+    assert list(told) == [None, [], None, None]  # as before for an unknown source
+
+
 def test_shared_folder_without_a_setting(spark):
     """A local session whose setting is unset gets one folder, the same for all that is written."""
     unset = SimpleNamespace(conf=SimpleNamespace(get=lambda key, default=None: default), sparkContext=spark.sparkContext)
